@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from loomwork.llm import line_dedup, mixing, packing, simhash
+from loomwork.llm import compression_bands, line_dedup, mixing, packing, sequence_files, simhash, token_counts
 
 QUERIES = {
+    "op1_compression_bands": compression_bands.query,
     "op3_length_buckets": packing.query,
     "op4_simhash_covering": simhash.query,
     "op6_line_dedup": line_dedup.query,
+    "op7_token_counts": token_counts.query,
+    "op9_sequence_files": sequence_files.query,
     "op10_source_mixing": mixing.query,
 }
 
