@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from loomwork.llm import compression_bands, line_dedup, mixing, packing, sequence_files, simhash, token_counts
+from loomwork.llm import ball_tree, compression_bands, line_dedup, mixing, packing, sequence_files, simhash, token_counts, url_filters
 
 QUERIES = {
     "op1_compression_bands": compression_bands.query,
     "op3_length_buckets": packing.query,
     "op4_simhash_covering": simhash.query,
+    "op5_ball_tree_top_k": ball_tree.query,
     "op6_line_dedup": line_dedup.query,
     "op7_token_counts": token_counts.query,
+    "op8_url_trees": url_filters.query,
     "op9_sequence_files": sequence_files.query,
     "op10_source_mixing": mixing.query,
 }
 
 ORACLES = {
+    "op5_ball_tree_top_k": ball_tree.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op10_source_mixing": mixing.ORACLE_SQL,
 }
