@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomwork.llm import ball_tree, compression_bands, line_dedup, mixing, packing, sequence_files, simhash, token_counts, url_filters
+from loomwork.llm import ball_tree, compression_bands, line_dedup, mixing, packing, pii_crf, sequence_files, simhash, token_counts, url_filters
 
 QUERIES = {
     "op1_compression_bands": compression_bands.query,
+    "op2_skip_chain_crf": pii_crf.query,
     "op3_length_buckets": packing.query,
     "op4_simhash_covering": simhash.query,
     "op5_ball_tree_top_k": ball_tree.query,
