@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,18 +14,23 @@ from loomwork.operators.graph import connected_components
 from loomwork.session import materialise
 
 
-def simhash(text: str | None, shingle: int, seed: int) -> int:
-    """64-bit fingerprint of the text's word shingles, repeats included."""
+def hashed_shingles(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included; words are joined by a space, A-Z lower-cased."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:-1]])
     k = min(shingle, len(words))
     spans = zip(starts[: len(words) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in spans], dtype=np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in spans], dtype=np.uint64)
+
+
+def simhash(text: str | None, shingle: int, seed: int) -> int:
+    """64-bit fingerprint of the text's word shingles, repeats included; 0 without words."""
+    hashes = hashed_shingles(text, shingle, seed)
     n, ones = len(hashes), np.zeros(64, dtype=np.int64)
     for at in range(0, n, 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16), None].view(np.uint8), axis=1, bitorder="little")
@@ -52,12 +58,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def covering_masks(positions: list[int], radius: int) -> list[int]:
     """Masks over the bit positions such that any `radius` of them are all left out by some mask.
 
-    Each position gets a nonzero vector of radius + 1 bits, in turn. For each nonzero v there is a mask; it
+    Each position gets a nonzero vector of radius + 1 bits, in a fixed order that spreads few positions over
+    all bits of the vectors. For each nonzero v there is a mask; it
     keeps the positions whose vector is not orthogonal to v. Any `radius` vectors span less than the whole
     space, so some v is orthogonal to all of them, and its mask leaves their positions out.
     """
     turns = (1 << (radius + 1)) - 1
-    vectors = {p: i % turns + 1 for i, p in enumerate(positions)}
+    step = next(s for s in range(int(0.618 * turns) + 1, 2 * turns) if math.gcd(s, turns) == 1)
+    vectors = {p: (i + 1) * step % turns + 1 for i, p in enumerate(positions)}
     return [sum(1 << p for p, m in vectors.items() if (m & v).bit_count() % 2) for v in range(1, turns + 1)]
 
 
