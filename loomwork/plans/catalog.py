@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from loomwork.plans import curation, evaluation
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (evaluation, curation)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for each source."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count("*").alias("n"))
+    """Split statistics of a leakage-free split."""
+    return curation.split_stats(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
