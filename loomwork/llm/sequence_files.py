@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,39 +23,76 @@ def _filesystem(url: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(url if "://" in url or url.startswith("file:") else f"file://{os.path.abspath(url)}")
 
 
+#: Punctuation that ends words and never joins the letters before it into one pre-token.
+TAIL = ".,;:!?|%$#&*"
+
+
 class WordEncoder:
-    """Ids of whole texts as little-endian bytes, by a tokenizers file whose pre-tokenizer drops white space.
+    """Ids of whole texts as little-endian bytes, by a tokenizers file that lower-cases, drops white space and
+    cuts letters from other characters before anything joins across such a border.
 
-    Such a tokenizer cuts texts at white space before anything else can join across it, so each run
-    between spaces or newlines has its ids alone. Runs are encoded once and remembered; at most
-    `remembered` of them, after which the memory starts anew. The result is the same either way.
+    So each run between spaces or newlines has its ids alone, and so have a run's letters and the punctuation
+    after them. Both are encoded once and remembered, up to given numbers of each, after which that memory
+    starts anew. The result is the same either way.
     """
 
-    def __init__(self, path: str, dtype: str, remembered: int = 400_000):
+    def __init__(self, path: str, dtype: str, remembered: int = 400_000, remembered_letters: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.remembered = Tokenizer.from_file(path), np.dtype(dtype).newbyteorder("<"), remembered
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype).newbyteorder("<")
         if self.tokenizer.get_vocab_size() - 1 > np.iinfo(self.dtype).max:
             raise ValueError(f"{self.tokenizer.get_vocab_size()} ids do not fit {dtype}")
+        self.remembered, self.remembered_letters = remembered, remembered_letters
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        self.letters: dict[str, bytes] = {}
+
+    @staticmethod
+    def parts(word: str) -> tuple[str, str]:
+        """(lower-case letters, punctuation), or (word, '') if it isn't Latin letters and punctuation alone.
+
+        Below U+0130 a letter's lower case and its composed form are one letter; further up they can be a letter
+        and a mark, which joins the punctuation after it.
+        """
+        core = word.rstrip(TAIL)
+        if core.isalpha() and max(core) < "\u0130":
+            return core.lower(), word[len(core) :]
+        return word, ""
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words that aren't known."""
+        cut = [self.parts(w) for w in words]
+        fresh = list({p for pair in cut for p in pair if p and p not in self.letters})
+        if len(self.letters) + len(fresh) > self.remembered_letters:
+            self.letters = {}
+            fresh = list({p for pair in cut for p in pair if p})
+        kind = self.dtype.char
+        for part, made in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            ids = array(kind, made.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            self.letters[part] = ids.tobytes()
+        self.letters[""] = b""
+        for word, (core, tail) in zip(words, cut, strict=True):
+            self.known[word] = self.letters[core] + self.letters[tail]
 
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        fresh = [w for w in set(words) if w not in self.known]
+        distinct = set(words)
+        fresh = [w for w in distinct if w not in self.known]
         if fresh:
             if len(self.known) + len(fresh) > self.remembered:
-                self.known = {}
-                fresh = list(set(words))
-            made = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            for word, ids in zip(fresh, made, strict=True):
-                self.known[word] = np.array(ids.ids, dtype=self.dtype).tobytes()
+                self.known, fresh = {}, list(distinct)
+            self._learn(fresh)
         return b"".join(map(self.known.__getitem__, words))
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, dtype: str) -> WordEncoder:
+    """The process's encoder; what it remembers serves all tasks that run there."""
+    return WordEncoder(path, dtype)
+
+
 class ShardWriter:
     """One Arrow file. Each row is a sequence of `length` ids, a mask of the same length (false is padding),
     and the documents that begin in it: their ids and the places of their first tokens.
@@ -196,7 +236,7 @@ def write_sequences(
         for batch in batches:
             for ident, text in zip(batch.column(0), batch.column(1), strict=True):
                 if writer is None:
-                    encode, writer = WordEncoder(tokenizer, dtype), ShardWriter(path, length, dtype)
+                    encode, writer = encoder(tokenizer, dtype), ShardWriter(path, length, dtype)
                     end = np.array([end_id], dtype=writer.dtype).tobytes()
                 writer.add(ident.as_py(), encode(text.as_py() or "") + end)
                 count += 1
