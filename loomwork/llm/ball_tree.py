@@ -160,7 +160,13 @@ def top_k(
         marked.where("query")
         .groupBy("vec_id", "v", "dim")
         .agg(F.lit(0).alias("_"))
-        .select(F.col("vec_id").alias("query_id"), "v", "dim", home.alias("home"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int").alias("block"))
+        .select(
+            F.col("vec_id").alias("query_id"),
+            F.col("v").alias("asked"),
+            F.col("dim").alias("asked_dim"),
+            home.alias("home"),
+            F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int").alias("asked_block"),
+        )
     )
     names = ["query_id", "vec_id", "score"]
 
@@ -172,18 +178,18 @@ def top_k(
                 build(data),
                 data,
                 left.column("vec_id").to_numpy(),
-                _matrix(right, "v"),
+                _matrix(right, "asked"),
                 right.column("query_id").to_numpy(),
                 right.column("floor").to_numpy(),
                 k,
             )
         return pa.table({n: pa.array(r, pa.int64()) for n, r in zip(names, rows, strict=True)})
 
-    def searched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
+    def searched(left: DataFrame, right: DataFrame, keys: list[str], asked_keys: list[str]) -> DataFrame:
+        return left.groupBy(*keys).cogroup(right.groupBy(*asked_keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
 
     lowest = F.lit(-(2**63)).cast("long")
-    first = searched(stored, asked.select("query_id", "v", "dim", F.col("home").alias("shard"), lowest.alias("floor")), ["shard", "dim"])
+    first = searched(stored, asked.withColumn("floor", lowest), ["shard", "dim"], ["home", "asked_dim"])
     first = materialise(first, "first-hits")
     floors = (
         first.groupBy("query_id")
@@ -194,11 +200,11 @@ def top_k(
         wide = (
             asked.join(floors, "query_id", "left")
             .withColumn("floor", F.coalesce("floor", lowest))
-            .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-            .where("shard <> home")
+            .withColumn("asked_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+            .where("asked_shard <> home")
         )
         again = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        rest = searched(again, wide.select("query_id", "v", "dim", "shard", "block", "floor"), ["shard", "block", "dim"])
+        rest = searched(again, wide, ["shard", "block", "dim"], ["asked_shard", "asked_block", "asked_dim"])
         first = first.unionByName(rest)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
