@@ -28,7 +28,8 @@ def unordered_pairs(identities: DataFrame, group: str, identity: str, limit: int
 
 def representative(items: DataFrame, keys: list[str], item: str, seed: int = 0) -> DataFrame:
     """One item for each key, the one of the least seeded hash; ties to the smaller item. A partial aggregate, no sort."""
-    return items.groupBy(*keys).agg(F.min_by(item, F.struct(F.xxhash64(F.lit(seed), item), item)).alias(item))
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string")))
+    return items.groupBy(*keys).agg(F.min_by(item, F.struct(hashed, item)).alias(item))
 
 
 def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:

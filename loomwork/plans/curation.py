@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loomwork.operators import graph, pairs, quality, split, statistics
 from loomwork.plans.evaluation import rounded
@@ -153,6 +153,11 @@ def parts_ordered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return wanted, done
 
 
+def hashed_id() -> Column:
+    """48 bits of MD5 of doc_id."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit("1:"), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("long")
+
+
 QUERIES = {
     "identity_components": lambda s, d: split.components(*samples(s, d)),
     "component_sizes": lambda s, d: split.component_sizes(split.components(*samples(s, d)), *samples(s, d)),
@@ -172,7 +177,7 @@ QUERIES = {
     "set_differences": lambda s, d: pairs.differences(*parts_ordered(s, d), "key"),
     "keep_last_checkpoints": lambda s, d: pairs.keep_last(s.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey"), "o_orderkey", 3, ["o_custkey"]),
     "identity_representatives": lambda s, d: pairs.representative(s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber"), ["l_orderkey"], "l_linenumber", 3),
-    "training_batches": lambda s, d: pairs.batches(s.read.parquet(f"{d}/labels.parquet").select("doc_id"), 32, F.xxhash64(F.lit(1), "doc_id"), True),
+    "training_batches": lambda s, d: pairs.batches(s.read.parquet(f"{d}/labels.parquet").select("doc_id"), 32, hashed_id(), True),
 }
 
 ORACLES = {
@@ -208,4 +213,8 @@ ORACLES = {
     "set_differences": """WITH d AS (SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45), p AS (SELECT DISTINCT p_partkey AS key FROM part)
     SELECT 'missing' AS side, key FROM (SELECT key FROM p EXCEPT SELECT key FROM d) UNION ALL SELECT 'extra', key FROM (SELECT key FROM d EXCEPT SELECT key FROM p)""",
     "keep_last_checkpoints": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r <= 3",
+    "identity_representatives": """SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY md5('3:' || l_linenumber), l_linenumber) AS r FROM lineitem) WHERE r = 1""",
+    "training_batches": """WITH h AS (SELECT doc_id, ('0x' || substr(md5('1:' || doc_id), 1, 12))::BIGINT AS h FROM labels), n AS (SELECT *, row_number() OVER (ORDER BY h % 64, h) - 1 AS i, count(*) OVER () AS c FROM h)
+  SELECT doc_id, (i // 32)::BIGINT AS batch_id FROM n WHERE i < c - c % 32""",
 }

@@ -45,7 +45,7 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array("x1", "y1", "x2", "y2").alias("facial_area"),
         F.create_map(F.lit("left_eye"), F.array("rx", "ry"), F.lit("right_eye"), F.array("lx", "ly")).alias("landmarks"),
     )
-    key = F.concat_ws("_", F.lit("face"), "l_linenumber", F.lpad("x1", 3, "0"), F.lpad("y1", 3, "0"), "x2", "d")
+    key = F.concat_ws("_", F.lit("face"), "l_linenumber", F.lpad("x1", 3, "0"), F.lpad("y1", 3, "0"), "x2", "y2", "d", "ry")
     faces = boxes(spark, sf_dir).select("l_orderkey", key.alias("key"), face.alias("value")).dropDuplicates(["l_orderkey", "key"])
     by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
     images = faces.groupBy("l_orderkey").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")), by_key)).alias("detections"))
@@ -55,7 +55,7 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOXES = """b AS (SELECT l_orderkey, l_linenumber, (l_partkey % 400)::INT AS x1, (l_suppkey % 300)::INT AS y1, (l_partkey % 400 + l_quantity::INT * 3)::INT AS x2,
   (l_suppkey % 300 + l_quantity::INT * 2)::INT AS y2, (l_partkey % 400 + l_quantity::INT)::DOUBLE AS lx, l_suppkey % 300 + l_discount * 101.3::DOUBLE AS ly,
-  (l_partkey % 400 + l_quantity::INT * 2)::DOUBLE AS rx, l_suppkey % 300 + l_tax * 103.7::DOUBLE AS ry FROM lineitem)"""
+  (l_partkey % 400 + l_quantity::INT * 2)::DOUBLE AS rx, l_suppkey % 300 + l_tax * 103.7::DOUBLE AS ry, l_discount FROM lineitem)"""
 CORNERS = [f"a * {x} + b * {y} + (1 - a) * 320.0 - b * 240.0" for x in ("x1", "x2") for y in ("y1", "y2")]
 RISES = [f"-b * {x} + a * {y} + b * 320.0 + (1 - a) * 240.0" for x in ("x1", "x2") for y in ("y1", "y2")]
 
@@ -121,6 +121,17 @@ ORACLES = {
   SELECT l_orderkey, l_linenumber, (greatest(0, x2 - x1) * greatest(0, y2 - y1))::BIGINT AS area, round(angle, 6) AS angle,
     greatest(0, bx1 - trunc((bx2 - bx1) * 0.3::DOUBLE)::INT) AS x1, greatest(0, by1 - trunc((by2 - by1) * 0.3::DOUBLE)::INT) AS y1,
     least(640, bx2 + trunc((bx2 - bx1) * 0.3::DOUBLE)::INT) AS x2, least(480, by2 + trunc((by2 - by1) * 0.3::DOUBLE)::INT) AS y2 FROM c""",
+    "face_alignment": f"""WITH {BOXES}, t AS (SELECT DISTINCT b.*, degrees(atan2(ry - ly, rx - lx)) AS angle, 1.0::DOUBLE - l_discount * 3 AS score FROM b),
+  g AS (SELECT *, max(score) OVER (PARTITION BY l_orderkey) AS best, count(*) FILTER (WHERE score >= 0.8::DOUBLE) OVER (PARTITION BY l_orderkey) AS good,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY (score >= 0.8::DOUBLE) DESC, (greatest(0, x2 - x1) * greatest(0, y2 - y1)) DESC, l_linenumber, x1, y1) AS k FROM t),
+  r AS (SELECT *, cos(radians(angle)) AS a, sin(radians(angle)) AS b FROM g WHERE k = 1),
+  c AS (SELECT *, floor(least({", ".join(CORNERS)}))::INT AS bx1, floor(least({", ".join(RISES)}))::INT AS by1, ceil(greatest({", ".join(CORNERS)}))::INT AS bx2, ceil(greatest({", ".join(RISES)}))::INT AS by2 FROM r),
+  m AS (SELECT *, greatest(0, bx1 - trunc((bx2 - bx1) * 0.3::DOUBLE)::INT) AS cx1, greatest(0, by1 - trunc((by2 - by1) * 0.3::DOUBLE)::INT) AS cy1,
+    least(640, bx2 + trunc((bx2 - bx1) * 0.3::DOUBLE)::INT) AS cx2, least(480, by2 + trunc((by2 - by1) * 0.3::DOUBLE)::INT) AS cy2 FROM c),
+  f AS (SELECT *, CASE WHEN good = 0 THEN 'All detections below score threshold (best=' || printf('%.3f', best) || ', threshold=0.800)'
+    WHEN cx2 <= cx1 OR cy2 <= cy1 THEN 'Degenerate crop region after margin: (' || cx1 || ',' || cy1 || ') → (' || cx2 || ',' || cy2 || ')' END AS reason FROM m)
+  SELECT l_orderkey, reason IS NULL AS success, reason AS failure_reason, CASE WHEN reason IS NULL THEN round(angle, 6) END AS angle,
+    CASE WHEN reason IS NULL THEN cx1 END AS x1, CASE WHEN reason IS NULL THEN cy1 END AS y1, CASE WHEN reason IS NULL THEN cx2 END AS x2, CASE WHEN reason IS NULL THEN cy2 END AS y2 FROM f""",
     "path_functions": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS p, (page_id % 101) / 100.0::DOUBLE AS alpha FROM pages),
   q AS (SELECT *, string_split(p, '/') AS s, lower(regexp_extract(p, '[^/](\.[^./]+)$', 1)) AS e FROM p),
   r AS (SELECT *, CASE WHEN s[-1] LIKE '_%.%' THEN regexp_replace(s[-1], '\.[^.]+$', '') ELSE s[-1] END AS stem FROM q)
