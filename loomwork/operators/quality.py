@@ -44,8 +44,10 @@ def invalid_labels(assigned: DataFrame, valid: tuple[str, ...] = ("bona_fide", "
 
 
 def duplicate_images(assigned: DataFrame) -> DataFrame:
-    """Image ids found more than once, with the splits they are in."""
-    found = assigned.groupBy("image_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("split")).alias("splits")).where("n > 1")
+    """Image ids found more than once, with the split of each; rows are counted by (image, split) before they meet."""
+    counts = assigned.groupBy("image_id", "split").agg(F.count("*").alias("c"))
+    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("split", "c"))), lambda x: F.array_repeat(x["split"], x["c"].cast("int"))))
+    found = counts.groupBy("image_id").agg(F.sum("c").alias("n"), listed.alias("splits")).where("n > 1")
     text = F.format_string("Image %s appears %d times across splits [%s].", quoted(F.col("image_id")), F.col("n"), F.concat(F.lit("'"), F.array_join("splits", "', '"), F.lit("'")))
     return _issues(found, "duplicate_image", text, image_id=F.col("image_id"), splits=F.array_join("splits", ","))
 
