@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. The driver of a run writes every stage's result as Parquet and reads it as the next one's docs.
+
+Cases, for every stage: other columns than those of documents are left out, whatever their names; null ids,
+sources and texts and repeated rows are as the operator's docstring says; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,23 +20,23 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the compression bands."""
-    return compression_bands.judge(docs).where("kept").select(*COLUMNS)
+    return compression_bands.judge(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more of them share; n_chars is counted anew."""
-    done = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
+    done = line_dedup.dedup_lines(docs.select(*COLUMNS), min_docs=10, min_chars=1)
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word-shingle similarity 0.8 or more."""
-    return simhash_groups.keep_one(docs, shingle=5, similarity=0.8).select(*COLUMNS)
+    return simhash_groups.keep_one(docs.select(*COLUMNS), shingle=5, similarity=0.8).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: sources near their target weights, whole documents only."""
-    sized = mixing.weighted(docs.withColumn("size", word_count(F.col("text"))), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    sized = mixing.weighted(docs.select(*COLUMNS).withColumn("size", word_count(F.col("text"))), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     taken = mixing.mix_sources(sized, quality_col="quality_weight")
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     return taken.where("copies > 0").withColumn("_copy", copies).select(*COLUMNS)

@@ -118,7 +118,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands
         pack = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
             rows = []
-            for value in batch.column(batch.num_columns - 1):
+            for value in batch.column(at):
                 text = value.as_py() or ""
                 data = text.encode()
                 words = data.split()
@@ -129,12 +129,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands
                 symbols = sum(data.count(c) for c in SYMBOLS)
                 rows.append((n, chars, symbols, duplicate_lines(text), repeats, failed, ratio, share, inside and not failed))
             made = [pa.array([r[k] for r in rows], type=f[1]) for k, f in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*passed, *names])
 
     passed = [c for c in docs.columns if c not in names]
-    held = docs.select(*[F.col(f"`{c}`") for c in passed], F.col(text_col).alias("_text"))
-    kinds = {f.name: f.dataType.simpleString() for f in held.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in passed), *(f"{n} {kind}" for n, _, kind in fields)])
+    at = passed.index(text_col)
+    held = docs.select(*[F.col(f"`{c}`") for c in passed])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields), *(f"{n} {kind}" for n, _, kind in fields)])
     return held.mapInArrow(run, schema)
 
 

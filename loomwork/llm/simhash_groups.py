@@ -151,5 +151,5 @@ def similar_groups(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that are not the least id of their group; rows with a null id stay."""
     groups = similar_groups(docs, id_col, text_col, **options)
-    gone = groups.where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = groups.where("doc_id <> group_id").select(F.col("doc_id").alias("gone")).distinct().alias("_groups")
+    return docs.alias("_docs").join(gone, F.col(f"_docs.`{id_col}`") == F.col("_groups.gone"), "left_anti")
