@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomwork.llm.texts import word_count
@@ -66,9 +68,11 @@ def mix_sources(
     first, sizes summed along that order. A document is taken as long as more than half of it lies within
     the budget, so a source ends within half a document of its target and never takes part of a text.
 
-    A source may hold a third of all rows, so its order is never in one task: keys fall into buckets
-    of about bucket_rows rows by exp(-key), which keeps their order; sizes are summed per bucket, a window
-    over the few buckets gives each its start, and only the rows of one bucket are sorted together.
+    A source may hold a third of all rows, so its order is never in one task: keys fall into buckets by
+    their logarithm, which keeps their order; sizes are summed per bucket, a window over the few buckets
+    gives each its start, and only the rows of one bucket are sorted together. The logarithm of an
+    exponential key has a density of at most 1/e whatever its rate, so a bucket expects bucket_rows rows at
+    most however the quality weights are spread.
 
     Cases: a null source is a source, last in order; null or negative sizes are 0 and such documents are
     never taken beyond the epochs; a null quality is 1; repeated rows have equal keys and are ordered by
@@ -102,7 +106,7 @@ def mix_sources(
     )
     if sums.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    known = keyed.join(plan, "_source").withColumn("_bucket", -F.floor(F.exp(-F.col("_key")) * F.col("_buckets")))
+    known = keyed.join(plan, "_source").withColumn("_bucket", F.floor(F.log("_key") * F.col("_buckets") / math.e))
     steps = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         known.groupBy("_source", "_bucket")
@@ -135,8 +139,10 @@ def quality_weights(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> D
 
 
 def weighted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with quality_weight; null for documents without a label."""
-    return docs.join(quality_weights(labels), F.col("doc_id") == F.col("label_id"), "left").drop("label_id")
+    """docs with quality_weight, replaced if there is one; null for documents without a label."""
+    known = quality_weights(labels).alias("_labels")
+    named = [F.col(f"_docs.`{c}`") for c in docs.columns if c != "quality_weight"]
+    return docs.alias("_docs").join(known, F.col("_docs.doc_id") == F.col("_labels.label_id"), "left").select(*named, "_labels.quality_weight")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -258,6 +258,9 @@ def test_mixing(spark, docs, none):
     good = one.where("source = 'hot' AND size > 0").groupBy("quality").agg(F.avg(F.col("copies") - F.col("epochs")).alias("m")).collect()
     share = {r["quality"]: r["m"] for r in good}
     assert share[2.0] > share[0.5]
+    low = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(3).alias("size"), F.element_at(F.array(F.lit(1e-6), F.lit(0.01), F.lit(9.0)), (F.col("id") % 3 + 1).cast("int")).alias("q"))
+    whole, cut = (mixing.mix_sources(low, quality_col="q", bucket_rows=n) for n in (10**6, 50))
+    assert sorted(whole.collect()) == sorted(cut.collect())
     assert mixing.mix_sources(none.withColumn("size", F.lit(1))).count() == 0
     assert mixing.mix_sources(docs.withColumn("size", F.length("text"))).count() == docs.count()
 
