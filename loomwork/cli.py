@@ -1,4 +1,4 @@
-"""Commands over folders and manifests: split, inspect, augment, evaluate. Exit codes say what went wrong."""
+"""Commands over folders and tables: split, inspect, augment, align, morph, evaluate, predict. Exit codes say what went wrong."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomwork import reports
 from loomwork.functions import curves, kernels, metrics
-from loomwork.operators import quality, split, statistics
+from loomwork.operators import faces, model, morphs, quality, split, statistics
 from loomwork.session import build_session
 from loomwork.sources import scans, sinks
 
@@ -70,6 +70,40 @@ def run_augment(spark: SparkSession, args: argparse.Namespace) -> int:
     return DONE
 
 
+def run_align(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Upright face crops of a Parquet table of decoded images with detections; crops that exist are not made again."""
+    images = spark.read.parquet(args.input)
+    try:
+        made = spark.read.parquet(args.output).where("success").select("path")
+        images = images.join(made, "path", "left_anti")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    before = images.count()
+    faces.crop_faces(images, size=args.size, threshold=args.threshold, margin=args.margin).write.mode("append").parquet(args.output)
+    print(f"{before} images aligned")
+    return DONE
+
+
+def run_morph(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Blends of a Parquet table of image pairs with landmarks."""
+    if not 0 <= args.alpha <= 1:
+        print("alpha must be between 0 and 1", file=sys.stderr)
+        return BAD_ARGUMENTS
+    morphs.morph(spark.read.parquet(args.input), args.alpha).write.mode("overwrite").parquet(args.output)
+    done = spark.read.parquet(args.output)
+    statistics.run_summary(done.select(F.when(F.col("error").isNull(), "processed").otherwise("failed").alias("status"))).show()
+    return DONE
+
+
+def run_predict(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Probabilities and labels of a Parquet table of embeddings by a saved model."""
+    rows = spark.read.parquet(args.input)
+    scored = model.predict(model.load(args.model), rows, args.vector, args.threshold)
+    sinks.report(scored.select(args.key, "predicted_label", F.col("probability").alias("probability_attack"), (1.0 - F.col("probability")).alias("probability_bona_fide")).orderBy(args.key), args.output)
+    return DONE
+
+
 def run_evaluate(spark: SparkSession, args: argparse.Namespace) -> int:
     """Metrics, curves, errors and a report from a Parquet table of predictions (index, true_label, score)."""
     rows = metrics.decide(metrics.check_labels(spark.read.parquet(args.input)), threshold=args.threshold).withColumn("probability", F.col("score"))
@@ -83,7 +117,11 @@ def run_evaluate(spark: SparkSession, args: argparse.Namespace) -> int:
     sinks.report(metrics.confidence(rows).drop("score"), f"{args.output}/predictions")
     for kind in ("fp", "fn"):
         sinks.report(metrics.top_errors(rows.drop("score"), kind, args.top), f"{args.output}/top_{kind}")
-    print(reports.markdown(row, metrics.class_report(rows), args.name))
+    sinks.report(metrics.misclassified(rows.drop("score")), f"{args.output}/misclassified")
+    sinks.summary(metrics.error_summary(rows, args.margin), f"{args.output}/errors")
+    classes = metrics.class_report(rows)
+    sinks.report(classes, f"{args.output}/classes")
+    print(reports.markdown(row, classes, args.name))
     return DONE
 
 
@@ -118,8 +156,29 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--output", required=True)
     e.add_argument("--threshold", type=float, default=0.5)
     e.add_argument("--top", type=int, default=10)
+    e.add_argument("--margin", type=float, default=0.1)
     e.add_argument("--name", default="evaluation")
     e.set_defaults(run=run_evaluate)
+    c = commands.add_parser("align")
+    c.add_argument("--input", required=True)
+    c.add_argument("--output", required=True)
+    c.add_argument("--size", type=int, default=224)
+    c.add_argument("--threshold", type=float, default=0.9)
+    c.add_argument("--margin", type=float, default=0.3)
+    c.set_defaults(run=run_align)
+    m = commands.add_parser("morph")
+    m.add_argument("--input", required=True)
+    m.add_argument("--output", required=True)
+    m.add_argument("--alpha", type=float, default=0.5)
+    m.set_defaults(run=run_morph)
+    p = commands.add_parser("predict")
+    p.add_argument("--input", required=True)
+    p.add_argument("--model", required=True)
+    p.add_argument("--output", required=True)
+    p.add_argument("--key", default="vec_id")
+    p.add_argument("--vector", default="embedding")
+    p.add_argument("--threshold", type=float, default=0.5)
+    p.set_defaults(run=run_predict)
     return out
 
 

@@ -130,6 +130,28 @@ def top_errors(rows: DataFrame, kind: str, k: int, index: str = "index") -> Data
     return wrong.orderBy(F.desc("confidence"), F.asc(index)).limit(k).drop("is_correct").withColumn("error_type", F.lit({"fp": "false_positive", "fn": "false_negative"}[kind]))
 
 
+def misclassified(rows: DataFrame) -> DataFrame:
+    """All wrong predictions with their confidence and error_type."""
+    kind = F.when(F.col("predicted_label") == 1, "false_positive").otherwise("false_negative")
+    return confidence(rows).where(~F.col("is_correct")).drop("is_correct").withColumn("error_type", kind)
+
+
+def error_summary(rows: DataFrame, margin: float = 0.1, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row of counts: all, both kinds of errors, hard examples, the error rate (0 without rows) and mean confidences."""
+    judged = confidence(rows)
+    wrong = ~F.col("is_correct")
+    return judged.groupBy(*by).agg(
+        F.count("*").alias("total"),
+        F.count_if(wrong).alias("errors"),
+        F.count_if(wrong & (F.col("predicted_label") == 1)).alias("false_positives"),
+        F.count_if(wrong & (F.col("predicted_label") == 0)).alias("false_negatives"),
+        F.count_if(F.abs(F.col("probability") - 0.5) <= margin).alias("hard"),
+        ratio(F.count_if(wrong), F.count("*"), 0.0).alias("error_rate"),
+        F.avg(F.when(wrong, F.col("confidence"))).alias("confidence_wrong"),
+        F.avg(F.when(F.col("is_correct"), F.col("confidence"))).alias("confidence_right"),
+    )
+
+
 def least_confident(rows: DataFrame, k: int, index: str = "index") -> DataFrame:
     """The k least confident predictions, ties to the smaller index."""
     return confidence(rows).orderBy(F.asc("confidence"), F.asc(index)).limit(k)

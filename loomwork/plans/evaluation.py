@@ -102,6 +102,8 @@ QUERIES = {
     "top_false_negatives": lambda s, d: rounded(metrics.top_errors(predictions(s, d), "fn", 10)),
     "least_confident": lambda s, d: rounded(metrics.least_confident(predictions(s, d), 10)),
     "hard_examples": lambda s, d: rounded(metrics.hard_examples(predictions(s, d), 0.1)),
+    "misclassified": lambda s, d: rounded(metrics.misclassified(predictions(s, d))),
+    "error_summary": lambda s, d: rounded(metrics.error_summary(predictions(s, d))),
     "losses": lambda s, d: losses(s, d),
 }
 
@@ -159,6 +161,14 @@ ORACLES = {
         round({CONFIDENCE}, 6) AS confidence FROM p ORDER BY {CONFIDENCE}, index LIMIT 10""",
     "hard_examples": f"""WITH {P1009} SELECT index, true_label, round(score, 6) AS score, round(score, 6) AS probability, predicted_label FROM p
         WHERE abs(score - 0.5::DOUBLE) <= 0.1::DOUBLE""",
+    "misclassified": f"""WITH {P1009} SELECT index, true_label, round(score, 6) AS score, round(score, 6) AS probability, predicted_label,
+        round(CASE WHEN predicted_label = 1 THEN score ELSE 1 - score END, 6) AS confidence,
+        CASE WHEN predicted_label = 1 THEN 'false_positive' ELSE 'false_negative' END AS error_type FROM p WHERE true_label <> predicted_label""",
+    "error_summary": f"""WITH {P1009}, q AS (SELECT *, true_label <> predicted_label AS wrong, CASE WHEN predicted_label = 1 THEN score ELSE 1 - score END AS c FROM p)
+        SELECT count(*) AS total, count(*) FILTER (WHERE wrong) AS errors, count(*) FILTER (WHERE wrong AND predicted_label = 1) AS false_positives,
+        count(*) FILTER (WHERE wrong AND predicted_label = 0) AS false_negatives, count(*) FILTER (WHERE abs(score - 0.5::DOUBLE) <= 0.1::DOUBLE) AS hard,
+        round(coalesce(count(*) FILTER (WHERE wrong) / nullif(count(*), 0)::DOUBLE, 0), 6) AS error_rate,
+        round(avg(c) FILTER (WHERE wrong), 6) AS confidence_wrong, round(avg(c) FILTER (WHERE NOT wrong), 6) AS confidence_right FROM q""",
     "losses": f"""WITH {P1009}, q AS (SELECT true_label, greatest(least(score, 0.999::DOUBLE), 0.001::DOUBLE) AS pp, CASE WHEN true_label = 1 THEN 4.0 ELSE 0.5 END::DOUBLE AS w FROM p),
         r AS (SELECT w, CASE WHEN true_label = 1 THEN pp ELSE 1 - pp END AS pt FROM q)
         SELECT round(-sum(ln(pt)) / count(*), 6) AS cross_entropy, round(-sum(ln(pt) * w) / sum(w), 6) AS weighted_cross_entropy,

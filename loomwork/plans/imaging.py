@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomwork.functions import kernels, pixels
-from loomwork.operators import model, morphs
+from loomwork.operators import faces, model, morphs
 from loomwork.plans.evaluation import rounded
 
 
@@ -63,7 +63,25 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(model.predict(model.train(rows), rows).select("vec_id", "label", "probability", "predicted_label"), 4)
 
 
-QUERIES = {"point_kernels": point_kernels, "augmented_images": augmented, "morphed_images": morphed, "scored_embeddings": scored}
+def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image as a normalised, channel-first model input of its own size; as text, 10 higher so that no zero has a sign."""
+    values = F.transform(F.col("values"), lambda v: F.format_string("%.3f", v.cast("double") + 10.0))
+    return faces.model_inputs(images(spark, sf_dir), size=8).select("path", F.array_join(values, " ").alias("values"))
+
+
+def face_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upright 4 x 4 crops by detections made of each image's bytes; every fifth score is too low."""
+    at = lambda k, n: (F.element_at("p", k) % n).cast("double")
+    eyes = F.create_map(F.lit("left_eye"), F.array(at(1, 3) + 4.0, at(2, 3)), F.lit("right_eye"), F.array(at(3, 3), at(4, 3)))
+    area = F.array(*[F.lit(x).cast("int") + (F.element_at("p", k) % 2) for k, x in ((5, 0), (6, 1), (7, 5), (8, 6))])
+    score = F.when(F.col("vec_id") % 5 == 0, 0.5).otherwise(0.95)
+    face = F.struct(score.alias("score"), area.alias("facial_area"), eyes.alias("landmarks"))
+    known = gray(spark, sf_dir).select(F.concat(F.lit("img/"), "vec_id").alias("path"), F.create_map(F.lit("face_1"), face).alias("detections"))
+    done = faces.crop_faces(images(spark, sf_dir).join(known, "path"), size=4)
+    return rounded(done.select("path", "success", "failure_reason", "angle", F.sha2("data", 256).alias("sha256")))
+
+
+QUERIES = {"point_kernels": point_kernels, "augmented_images": augmented, "morphed_images": morphed, "scored_embeddings": scored, "model_inputs": inputs, "face_pixels": face_pixels}
 
 ORACLES = {
     "point_kernels": f"""WITH {GRAY}, m AS (SELECT *, list_avg(p) AS mean, round_even(list_avg(p), 0) AS whole FROM g)
@@ -73,4 +91,6 @@ ORACLES = {
     array_to_string([least(round_even(abs(1.3::DOUBLE * x + whole * (1 - 1.3::DOUBLE)), 0), 255)::INT for x in p], ' ') AS contrasted_rounded,
     array_to_string([floor(pow(x / 255.0::DOUBLE, 1.5::DOUBLE) * 255)::INT for x in p], ' ') AS gamma,
     array_to_string([p[(i // 4) * 16 + (i % 4) * 2 + 1] for i in range(16)], ' ') AS resized FROM m""",
+    "model_inputs": f"""WITH {GRAY}
+  SELECT concat('img/', vec_id) AS path, concat_ws(' ', {", ".join(f"array_to_string([format('{{:.3f}}', ((x / 255.0::DOUBLE - {m}::DOUBLE) / {d}::DOUBLE)::FLOAT::DOUBLE + 10) for x in p], ' ')" for m, d in zip(faces.CHANNEL_MEAN, faces.CHANNEL_DEVIATION, strict=True))}) AS values FROM g""",
 }

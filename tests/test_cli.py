@@ -3,6 +3,7 @@ import json
 import numpy as np
 
 from loomwork import cli
+from loomwork.operators import faces, model
 
 
 def test_split(spark, tmp_path, capsys):
@@ -46,3 +47,40 @@ def test_augment_and_evaluate(spark, tmp_path):
     spark.createDataFrame(rows, "index long, true_label int, score double").write.parquet(str(tmp_path / "p"))
     assert cli.main(["evaluate", "--input", str(tmp_path / "p"), "--output", str(tmp_path / "e")], spark) == cli.DONE
     assert spark.read.json(str(tmp_path / "e/metrics")).first()["roc_auc"] == 0.75
+    assert spark.read.json(str(tmp_path / "e/errors")).first()["errors"] == 2
+    assert spark.read.option("header", True).csv(str(tmp_path / "e/misclassified")).count() == 2
+
+
+def test_align_morph_and_predict(spark, tmp_path):
+    data = np.full(8 * 8 * 3, 90, np.uint8).tobytes()
+    marks = {"left_eye": [5.0, 2.0], "right_eye": [2.0, 2.0]}
+    schema = "path string, height int, width int, data binary, detections map<string,struct<score:double,facial_area:array<int>,landmarks:map<string,array<double>>>>"
+    rows = [("a", 8, 8, data, {"f": (0.99, [1, 1, 6, 6], marks)}), ("b", 8, 8, data, {}), ("c", 8, 8, b"x", {"f": (0.99, [1, 1, 6, 6], marks)}), ("d", 8, 8, data, None)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "i"))
+    command = ["align", "--input", str(tmp_path / "i"), "--output", str(tmp_path / "o"), "--size", "4"]
+    assert cli.main(command, spark) == cli.DONE
+    got = {r["path"]: r for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    assert got["a"]["success"] and set(got["a"]["data"]) == {90} and len(got["a"]["data"]) == 48
+    assert got["b"]["failure_reason"] == got["d"]["failure_reason"] == "No faces detected" and got["c"]["failure_reason"] == "unreadable image"
+    assert cli.main(command, spark) == cli.DONE
+    assert spark.read.parquet(str(tmp_path / "o")).where("path = 'a'").count() == 1
+    points = [(2.0, 2.0), (5.0, 2.0), (3.0, 5.0)]
+    pair = "name string, height int, width int, data_a binary, data_b binary, points_a array<struct<x:double,y:double>>, points_b array<struct<x:double,y:double>>"
+    spark.createDataFrame([("m", 8, 8, data, data, points, points)], pair).write.parquet(str(tmp_path / "p"))
+    assert cli.main(["morph", "--input", str(tmp_path / "p"), "--output", str(tmp_path / "m")], spark) == cli.DONE
+    assert set(spark.read.parquet(str(tmp_path / "m")).first()["data"]) == {90}
+    assert cli.main(["morph", "--input", str(tmp_path / "p"), "--output", "x", "--alpha", "2"], spark) == cli.BAD_ARGUMENTS
+    known = spark.createDataFrame([(k, [float(k % 2), 1.0], k % 2) for k in range(20)], "vec_id long, embedding array<double>, label int")
+    known.write.parquet(str(tmp_path / "v"))
+    model.save(model.train(known), str(tmp_path / "model"))
+    assert cli.main(["predict", "--input", str(tmp_path / "v"), "--model", str(tmp_path / "model"), "--output", str(tmp_path / "s")], spark) == cli.DONE
+    scored = spark.read.option("header", True).csv(str(tmp_path / "s"))
+    assert scored.where("predicted_label <> vec_id % 2").count() == 0 and scored.count() == 20
+    assert cli.main(["predict", "--input", str(tmp_path / "none"), "--model", str(tmp_path / "model"), "--output", "x"], spark) == cli.NO_PATH
+
+
+def test_model_inputs(spark):
+    data = bytes([255, 0, 0] * 4)
+    got = {r[0]: r[1] for r in faces.model_inputs(spark.createDataFrame([("a", 2, 2, data), ("b", 2, 2, None), ("c", 3, 3, data)], "path string, height int, width int, data binary"), size=2).collect()}
+    assert got["b"] is None and got["c"] is None
+    assert np.allclose(np.array(got["a"]).reshape(3, 4)[:, 0], [(1 - 0.485) / 0.229, -0.456 / 0.224, -0.406 / 0.225])
