@@ -1,4 +1,4 @@
-"""Near-duplicate groups at a similarity: SimHash candidates by covering masks in parts, checked by wide fingerprints."""
+"""Near-duplicate groups at a Jaccard similarity of word shingles: candidates by shared prefix shingles, each verified exactly."""
 
 from __future__ import annotations
 
@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from loomwork.llm.simhash import _signed, covering_masks, hashed_shingles
+from loomwork.llm.simhash import covering_masks, hashed_shingles
 from loomwork.operators.graph import connected_components
 from loomwork.session import materialise
 
-#: Microseconds for a row that is shuffled and for a pair that is compared; only their ratio matters.
-ROW_COST, PAIR_COST = 1.0, 0.002
+#: Bits of a set's parity sketch, and the partners of each member that are tried first in groups larger than that.
+SKETCH_BITS, NEAREST = 1024, 8
+#: Documents whose shingles tell the frequent ones, the texts that make one frequent, and keys that are broadcast at most.
+SAMPLE_DOCS, FREQUENT, BROADCAST_ROWS = 5_000, 10, 200_000
 
 
 def part_masks(radius: int, parts: int) -> list[int]:
@@ -23,52 +26,168 @@ def part_masks(radius: int, parts: int) -> list[int]:
     return [m for a, b in zip(edges, edges[1:], strict=False) for m in covering_masks(list(range(a, b)), radius // parts)]
 
 
-def cheapest_masks(radius: int, values: int) -> list[int]:
-    """The family of the least expected cost: few parts make many tables of long keys, many parts few of short ones."""
-    families = [part_masks(radius, p) for p in (2, 3, 4, 5)]
-    return min(families, key=lambda f: sum(ROW_COST + PAIR_COST * values / 2 ** m.bit_count() for m in f))
-
-
-def wide_fingerprints(text: str | None, shingle: int, seed: int, words: int = 4) -> list[int]:
-    """`words` fingerprints of 64 bits over the same shingles; all but the first mix the hashes anew."""
-    hashes = hashed_shingles(text, shingle, seed)
-    out = []
-    for k in range(words):
-        ones, x = np.zeros(64, dtype=np.int64), hashes
-        if k:
-            x = x + np.uint64(0x9E3779B97F4A7C15 * k & (2**64 - 1))
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x = x ^ (x >> np.uint64(31))
-        for at in range(0, len(x), 1 << 16):
-            bits = np.unpackbits(x[at : at + (1 << 16), None].view(np.uint8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(x), bitorder="little").view(np.uint64)[0]) if len(x) else 0)
-    return out
-
-
-def wide_limit(similarity: float, bits: int = 256) -> int:
-    """Differing bits of `bits` up to which sets count as similar: the expected number at that Jaccard similarity
-    plus one standard deviation, so that five in six pairs just at the threshold pass."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * share + np.sqrt(bits * share * (1 - share)))
-
-
-def group_links(nodes: np.ndarray, marks: np.ndarray, radius: int, limit: int) -> list[tuple[int, int]]:
-    """A forest that connects the group's nodes just as all its similar pairs do. marks: nodes x words."""
-    label, out = np.arange(len(nodes)), []
-    for at in range(0, len(nodes), 256):
-        near = np.bitwise_count(marks[at : at + 256, None, 0] ^ marks[None, :, 0]) <= radius
-        for i in np.flatnonzero(near.sum(axis=1) > 1):
-            others = np.flatnonzero(near[i] & (label != label[at + i]))
-            if len(others):
-                apart = np.bitwise_count(marks[at + i] ^ marks[others]).sum(axis=1)
-                others = others[apart <= limit]
-                _, first = np.unique(label[others], return_index=True)
-                for j in others[first]:
-                    out.append((int(nodes[at + i]), int(nodes[j])))
-                    label[label == label[j]] = label[at + i]
-    return out
+def shingle_set(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """Distinct shingle hashes, ascending."""
+    return np.unique(hashed_shingles(text, shingle, seed))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """64-bit key of a set, as a signed long."""
+    key = xxhash.xxh64_intdigest(hashes.tobytes())
+    return key - (1 << 64) if key >> 63 else key
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in one order of all: sets of that similarity share at least one of them.
+
+    Such sets have at least similarity * n of either's n shingles in common, so these can't all be behind the first
+    n - ceil(similarity * n) + 1. The order, frequent shingles last, only keeps groups small.
+    """
+    late = np.isin(hashes, frequent)
+    ordered = np.concatenate([hashes[~late], hashes[late]])
+    return ordered[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1] if len(hashes) else ordered
+
+
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles in SKETCH_BITS classes: two sketches differ in at most as many bits as the sets in shingles."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets have at least that Jaccard similarity."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+def candidates(nodes: np.ndarray, sizes: np.ndarray, marks: np.ndarray, labels: np.ndarray, similarity: float, nearest: int | None) -> np.ndarray:
+    """Pairs (a < b) of nodes that sizes and sketches allow to be similar, of several groups of one size.
+
+    All arrays are groups x members, marks with the sketch's words behind. Both bounds are exact: no similar pair is
+    left out, except that with `nearest` a larger group gives each member's nearest ones only. Pairs of one label are left out.
+    """
+    count = nodes.shape[1]
+    apart = np.zeros((len(nodes), count, count), dtype=np.int32)
+    for w in range(marks.shape[2]):
+        apart += np.bitwise_count(marks[:, :, None, w] ^ marks[:, None, :, w])
+    one, two = sizes[:, :, None].astype(np.float64), sizes[:, None, :].astype(np.float64)
+    may = (np.minimum(one, two) >= similarity * np.maximum(one, two) - 1e-9) & (apart <= (1 - similarity) / (1 + similarity) * (one + two) + 1e-9)
+    may &= (labels[:, :, None] != labels[:, None, :]) & (nodes[:, :, None] != nodes[:, None, :])
+    if nearest is not None and count > nearest + 1:
+        apart[~may] = SKETCH_BITS + 1
+        first = np.argpartition(apart, nearest - 1, axis=2)[:, :, :nearest]
+        chosen = np.zeros_like(may)
+        np.put_along_axis(chosen, first, True, axis=2)
+        may &= chosen
+    g, i, j = np.nonzero(may)
+    pairs = np.stack([nodes[g, i], nodes[g, j]], axis=1)
+    return np.unique(np.sort(pairs, axis=1), axis=0)
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, group_rows: int, seed: int) -> DataFrame:
+    """(doc_id, text_key, group_id) of every row; the steps are told in similar_groups."""
+    words = SKETCH_BITS // 64
+    text = F.col(text_col)
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+    share = min(1.0, SAMPLE_DOCS / max(1, narrow.count()))
+    chosen = narrow.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text").distinct()
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(value.as_py(), shingle, seed).view(np.int64))], ["token"])
+
+    often = chosen.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    frequent = np.array([r["token"] for r in often.select("token").collect()], dtype=np.int64).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, tokens, sketches = [], [], [], []
+            for value in batch.column(2):
+                hashes = shingle_set(value.as_py(), shingle, seed)
+                keys.append(set_key(hashes))
+                sizes.append(len(hashes))
+                tokens.append(prefix(hashes, frequent, similarity).view(np.int64))
+                sketches.append(parity_sketch(hashes).tobytes())
+            columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "node", "size", "tokens", "sketch"])
+
+    rows = materialise(narrow.mapInArrow(run, "doc_id long, text_key long, node long, size int, tokens array<long>, sketch binary"), "shingle-prefixes")
+    classes = materialise(
+        rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("text_key", "size", "tokens", "sketch")]), "classes"
+    )
+    shared = classes.select("node", F.explode("tokens").alias("token")).groupBy("token").agg(F.collect_list("node").alias("nodes"))
+    groups = materialise(shared.where(F.size("nodes") > 1).select("token", F.size("nodes").alias("n"), "nodes"), "token-groups")
+
+    def compared(members: DataFrame, nearest: int | None) -> DataFrame:
+        """Candidate pairs of members(token, n, node, size, sketch, label). A group of more than group_rows is cut
+        into chunks, and each pair of chunks is a group of its own: bounded memory, spread over tasks."""
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flat, lengths = batch.column(0).flatten(), batch.column(0).value_lengths().to_numpy()
+                nodes, sizes, labels = (flat.field(c).to_numpy() for c in ("node", "size", "label"))
+                marks = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), dtype=np.uint64).reshape(-1, words)
+                ends, out = lengths.cumsum(), []
+                for count in np.unique(lengths):
+                    starts = ends[lengths == count] - count
+                    step = max(1, (1 << 18) // int(count * count))
+                    for at in range(0, len(starts), step):
+                        where = starts[at : at + step, None] + np.arange(count)
+                        out.append(candidates(nodes[where], sizes[where], marks[where], labels[where], similarity, nearest))
+                pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        chunks = F.when(F.col("n") > group_rows, F.ceil(F.col("n") / (group_rows // 2))).otherwise(1).cast("int")
+        cells = (
+            members.withColumn("_chunks", chunks)
+            .withColumn("_mine", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int"))
+            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+        )
+        lists = cells.groupBy("token", F.least("_mine", "_other").alias("one"), F.greatest("_mine", "_other").alias("two")).agg(
+            F.collect_list(F.struct("node", "size", "sketch", "label")).alias("members")
+        )
+        return lists.where(F.size("members") > 1).select("members").mapInArrow(compare, "a long, b long").distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(x.as_py(), shingle, seed) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["node", "hashes"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = zip(batch.column(2), batch.column(3), strict=True)
+            good = pa.array([similar(*(np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in pair), similarity) for pair in each], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that are similar by their whole sets, which are made anew for the texts of pairs alone."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        needed = materialise(ends.join(classes.select("node", "text_key"), "node").select("text_key").distinct(), f"{name}-texts")
+        keys = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+        texts = narrow.join(keys, "text_key", "left_semi").select("text")
+        whole = materialise(texts.mapInArrow(sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")), f"{name}-sets")
+        left, right = (whole.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in ("a", "b"))
+        both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_hashes", "b_hashes")
+        return materialise(both.mapInArrow(check, "a long, b long"), f"{name}-links")
+
+    def members(kept: DataFrame) -> DataFrame:
+        return kept.select("token", "n", F.explode("nodes").alias("node")).join(classes.select("node", "size", "sketch"), "node")
+
+    tried = materialise(compared(members(groups).withColumn("label", F.col("node")), NEAREST), "near-pairs")
+    links = verified(tried, "near")
+    joined = materialise(connected_components(links).select(F.col("vertex").alias("node"), "component"), "near-components")
+    wide = groups.where(F.col("n") > NEAREST + 1)
+    if not wide.isEmpty():
+        labelled = members(wide).join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        rest = materialise(compared(labelled, None).join(tried, ["a", "b"], "left_anti"), "other-pairs")
+        if not rest.isEmpty():
+            joined = connected_components(links.unionByName(verified(rest, "other"))).select(F.col("vertex").alias("node"), "component")
+    rooted = classes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("group_id"))
+    known = rooted.join(least, "root").select("node", "group_id")
+    return rows.join(known, "node").select("doc_id", "text_key", F.when(F.col("doc_id").isNotNull(), F.col("group_id")).alias("group_id"))
 
 
 def similar_groups(
@@ -77,75 +196,21 @@ def similar_groups(
     text_col: str = "text",
     shingle: int = 5,
     similarity: float = 0.8,
-    radius: int = 15,
     group_rows: int = 2048,
     seed: int = 42,
 ) -> DataFrame:
-    """(doc_id, group_id): documents whose word shingles are similar, closed transitively; group_id is the least id.
+    """(doc_id, group_id): documents whose sets of word shingles are similar, closed transitively; group_id is the least id.
 
-    Each text gets a fingerprint of 64 bits for the search and 256 bits in all for the check. Two texts of
-    Jaccard similarity 0.8 differ in about 10 of the 64 bits. The masks guarantee that pairs that differ in at
-    most `radius` bits meet in a group; there they are compared by all 256 bits. Only distinct fingerprints
-    take part, a group returns a forest of links rather than its pairs, and the family of masks follows from
-    the number of fingerprints. A group of more than group_rows is cut into chunks, and each pair of chunks is
-    a group of its own: all pairs are still compared, in bounded memory and spread over tasks.
+    Exact up to equal 64-bit hashes: texts of equal shingle sets are one class; classes that share a prefix shingle
+    meet in that shingle's group; pairs that sizes and parity sketches can't rule out are verified by their whole
+    sets. Groups beyond NEAREST + 1 members first try each member's nearest ones, then all pairs that the links
+    found so far leave apart, so that a large group of near copies costs few pairs.
 
-    Cases: texts without words have fingerprint 0 and form one group; rows with a null id are groups of their
+    Cases: texts without words have the empty set and form one group; rows with a null id are groups of their
     own with a null group_id; rows of one id are one document; an empty table gives no rows; other columns are
     left out.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = np.array([wide_fingerprints(x.as_py(), shingle, seed) for x in batch.column(1)], dtype=np.uint64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(marks[:, k].view(np.int64)) for k in range(4))], ["doc_id", *words])
-
-    words = [f"w{k}" for k in range(4)]
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = materialise(narrow.mapInArrow(run, "doc_id long, w0 long, w1 long, w2 long, w3 long"), "wide-fingerprints")
-    classes = materialise(marks.groupBy(*words).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "classes")
-    masks = cheapest_masks(radius, classes.count())
-    table = F.explode(F.array(*[F.lit(_signed(m)).cast("long") for m in masks]))
-    dealt = classes.select("node", *words, table.alias("mask")).withColumn("bits", F.col("w0").bitwiseAND(F.col("mask")))
-    crowded = materialise(
-        dealt.groupBy("mask", "bits")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > group_rows)
-        .select("mask", "bits", F.ceil(F.col("n") / (group_rows // 2)).cast("int").alias("chunks")),
-        "crowded-groups",
-    )
-    limit = wide_limit(similarity)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, out = batch.column(0), []
-            rows = lists.flatten()
-            nodes = rows.field("node").to_numpy()
-            mine = np.stack([rows.field(w).to_numpy() for w in words], axis=1).view(np.uint64)
-            ends = np.cumsum(lists.value_lengths().to_numpy())
-            for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
-                out += group_links(nodes[a:b], mine[a:b], radius, limit)
-            pairs = np.array(sorted(set(out)), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    def compared(rows: DataFrame, *keys: str) -> DataFrame:
-        lists = rows.groupBy(*keys).agg(F.collect_list(F.struct("node", *words)).alias("members"))
-        return lists.where(F.size("members") > 1).select("members").mapInArrow(compare, "a long, b long")
-
-    if crowded.isEmpty():
-        links = compared(dealt, "mask", "bits")
-    else:
-        chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-        cells = (
-            dealt.join(crowded, ["mask", "bits"])
-            .withColumn("mine", chunk)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            .select("node", *words, "mask", "bits", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
-        )
-        links = compared(dealt.join(crowded, ["mask", "bits"], "left_anti"), "mask", "bits").unionByName(compared(cells, "mask", "bits", "one", "two"))
-    joined = connected_components(links).select(F.col("vertex").alias("node"), "component")
-    known = classes.join(joined, "node", "left").select(*words, F.coalesce("component", "node").alias("group_id"))
-    return marks.join(known, words, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("group_id")).alias("group_id"))
+    return _classed(docs, id_col, text_col, shingle, similarity, group_rows, seed).select("doc_id", "group_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

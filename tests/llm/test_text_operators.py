@@ -168,6 +168,41 @@ def test_similar_groups(spark, docs, none):
     assert simhash_groups.keep_one(none).count() == 0
 
 
+def test_similar_groups_are_exact(spark):
+    """Groups around the threshold are those of brute force over shingle sets, repeated shingles and short texts included."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.choice((4, 6, 12, 40, 200)))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(max(1, round(len(base) * rng.uniform(0.005, 0.035)))):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    for _ in range(5):
+        base = [word() for _ in range(60)]
+        texts += [" ".join([*base, *["-----"] * 8]), " ".join([*base, *["-----"] * 60])]
+    base = [word() for _ in range(100)]
+    texts += [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in range(0, 100, 4)]
+    sets = [set(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in map(str.split, texts)]
+    want = list(range(len(texts)))
+    near = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            share = common / (len(sets[i]) + len(sets[j]) - common)
+            near += 0.7 < share < 0.9
+            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    assert near > 40 and len(set(want)) > 40
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (2048, 16):
+        assert [g for _, g in sorted(simhash_groups.similar_groups(frame, group_rows=limit).collect())] == want
+
+
 def test_token_counts(docs, rows, none):
     model = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
