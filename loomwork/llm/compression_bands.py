@@ -21,8 +21,9 @@ class Bands:
 
     whole: (from so many bytes, least ratio, greatest ratio), ascending; the last row that a document
     reaches holds. Short texts carry the frame's own bytes and compress little, long ones more, so the
-    band moves up with length. Chunks are consecutive runs of chunk_bytes; a rest is no chunk. A document
-    goes if its own ratio is outside its band, or if more than bad_share of its chunks are outside theirs.
+    band moves up with length. Chunks are consecutive runs of chunk_bytes; the rest behind them is a chunk
+    too, held to the band of whole documents of its length. A document goes if its own ratio is outside its
+    band, or if more than bad_share of its bytes are in chunks outside theirs.
     """
 
     whole: tuple[tuple[int, float, float], ...] = (
@@ -75,17 +76,19 @@ def duplicate_lines(text: str) -> int:
 
 
 def within_bands(data: bytes, bands: Bands, pack: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-    """Ratio of the whole, share of chunks outside their band, verdict."""
+    """Ratio of the whole, share of the bytes in chunks outside their band, verdict."""
     if not data:
         return 0.0, 0.0, True
     ratio = len(data) / len(pack.compress(data))
-    low, high = next((lo, hi) for least, lo, hi in reversed(bands.whole) if len(data) >= least)
+    band = lambda n: next((lo, hi) for least, lo, hi in reversed(bands.whole) if n >= least)
+    low, high = band(len(data))
     size, bad = bands.chunk_bytes, 0
-    chunks = len(data) // size
-    for k in range(chunks):
-        part = size / len(pack.compress(data[k * size : (k + 1) * size]))
-        bad += not bands.chunk[0] <= part <= bands.chunk[1]
-    share = bad / chunks if chunks else 0.0
+    for at in range(0, len(data), size):
+        chunk = data[at : at + size]
+        part = len(chunk) / len(pack.compress(chunk)) if len(chunk) < len(data) else ratio
+        least, most = bands.chunk if len(chunk) == size else band(len(chunk))
+        bad += len(chunk) * (not least <= part <= most)
+    share = bad / len(data)
     return ratio, share, low <= ratio <= high and share <= bands.bad_share
 
 

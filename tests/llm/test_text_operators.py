@@ -1,5 +1,6 @@
 """Text operators against brute force over texts with nulls, empties, repeats, ties and long lines."""
 
+import base64
 import collections
 import random
 import re
@@ -83,6 +84,20 @@ def test_quality_bands():
     assert not compression_bands.within_bands(mixed, bands, pack)[2]
 
 
+def test_quality_bands_judge_the_rest():
+    """What follows the last whole chunk counts by its bytes."""
+    rng = random.Random(8)
+    bands, pack = compression_bands.Bands(), zstandard.ZstdCompressor(level=3)
+    prose = " ".join("".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(3000)).encode()
+    noise = base64.b64encode(rng.randbytes(9000))
+    good, bad = prose[:4096], noise[:3900]
+    assert compression_bands.within_bands(good + prose[4096:8000], bands, pack)[1:] == (0.0, True)
+    ratio, share, kept = compression_bands.within_bands(good + bad, bands, pack)
+    assert 1.4 <= ratio <= 4.0 and share == len(bad) / 7996 and not kept
+    assert compression_bands.within_bands(good + noise[:1000], bands, pack)[1:] == (1000 / 5096, True)
+    assert compression_bands.within_bands(prose[:900], bands, pack)[1:] == (0.0, True)
+
+
 def test_line_dedup(docs, rows, none):
     def norm(line):
         return "".join(c.lower() if c.isascii() else c for c in line.strip(" \t\n\x0b\x0c\r"))
