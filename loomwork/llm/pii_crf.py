@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -298,25 +299,88 @@ def fits(piece: str, kind: int) -> bool:
     return not any(c.isalpha() for c in piece) and (is_card(piece) if kind == 2 else is_phone(piece))
 
 
+def pieces(text: str, graph: Graph, first: int, last: int, kind: int) -> list[tuple[int, int]]:
+    """Tokens first to last cut into pieces (a, b) that fit the kind: the most tokens, then the fewest pieces.
+
+    A plus sign begins a piece. Pieces have at most 19 digits, so only a few ends of each begin are tried.
+    """
+    best: list[tuple[int, int, int | None]] = [(0, 0, None)]  # covered, -pieces, way back
+    for j in range(first, last + 1):
+        found = (best[-1][0], best[-1][1], None)
+        for i in range(j, max(first, j - 18) - 1, -1):
+            piece = text[graph.spans[i][0] : graph.spans[j][1]]
+            if len(digits(piece)) > 19 or "+" in text[graph.spans[i][0] + 1 : graph.spans[j][1]]:
+                break
+            before = best[i - first]
+            if fits(piece, kind) and (before[0] + j - i + 1, before[1] - 1) > found[:2]:
+                found = (before[0] + j - i + 1, before[1] - 1, i)
+        best.append(found)
+    out, j = [], last
+    while j >= first:
+        i = best[j - first + 1][2]
+        if i is not None:
+            out.append((i, j))
+        j = j - 1 if i is None else i - 1
+    return out[::-1]
+
+
+def repeats(piece: str, kind: int) -> bool:
+    """Whether a token that a skip edge joins to a span of the kind could be its repeat: the last seven digits are the edge's key."""
+    return "@" in piece if kind == 0 else not any(c.isalpha() for c in piece) and 7 <= len(digits(piece)) <= 19
+
+
 def added_spans(text: str, graph: Graph, marginals: np.ndarray, base: list[tuple[int, int, int]], sure: float) -> list[tuple[int, int, int]]:
-    """Runs of neighbouring tokens that the field labels alike and surely, that touch no base span and could be
-    of their kind: a card passes its check sum, a phone has 9 to 15 digits, addresses have their form."""
-    out, i, n = [], 0, len(graph)
+    """Tokens that the field labels surely, that touch no base span and could be of their kind.
+
+    Neighbouring card and phone tokens are cut into pieces that pass a card's check sum or have a phone's 9 to 15
+    digits: first inside each line, then, of what is left, across lines. Addresses have their form. A token
+    that skip edges join to a span of its label needs the weaker form of a repeat only.
+    """
+    n = len(graph)
     best, p = marginals.argmax(axis=1), marginals.max(axis=1)
     linked = set(graph.chain[:, 0].tolist())
-    while i < n:
-        j = i
-        while best[i] and j + 1 < n and j in linked and best[j + 1] == best[i] and p[j + 1] >= sure:
-            j += 1
-        if best[i] and p[i] >= sure:
+    covered = np.zeros(n, dtype=np.int64)  # label of the span that a token lies in
+    ends = [e for _, e in graph.spans]
+    for start, end, kind in base:
+        i = bisect_right(ends, start)
+        while i < n and graph.spans[i][0] < end:
+            covered[i] = covered[i] or kind + 1
+            i += 1
+    out: list[tuple[int, int, int]] = []
+
+    def take(a: int, b: int, kind: int) -> None:
+        out.append((graph.spans[a][0], graph.spans[b][1], kind))
+        covered[a : b + 1] = kind + 1
+
+    def runs(lines: bool) -> list[tuple[int, int]]:
+        """Runs of free neighbours of one sure label, inside a line or across lines."""
+        free, found, i = (best > 0) & (p >= sure) & (covered == 0), [], 0
+        while i < n:
+            j = i
+            while free[i] and j + 1 < n and j in linked and free[j + 1] and best[j + 1] == best[i]:
+                if lines and any(c in "\r\n" for c in text[graph.spans[j][1] : graph.spans[j + 1][0]]):
+                    break
+                j += 1
+            if free[i]:
+                found.append((i, j))
+            i = j + 1
+        return found
+
+    for lines in (True, False):
+        for i, j in runs(lines):
             kind = int(best[i]) - 1
-            for a, b in [(i, j)] if kind > 1 else [(k, k) for k in range(i, j + 1)]:
-                start, end = graph.spans[a][0], graph.spans[b][1]
-                piece = text[start:end]
-                if fits(piece, kind) and not any(s < end and start < e for s, e, _ in base):
-                    out.append((start, end, kind))
-        i = j + 1
-    return out
+            if kind > 1:
+                for a, b in pieces(text, graph, i, j, kind):
+                    take(a, b, kind)
+            elif lines:
+                for a in range(i, j + 1):
+                    if fits(text[slice(*graph.spans[a])], kind):
+                        take(a, a, kind)
+    edges = graph.skip.tolist()
+    for a, b in [*edges, *((b, a) for a, b in reversed(edges))]:
+        if covered[a] and not covered[b] and best[b] == covered[a] and p[b] >= sure and repeats(text[slice(*graph.spans[b])], int(best[b]) - 1):
+            take(b, b, int(best[b]) - 1)
+    return sorted(out)
 
 
 def find_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.9) -> DataFrame:

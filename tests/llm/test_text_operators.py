@@ -403,3 +403,18 @@ def test_skip_edges_carry_labels():
     first = weights.infer(graph)[0]
     assert first[2, 4] > first[0, 4]
 
+
+def test_neighbouring_numbers_and_repeats(spark, docs):
+    """Adjacent numbers are spans of their own, also one per line, and the seven digits of a known phone are one."""
+    field = pii_crf.train(docs, made=800)
+    cases = {
+        "212-555-1234 212-555-9876": ["212-555-1234", "212-555-9876"],
+        "ring 212-555-1234\n212-555-9876\n212-555-4477\nnow": ["212-555-1234", "212-555-9876", "212-555-4477"],
+        "reach +1 (826) 555-4081 today, " + "so " * 50 + "again 555-4081": ["+1 (826) 555-4081", "555-4081"],
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for row, (text, want) in zip(sorted(pii_crf.find_spans(frame, field).collect()), cases.items(), strict=True):
+        assert [text[a:b] for a, b, k in zip(row["starts"], row["ends"], row["kinds"], strict=True) if k == 3] == want
+    graph = pii_crf.build_graph("4111111111111111 5500005555555559 now")
+    marginals = np.tile(np.eye(5)[3], (len(graph), 1))
+    assert pii_crf.added_spans("4111111111111111 5500005555555559 now", graph, marginals, [], 0.9) == [(0, 16, 2), (17, 33, 2)]
