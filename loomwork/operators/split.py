@@ -6,11 +6,13 @@ import math
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwork.operators.graph import build_edges, connected_components
+from loomwork.session import materialise
 
 SPLITS = ("train", "val", "test")
 BONA_FIDE, MORPH = "bona_fide", "morph"
@@ -74,30 +76,38 @@ def assign(sizes: DataFrame, ratios: SplitRatios, order: Column, block_rows: int
     """(component, images, split): each component in order goes to the split with the least images per ratio.
 
     The choice is made before the component's own images count; equal levels go to the first of train, val
-    and test; a split of ratio 0 gets nothing. This is a sequence of choices, so components are cut by their
-    order into blocks of at most block_rows, and each block starts afresh and runs in one task: up to
-    block_rows components there is one sequence, beyond it the ratios hold in every block.
+    and test; a split of ratio 0 gets nothing. This is one sequence of choices at every size: components are
+    cut by their order into blocks of about block_rows, and each block is a job of one bounded task that
+    starts from the images that the blocks before it gave to each split.
     """
     shares = [(s, ratios.of(s)) for s in SPLITS if ratios.of(s) > 0]
     keyed = sizes.select("component", "images", order.alias("_order"))
     blocks = max(1, -(-keyed.count() // block_rows))
-    block = F.lit(0) if blocks == 1 else F.pmod(F.xxhash64("_order", "component"), F.lit(blocks)).cast("int")
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, used = None, {}
-        for batch in batches:
-            chosen = []
-            for number, images in zip(batch["_block"], batch["images"], strict=True):
-                if number != current:
-                    current, used = number, dict.fromkeys((s for s, _ in shares), 0)
-                split = min(shares, key=lambda s: used[s[0]] / s[1])[0]
-                used[split] += images
-                chosen.append(split)
-            yield pd.DataFrame({"component": batch["component"], "images": batch["images"], "split": chosen})
-
     kind = dict(sizes.dtypes)["component"]
-    dealt = keyed.withColumn("_block", block).repartition(blocks, "_block").sortWithinPartitions("_block", "_order", "component")
-    return dealt.mapInPandas(fill, f"component {kind}, images long, split string")
+
+    def filled(rows: DataFrame, start: dict[str, int]) -> DataFrame:
+        def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            used = dict(start)
+            for batch in batches:
+                chosen = []
+                for images in batch["images"]:
+                    split = min(shares, key=lambda s: used[s[0]] / s[1])[0]
+                    used[split] += images
+                    chosen.append(split)
+                yield pd.DataFrame({"component": batch["component"], "images": batch["images"], "split": chosen})
+
+        return rows.repartition(1).sortWithinPartitions("_order", "component").mapInPandas(fill, f"component {kind}, images long, split string")
+
+    used = dict.fromkeys((s for s, _ in shares), 0)
+    if blocks == 1:
+        return filled(keyed, used)
+    ranged = materialise(keyed.repartitionByRange(blocks, "_order", "component").withColumn("_block", F.spark_partition_id()), "split-blocks")
+    done = []
+    for row in ranged.select("_block").distinct().orderBy("_block").collect():
+        done.append(materialise(filled(ranged.where(F.col("_block") == row["_block"]), used), "split-block"))
+        for r in done[-1].groupBy("split").agg(F.sum("images").alias("images")).collect():
+            used[r["split"]] += r["images"]
+    return reduce(DataFrame.unionByName, done)
 
 
 def split_dataset(bona_fide: DataFrame, morphs: DataFrame, ratios: SplitRatios = SplitRatios(), seed: int | None = None) -> tuple[DataFrame, DataFrame]:

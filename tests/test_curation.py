@@ -79,6 +79,17 @@ def test_ratios_hold_in_blocks(spark):
         assert abs(share["train"] - 0.7) < 0.05 and abs(share["val"] - 0.2) < 0.05 and abs(share["test"] - 0.1) < 0.05
 
 
+def test_blocks_are_one_sequence(spark):
+    rng = random.Random(3)
+    sizes = [(f"c{i:04d}", rng.randint(1, 9)) for i in range(700)] + [("c0300x", 1500)]
+    ratios = split.SplitRatios()
+    frame = spark.createDataFrame(sizes, "component string, images long")
+    want = greedy(sorted(sizes), ratios)
+    for rows in (50_000, 100):
+        got = split.assign(frame, ratios, split.seeded_order(F.col("component"), None), rows)
+        assert {r["component"]: r["split"] for r in got.collect()} == want
+
+
 def test_ratio_checks():
     with pytest.raises(ValueError, match="negative"):
         split.SplitRatios(1.2, -0.1, -0.1)
