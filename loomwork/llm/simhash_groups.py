@@ -13,8 +13,9 @@ from loomwork.llm.simhash import covering_masks, hashed_shingles
 from loomwork.operators.graph import connected_components
 from loomwork.session import materialise
 
-#: Bits of a set's parity sketch, and the partners of each member that are tried first in groups larger than that.
-SKETCH_BITS, NEAREST = 1024, 8
+#: Bits of a set's parity sketch, of a second one for sets of over LARGE shingles, and the partners of each member
+#: that are tried first in groups larger than that.
+SKETCH_BITS, WIDE_BITS, LARGE, NEAREST = 1024, 16_384, 1_000, 4
 #: Documents whose shingles tell the frequent ones, the texts that make one frequent, and keys that are broadcast at most.
 SAMPLE_DOCS, FREQUENT, BROADCAST_ROWS = 5_000, 10, 200_000
 
@@ -48,9 +49,9 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, similarity: float) -> np.nd
     return ordered[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1] if len(hashes) else ordered
 
 
-def parity_sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of shingles in SKETCH_BITS classes: two sketches differ in at most as many bits as the sets in shingles."""
-    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+def parity_sketch(hashes: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Parities of the numbers of shingles in so many classes: two sketches differ in at most as many bits as the sets in shingles."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
@@ -103,19 +104,20 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, tokens, sketches = [], [], [], []
+            keys, sizes, tokens, sketches, wide = [], [], [], [], []
             for value in batch.column(2):
                 hashes = shingle_set(value.as_py(), shingle, seed)
                 keys.append(set_key(hashes))
                 sizes.append(len(hashes))
                 tokens.append(prefix(hashes, frequent, similarity).view(np.int64))
                 sketches.append(parity_sketch(hashes).tobytes())
-            columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "node", "size", "tokens", "sketch"])
+                wide.append(parity_sketch(hashes, WIDE_BITS).tobytes() if len(hashes) > LARGE else None)
+            columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "node", "size", "tokens", "sketch", "wide"])
 
-    rows = materialise(narrow.mapInArrow(run, "doc_id long, text_key long, node long, size int, tokens array<long>, sketch binary"), "shingle-prefixes")
+    rows = materialise(narrow.mapInArrow(run, "doc_id long, text_key long, node long, size int, tokens array<long>, sketch binary, wide binary"), "shingle-prefixes")
     classes = materialise(
-        rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("text_key", "size", "tokens", "sketch")]), "classes"
+        rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("text_key", "size", "tokens", "sketch", "wide")]), "classes"
     )
     shared = classes.select("node", F.explode("tokens").alias("token")).groupBy("token").agg(F.collect_list("node").alias("nodes"))
     groups = materialise(shared.where(F.size("nodes") > 1).select("token", F.size("nodes").alias("n"), "nodes"), "token-groups")
@@ -150,6 +152,23 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
         )
         return lists.where(F.size("members") > 1).select("members").mapInArrow(compare, "a long, b long").distinct()
 
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for n, m, one, two in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
+                limit = (1 - similarity) / (1 + similarity) * (n.as_py() + m.as_py()) + 1e-9
+                one, two = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (one, two))
+                good.append(int(np.bitwise_count(one ^ two).sum()) <= limit)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    def pruned(pairs: DataFrame) -> DataFrame:
+        """The pairs that the second sketches allow too, where both sets have one."""
+        marks = classes.where("wide IS NOT NULL").select("node", "size", "wide")
+        one, two = (marks.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("wide").alias(f"{c}_wide")) for c in ("a", "b"))
+        large = materialise(pairs.join(two, "b").join(one.select("a", "a_size", "a_wide"), "a").select("a", "b", "a_size", "b_size", "a_wide", "b_wide"), "large-pairs")
+        small = pairs.join(large.select("a", "b"), ["a", "b"], "left_anti")
+        return materialise(small.unionByName(large.mapInArrow(prune, "a long, b long")), "pruned-pairs")
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(x.as_py(), shingle, seed) for x in batch.column(0)]
@@ -163,6 +182,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that are similar by their whole sets, which are made anew for the texts of pairs alone."""
+        pairs = pruned(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         needed = materialise(ends.join(classes.select("node", "text_key"), "node").select("text_key").distinct(), f"{name}-texts")
         keys = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
