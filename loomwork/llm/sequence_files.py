@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import functools
 import os
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -19,72 +18,108 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from loomwork.session import materialise, scratch_path
 
 
-def _filesystem(url: str) -> tuple[pafs.FileSystem, str]:
+def filesystem(url: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(url if "://" in url or url.startswith("file:") else f"file://{os.path.abspath(url)}")
 
 
-#: Punctuation that ends words and never joins the letters before it into one pre-token.
-TAIL = ".,;:!?|%$#&*"
+#: Letters below U+0130, where a letter's lower case and its composed form are one letter, then punctuation that
+#: never joins the letters before it into one pre-token.
+PLAIN = "^(?P<core>[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)(?P<tail>[.,:;!?|%$#&*]*)$"
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs pool[start : start + length] one after another."""
+    ends = np.cumsum(lengths)
+    if not len(ends) or not ends[-1]:
+        return pool[:0]
+    return pool[np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)]
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian bytes, by a tokenizers file that lower-cases, drops white space and
+    """Ids of whole texts, by a tokenizers file that lower-cases, drops white space, marks each pre-token's last id and
     cuts letters from other characters before anything joins across such a border.
 
     So each run between spaces or newlines has its ids alone, and so have a run's letters and the punctuation
-    after them. Both are encoded once and remembered, up to given numbers of each, after which that memory
-    starts anew. The result is the same either way.
+    after them. The runs of many texts are split, made distinct and cut by Arrow's own functions; the library
+    encodes each part once, and a process remembers up to `remembered` parts, after which that memory starts
+    anew. The result is the same either way.
     """
 
-    def __init__(self, path: str, dtype: str, remembered: int = 400_000, remembered_letters: int = 1_200_000):
+    def __init__(self, path: str, dtype: str, remembered: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype).newbyteorder("<")
-        if self.tokenizer.get_vocab_size() - 1 > np.iinfo(self.dtype).max:
-            raise ValueError(f"{self.tokenizer.get_vocab_size()} ids do not fit {dtype}")
-        self.remembered, self.remembered_letters = remembered, remembered_letters
-        self.known: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-
-    @staticmethod
-    def parts(word: str) -> tuple[str, str]:
-        """(lower-case letters, punctuation), or (word, '') if it isn't Latin letters and punctuation alone.
-
-        Below U+0130 a letter's lower case and its composed form are one letter; further up they can be a letter
-        and a mark, which joins the punctuation after it.
-        """
-        core = word.rstrip(TAIL)
-        if core.isalpha() and max(core) < "\u0130":
-            return core.lower(), word[len(core) :]
-        return word, ""
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words that aren't known."""
-        cut = [self.parts(w) for w in words]
-        fresh = list({p for pair in cut for p in pair if p and p not in self.letters})
-        if len(self.letters) + len(fresh) > self.remembered_letters:
-            self.letters = {}
-            fresh = list({p for pair in cut for p in pair if p})
-        kind = self.dtype.char
-        for part, made in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            ids = array(kind, made.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            self.letters[part] = ids.tobytes()
-        self.letters[""] = b""
-        for word, (core, tail) in zip(words, cut, strict=True):
-            self.known[word] = self.letters[core] + self.letters[tail]
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        distinct = set(words)
-        fresh = [w for w in distinct if w not in self.known]
+        names = self.tokenizer.get_vocab()
+        if max(names.values()) > np.iinfo(self.dtype).max:
+            raise ValueError(f"{max(names.values())} does not fit {dtype}")
+        self.closes = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.closes[[k for name, k in names.items() if name.endswith("</w>")]] = True
+        self.remembered = remembered
+        self.forget()
+
+    def forget(self) -> None:
+        """Slot k of the memory holds pool[starts[k] : starts[k] + lengths[k]]; letters and other parts have slots of their own."""
+        self.letters: dict[str, int] = {}
+        self.others: dict[str, int] = {}
+        self.pools: list[np.ndarray] = []
+        self.held, self.slots = 0, 0
+        self.starts, self.lengths = [], []
+
+    def _remember(self, known: dict[str, int], fresh: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        known.update(zip(fresh, range(self.slots, self.slots + len(fresh)), strict=True))
+        self.pools.append(ids.astype(self.dtype))
+        self.starts.append(self.held + np.cumsum(lengths) - lengths)
+        self.lengths.append(lengths)
+        self.held, self.slots = self.held + len(ids), self.slots + len(fresh)
+
+    def _learn_letters(self, fresh: list[str]) -> None:
+        """Lower-case letters, many in one text with spaces between: each is one pre-token and ends at a closing id."""
+        for at in range(0, len(fresh), 2_000):
+            some = fresh[at : at + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                raise ValueError("this tokenizer does not close pre-tokens")
+            self._remember(self.letters, some, ids, np.diff(ends, prepend=0))
+
+    def _learn_others(self, fresh: list[str]) -> None:
+        made = [x.ids for x in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        self._remember(self.others, fresh, np.array([i for ids in made for i in ids], dtype=np.int64), np.array([len(ids) for ids in made], dtype=np.int64))
+
+    def _slots(self, known: dict[str, int], learn, parts: list[str]) -> np.ndarray:
+        fresh = [p for p in parts if p not in known]
         if fresh:
-            if len(self.known) + len(fresh) > self.remembered:
-                self.known, fresh = {}, list(distinct)
-            self._learn(fresh)
-        return b"".join(map(self.known.__getitem__, words))
+            learn(fresh)
+        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each text has; null is empty."""
+        lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        if self.slots + 2 * len(words) > self.remembered:
+            self.forget()
+        cut = pc.extract_regex(words, PLAIN)
+        plain = cut.is_valid().to_numpy(zero_copy_only=False)
+        core = pc.utf8_lower(pc.struct_field(cut.drop_null(), "core")).dictionary_encode()
+        tail = pc.struct_field(cut.drop_null(), "tail").dictionary_encode()
+        mixed = words.filter(pa.array(~plain)).to_pylist()
+        # A word is two parts, the second of which is empty unless letters have punctuation after them.
+        pair = np.zeros((len(words), 2), dtype=np.int64)
+        empty = self._slots(self.others, self._learn_others, [""])[0]
+        pair[plain, 0] = self._slots(self.letters, self._learn_letters, core.dictionary.to_pylist())[core.indices.to_numpy()]
+        pair[plain, 1] = self._slots(self.others, self._learn_others, tail.dictionary.to_pylist())[tail.indices.to_numpy()]
+        pair[~plain, 0] = self._slots(self.others, self._learn_others, mixed)
+        pair[~plain, 1] = empty
+        self.pools, self.starts, self.lengths = ([np.concatenate(x)] for x in (self.pools, self.starts, self.lengths))
+        starts, lengths = self.starts[0], self.lengths[0]
+        spelt = gathered(self.pools[0], starts[pair.ravel()], lengths[pair.ravel()])
+        each = lengths[pair].sum(axis=1)
+        at = coded.indices.to_numpy()
+        used = each[at]
+        ends = np.concatenate([[0], np.cumsum(used)])[lists.value_lengths().to_numpy().cumsum()]
+        return gathered(spelt, (np.cumsum(each) - each)[at], used), np.diff(ends, prepend=0)
 
 
 @functools.lru_cache(maxsize=2)
@@ -93,70 +128,79 @@ def encoder(path: str, dtype: str) -> WordEncoder:
     return WordEncoder(path, dtype)
 
 
+def text_slices(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `most` bytes of text; a longer text is a run by itself."""
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 class ShardWriter:
-    """One Arrow file. Each row is a sequence of `length` ids, a mask of the same length (false is padding),
-    and the documents that begin in it: their ids and the places of their first tokens.
+    """One Arrow file. Each row is a sequence of `length` ids, a mask of one bit per id (0 is padding; eight to a
+    byte, the first id's lowest), and the documents that begin in it: their ids and the places of their first tokens.
 
-    Lists are of fixed size and nothing is compressed, so sequence k lies at a known place of a
-    memory-mapped file. Only a file's last sequence is padded. The file appears under its name when whole.
+    Lists are of fixed size, nothing is compressed and every batch but the last holds batch_rows sequences, so
+    sequence k lies at a known place of a memory-mapped file. Only a file's last sequence is padded. The file
+    appears under its name when whole.
     """
 
     def __init__(self, url: str, length: int, dtype: str, batch_rows: int = 512):
         self.length, self.dtype, self.batch_rows = length, np.dtype(dtype).newbyteorder("<"), batch_rows
-        self.fs, self.path = _filesystem(url)
+        self.fs, self.path = filesystem(url)
         self.part = f"{self.path}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.part"
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
         kind = pa.from_numpy_dtype(np.dtype(dtype))
         self.schema = pa.schema(
             [
                 ("input_ids", pa.list_(kind, length)),
-                ("mask", pa.list_(pa.bool_(), length)),
+                ("mask", pa.list_(pa.uint8(), -(-length // 8))),
                 ("doc_ids", pa.list_(pa.int64())),
                 ("doc_starts", pa.list_(pa.int32())),
-            ]
+            ],
+            metadata={"batch_rows": str(batch_rows)},
         )
         self.out = self.fs.open_output_stream(self.part)
         self.file = pa.ipc.new_file(self.out, self.schema)
-        self.pending, self.begun, self.tokens = [], [], 0
-        self.held = self.done = 0  # tokens in pending, tokens in the file
-
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.begun.append((self.tokens, doc_id))
-        self.pending.append(ids)
-        count = len(ids) // self.dtype.itemsize
-        self.tokens, self.held = self.tokens + count, self.held + count
-        if self.held >= self.batch_rows * self.length:
-            self._flush(self.held // self.length)
+        self.pending = np.zeros(0, dtype=self.dtype)
+        self.docs, self.begun = pa.array([], pa.int64()), np.zeros(0, dtype=np.int64)
+        self.tokens = self.done = 0  # ids seen, ids in the file
+
+    def add(self, docs: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Documents in file order: their ids, their tokens one after another and how many each has, one at least."""
+        self.docs = pa.concat_arrays([self.docs, docs.cast(pa.int64())])
+        self.begun = np.concatenate([self.begun, self.tokens + np.cumsum(counts) - counts])
+        self.pending = np.concatenate([self.pending, ids.astype(self.dtype)])
+        self.tokens += len(ids)
+        while len(self.pending) >= self.batch_rows * self.length:
+            self._flush(self.batch_rows)
 
     def _flush(self, rows: int) -> None:
-        flat = np.frombuffer(b"".join(self.pending), dtype=self.dtype)
         wanted = rows * self.length
-        taken, rest = flat[:wanted], flat[wanted:]
-        mask = np.ones(wanted, dtype=bool)
-        if len(taken) < wanted:
-            mask[len(taken) :] = False
-            taken = np.concatenate([taken, np.zeros(wanted - len(taken), dtype=self.dtype)])
-        edge = self.done + wanted
-        now = [x for x in self.begun if x[0] < edge]
-        self.begun = self.begun[len(now) :]
-        at = np.array([p - self.done for p, _ in now], dtype=np.int64)
+        taken, self.pending = self.pending[:wanted], self.pending[wanted:]
+        mask = np.packbits((np.arange(wanted) < len(taken)).reshape(rows, self.length), axis=1, bitorder="little").ravel()
+        taken = np.concatenate([taken, np.zeros(wanted - len(taken), dtype=self.dtype)])
+        now = int(np.searchsorted(self.begun, self.done + wanted))
+        at, docs = self.begun[:now] - self.done, self.docs.slice(0, now)
+        self.begun, self.docs, self.done = self.begun[now:], self.docs.slice(now), self.done + wanted
         offsets = pa.array(np.searchsorted(at, np.arange(rows + 1) * self.length), pa.int32())
         self.file.write_batch(
             pa.RecordBatch.from_arrays(
                 [
                     pa.FixedSizeListArray.from_arrays(pa.array(taken), self.length),
-                    pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length),
-                    pa.ListArray.from_arrays(offsets, pa.array([d for _, d in now], pa.int64())),
+                    pa.FixedSizeListArray.from_arrays(pa.array(mask), -(-self.length // 8)),
+                    pa.ListArray.from_arrays(offsets, pa.concat_arrays([docs])),
                     pa.ListArray.from_arrays(offsets, pa.array(at % self.length, pa.int32())),
                 ],
                 schema=self.schema,
             )
         )
-        self.pending, self.held, self.done = [rest.tobytes()], len(rest), edge
 
     def close(self) -> None:
-        if self.held:
-            self._flush(-(-self.held // self.length))
+        if len(self.pending):
+            self._flush(-(-len(self.pending) // self.length))
         self.file.close()
         self.out.close()
         if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:
@@ -165,33 +209,37 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Random access to a shard's sequences; local files are memory-mapped and nothing is copied."""
+    """Random access to a shard's sequences; local files are memory-mapped, and ids and masks are views of them."""
 
     def __init__(self, url: str):
-        self.fs, self.path = _filesystem(url)
+        self.fs, self.path = filesystem(url)
         local = isinstance(self.fs, pafs.LocalFileSystem)
         self.file = pa.ipc.open_file(pa.memory_map(self.path) if local else self.fs.open_input_file(self.path))
         self.length = self.file.schema.field("input_ids").type.list_size
+        self.batch_rows = int(self.file.schema.metadata[b"batch_rows"])
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         for k in range(self.file.num_record_batches):
             yield self.file.get_batch(k)
 
-    def sequence(self, k: int, batch_rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence k; all batches but the last hold batch_rows or more, so it is found by stepping."""
-        for batch in self.batches():
-            if k < batch.num_rows:
-                ids = batch.column(0).flatten().to_numpy(zero_copy_only=True)[k * self.length : (k + 1) * self.length]
-                return ids, batch.column(1)[k].values.to_numpy(zero_copy_only=False)
-            k -= batch.num_rows
-        raise IndexError(k)
+    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and packed mask of sequence k, found by its number alone."""
+        number, row = divmod(k, self.batch_rows)
+        if k < 0 or number >= self.file.num_record_batches or row >= (batch := self.file.get_batch(number)).num_rows:
+            raise IndexError(k)
+        ids, mask = (batch.column(c).flatten().to_numpy(zero_copy_only=True).reshape(batch.num_rows, -1)[row] for c in (0, 1))
+        return ids, mask
+
+    def real(self, mask: np.ndarray) -> np.ndarray:
+        """A packed mask as booleans, one per id."""
+        return np.unpackbits(mask, count=self.length, bitorder="little").astype(bool)
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """(doc_id, ids) in file order; a document that runs over a batch's end is put together."""
         doc, parts, begun = None, [], False
         for batch in self.batches():
-            mask = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            flat = batch.column(0).flatten().to_numpy()[: int(mask.sum())]
+            mask = batch.column(1).flatten().to_numpy(zero_copy_only=True)
+            flat = batch.column(0).flatten().to_numpy()[: int(np.bitwise_count(mask).sum(dtype=np.int64))]
             rows = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
             starts = batch.column(3).flatten().to_numpy() + rows * self.length
             at = 0
@@ -234,12 +282,12 @@ def write_sequences(
         shard = TaskContext.get().partitionId()
         path = f"{out_dir}/shard-{shard:06d}.arrow"
         for batch in batches:
-            for ident, text in zip(batch.column(0), batch.column(1), strict=True):
+            for some in text_slices(batch, 1):
                 if writer is None:
                     encode, writer = encoder(tokenizer, dtype), ShardWriter(path, length, dtype)
-                    end = np.array([end_id], dtype=writer.dtype).tobytes()
-                writer.add(ident.as_py(), encode(text.as_py() or "") + end)
-                count += 1
+                ids, counts = encode(some.column(1))
+                writer.add(some.column(0), np.insert(ids, np.cumsum(counts), end_id), counts + 1)
+                count += some.num_rows
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [count], "n_tokens": [writer.tokens]})
