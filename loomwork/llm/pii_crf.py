@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomwork.llm.pii_spans import KINDS, base_spans, digits, is_card, is_phone, luhn
 
-LABELS = 1 + len(KINDS)  # 0 is outside
+#: Kinds of spans; the last is the field's alone: passwords, keys and access tokens.
+SPAN_KINDS = (*KINDS, "secret")
+SECRET = len(KINDS)
+LABELS = 1 + len(SPAN_KINDS)  # 0 is outside
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _MARK = re.compile(r"[0-9@]")
 _SHAPES = [
@@ -31,8 +34,18 @@ _SHAPES = [
         r"[0-9]+[.,:/][0-9]+",
         r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
         r"00[0-9]{2,3}",
+        r"[0-9a-f]{20,}|[0-9A-F]{20,}",
+        r"[A-Z0-9]{16,}",
+        r"(?:[A-Za-z_-]+[=:])?(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_=-]{12,}",
+        r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
     )
 ]
+_TRIM = ".,;:!?\"'[]<>|{}#$%&*~`"
+#: Words that announce a secret, and ones that announce a long number or digest that is none.
+_ANNOUNCES = re.compile(r"(?i)token|secret|passw|pwd|credential|bearer|(?:^|[_-]|api)key(?:$|[=:])")
+_DIGEST = re.compile(r"(?i)^\W*(?:commit|sha|md5|hash|checksum|digest|etag|uuid|rev|build|serial|order|part|isbn)")
+_ASSIGNED = re.compile(r"[A-Za-z_-]*[=:]+")
+_VALUE = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_=.!@#$%^&*~-]{8,}")
 _STEPS = (1, 2, 3, 4, 5, 7, 9, 10, 11, 12, 16, 17, 20)
 
 
@@ -41,7 +54,7 @@ def _bin(n: int) -> int:
 
 
 BINS = len(_STEPS) + 1
-WIDTH = 1 + 4 + 3 * len(_SHAPES) + 2 * BINS + 4
+WIDTH = 1 + 4 + 3 * len(_SHAPES) + 2 * BINS + 4 + 4
 
 
 @dataclass
@@ -63,14 +76,18 @@ def build_graph(text: str) -> Graph:
     Skip edges join each token to the next one of the same key, so that m equal tokens cost m - 1 edges.
     The key is the last seven digits where there are so many, else the bare lower-case token.
     """
-    spans, words = [], []
+    spans, words, context = [], [], []
+    before = ("", "")
     for k, m in enumerate(_TOKEN.finditer(text)):
-        if _MARK.search(m.group()):
-            lead = len(m.group()) - len(m.group().lstrip(".,;:!?\"'[]<>|{}"))
-            core = m.group().strip(".,;:!?\"'[]<>|{}")
+        whole = m.group()
+        if _MARK.search(whole):
+            lead = len(whole) - len(whole.lstrip(_TRIM))
+            core = whole.strip(_TRIM)
             if core:
                 spans.append((m.start() + lead, m.start() + lead + len(core)))
                 words.append((k, core))
+                context.append(before)
+        before = (before[1], whole)
     n = len(spans)
     features = np.zeros((n, WIDTH), dtype=np.uint8)
     numbers = [digits(w) for _, w in words]
@@ -95,6 +112,10 @@ def build_graph(text: str) -> Graph:
         row[at], row[at + 1] = not i or not near[i - 1], i + 1 == n or not near[i]
         row[at + 2] = all(0 <= int(p) <= 255 for p in w.split(".")) if shapes[i][1] else 0
         row[at + 3] = len(d) == len(w)
+        row[at + 4] = any(_ANNOUNCES.search(x) for x in context[i])
+        row[at + 5] = context[i][1][-1:] in ("=", ":")
+        row[at + 6] = bool(_ANNOUNCES.search(w))
+        row[at + 7] = any(_DIGEST.search(x) for x in context[i])
     chain = np.flatnonzero(near)
     last: dict[str, int] = {}
     skip = []
@@ -126,16 +147,23 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
 
-    def infer(self, graph: Graph, rounds: int = 20, start: np.ndarray | None = None):
-        """Loopy sum-product: marginals, messages, and the beliefs of edges (chain first, then skip)."""
-        unary = graph.features @ self.node
+    def infer(self, graph: Graph, rounds: int = 20, start: np.ndarray | None = None, owner: np.ndarray | None = None):
+        """Loopy sum-product: marginals and messages (chain edges' first, then skip edges', then all of them backwards).
+
+        owner tells each node's graph where many are joined: a graph's messages stay as they are once none of them
+        moves by 1e-3, so its marginals don't depend on the graphs beside it.
+        """
+        unary = np.concatenate([graph.features[at : at + 65_536] @ self.node for at in range(0, len(graph.features), 65_536)] or [np.zeros((0, LABELS))])
         edges = np.concatenate([graph.chain, graph.skip])
-        m = len(edges)
+        m, chains = len(edges), len(graph.chain)
         source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        pair = np.concatenate([np.broadcast_to(self.chain, (len(graph.chain), LABELS, LABELS)), np.broadcast_to(self.skip, (len(graph.skip), LABELS, LABELS))])
-        pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
+        # exp(potentials) of the edges' four runs; messages are sums over the sending node's labels.
+        runs = [(slice(0, chains), self.chain), (slice(chains, m), self.skip), (slice(m, m + chains), self.chain.T), (slice(m + chains, 2 * m), self.skip.T)]
+        runs = [(place, np.exp(table)) for place, table in runs]
         message = np.zeros((2 * m, LABELS)) if start is None else start
         back = np.concatenate([np.arange(m, 2 * m), np.arange(m)]) if m else np.zeros(0, dtype=np.int64)
+        graphs = np.zeros(len(source), dtype=np.int64) if owner is None else owner[source]
+        moving = np.ones(int(graphs.max()) + 1 if len(graphs) else 0, dtype=bool)
 
         def beliefs():
             b = unary.copy()
@@ -144,20 +172,33 @@ class Field:
 
         for _ in range(rounds if m else 0):
             out = beliefs()[source] - message[back]
-            scores = out[:, :, None] + pair
-            top = scores.max(axis=1)
-            fresh = top + np.log(np.exp(scores - top[:, None, :]).sum(axis=1))
+            top = out.max(axis=1, keepdims=True)
+            weight = np.exp(out - top)
+            fresh = np.empty_like(message)
+            for place, table in runs:
+                fresh[place] = np.log(weight[place] @ table)
+            fresh += top
             fresh -= fresh.max(axis=1, keepdims=True)
-            change = np.abs(fresh - message).max()
-            message = 0.5 * message + 0.5 * fresh
-            if change < 1e-3:
+            change = np.zeros(len(moving))
+            np.maximum.at(change, graphs, np.abs(fresh - message).max(axis=1))
+            message = np.where(moving[graphs][:, None], 0.5 * message + 0.5 * fresh, message)
+            moving &= change >= 1e-3
+            if not moving.any():
                 break
         b = beliefs()
         marginals = np.exp(b - b.max(axis=1, keepdims=True))
-        marginals /= marginals.sum(axis=1, keepdims=True)
-        both = (b[source] - message[back])[:m, :, None] + (b[target] - message)[:m, None, :] + pair[:m]
+        return marginals / marginals.sum(axis=1, keepdims=True), message
+
+    def edge_beliefs(self, graph: Graph, message: np.ndarray) -> np.ndarray:
+        """Joint marginals of the ends of every edge, chain edges first."""
+        b = graph.features @ self.node
+        edges = np.concatenate([graph.chain, graph.skip])
+        m = len(edges)
+        np.add.at(b, np.concatenate([edges[:, 1], edges[:, 0]]), message)
+        pair = np.concatenate([np.broadcast_to(self.chain, (len(graph.chain), LABELS, LABELS)), np.broadcast_to(self.skip, (len(graph.skip), LABELS, LABELS))])
+        both = (b[edges[:, 0]] - message[m:])[:, :, None] + (b[edges[:, 1]] - message[:m])[:, None, :] + pair
         both = np.exp(both - both.max(axis=(1, 2), keepdims=True))
-        return marginals, message, both / both.sum(axis=(1, 2), keepdims=True)
+        return both / both.sum(axis=(1, 2), keepdims=True)
 
 
 def fit(graph: Graph, labels: np.ndarray, steps: int = 120, rate: float = 0.2, decay: float = 3e-4) -> Field:
@@ -173,8 +214,8 @@ def fit(graph: Graph, labels: np.ndarray, steps: int = 120, rate: float = 0.2, d
     features = graph.features.astype(np.float64)
     dense = Graph(graph.spans, features, graph.chain, graph.skip)
     for step in range(1, steps + 1):
-        marginals, message, both = field.infer(dense, rounds=4, start=message)
-        gap = (pairs - both) * both_known[:, None, None]
+        marginals, message = field.infer(dense, rounds=4, start=message)
+        gap = (pairs - field.edge_beliefs(dense, message)) * both_known[:, None, None]
         gradients = [
             features.T @ ((truth - marginals) * known[:, None]) / max(1, known.sum()),
             gap[:cut].sum(axis=0) / max(1, both_known[:cut].sum()),
@@ -190,11 +231,26 @@ def fit(graph: Graph, labels: np.ndarray, steps: int = 120, rate: float = 0.2, d
 
 
 def node_labels(graph: Graph, base: list[tuple[int, int, int]], failed: list[tuple[int, int]]) -> np.ndarray:
-    """Labels of nodes by the base spans: a token inside one has its kind; inside a failed match it is unknown."""
+    """Labels of nodes by known spans: a token mostly inside one has its kind; inside a failed match it is unknown.
+
+    Spans of one kind don't overlap, so each kind is searched by bisection; of several kinds the first counts.
+    """
     labels = np.zeros(len(graph), dtype=np.int64)
-    for i, (a, b) in enumerate(graph.spans):
-        kinds = [k for s, e, k in base if s < b and a < e and min(b, e) - max(a, s) >= 0.6 * (b - a)]
-        labels[i] = kinds[0] + 1 if kinds else -1 if any(s < b and a < e for s, e in failed) else 0
+    lists = [(kind + 1, [s for s in base if s[2] == kind]) for kind in range(len(SPAN_KINDS))]
+    merged: list[list[int]] = []
+    for a, b in sorted(failed):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    for label, spans in [*lists, (-1, merged)]:
+        ends = [s[1] for s in spans]
+        for i, (a, b) in enumerate(graph.spans if spans else []):
+            k = bisect_right(ends, a)
+            while not labels[i] and k < len(spans) and spans[k][0] < b:
+                if label < 0 or min(b, spans[k][1]) - max(a, spans[k][0]) >= 0.6 * (b - a):
+                    labels[i] = label
+                k += 1
     return labels
 
 
@@ -217,35 +273,61 @@ def made_up(count: int, seed: int) -> list[tuple[Graph, np.ndarray]]:
         a, b, c = number(3), number(3), number(4)
         return rng.choice((f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+1 {a} {b} {c}", f"+1-{a}-{b}-{c}", f"{a}-{b}-{c}", f"+{number(2)} {a} {b}{c}", f"+1{a}{b}{c}"))
 
+    def secret() -> tuple[str, int]:
+        """A key word, perhaps a sign, and the value, whose place in the whole is told."""
+        value = rng.choice(
+            (
+                lambda: mixed("abcdef0123456789", rng.choice((16, 18, 32, 40, 64))),
+                lambda: rng.choice(("AK", "AKIA", "")) + mixed("ABCDEFGHKLMQRST0123456789", 16),
+                lambda: mixed("abcdefghikmnopqrstuvwxyzABCDEFGHKLMNOPQRSTUVWXYZ0123456789_-", rng.randint(12, 44)),
+            )
+        )()
+        name = rng.choice(("token", "secret", "password", "api_key", "key", "TOKEN", "access-key", "auth_token", "client_secret", "pwd"))
+        front = rng.choice((f'{name} = "', f"{name}: ", f"{name}=", f'{name}="', f"{name} ", "Bearer ", f"{name} is "))
+        return front + value + ('"' if '"' in front else ""), len(front)
+
+    def mixed(letters: str, n: int) -> str:
+        """At least one digit and one letter."""
+        made = "".join(rng.choice(letters) for _ in range(n - 2))
+        return rng.choice([c for c in letters if c.isalpha()]) + made + rng.choice("0123456789")
+
     makers = [
         (lambda: f"{word()}{rng.choice(('', '.', '_'))}{number(rng.randint(0, 3))}@{word()}{number(rng.randint(0, 1))}.{rng.choice(('com', 'org', 'example.com'))}", 1),
         (lambda: ".".join(str(rng.randint(1, 254)) for _ in range(4)), 2),
         (card, 3),
         (phone, 4),
+        (secret, 5),
     ]
     others = [
         lambda: str(rng.randint(1900, 2030)), lambda: number(rng.randint(1, 3)), lambda: f"{number(2)}.{number(2)}", lambda: f"{number(1)}.{number(1)}.{number(1)}",
         lambda: f"20{number(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", lambda: bad_card(), lambda: f"{rng.randint(0, 23)}:{number(2)}", lambda: number(rng.randint(5, 11)),
-        lambda: "AK" + "".join(rng.choice("ABCDEFGHKLM0123456789") for _ in range(16)), lambda: "password=" + "".join(rng.choice("abcdef0123456789") for _ in range(18)),
-        lambda: "".join(rng.choice("abcdef0123456789") for _ in range(40)), lambda: word() + number(2), lambda: f"{number(1)},{number(3)}", lambda: "@" + word(),
-        lambda: f"({number(1)})", lambda: f"{number(3)}-{number(2)}", lambda: ".".join(str(rng.randint(256, 999)) for _ in range(4)),
+        lambda: rng.choice(("commit ", "sha256 ", "sha1: ", "md5 = ", "checksum ", "digest: ", "etag ", "rev ", "", "")) + mixed("abcdef0123456789", rng.choice((16, 20, 32, 40, 64))),
+        lambda: "-".join(mixed("abcdef0123456789", n) for n in (8, 4, 4, 4, 12)), lambda: rng.choice(("serial ", "order ", "part ", "")) + mixed("ABCDEFGHKLMNPQRST0123456789", rng.randint(8, 20)),
+        lambda: word() + number(2), lambda: f"{number(1)},{number(3)}", lambda: "@" + word(),
+        lambda: f"({number(1)})", lambda: f"{number(3)}-{number(2)}", lambda: f"{number(3)}-{number(4)}", lambda: ".".join(str(rng.randint(256, 999)) for _ in range(4)),
     ]
     out = []
     for _ in range(count):
         text, truth = word(), []
         kept: list[tuple[str, int]] = []
         for _ in range(rng.randint(1, 6)):
+            front = 0
             if kept and rng.random() < 0.25:
                 piece, label = rng.choice(kept)
+                if label == 4 and rng.random() < 0.5:
+                    piece = piece[-8:] if re.fullmatch(r"[0-9]{3}-[0-9]{4}", piece[-8:]) else piece
             elif rng.random() < 0.55:
                 make, label = rng.choice(makers)
                 piece = make()
-                kept.append((piece, label))
+                if label == 5:
+                    piece, front = piece
+                kept.append((piece[front:].rstrip('"'), label))
             else:
                 piece, label = rng.choice(others)(), 0
             text += " " + " ".join(word() for _ in range(rng.choice((0, 1, 1, 2, 3))))
             text = text.rstrip() + " "
-            truth.append((len(text), len(text) + len(piece), label - 1))
+            if label:
+                truth.append((len(text) + front, len(text) + len(piece.rstrip('"')), label - 1))
             text += piece + rng.choice(("", "", ".", ","))
         graph = build_graph(text)
         labels = node_labels(graph, truth, [])
@@ -256,28 +338,33 @@ def made_up(count: int, seed: int) -> list[tuple[Graph, np.ndarray]]:
 def train(docs: DataFrame, text_col: str = "text", train_docs: int = 8_000, doc_nodes: int = 100, made: int = 1_500, seed: int = 5) -> Field:
     """Fit the field on made-up texts and on a bounded sample of the corpus that the base patterns label.
 
-    About train_docs documents are chosen by hash of their text, at most doc_nodes nodes of each count; the
-    bounds hold for fitting alone. Graphs are built on the executors, only features, labels and edges come
-    to the driver.
+    At most train_docs distinct texts, those of least hash, and at most doc_nodes nodes of each count; the bounds
+    hold for fitting alone. What looks like a secret in the corpus is unknown, as no base pattern tells. Graphs are
+    built on the executors, only features, labels and edges come to the driver.
     """
     n = docs.count()
-    chosen = docs.select(F.col(text_col).alias("text"))
+    mark = F.xxhash64(F.lit(seed), text_col)
+    chosen = docs.select(F.col(text_col).alias("text"), mark.alias("mark")).where(F.col("text").rlike("[0-9@]"))
     if n > train_docs:
-        chosen = chosen.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < int(train_docs / n * (1 << 30)))
+        chosen = chosen.where(F.pmod("mark", F.lit(1 << 30)) < int(train_docs / n * (1 << 30)))
+    chosen = chosen.dropDuplicates(["mark"]).orderBy("mark").limit(train_docs).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for value in batch.column(0):
-                graph = build_graph(value.as_py())
+                text = value.as_py()
+                graph = build_graph(text)
                 if len(graph):
-                    labels = node_labels(graph, *base_spans(value.as_py()))[:doc_nodes]
+                    labels = node_labels(graph, *base_spans(text))[:doc_nodes]
+                    for i in np.flatnonzero(labels == 0):
+                        labels[i] = -1 if len(w := text[slice(*graph.spans[i])]) >= 12 and secret_value(w) else 0
                     inside = lambda e: e[(e < doc_nodes).all(axis=1)].astype(np.int32).tobytes()
                     out.append((np.packbits(graph.features[:doc_nodes]).tobytes(), labels.astype(np.int8).tobytes(), inside(graph.chain), inside(graph.skip)))
             columns = zip(*out, strict=True) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["x", "y", "chain", "skip"])
 
-    rows = chosen.where(F.col("text").rlike("[0-9@]")).mapInArrow(run, "x binary, y binary, chain binary, skip binary").collect()
+    rows = chosen.mapInArrow(run, "x binary, y binary, chain binary, skip binary").collect()
     graphs, labels = [], []
     for row in sorted(rows):
         y = np.frombuffer(row["y"], dtype=np.int8).astype(np.int64)
@@ -292,8 +379,18 @@ def train(docs: DataFrame, text_col: str = "text", train_docs: int = 8_000, doc_
     return fit(joined(graphs), np.concatenate(labels))
 
 
+def secret_value(token: str) -> tuple[int, int] | None:
+    """Where the secret's value lies in a token: behind an assignment if there is one, letters and digits mixed."""
+    front = m.end() if (m := _ASSIGNED.match(token)) else 0
+    value = token[front:].strip(_TRIM)
+    start = token.index(value, front)
+    return (start, start + len(value)) if _VALUE.fullmatch(value) else None
+
+
 def fits(piece: str, kind: int) -> bool:
     """Whether the piece could be of its kind as a whole."""
+    if kind == SECRET:
+        return secret_value(piece) is not None
     if kind < 2:
         return (0, len(piece), kind) in base_spans(piece)[0]
     return not any(c.isalpha() for c in piece) and (is_card(piece) if kind == 2 else is_phone(piece))
@@ -326,6 +423,8 @@ def pieces(text: str, graph: Graph, first: int, last: int, kind: int) -> list[tu
 
 def repeats(piece: str, kind: int) -> bool:
     """Whether a token that a skip edge joins to a span of the kind could be its repeat: the last seven digits are the edge's key."""
+    if kind == SECRET:
+        return secret_value(piece) is not None
     return "@" in piece if kind == 0 else not any(c.isalpha() for c in piece) and 7 <= len(digits(piece)) <= 19
 
 
@@ -333,7 +432,8 @@ def added_spans(text: str, graph: Graph, marginals: np.ndarray, base: list[tuple
     """Tokens that the field labels surely, that touch no base span and could be of their kind.
 
     Neighbouring card and phone tokens are cut into pieces that pass a card's check sum or have a phone's 9 to 15
-    digits: first inside each line, then, of what is left, across lines. Addresses have their form. A token
+    digits: first inside each line, then, of what is left, across lines. Addresses have their form, secrets mix
+    letters and digits; of an assignment the value alone is the span. A token
     that skip edges join to a span of its label needs the weaker form of a repeat only.
     """
     n = len(graph)
@@ -349,7 +449,10 @@ def added_spans(text: str, graph: Graph, marginals: np.ndarray, base: list[tuple
     out: list[tuple[int, int, int]] = []
 
     def take(a: int, b: int, kind: int) -> None:
-        out.append((graph.spans[a][0], graph.spans[b][1], kind))
+        start, end = graph.spans[a][0], graph.spans[b][1]
+        if kind == SECRET:
+            start, end = (start + x for x in secret_value(text[start:end]))
+        out.append((start, end, kind))
         covered[a : b + 1] = kind + 1
 
     def runs(lines: bool) -> list[tuple[int, int]]:
@@ -369,7 +472,7 @@ def added_spans(text: str, graph: Graph, marginals: np.ndarray, base: list[tuple
     for lines in (True, False):
         for i, j in runs(lines):
             kind = int(best[i]) - 1
-            if kind > 1:
+            if kind in (2, 3):
                 for a, b in pieces(text, graph, i, j, kind):
                     take(a, b, kind)
             elif lines:
@@ -383,35 +486,47 @@ def added_spans(text: str, graph: Graph, marginals: np.ndarray, base: list[tuple
     return sorted(out)
 
 
-def find_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.9) -> DataFrame:
-    """(doc_id, starts, ends, kinds, added): base spans of each text and those that the field adds.
+def marked_spans(texts: list[str], field: Field, sure: float, most_nodes: int) -> list[tuple[list, list]]:
+    """(base spans, added spans) of each text. Graphs pass messages together up to most_nodes nodes; a larger one does alone."""
+    out: list[tuple[list, list]] = [([], []) for _ in texts]
+    held: list[tuple[int, Graph]] = []
+
+    def settle() -> None:
+        if held:
+            sizes = [len(g) for _, g in held]
+            marginals, _ = field.infer(joined([g for _, g in held]), owner=np.repeat(np.arange(len(held)), sizes))
+            at = 0
+            for (k, graph), size in zip(held, sizes, strict=True):
+                out[k][1].extend(added_spans(texts[k], graph, marginals[at : at + size], out[k][0], sure))
+                at += size
+            held.clear()
+
+    for k, text in enumerate(texts):
+        if _MARK.search(text):
+            out[k][0].extend(base_spans(text)[0])
+            graph = build_graph(text)
+            if sum(len(g) for _, g in held) + len(graph) > most_nodes:
+                settle()
+            if len(graph):
+                held.append((k, graph))
+    settle()
+    return out
+
 
-    One Arrow pass without a shuffle; whole texts. All graphs of a batch pass messages together. Base spans
-    always stay; offsets count code points, ends are exclusive; spans are ordered by start, then kind.
+def find_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.9, most_nodes: int = 16_384) -> DataFrame:
+    """(doc_id, starts, ends, kinds, added): base spans of each text and those that the field adds, secrets among them.
 
-    Cases: a null or empty text has no spans; very long texts take time in proportion to their length;
+    One Arrow pass without a shuffle; whole texts. Graphs pass messages together, up to most_nodes nodes at a time.
+    Base spans always stay; offsets count code points, ends are exclusive; spans are ordered by start, then kind.
+
+    Cases: a null or empty text has no spans; very long texts take time and memory in proportion to their length;
     repeated rows come back each; null ids are kept; an empty table gives no rows; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() or "" for x in batch.column(1)]
-            base: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-            more: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-            graphs, owners = [], []
-            for k, text in enumerate(texts):
-                if _MARK.search(text):
-                    base[k] = base_spans(text)[0]
-                    graph = build_graph(text)
-                    if len(graph):
-                        graphs.append(graph)
-                        owners.append(k)
-            if graphs:
-                marginals, at = field.infer(joined(graphs))[0], 0
-                for k, graph in zip(owners, graphs, strict=True):
-                    more[k] = added_spans(texts[k], graph, marginals[at : at + len(graph)], base[k], sure)
-                    at += len(graph)
-            spans = [sorted([*((*s, False) for s in b), *((*s, True) for s in m)], key=lambda s: (s[0], s[2])) for b, m in zip(base, more, strict=True)]
+            found = marked_spans([x.as_py() or "" for x in batch.column(1)], field, sure, most_nodes)
+            spans = [sorted([*((*s, False) for s in b), *((*s, True) for s in m)], key=lambda s: (s[0], s[2])) for b, m in found]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_())
             lists = [pa.array([[s[k] for s in row] for row in spans], pa.list_(kind)) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "starts", "ends", "kinds", "added"])
@@ -420,11 +535,9 @@ def find_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
     return narrow.mapInArrow(run, "doc_id long, starts array<long>, ends array<long>, kinds array<int>, added array<boolean>")
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    """Counts and spans of documents; counts and base_sha256 are those of the base spans."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find_spans(docs, train(docs))
-    names = F.array(*[F.lit(k) for k in KINDS])
+def digest(found: DataFrame) -> DataFrame:
+    """Counts and digests of find_spans: those of the contract are of base spans, the others of all spans."""
+    names = F.array(*[F.lit(k) for k in SPAN_KINDS])
     each = F.transform(
         F.arrays_zip("starts", "ends", "kinds", "added"),
         lambda s: F.struct(
@@ -438,5 +551,14 @@ def query(spark, sf_dir: str) -> DataFrame:
         *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
         F.sha2(texts(F.filter("_each", lambda s: ~s["added"])), 256).alias("base_sha256"),
         texts(F.col("_each")).alias("spans"),
+        F.size(F.filter("kinds", lambda k: k == SECRET)).cast("long").alias("n_secret"),
         F.size(F.filter("added", lambda a: a)).cast("long").alias("n_added"),
+        F.size("kinds").cast("long").alias("n_spans"),
+        (F.size("kinds") > 0).alias("flagged"),
     )
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    """Counts and spans of documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return digest(find_spans(docs, train(docs)))
