@@ -1,70 +1,80 @@
-"""Text, Markdown and JSON reports of one row of metrics; small results, written on the driver."""
+"""Text, Markdown and JSON reports of small results, laid out on the driver by one table helper."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Row
 
-TITLES = {
-    "loss": "Loss", "accuracy": "Accuracy", "precision": "Precision", "recall": "Recall", "f1": "F1 Score", "roc_auc": "ROC AUC", "pr_auc": "PR AUC",
-    "eer": "EER", "eer_threshold": "EER Threshold", "apcer": "APCER", "bpcer": "BPCER", "acer": "ACER", "far": "FAR", "frr": "FRR",
-}
+#: Metrics in reports: column of the metrics row, heading.
+METRICS = (
+    ("num_samples", "samples"), ("accuracy", "accuracy"), ("error_rate", "error rate"), ("precision", "precision"), ("recall", "recall"), ("f1", "F1"),
+    ("roc_auc", "ROC area"), ("pr_auc", "PR area"), ("eer", "equal error rate"), ("eer_threshold", "threshold of the equal error rate"), ("far", "false acceptance"),
+    ("frr", "false rejection"), ("apcer", "APCER"), ("bpcer", "BPCER"), ("acer", "ACER"), ("loss", "loss"),
+)
+MAIN = ("accuracy", "f1", "roc_auc", "eer", "acer")
+CLASSES = {0: "bonafide", 1: "attack"}
 
 
-def _value(x, none: str = "None") -> str:
-    return none if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
+def shown(value) -> str:
+    """A cell: numbers with four places, a dash for what is undefined."""
+    if value is None:
+        return "-"
+    return f"{value:.4f}" if isinstance(value, float) else str(value)
 
 
-def metric_table(metrics: Row) -> str:
-    """A line for each metric, undefined ones as None."""
+def table(head: Sequence[str], rows: Sequence[Sequence], markdown: bool = False) -> str:
+    """Aligned columns, the first to the left and the others to the right; as a Markdown table on demand."""
+    cells = [list(head), *([shown(x) for x in row] for row in rows)]
+    widths = [max(len(line[k]) for line in cells) for k in range(len(head))]
+    pad = lambda line: [x.ljust(w) if k == 0 else x.rjust(w) for k, (x, w) in enumerate(zip(line, widths, strict=True))]
+    if markdown:
+        rule = [":" + "-" * (widths[0] - 1 or 1), *("-" * (w - 1 or 1) + ":" for w in widths[1:])]
+        return "\n".join(f"| {' | '.join(line)} |" for line in (pad(cells[0]), rule, *map(pad, cells[1:])))
+    return "\n".join(" | ".join(pad(line)).rstrip() for line in cells)
+
+
+def metric_rows(metrics: Row) -> list[tuple]:
     known = metrics.asDict()
-    lines = [f"{'Metric':<20}{'Value':>12}", "-" * 32]
-    return "\n".join(lines + [f"{title:<20}{_value(known.get(name)):>12}" for name, title in TITLES.items()])
+    return [(title, known[name]) for name, title in METRICS if name in known]
+
+
+def metric_table(metrics: Row, markdown: bool = False) -> str:
+    """The metrics that the row has, undefined ones as a dash."""
+    return table(("metric", "value"), metric_rows(metrics), markdown)
 
 
-def class_table(classes: DataFrame, accuracy: float, names: dict[int, str] | None = None) -> str:
-    """Per-class precision, recall, F1 and support from metrics.class_report."""
-    names = names or {0: "bonafide", 1: "attack"}
-    head = f"{'class':<12}{'precision':>10}{'recall':>10}{'f1-score':>10}{'support':>10}"
-    rows = sorted(classes.collect(), key=lambda r: r["label"])
-    body = [f"{names.get(r['label'], r['label']):<12}{r['precision']:>10.4f}{r['recall']:>10.4f}{r['f1']:>10.4f}{r['support']:>10d}" for r in rows]
-    last = f"{'accuracy':<12}{'':>10}{'':>10}{accuracy:>10.4f}{sum(r['support'] for r in rows):>10d}"
-    return "\n".join([head, "-" * len(head), *body, "-" * len(head), last])
+def class_table(classes: DataFrame, names: dict[int, str] | None = None, markdown: bool = False) -> str:
+    """One line per class of metrics.class_report, by label."""
+    names = CLASSES if names is None else names
+    rows = [(names.get(r["label"], str(r["label"])), r["support"], r["precision"], r["recall"], r["f1"]) for r in sorted(classes.collect(), key=lambda r: r["label"])]
+    return table(("class", "rows", "precision", "recall", "F1"), rows, markdown)
 
 
-def confusion_text(metrics: Row) -> str:
-    side = f"{'':<17}{'Pred: bonafide':<14}{'Pred: attack':>15}"
-    row = lambda name, a, b: f"{name:<17}{a:>14d}{b:>15d}"
-    return "\n".join(
-        [
-            "Confusion Matrix (rows=true, cols=predicted)",
-            side,
-            row("True: bonafide", metrics["tn"], metrics["fp"]),
-            row("True: attack", metrics["fn"], metrics["tp"]),
-        ]
-    )
+def confusion_table(metrics: Row, names: dict[int, str] | None = None, markdown: bool = False) -> str:
+    """True classes down, predicted ones across."""
+    names = CLASSES if names is None else names
+    body = [(names[0], metrics["tn"], metrics["fp"]), (names[1], metrics["fn"], metrics["tp"])]
+    return table(("true / predicted", names[0], names[1]), body, markdown)
 
 
 def summary(metrics: Row, experiment: str, notes: str = "") -> dict:
-    """Name, time, size, the main metrics and notes."""
+    """Name, time, number of rows, the main metrics and notes."""
     if not experiment.strip():
         raise ValueError("experiment name is blank")
     known = metrics.asDict()
-    main = {k: known.get(k) for k in ("accuracy", "f1", "roc_auc", "eer", "acer")}
-    return {"experiment_name": experiment, "timestamp": datetime.now(UTC).isoformat(), "num_samples": known["num_samples"], **main, "notes": notes}
+    head = {"experiment_name": experiment, "timestamp": datetime.now(UTC).isoformat(), "num_samples": known["num_samples"]}
+    return head | {name: known.get(name) for name in MAIN} | {"notes": notes}
 
 
 def markdown(metrics: Row, classes: DataFrame, experiment: str, notes: str = "") -> str:
-    """Summary, metrics, classes and confusion matrix; undefined values are N/A in the summary."""
+    """The whole report of an evaluation."""
     head = summary(metrics, experiment, notes)
-    points = [f"- **Samples evaluated:** {head['num_samples']}"]
-    points += [f"- **{TITLES[k]}:** {_value(head[k], 'N/A')}" for k in ("accuracy", "f1", "roc_auc", "eer", "acer")]
-    block = lambda title, text: [f"## {title}", "", "```", text, "```", ""]
-    parts = [f"# Evaluation Report: {experiment}", "", f"*Generated: {head['timestamp']}*", "", "## Summary", "", *points, ""]
-    parts += block("Metrics", metric_table(metrics)) + block("Classification Report", class_table(classes, metrics["accuracy"])) + block("Confusion Matrix", confusion_text(metrics))
-    return "\n".join(parts + (["## Notes", "", notes, ""] if notes else []))
+    said = [f"{experiment}: {head['num_samples']} rows, {head['timestamp']}", *([notes] if notes else [])]
+    parts = {"What was evaluated": "\n\n".join(said), "All metrics": metric_table(metrics, True), "By class": class_table(classes, markdown=True), "Decisions": confusion_table(metrics, markdown=True)}
+    return "\n\n".join(f"## {title}\n\n{text}" for title, text in parts.items()) + "\n"
 
 
 def as_json(metrics: Row, experiment: str, notes: str = "") -> str:
@@ -73,7 +83,5 @@ def as_json(metrics: Row, experiment: str, notes: str = "") -> str:
 
 def console(stats: DataFrame) -> str:
     """Split statistics as a table."""
-    rows = stats.collect()
-    head = f"{'split':<10}{'images':>10}{'bona fide':>12}{'morph':>10}{'identities':>12}{'share':>10}"
-    body = [f"{r['split']:<10}{r['total_count']:>10d}{r['bona_fide_count']:>12d}{r['morph_count']:>10d}{r['identity_count']:>12d}{r['percentage_of_dataset']:>9.2f}%" for r in rows]
-    return "\n".join([head, "-" * len(head), *body])
+    rows = [(r["split"], r["total_count"], r["bona_fide_count"], r["morph_count"], r["identity_count"], f"{r['percentage_of_dataset']:.2f}%") for r in stats.collect()]
+    return table(("split", "images", "bona fide", "morphs", "identities", "share"), rows)

@@ -46,8 +46,9 @@ def test_reports(spark):
     rows = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 0)], "true_label int, predicted_label int")
     row = metrics.rates(metrics.confusion(rows)).first()
     text = reports.markdown(row, metrics.class_report(rows), "run", "note")
-    assert "- **ROC AUC:** N/A" in text and "## Notes" in text and "attack          0.5000" in text
-    assert "None" in reports.metric_table(row)
+    assert "| attack   |    2 |    0.5000 | 0.5000 | 0.5000 |" in text and "note" in text and "| true / predicted | bonafide | attack |" in text
+    assert reports.table(("a", "bb"), [("x", None), ("long", 0.5)]) == "a    |     bb\nx    |      -\nlong | 0.5000"
+    assert len(reports.metric_table(row).splitlines()) == 1 + sum(name in row.asDict() for name, _ in reports.METRICS)
     assert json.loads(reports.as_json(row, "run"))["metrics"]["tp"] == 1
     with pytest.raises(ValueError, match="blank"):
         reports.summary(row, " ")
