@@ -24,6 +24,13 @@ CHROMINANCE = [
     99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99,
 ]
 GRAY = np.array([0.299, 0.587, 0.114])
+# The small kernels that stand in for sigma 0, by size; each row sums to 1.
+SMALL_KERNELS = {
+    1: (1.0,),
+    3: (0.25, 0.5, 0.25),
+    5: (0.0625, 0.25, 0.375, 0.25, 0.0625),
+    7: (0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125),
+}
 
 
 def saturated(x: np.ndarray) -> Image:
@@ -93,11 +100,18 @@ def convolved(image: Image, kernel: np.ndarray) -> np.ndarray:
     return sum(kernel[i, j] * padded[i : i + h, j : j + w] for i, j in zip(*np.nonzero(kernel), strict=True))
 
 
-def gaussian(size: int, sigma: float) -> np.ndarray:
-    """A size x size kernel; sigma 0 follows from the size."""
+def gaussian_line(size: int, sigma: float) -> np.ndarray:
+    """A row of taps; with sigma 0 it is a small one's fixed row, or sigma follows from the size."""
+    if not sigma and size in SMALL_KERNELS:
+        return np.array(SMALL_KERNELS[size])
     sigma = sigma or 0.3 * ((size - 1) * 0.5 - 1) + 0.8
     line = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma**2))
-    return np.outer(line, line) / line.sum() ** 2
+    return line / line.sum()
+
+
+def gaussian(size: int, sigma: float) -> np.ndarray:
+    """A size x size kernel."""
+    return np.outer(gaussian_line(size, sigma), gaussian_line(size, sigma))
 
 
 def motion(size: int, angle: float) -> np.ndarray:
@@ -176,9 +190,19 @@ def _shifted(image: Image, p: Params, _) -> Image:
     return saturated(sample_at(image, x - p["tx_percent"] * w, y - p["ty_percent"] * h))
 
 
+def gray(image: Image) -> np.ndarray:
+    """Weighted channels, rounded."""
+    return np.rint(image @ GRAY)
+
+
+def _contrast(image: Image, p: Params) -> Image:
+    mean = float(gray(image).mean())
+    return truncated(mean + p["factor"] * (image.astype(float) - mean))
+
+
 def _contrast_rounded(image: Image, p: Params, _) -> Image:
     """Values below 0 turn positive, as absolute values do."""
-    mean = float(np.rint(image @ GRAY).mean())
+    mean = float(gray(image).mean())
     return saturated(np.abs(p["factor"] * image.astype(float) + mean * (1 - p["factor"])))
 
 
@@ -202,7 +226,7 @@ def default_kernels() -> dict[str, Kernel]:
         "scaling": Kernel(between("scale", 0.9, 1.1), _scaled),
         "horizontal_flip": Kernel(lambda rng: {}, plain(lambda i, p: i[:, ::-1].copy())),
         "brightness": Kernel(between("factor", 0.7, 1.3), plain(lambda i, p: saturated(np.abs(p["factor"] * i.astype(float))))),
-        "contrast": Kernel(between("factor", 0.7, 1.3), plain(lambda i, p: truncated(i.mean() + p["factor"] * (i.astype(float) - i.mean())))),
+        "contrast": Kernel(between("factor", 0.7, 1.3), plain(_contrast)),
         "contrast_rounded": Kernel(between("factor", 0.7, 1.3), _contrast_rounded),
         "gamma": Kernel(between("gamma", 0.7, 1.5), plain(lambda i, p: truncated((np.arange(256) / 255.0) ** p["gamma"] * 255.0)[i])),
         "gaussian_blur": Kernel(odd_size(3, 11), blur(0.0)),

@@ -30,8 +30,15 @@ def mean(pixels: Column) -> Column:
     return F.aggregate(pixels, F.lit(0).cast("long"), lambda a, p: a + p) / F.size(pixels)
 
 
+def gray(pixels: Column) -> Column:
+    """Weighted red, green and blue of array<int> pixels in three channels, rounded."""
+    at = F.sequence(F.lit(0), F.floor(F.size(pixels) / 3).cast("int") - 1)
+    part = lambda i, c: F.element_at(pixels, 3 * i + c + 1)
+    return F.transform(at, lambda i: F.rint(0.299 * part(i, 0) + 0.587 * part(i, 1) + 0.114 * part(i, 2)).cast("int"))
+
+
 def contrasted(pixels: Column, factor: float, average: Column) -> Column:
-    """average + factor * (p - average), kept within a byte and cut off; average is a column of its own, computed once."""
+    """average + factor * (p - average), kept within a byte and cut off; average, a column of its own, is mean(p) of one channel or mean(gray(p)) of three."""
     return F.transform(pixels, lambda p: _byte(F.floor(F.least(F.greatest(average + F.lit(float(factor)) * (p - average), F.lit(0.0)), F.lit(255.0)))))
 
 

@@ -54,8 +54,12 @@ def crop_faces(images: DataFrame, key: str = "path", size: int = 224, threshold:
     return ready.mapInPandas(run, f"`{key}` {kind}, data binary, angle double, success boolean, failure_reason string")
 
 
-def model_inputs(images: DataFrame, key: str = "path", size: int = 224) -> DataFrame:
-    """images(key, height, width, data) as (key, values): size x size, channels first, normalised; null if unreadable."""
+def model_inputs(images: DataFrame, key: str = "path", size: int = 224, flip_share: float = 0.0, seed: int = 0) -> DataFrame:
+    """images(key, height, width, data) as (key, values): size x size, channels first, normalised; null if unreadable.
+
+    For training, a share of the images is mirrored left to right; which ones depends on the key and the seed.
+    """
+    chance = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
     if size <= 0:
         raise ValueError(f"size must be positive, got {size}")
     kind = dict(images.dtypes)[key]
@@ -63,12 +67,13 @@ def model_inputs(images: DataFrame, key: str = "path", size: int = 224) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = []
-            for data, h, w in zip(batch["data"], batch["height"], batch["width"], strict=True):
+            for data, h, w, flip in zip(batch["data"], batch["height"], batch["width"], batch["flip"], strict=True):
                 image = _pixels(data, h, w)
                 if image is not None:
                     image = saturated(resized(image, size, size, area=size < min(h, w))) / 255.0
+                    image = image[:, ::-1] if flip else image
                     image = ((image - CHANNEL_MEAN) / CHANNEL_DEVIATION).transpose(2, 0, 1).ravel().astype(np.float32)
                 values.append(image)
             yield pd.DataFrame({key: batch["key"], "values": values})
 
-    return images.select(F.col(key).alias("key"), "height", "width", "data").mapInPandas(run, f"`{key}` {kind}, values array<float>")
+    return images.select(F.col(key).alias("key"), "height", "width", "data", (chance < flip_share).alias("flip")).mapInPandas(run, f"`{key}` {kind}, values array<float>")

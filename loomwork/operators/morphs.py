@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from loomwork.functions.kernels import sample_at, saturated
+from loomwork.functions.geometry import interpolated, with_border
+from loomwork.functions.kernels import resized, sample_at, saturated
 from loomwork.functions.paths import iso_seconds, morph_name
+from loomwork.functions.warps import bilinear
 
 
 def records(pairs: DataFrame, dataset: str, alpha: float) -> DataFrame:
@@ -99,20 +101,84 @@ def blend(image_a: np.ndarray, image_b: np.ndarray, points_a: np.ndarray, points
 def morph(pairs: DataFrame, alpha: float = 0.5) -> DataFrame:
     """pairs(name, height, width, data_a, data_b, points_a, points_b) as (name, data, error); no shuffle.
 
-    points: array<struct<x, y>>. A pair that can't be morphed comes back with an error and without data.
+    points: array<struct<x, y>> in pixels of image a, whose size the morph has. With columns height_b and width_b an
+    image b of another size is resized to a's first. A pair that can't be morphed comes back with an error and without data.
     """
+    own = {c for c in ("height_b", "width_b") if c in pairs.columns}
+    sized = pairs.select("*", *[F.col(c.removesuffix("_b")).alias(c) for c in ("height_b", "width_b") if c not in own])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
                 try:
-                    a, b = (np.frombuffer(d, np.uint8).reshape(r.height, r.width, 3) for d in (r.data_a, r.data_b))
+                    a = np.frombuffer(r.data_a, np.uint8).reshape(r.height, r.width, 3)
+                    b = np.frombuffer(r.data_b, np.uint8).reshape(r.height_b, r.width_b, 3)
+                    if a.shape != b.shape:
+                        b = saturated(resized(b, r.height, r.width, area=False))
                     p, q = (np.array([(v["x"], v["y"]) for v in points], dtype=float) for points in (r.points_a, r.points_b))
                     rows.append((r.name, blend(a, b, p, q, alpha).tobytes(), None))
                 except (ValueError, TypeError, IndexError) as error:
                     rows.append((r.name, None, str(error)))
             yield pd.DataFrame(rows, columns=["name", "data", "error"])
 
-    names = ["name", "height", "width", "data_a", "data_b", "points_a", "points_b"]
-    return pairs.select(*names).mapInPandas(run, "name string, data binary, error string")
+    names = ["name", "height", "width", "height_b", "width_b", "data_a", "data_b", "points_a", "points_b"]
+    return sized.select(*names).mapInPandas(run, "name string, data binary, error string")
+
+
+def meshes(pairs: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """(name, t, target, a, b): the triangles of each pair(name, height, width, points_a, points_b), t ascending.
+
+    target holds a triangle's corners between both images' points, a and b those in either image; corners and edge
+    middles of the image are points too. Only points reach Python, and only to be joined into triangles.
+    """
+    sized = pairs.select("name", with_border(F.col("points_a"), F.col("width"), F.col("height")).alias("a"), with_border(F.col("points_b"), F.col("width"), F.col("height")).alias("b"))
+    placed = sized.withColumn("middle", interpolated(F.col("a"), F.col("b"), alpha))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [triangles(np.array([(p["x"], p["y"]) for p in points])) for points in batch["middle"]]
+            yield pd.DataFrame({"name": batch["name"], "corners": [[list(map(int, t)) for t in mesh] for mesh in found]})
+
+    joined = placed.select("name", "middle").mapInPandas(run, f"name {dict(pairs.dtypes)['name']}, corners array<array<int>>")
+    picked = lambda points: F.transform("corner", lambda k: F.element_at(F.col(points), k + 1)).alias({"middle": "target"}.get(points, points))
+    return placed.join(joined, "name").select("name", "middle", "a", "b", F.posexplode("corners").alias("t", "corner")).select("name", "t", picked("middle"), picked("a"), picked("b"))
+
+
+def warp_places(mesh: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(name, y, x, ax, ay, bx, by): for every pixel of sizes(name, height, width) its places in both images.
+
+    Each triangle gives the whole pixels of its box that lie in it, by their shares of its corners; where triangles
+    meet, the last one counts. Degenerate triangles give none.
+    """
+    corner = lambda n, k, axis: F.col(n)[k][axis]
+    (x0, x1, x2), (y0, y1, y2) = ([corner("target", k, axis) for k in range(3)] for axis in "xy")
+    area = (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)
+    cells = lambda low, high, size: F.sequence(F.greatest(F.floor(low), F.lit(0)).cast("int"), F.least(F.ceil(high), size - 1).cast("int"))
+    boxed = mesh.join(sizes.select("name", "height", "width"), "name").where(F.abs(area) >= 1e-6)
+    rows = boxed.withColumn("y", F.explode(cells(F.least(y0, y1, y2), F.greatest(y0, y1, y2), F.col("height"))))
+    spots = rows.withColumn("x", F.explode(cells(F.least(x0, x1, x2), F.greatest(x0, x1, x2), F.col("width"))))
+    second = ((F.col("x") - x0) * (y2 - y0) - (x2 - x0) * (F.col("y") - y0)) / area
+    third = ((x1 - x0) * (F.col("y") - y0) - (F.col("x") - x0) * (y1 - y0)) / area
+    shares = spots.withColumn("s1", second).withColumn("s2", third).withColumn("s0", 1.0 - F.col("s1") - F.col("s2"))
+    inside = shares.where(F.least("s0", "s1", "s2") >= -1e-9)
+    at = lambda n, axis: sum(F.col(f"s{k}") * corner(n, k, axis) for k in range(3)).alias(n + axis)
+    placed = inside.select("name", "y", "x", "t", *[at(n, axis) for n in "ab" for axis in "xy"])
+    return placed.groupBy("name", "y", "x").agg(F.max_by(F.struct("ax", "ay", "bx", "by"), "t").alias("s")).select("name", "y", "x", "s.*")
+
+
+def morph_pixels(pairs: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """(name, pixels) of pairs(name, height, width, pixels_a, pixels_b, points_a, points_b) with pixels as array<int> in three channels.
+
+    The places of all pixels are found by joins and grouping, put together per image, and only then meet the images:
+    both are sampled there and mixed, alpha being the share of b. Names must be unique.
+    """
+    places = warp_places(meshes(pairs, alpha), pairs)
+    listed = places.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("y", "x", "ax", "ay", "bx", "by"))).alias("places"))
+    value = lambda pixels, s, n, c: bilinear(F.col(pixels), s[f"{n}y"], s[f"{n}x"], c, F.col("height"), F.col("width"), 3)
+
+    def mixed(s: Column, c: int) -> Column:
+        return F.least(F.greatest(F.rint((1.0 - alpha) * value("pixels_a", s, "a", F.lit(c)) + alpha * value("pixels_b", s, "b", F.lit(c))), F.lit(0)), F.lit(255)).cast("int")
+
+    done = F.flatten(F.transform("places", lambda s: F.array(*[mixed(s, c) for c in range(3)])))
+    return pairs.join(listed, "name").select("name", done.alias("pixels"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loomwork.functions import kernels, pixels
+from loomwork.functions import kernels, pixels, warps
 from loomwork.operators import faces, model, morphs
 from loomwork.plans.evaluation import rounded
 
@@ -39,6 +39,98 @@ def point_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text(c) -> Column:
+    return F.array_join(c.cast("array<string>"), " ")
+
+
+def parameter(modulus: int, first: float, step: float) -> Column:
+    """A number for each image: first + step * (vec_id % modulus)."""
+    return F.lit(first) + F.lit(step) * (F.col("vec_id") % modulus)
+
+
+def warped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image turned, moved, enlarged and reduced by numbers of its own."""
+    p = F.col("p")
+    return gray(spark, sf_dir).select(
+        "vec_id",
+        text(warps.rotated(p, 8, 8, parameter(31, -15.0, 1.0))).alias("rotated"),
+        text(warps.shifted(p, 8, 8, parameter(21, -0.1, 0.01), parameter(19, -0.09, 0.01))).alias("shifted"),
+        text(warps.enlarged(p, 8, 8, parameter(5, 1.0, 0.05))).alias("enlarged"),
+        text(warps.reduced(p, 8, 8, parameter(5, 0.7, 0.05))).alias("reduced"),
+    )
+
+
+def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image blurred by a fixed and by a computed kernel, along a motion, and sharpened."""
+    p = F.col("p")
+    return gray(spark, sf_dir).select(
+        "vec_id",
+        text(warps.blurred(p, 8, 8, kernels.gaussian_line(5, 0.0))).alias("blurred"),
+        text(warps.blurred(p, 8, 8, kernels.gaussian_line(9, 1.3))).alias("blurred_wide"),
+        text(warps.smeared(p, 8, 8, kernels.motion(5, 30.0))).alias("smeared"),
+        text(warps.sharpened(p, 8, 8, parameter(4, 0.5, 0.5), kernels.gaussian_line(19, 3.0))).alias("sharpened"),
+    )
+
+
+def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image with normal noise and with specks, both drawn by image and place."""
+    p, key = F.col("p"), F.col("vec_id")
+    return gray(spark, sf_dir).select(
+        "vec_id", text(warps.noisy(p, key, parameter(14, 2.0, 1.0), seed=3)).alias("noisy"), text(warps.speckled(p, key, parameter(5, 0.01, 0.01), seed=5)).alias("speckled")
+    )
+
+
+def recompressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image through cosine blocks quantised at a quality of its own."""
+    quality = F.lit(30) + F.col("vec_id") % 61
+    return gray(spark, sf_dir).select("vec_id", text(warps.recompressed(F.col("p"), 8, 8, quality, kernels.LUMINANCE, kernels.CHROMINANCE)).alias("recompressed"))
+
+
+def _cosine_sum(weights: str, source: str) -> str:
+    return f"[list_sum([{weights} * {source}[k + 1] for k in range(64)]) for f in range(64)]"
+
+
+def _mirror(at: str, size: str = "8") -> str:
+    return f"least((({at}) % (2 * {size} - 2) + 2 * {size} - 2) % (2 * {size} - 2), 2 * {size} - 2 - (({at}) % (2 * {size} - 2) + 2 * {size} - 2) % (2 * {size} - 2))::INT"
+
+
+def _sampled(y: str, x: str) -> str:
+    """SQL of bilinear values at places that depend on row i // 8 and column i % 8."""
+    corner = lambda dy, dx: f"p[{_mirror(f'floor(s.y)::INT + {dy}')} * 8 + {_mirror(f'floor(s.x)::INT + {dx}')} + 1]"
+    fy, fx = "(s.y - floor(s.y))", "(s.x - floor(s.x))"
+    total = f"{corner(0, 0)} * (1 - {fx}) * (1 - {fy}) + {corner(0, 1)} * {fx} * (1 - {fy}) + ({corner(1, 0)} * (1 - {fx}) * {fy}) + {corner(1, 1)} * {fx} * {fy}"
+    return f"[least(greatest(round_even({total}, 0), 0), 255)::INT for s in [{{'y': ({y})::DOUBLE, 'x': ({x})::DOUBLE}} for i in range(64)]]"
+
+
+def _along(k: str) -> str:
+    new = "greatest(round_even(8 * large, 0), 1)"
+    return f"least(greatest(({k} + floor(({new} - 8) / 2) + 0.5::DOUBLE) * 8 / {new} - 0.5::DOUBLE, 0), 7)"
+
+
+def _taps(taps, source: str) -> str:
+    """SQL of a correlation of the list `source` with literal taps."""
+    ry, rx = taps.shape[0] // 2, taps.shape[1] // 2
+    parts = [f"{float(taps[i, j])!r}::DOUBLE * {source}[{_mirror(f'(k // 8)::INT + {i - ry}')} * 8 + {_mirror(f'(k % 8)::INT + {j - rx}')} + 1]" for i, j in zip(*taps.nonzero(), strict=True)]
+    return f"[list_sum([{', '.join(parts)}]) for k in range(64)]"
+
+
+def _reduced() -> tuple[str, str]:
+    """SQL of the cells that each new row or column covers, and of the reduced image from them."""
+    new, at = "greatest(round_even(8 * small, 0), 1)", lambda k: _mirror(f"({k}) - floor((8 - n) / 2)::INT", "n")
+    cells = lambda k: (
+        f"[{{'i': c, 's': (least(c + 1, ({at(k)} + 1) * (8::DOUBLE / n)) - greatest(c, {at(k)} * (8::DOUBLE / n))) / (8::DOUBLE / n)}} "
+        f"for c in range(floor({at(k)} * (8::DOUBLE / n))::INT, least(ceil(({at(k)} + 1) * (8::DOUBLE / n)), 8)::INT)]"
+    )
+    return (
+        f"SELECT *, [{cells('k')} for k in range(8)] AS cells FROM (SELECT *, {new}::INT AS n FROM g)",
+        "[least(greatest(round_even(list_sum([y.s * list_sum([x.s * p[y.i * 8 + x.i + 1] for x in cells[k % 8 + 1]]) for y in cells[k // 8 + 1]]), 0), 0), 255)::INT for k in range(64)]",
+    )
+
+
+def _draw(at: str, seed: int) -> str:
+    return f"((('0x' || substr(md5('{seed}:' || vec_id || ':' || ({at})), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE)"
+
+
 def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two copies of every image through all kernels, each with probability one half."""
     done = kernels.augment(images(spark, sf_dir), kernels.Registry().names(), seed=3, copies=2)
@@ -57,6 +149,16 @@ def morphed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return morphs.morph(named).select("name", F.sha2("data", 256).alias("sha256"), "error")
 
 
+def morphed_by_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs, with the places of all pixels found by joins and grouping."""
+    names, point = ("pixels", "points"), lambda k: F.struct((F.lit(1.0 + 3 * (k % 2)) + F.element_at("p", k + 1) % 3).alias("x"), (F.lit(1.0 + 3 * (k // 2)) + F.element_at("p", k + 9) % 3).alias("y"))
+    ready = gray(spark, sf_dir).select("vec_id", F.flatten(F.transform("p", lambda p: F.array(p, p, p))).alias("pixels"), F.array(*[point(k) for k in range(4)]).alias("points"))
+    a, b = (ready.select("vec_id", *[F.col(c).alias(f"{c}_{s}") for c in names]) for s in "ab")
+    pairs = a.join(b.withColumn("vec_id", F.col("vec_id") - 10), "vec_id").withColumn("name", F.concat_ws("_", F.lit("morph"), "vec_id", F.col("vec_id") + 10))
+    done = morphs.morph_pixels(pairs.withColumn("height", F.lit(8)).withColumn("width", F.lit(8)))
+    return done.select("name", F.sha2(pixels.packed(F.col("pixels")), 256).alias("sha256"))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A classifier of label 0 against the rest, trained on and applied to all embeddings."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", (F.col("label") == 0).cast("int").alias("label"))
@@ -81,9 +183,32 @@ def face_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(done.select("path", "success", "failure_reason", "angle", F.sha2("data", 256).alias("sha256")))
 
 
-QUERIES = {"point_kernels": point_kernels, "augmented_images": augmented, "morphed_images": morphed, "scored_embeddings": scored, "model_inputs": inputs, "face_pixels": face_pixels}
+QUERIES = {"point_kernels": point_kernels, "warped_images": warped, "smoothed_images": smoothed, "noisy_images": noisy, "recompressed_images": recompressed, "augmented_images": augmented, "morphed_images": morphed, "morph_places": morphed_by_places, "scored_embeddings": scored, "model_inputs": inputs, "face_pixels": face_pixels}
 
+JOINED = "array_to_string({}, ' ')"
+BYTES = "[least(greatest(round_even(v, 0), 0), 255)::INT for v in {}]"
 ORACLES = {
+    "warped_images": f"""WITH {GRAY.replace(" AS p FROM embeddings", """ AS p, -15::DOUBLE + 1::DOUBLE * (vec_id % 31) AS angle, -0.1::DOUBLE + 0.01::DOUBLE * (vec_id % 21) AS sx, -0.09::DOUBLE + 0.01::DOUBLE * (vec_id % 19) AS sy,
+    1::DOUBLE + 0.05::DOUBLE * (vec_id % 5) AS large, 0.7::DOUBLE + 0.05::DOUBLE * (vec_id % 5) AS small FROM embeddings""")},
+  t AS (SELECT *, cos(radians(angle)) AS a, sin(radians(angle)) AS b FROM ({_reduced()[0]}))
+  SELECT vec_id, {JOINED.format(_sampled("b * (i % 8 - 4) + a * (i // 8 - 4) + 4", "a * (i % 8 - 4) - b * (i // 8 - 4) + 4"))} AS rotated,
+    {JOINED.format(_sampled("i // 8 - sy * 8", "i % 8 - sx * 8"))} AS shifted, {JOINED.format(_sampled(_along("i // 8"), _along("i % 8")))} AS enlarged,
+    {JOINED.format(_reduced()[1])} AS reduced FROM t""",
+    "smoothed_images": f"""WITH {GRAY}, d AS (SELECT *, {_taps(kernels.gaussian_line(5, 0.0)[:, None], "p")} AS d5, {_taps(kernels.gaussian_line(9, 1.3)[:, None], "p")} AS d9,
+    {_taps(kernels.gaussian_line(19, 3.0)[:, None], "p")} AS d19, 0.5::DOUBLE + 0.5::DOUBLE * (vec_id % 4) AS strength FROM g),
+  e AS (SELECT *, {_taps(kernels.gaussian_line(19, 3.0)[None, :], "d19")} AS soft FROM d)
+  SELECT vec_id, {JOINED.format(BYTES.format(_taps(kernels.gaussian_line(5, 0.0)[None, :], "d5")))} AS blurred, {JOINED.format(BYTES.format(_taps(kernels.gaussian_line(9, 1.3)[None, :], "d9")))} AS blurred_wide,
+    {JOINED.format(BYTES.format(_taps(kernels.motion(5, 30.0), "p")))} AS smeared,
+    {JOINED.format("[least(greatest(round_even((1 + strength) * p[k + 1] - strength * soft[k + 1], 0), 0), 255)::INT for k in range(64)]")} AS sharpened FROM e""",
+    "recompressed_images": f"""WITH {GRAY}, b AS (SELECT vec_id, [x - 128::DOUBLE for x in p] AS d, {warps._cosines()}::DOUBLE[] AS c, 30 + vec_id % 61 AS q, {kernels.LUMINANCE} AS t FROM g),
+  s AS (SELECT *, [greatest(least((x * CASE WHEN q < 50 THEN 5000 // q ELSE 200 - 2 * q END + 50) // 100, 255), 1)::DOUBLE for x in t] AS table_ FROM b),
+  e AS (SELECT *, {_cosine_sum("(c[(f // 8) * 8 + k // 8 + 1] * c[(f % 8) * 8 + k % 8 + 1])", "d")} AS raw FROM s),
+  r AS (SELECT *, [round_even(raw[f + 1] / table_[f + 1], 0) * table_[f + 1] for f in range(64)] AS kept FROM e),
+  z AS (SELECT *, {_cosine_sum("(c[(k // 8) * 8 + f // 8 + 1] * c[(k % 8) * 8 + f % 8 + 1])", "kept")} AS back FROM r)
+  SELECT vec_id, {JOINED.format(BYTES.format("[x + 128 for x in back]"))} AS recompressed FROM z""",
+    "noisy_images": f"""WITH {GRAY} SELECT vec_id,
+    {JOINED.format(f"[floor(least(greatest(p[i + 1] + (2 + 1::DOUBLE * (vec_id % 14)) * (sqrt(-2 * ln({_draw('i', 3)})) * cos(2 * pi() * {_draw('i', 4)})), 0), 255))::INT for i in range(64)]")} AS noisy,
+    {JOINED.format(f"[CASE WHEN {_draw('i', 5)} >= 0.01::DOUBLE + 0.01::DOUBLE * (vec_id % 5) THEN p[i + 1] WHEN {_draw('i', 6)} < 0.5::DOUBLE THEN 255 ELSE 0 END for i in range(64)]")} AS speckled FROM g""",
     "point_kernels": f"""WITH {GRAY}, m AS (SELECT *, list_avg(p) AS mean, round_even(list_avg(p), 0) AS whole FROM g)
   SELECT vec_id, array_to_string([p[(i // 8) * 8 + 8 - i % 8] for i in range(64)], ' ') AS flipped,
     array_to_string([least(round_even(x * 1.3::DOUBLE, 0), 255)::INT for x in p], ' ') AS brightened,
