@@ -1,8 +1,8 @@
 """ROC and precision-recall curves and equal error rates over scores of any number.
 
-Rows are first grouped by score, so ties are one step of the curve. Running totals go in two levels: score
-ranges are buckets, a window over the few buckets gives each its start, and windows run inside buckets. No
-window ever holds all scores.
+Rows are first grouped by score, so ties are one step of the curve. Running totals go in two levels: the
+distinct scores are range-partitioned into buckets of about BUCKET_ROWS, however they are spread; a window over the
+few buckets gives each its start, and windows run inside buckets. No window ever holds all scores.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomwork.functions.metrics import ratio
+from loomwork.session import materialise
 
-BUCKETS = 1000
+BUCKET_ROWS, BROADCAST_BUCKETS = 50_000, 10_000
 
 
-def score_steps(rows: DataFrame, true: str = "true_label", score: str = "score", buckets: int = BUCKETS) -> DataFrame:
+def score_steps(rows: DataFrame, true: str = "true_label", score: str = "score", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(threshold, pos, neg, tp, fp, n_pos, n_neg, corner), one row per distinct score.
 
     tp and fp count rows scored at or above the threshold. corner marks the steps where the curve changes
@@ -26,10 +27,13 @@ def score_steps(rows: DataFrame, true: str = "true_label", score: str = "score",
         .groupBy(F.col(score).cast("double").alias("threshold"))
         .agg(F.count_if(t == 1).alias("pos"), F.count_if(t == 0).alias("neg"))
     )
-    ends = groups.agg(F.min("threshold").alias("lo"), F.max("threshold").alias("hi"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
-    lo, hi = ends["lo"] or 0.0, ends["hi"] or 0.0
-    width = (hi - lo) or 1.0
-    bucketed = groups.withColumn("_b", F.floor((F.lit(hi) - F.col("threshold")) / F.lit(width) * F.lit(buckets)).cast("int"))
+    groups = materialise(groups, "scores")
+    ends = groups.agg(F.count("*").alias("steps"), F.max("threshold").alias("hi"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    hi, buckets = ends["hi"] or 0.0, max(1, -(-ends["steps"] // bucket_rows))
+    bucketed = groups.withColumn("_b", F.lit(0))
+    if buckets > 1:
+        ranged = groups.repartitionByRange(buckets, F.desc("threshold")).withColumn("_b", F.spark_partition_id())
+        bucketed = materialise(ranged, "score-buckets")
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     following = Window.orderBy("_b")
     starts = (
@@ -46,7 +50,8 @@ def score_steps(rows: DataFrame, true: str = "true_label", score: str = "score",
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     step = F.struct("pos", "neg")
     after = F.coalesce(F.lead(step).over(inside), F.col("_next_first"))
-    return bucketed.join(F.broadcast(starts), "_b").select(  # at most BUCKETS + 1 rows
+    few = F.broadcast(starts) if buckets <= BROADCAST_BUCKETS else starts
+    steps = bucketed.join(few, "_b").select(
         "threshold",
         "pos",
         "neg",
@@ -56,6 +61,7 @@ def score_steps(rows: DataFrame, true: str = "true_label", score: str = "score",
         F.lit(ends["n"] or 0).cast("long").alias("n_neg"),
         (after.isNull() | (after != step) | (F.col("threshold") == F.lit(hi))).alias("corner"),
     )
+    return materialise(steps, "score-steps")
 
 
 def roc_points(steps: DataFrame) -> DataFrame:

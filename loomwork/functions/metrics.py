@@ -11,6 +11,21 @@ def ratio(over: Column, under: Column, empty: float | None = None) -> Column:
     return value if empty is None else F.coalesce(value, F.lit(empty))
 
 
+def check_predictions(rows: DataFrame, true: str = "true_label", predicted: str = "predicted_label", probability: str = "probability") -> DataFrame:
+    """rows, failing at run time where a label isn't 0 or 1 or a probability lies outside 0..1 or is missing."""
+    p = F.col(probability)
+    good = check_labels(check_labels(rows, true), predicted)
+    bad = F.raise_error(F.concat(F.lit(f"{probability} must be within 0 and 1, not "), F.coalesce(p.cast("string"), F.lit("null"))))
+    return good.withColumn(probability, F.when(F.coalesce((p >= 0) & (p <= 1), F.lit(False)), p).otherwise(bad.cast("double")))
+
+
+def check_filled(rows: DataFrame) -> DataFrame:
+    """rows; ValueError if there are none. One row is read."""
+    if rows.isEmpty():
+        raise ValueError("there is nothing to evaluate")
+    return rows
+
+
 def check_labels(rows: DataFrame, label: str = "true_label", classes: tuple[int, ...] = (0, 1)) -> DataFrame:
     """rows, failing at run time on a label outside classes or null."""
     good = F.col(label).isin(*classes)
@@ -35,8 +50,13 @@ def confusion(rows: DataFrame, true: str = "true_label", predicted: str = "predi
 
 
 def k_class_confusion(rows: DataFrame, classes: int, true: str = "true_label", predicted: str = "predicted_label") -> DataFrame:
-    """(true_label, predicted_label, n) for every cell of the classes x classes grid, zeros included."""
+    """(true_label, predicted_label, n) for every cell of the classes x classes grid, zeros included.
+
+    Fails at run time on a label outside 0..classes-1 or null: nothing is left out of the counts.
+    """
     spark = rows.sparkSession
+    for column in dict.fromkeys((true, predicted)):
+        rows = check_labels(rows, column, tuple(range(classes)))
     side = spark.range(classes).select(F.col("id").cast("int").alias("true_label"))
     grid = side.withColumn("predicted_label", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))))
     counts = rows.groupBy(F.col(true).cast("int").alias("true_label"), F.col(predicted).cast("int").alias("predicted_label")).agg(F.count("*").alias("n"))

@@ -72,6 +72,9 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
         paths.part(F.col("p"), 4).alias("fourth"),
         paths.with_suffix(F.col("p"), ".jpg").alias("as_jpg"),
         paths.mirrored(F.col("p"), "www.ththen.example.com", "/out", ".png").alias("mirrored"),
+        paths.augmented_name(F.col("p"), F.array(F.lit("gamma")), paths.output_suffix(F.col("p"), "TIFF"), "operator_prefix").alias("prefixed"),
+        paths.augmented_name(F.col("p"), F.array(F.lit("gamma")), paths.output_suffix(F.col("p")), "flat").alias("flat"),
+        paths.epoch_name(F.col("page_id") % 500).alias("epoch_name"),
         paths.resolved(F.col("p"), "/data").alias("resolved"),
         paths.morph_name(paths.part(F.col("p"), 1), paths.part(F.col("p"), 2), F.col("alpha")).alias("morph"),
         paths.augmented_name(F.col("p"), F.when(F.col("page_id") % 2 == 0, F.array(F.lit("blur"), F.lit("flip"))).otherwise(F.array().cast("array<string>")), F.lit(".jpg")).alias("augmented"),
@@ -136,7 +139,8 @@ ORACLES = {
   q AS (SELECT *, string_split(p, '/') AS s, lower(regexp_extract(p, '[^/](\.[^./]+)$', 1)) AS e FROM p),
   r AS (SELECT *, CASE WHEN s[-1] LIKE '_%.%' THEN regexp_replace(s[-1], '\.[^.]+$', '') ELSE s[-1] END AS stem FROM q)
   SELECT page_id, e AS extension, stem, coalesce(s[2], '') AS identity, coalesce(s[4], '') AS fourth,
-    regexp_replace(p, '([^/])\.[^./]*$', '\1') || '.jpg' AS as_jpg, '/out/' || regexp_replace(regexp_replace(p, '^www.ththen.example.com/', ''), '([^/])\.[^./]*$', '\1') || '.png' AS mirrored,
+    regexp_replace(p, '([^/])\.[^./]*$', '\1') || '.jpg' AS as_jpg, '/out/' || regexp_replace(CASE WHEN starts_with(p, 'www.ththen.example.com/') THEN substr(p, 24) ELSE p END, '([^/])\.[^./]*$', '\1') || '.png' AS mirrored,
+    'aug_gamma_' || stem || '.tiff' AS prefixed, stem || e AS flat, 'epoch_' || lpad((page_id % 500)::VARCHAR, 4, '0') || '.pt' AS epoch_name,
     '/data/' || p AS resolved, 'morph_' || s[1] || '_' || coalesce(s[2], '') || '_a' || lpad(trunc(alpha * 100)::INT::VARCHAR, 3, '0') || '.jpg' AS morph,
     stem || '_aug_' || CASE WHEN page_id % 2 = 0 THEN 'blur_flip' ELSE 'noop' END || '.jpg' AS augmented FROM r""",
     "early_stopping": f"""WITH RECURSIVE {HISTORY}, o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS k FROM h),

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,8 +42,8 @@ def test_absent_class_is_null(make):
     ],
 )
 def test_curves(make, labels, scores, auc, eer, threshold):
-    for buckets in (1, 1000):
-        steps = curves.score_steps(make(labels, scores), buckets=buckets)
+    for bucket_rows in (50_000, 2):
+        steps = curves.score_steps(make(labels, scores), bucket_rows=bucket_rows)
         if auc is not None:
             assert curves.areas(steps).first()["roc_auc"] == pytest.approx(auc, abs=1e-6)
         if eer is not None:
@@ -81,6 +83,25 @@ def test_class_weights_and_k_class(make, spark):
     assert {(r[0], r[1]): r[2] for r in cells.collect()} == {(0, 0): 2, (0, 1): 1, (1, 0): 0, (1, 1): 1}
 
 
+def test_labels_outside_the_grid_are_refused(make):
+    for true, predicted in (([0, 2], [0, 1]), ([0, 1], [0, -1])):
+        with pytest.raises(Exception, match="must be one of"):
+            metrics.k_class_confusion(make(true, [0.0, 0.0], predicted), 2).collect()
+    with pytest.raises(Exception, match="probability must be within"):
+        metrics.check_predictions(make([0, 1], [0.2, 1.2], [0, 1])).agg(F.sum("probability")).collect()
+    with pytest.raises(ValueError, match="nothing"):
+        metrics.check_filled(make([0], [0.1]).limit(0))
+
+
+def test_curves_in_buckets(make):
+    """Skewed scores: nearly all of them lie in a thousandth of the range, and any number of buckets gives the same steps."""
+    rng = random.Random(4)
+    scores = [0.999 + rng.random() / 1000 for _ in range(300)] + [rng.random() for _ in range(20)]
+    rows = make([rng.randint(0, 1) for _ in scores], scores)
+    one = sorted(map(tuple, curves.score_steps(rows).collect()))
+    assert one == sorted(map(tuple, curves.score_steps(rows, bucket_rows=17).collect())) and len(one) == len(set(scores))
+
+
 def test_weighted_mean(spark):
     rows = spark.createDataFrame([(1.0, 8), (0.5, 2)], "v double, n int")
     assert metrics.weighted_mean(rows, "v", "n").first()["mean"] == pytest.approx(0.9)
