@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomwork.session import materialise
+
 
 def unordered_pairs(identities: DataFrame, group: str, identity: str, limit: int | None = None) -> DataFrame:
     """(group, identity_a, identity_b) for all pairs a < b of distinct identities of a group.
@@ -53,16 +55,21 @@ def keep_last(rows: DataFrame, order: str, k: int, by: list[str]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))).where(F.col("_r") <= k).drop("_r")
 
 
-def batches(rows: DataFrame, size: int, order: Column, drop_last: bool = False, buckets: int = 64) -> DataFrame:
-    """rows with batch_id: shuffled by hash and numbered without a global sort.
+def batches(rows: DataFrame, size: int, order: Column, drop_last: bool = False, bucket_rows: int = 50_000) -> DataFrame:
+    """rows with batch_id: numbered by `order`, such as a hash, without a window over all of them.
 
-    Hash buckets are numbered inside, a window over the bucket counts offsets them.
+    Ranges of the order of about bucket_rows rows are numbered inside, a window over their counts offsets them.
     """
-    keyed = rows.withColumn("_h", order).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    keyed = materialise(rows.withColumn("_h", order), "ordered-rows")
+    buckets = max(1, -(-keyed.count() // bucket_rows))
+    keyed = keyed.withColumn("_b", F.lit(0))
+    if buckets > 1:
+        keyed = materialise(keyed.repartitionByRange(buckets, "_h").withColumn("_b", F.spark_partition_id()), "ordered-buckets")
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(0))))
+    starts = F.broadcast(starts.drop("_n")) if buckets <= 10_000 else starts.drop("_n")
     rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h")) - 1
-    numbered = keyed.withColumn("_i", rank).join(F.broadcast(starts.drop("_n")), "_b").withColumn("_i", F.col("_i") + F.col("_start"))
+    numbered = keyed.withColumn("_i", rank).join(starts, "_b").withColumn("_i", F.col("_i") + F.col("_start"))
     kept = numbered.where(F.col("_i") < F.col("_all") - F.col("_all") % size) if drop_last else numbered
     return kept.withColumn("batch_id", F.floor(F.col("_i") / size).cast("long")).drop("_h", "_b", "_i", "_start", "_all")

@@ -1,9 +1,14 @@
-"""Data-quality checks over split assignments; each returns (check, severity, message, context)."""
+"""Data-quality checks over split assignments; each returns (check, severity, message, context).
+
+Fixed values: names of checks, messages and context keys, which other tools read.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomwork.session import materialise
+
 
 def quoted(value: Column) -> Column:
     return F.concat(F.lit("'"), value.cast("string"), F.lit("'"))
@@ -44,12 +49,17 @@ def invalid_labels(assigned: DataFrame, valid: tuple[str, ...] = ("bona_fide", "
 
 
 def duplicate_images(assigned: DataFrame) -> DataFrame:
-    """Image ids found more than once, with the split of each; rows are counted by (image, split) before they meet."""
+    """Image ids found more than once, with their splits and how often each holds them.
+
+    Rows are counted by (image, split) before they meet, and a split is named once, so that an id of any number of rows
+    stays one short line.
+    """
     counts = assigned.groupBy("image_id", "split").agg(F.count("*").alias("c"))
-    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("split", "c"))), lambda x: F.array_repeat(x["split"], x["c"].cast("int"))))
-    found = counts.groupBy("image_id").agg(F.sum("c").alias("n"), listed.alias("splits")).where("n > 1")
-    text = F.format_string("Image %s appears %d times across splits [%s].", quoted(F.col("image_id")), F.col("n"), F.concat(F.lit("'"), F.array_join("splits", "', '"), F.lit("'")))
-    return _issues(found, "duplicate_image", text, image_id=F.col("image_id"), splits=F.array_join("splits", ","))
+    found = counts.groupBy("image_id").agg(F.sum("c").alias("n"), F.array_sort(F.collect_list(F.struct("split", "c"))).alias("each")).where("n > 1")
+    splits = F.transform("each", lambda x: F.coalesce(x["split"], F.lit("None")))
+    text = F.format_string("Image %s appears %d times across splits [%s].", quoted(F.col("image_id")), F.col("n"), F.concat(F.lit("'"), F.array_join(splits, "', '"), F.lit("'")))
+    numbers = F.array_join(F.transform("each", lambda x: F.concat_ws(":", F.coalesce(x["split"], F.lit("None")), x["c"].cast("string"))), ",")
+    return _issues(found, "duplicate_image", text, image_id=F.col("image_id"), splits=numbers)
 
 
 def _spread(rows: DataFrame, key: str) -> DataFrame:
@@ -94,6 +104,7 @@ def missing_files(assigned: DataFrame, files: DataFrame, root: str) -> DataFrame
 def verify(assigned: DataFrame, members: DataFrame | None = None, expected: DataFrame | None = None, files: DataFrame | None = None, root: str = "") -> DataFrame:
     """All checks that the given tables allow, as one table of issues; bucket defaults to the declared split."""
     rows = assigned if "bucket" in assigned.columns else assigned.withColumn("bucket", F.col("split"))
+    rows = materialise(rows.select("image_id", "split", "label", "identities", "bucket"), "assigned")
     found = [bucket_mismatch(rows), missing_metadata(rows), invalid_labels(rows), duplicate_images(rows), identity_leakage(rows)]
     if members is not None:
         found.append(component_leakage(rows, members))
@@ -107,6 +118,11 @@ def verify(assigned: DataFrame, members: DataFrame | None = None, expected: Data
     return out
 
 
+def issues_for(issues: DataFrame, check: str) -> DataFrame:
+    """The issues of one check."""
+    return issues.where(F.col("check") == check)
+
+
 def verdict(issues: DataFrame) -> DataFrame:
     """(passed, error_count, warning_count)."""
     errors = F.count_if(F.col("severity") == "error")

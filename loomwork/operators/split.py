@@ -72,7 +72,19 @@ def shuffled(count: int, seed: int) -> list[int]:
     return order
 
 
-def assign(sizes: DataFrame, ratios: SplitRatios, order: Column, block_rows: int = 50_000) -> DataFrame:
+def shuffled_sizes(sizes: DataFrame, seed: int) -> DataFrame:
+    """sizes with turn: the place of each component in Python's own seeded shuffle of all in ascending order."""
+    spark = sizes.sparkSession
+    kind = dict(sizes.dtypes)["component"]
+    turns = shuffled(sizes.count(), seed)
+    place = [0] * len(turns)
+    for turn, k in enumerate(turns):
+        place[k] = turn
+    numbered = [(row["component"], place[k]) for k, row in enumerate(sizes.select("component").orderBy("component").toLocalIterator())]
+    return sizes.join(spark.createDataFrame(numbered, f"component {kind}, turn long"), "component")
+
+
+def assign(sizes: DataFrame, ratios: SplitRatios, order: Column, block_rows: int = 1_000_000) -> DataFrame:
     """(component, images, split): each component in order goes to the split with the least images per ratio.
 
     The choice is made before the component's own images count; equal levels go to the first of train, val
@@ -87,13 +99,16 @@ def assign(sizes: DataFrame, ratios: SplitRatios, order: Column, block_rows: int
 
     def filled(rows: DataFrame, start: dict[str, int]) -> DataFrame:
         def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            used = dict(start)
+            names, under = [s for s, _ in shares], [share for _, share in shares]
+            used = [start[s] for s in names]
+            levels = [u / share for u, share in zip(used, under, strict=True)]
             for batch in batches:
                 chosen = []
-                for images in batch["images"]:
-                    split = min(shares, key=lambda s: used[s[0]] / s[1])[0]
-                    used[split] += images
-                    chosen.append(split)
+                for images in batch["images"].tolist():
+                    k = levels.index(min(levels))
+                    used[k] += images
+                    levels[k] = used[k] / under[k]
+                    chosen.append(names[k])
                 yield pd.DataFrame({"component": batch["component"], "images": batch["images"], "split": chosen})
 
         return rows.repartition(1).sortWithinPartitions("_order", "component").mapInPandas(fill, f"component {kind}, images long, split string")
@@ -110,11 +125,20 @@ def assign(sizes: DataFrame, ratios: SplitRatios, order: Column, block_rows: int
     return reduce(DataFrame.unionByName, done)
 
 
-def split_dataset(bona_fide: DataFrame, morphs: DataFrame, ratios: SplitRatios = SplitRatios(), seed: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(assignments, component_splits): each image with its split, label and identities; each identity with its component and split."""
-    members = components(bona_fide, morphs)
-    chosen = assign(component_sizes(members, bona_fide, morphs), ratios, seeded_order(F.col("component"), seed))
-    placed = members.join(chosen.select("component", "split"), "component")
+def split_dataset(bona_fide: DataFrame, morphs: DataFrame, ratios: SplitRatios = SplitRatios(), seed: int | None = None, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(assignments, component_splits): each image with its split, label and identities; each identity with its component and split.
+
+    Members, sizes and places are written once, so that any use of either table starts from there. `exact` gives the order
+    that Python's own shuffle of all components in their first order has, instead of one by hash; it numbers the
+    components on the driver and suits sets whose ids fit there.
+    """
+    bona_fide, morphs = (materialise(x, name) for x, name in ((bona_fide, "bona-fide"), (morphs, "morphs")))
+    members = materialise(components(bona_fide, morphs), "members")
+    sizes = materialise(component_sizes(members, bona_fide, morphs), "component-sizes")
+    order = seeded_order(F.col("component"), seed)
+    if exact and seed is not None:
+        sizes, order = shuffled_sizes(sizes, seed), F.col("turn")
+    placed = materialise(members.join(assign(sizes, ratios, order).select("component", "split"), "component"), "placed")
     return assignments(bona_fide, morphs, placed), placed
 
 
@@ -128,6 +152,30 @@ def assignments(bona_fide: DataFrame, morphs: DataFrame, placed: DataFrame) -> D
     return singles.unionByName(pairs)
 
 
+def split_of(assigned: DataFrame, image_id: str) -> str:
+    """The split of one image; KeyError if it has none."""
+    row = assigned.where(F.col("image_id") == image_id).select("split").first()
+    if row is None:
+        raise KeyError(image_id)
+    return row["split"]
+
+
+def component_of(members: DataFrame, identity) -> DataFrame:
+    """The identities of one identity's component; KeyError if it is unknown."""
+    row = members.where(F.col("identity") == F.lit(identity)).select("component").first()
+    if row is None:
+        raise KeyError(identity)
+    return members.where(F.col("component") == F.lit(row["component"])).select("identity")
+
+
+def check_disjoint(assigned: DataFrame, placed: DataFrame) -> DataFrame:
+    """assigned; ValueError naming up to five components that lie in several splits."""
+    found = leaks(assigned, placed).orderBy("component").limit(5).collect()
+    if found:
+        raise ValueError(f"components in several splits: {[r['component'] for r in found]}")
+    return assigned
+
+
 def leaks(assigned: DataFrame, placed: DataFrame) -> DataFrame:
     """Components whose images lie in more than one split; none after split_dataset."""
     seen = assigned.select(F.explode("identities").alias("identity"), "split").join(placed.select("identity", "component"), "identity")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from loomwork.functions.metrics import ratio
 from loomwork.operators.split import BONA_FIDE, MORPH, SPLITS
@@ -48,8 +48,6 @@ def split_statistics(assigned: DataFrame, splits: tuple[str, ...] = SPLITS) -> D
 
 
 def _everything():
-    from pyspark.sql import Window
-
     return Window.partitionBy(F.lit(0))  # over the four rows of split names
 
 
@@ -98,6 +96,30 @@ def inventory_summary(inventory: DataFrame) -> DataFrame:
     return totals.join(F.broadcast(values)).join(F.broadcast(sizes))  # one row each
 
 
+def component_counts(placed: DataFrame, splits: tuple[str, ...] = SPLITS) -> DataFrame:
+    """(split, component_count) of placed(identity, component, split), empty splits and all together too."""
+    names = placed.sparkSession.createDataFrame([(s,) for s in (*splits, "overall")], "split string")
+    distinct = placed.select("component", "split").distinct().select(F.explode(F.array("split", F.lit("overall"))).alias("split"), "component").distinct()
+    counts = distinct.groupBy("split").agg(F.count("*").alias("component_count"))
+    return names.join(counts, "split", "left").select("split", F.coalesce("component_count", F.lit(0)).cast("long").alias("component_count"))
+
+
+def statistics_rows(stats: DataFrame) -> DataFrame:
+    """split_statistics for a flat file: numbers with four places, class_balance as label:share joined by ;, empty for all splits together."""
+    share = lambda x: F.format_string("%.4f", x)
+    balance = F.array_join(F.transform(F.array_sort(F.map_entries("class_balance")), lambda e: F.concat_ws(":", e["key"], share(e["value"]))), ";")
+    return stats.withColumn("percentage_of_dataset", share(F.col("percentage_of_dataset"))).withColumn("class_balance", F.when(F.col("split") == "overall", "").otherwise(balance))
+
+
+def run_report(outcomes: DataFrame, status: str = "status", reason: str = "reason", shown: int = 20) -> DataFrame:
+    """(status, n, reasons): rows of a run by status, and the commonest reasons of each, with how often each occurs, at most `shown`."""
+    counts = outcomes.groupBy(F.col(status).alias("status"), F.col(reason).alias("reason")).agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy("status").orderBy(F.desc("n"), "reason")))
+    listed = F.array_sort(F.collect_list(F.when((F.col("_r") <= shown) & F.col("reason").isNotNull(), F.struct("_r", "reason", "n"))))
+    named = F.transform(listed, lambda x: F.concat_ws(": ", x["reason"], x["n"].cast("string")))
+    return ranked.groupBy("status").agg(F.sum("n").alias("n"), named.alias("reasons"))
+
+
 def run_summary(outcomes: DataFrame, status: str = "status") -> DataFrame:
     """(status, n) of a run's rows."""
     return outcomes.groupBy(status).agg(F.count("*").alias("n"))

@@ -93,8 +93,9 @@ FAULTY = """WITH a AS (SELECT 'img-' || (o_orderkey // 2) AS image_id,
     FROM (SELECT image_id, list_concat(CASE WHEN label = '' THEN ['label'] ELSE [] END, CASE WHEN len(identities) = 0 THEN ['identities'] ELSE [] END) AS x FROM a) WHERE len(x) > 0
   UNION ALL SELECT 'invalid_label', 'Assignment ''' || image_id || ''' has invalid label ''' || label || '''; expected one of [''bona_fide'', ''morph''].', 'image_id=' || image_id || ';label=' || label
     FROM a WHERE label NOT IN ('bona_fide', 'morph')
-  UNION ALL SELECT 'duplicate_image', 'Image ''' || image_id || ''' appears ' || n || ' times across splits [''' || array_to_string(s, ''', ''') || '''].', 'image_id=' || image_id || ';splits=' || array_to_string(s, ',')
-    FROM (SELECT image_id, count(*) AS n, list_sort(list(split)) AS s FROM a GROUP BY image_id) WHERE n > 1
+  UNION ALL SELECT 'duplicate_image', 'Image ''' || image_id || ''' appears ' || n || ' times across splits [''' || array_to_string(s, ''', ''') || '''].', 'image_id=' || image_id || ';splits=' || c
+    FROM (SELECT image_id, sum(k)::BIGINT AS n, list_sort(list(split)) AS s, string_agg(split || ':' || k, ',' ORDER BY split) AS c
+          FROM (SELECT image_id, split, count(*) AS k FROM a GROUP BY 1, 2) GROUP BY image_id) WHERE n > 1
   UNION ALL SELECT 'identity_leakage', 'Identity ''' || identity || ''' leaks across splits [''' || array_to_string(s, ''', ''') || '''].', 'identity=' || identity || ';splits=' || array_to_string(s, ',')
     FROM (SELECT identity, list_sort(list(DISTINCT split)) AS s FROM seen GROUP BY identity) WHERE len(s) > 1
   UNION ALL SELECT 'component_leakage', 'Connected component ''' || c || ''' spans multiple splits: [''' || array_to_string(s, ''', ''') || '''].', 'component=' || c || ';splits=' || array_to_string(s, ',')
@@ -165,6 +166,7 @@ QUERIES = {
     "split_assignments": lambda s, d: split_of(s, d)[0].withColumn("identities", F.array_join(F.col("identities").cast("array<string>"), "|")),
     "split_statistics": split_stats,
     "split_leaks": lambda s, d: split.leaks(*split_of(s, d)),
+    "split_component_counts": lambda s, d: statistics.component_counts(split_of(s, d)[1]),
     "graph_neighbors": lambda s, d: graph.neighbors(graph.build_edges(samples(s, d)[1], "identity_a", "identity_b")).withColumn("neighbors", F.array_join(F.col("neighbors").cast("array<string>"), "|")),
     "quality_report": quality_report,
     "quality_verdict": lambda s, d: quality.verdict(quality_report(s, d)),
@@ -195,6 +197,9 @@ ORACLES = {
   FROM t JOIN i USING (split)""",
     "split_leaks": SAMPLES
     + "SELECT component, count(DISTINCT a.split) AS splits FROM (SELECT unnest(identities) AS identity, split FROM assigned) a JOIN placed p USING (identity) GROUP BY 1 HAVING count(DISTINCT a.split) > 1",
+    "split_component_counts": SAMPLES
+    + """, x AS (SELECT DISTINCT component, unnest([split, 'overall']) AS split FROM placed)
+  SELECT n.split, count(x.component)::BIGINT AS component_count FROM (VALUES ('train'), ('val'), ('test'), ('overall')) n(split) LEFT JOIN x USING (split) GROUP BY 1""",
     "graph_neighbors": SAMPLES
     + """, b AS (SELECT identity_a AS vertex, identity_b AS o FROM m UNION SELECT identity_b, identity_a FROM m)
   SELECT vertex, string_agg(o::VARCHAR, '|' ORDER BY o) AS neighbors FROM b GROUP BY vertex""",
@@ -215,6 +220,6 @@ ORACLES = {
     "keep_last_checkpoints": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r <= 3",
     "identity_representatives": """SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY md5('3:' || l_linenumber), l_linenumber) AS r FROM lineitem) WHERE r = 1""",
-    "training_batches": """WITH h AS (SELECT doc_id, ('0x' || substr(md5('1:' || doc_id), 1, 12))::BIGINT AS h FROM labels), n AS (SELECT *, row_number() OVER (ORDER BY h % 64, h) - 1 AS i, count(*) OVER () AS c FROM h)
+    "training_batches": """WITH h AS (SELECT doc_id, ('0x' || substr(md5('1:' || doc_id), 1, 12))::BIGINT AS h FROM labels), n AS (SELECT *, row_number() OVER (ORDER BY h) - 1 AS i, count(*) OVER () AS c FROM h)
   SELECT doc_id, (i // 32)::BIGINT AS batch_id FROM n WHERE i < c - c % 32""",
 }

@@ -164,3 +164,70 @@ def test_batches_cover_all_rows(spark):
     got = pairs.batches(spark.range(100), 32, F.xxhash64("id")).groupBy("batch_id").count().collect()
     assert sorted(r["count"] for r in got) == [4, 32, 32, 32]
     assert pairs.batches(spark.range(100), 32, F.xxhash64("id"), drop_last=True).count() == 96
+
+
+def test_batches_do_not_depend_on_buckets(spark):
+    order = F.xxhash64("id")
+    one, many = (sorted(map(tuple, pairs.batches(spark.range(300), 32, order, bucket_rows=n).collect())) for n in (10_000, 23))
+    ranked = sorted(r["id"] for r in spark.range(300).orderBy(order).limit(32).collect())
+    assert one == many and ranked == [i for i, batch in one if batch == 0]
+
+
+def test_many_components_are_one_sequence(spark):
+    """More components than one block holds, against the plain loop."""
+    rng = random.Random(9)
+    sizes = [(i, rng.randint(0, 7)) for i in range(60_000)]
+    frame = spark.createDataFrame(sizes, "component long, images long").repartition(7)
+    want = greedy(sizes, split.SplitRatios(0.7, 0.2, 0.1))
+    for rows in (1_000_000, 25_000):
+        got = split.assign(frame, split.SplitRatios(0.7, 0.2, 0.1), F.col("component"), rows)
+        assert {r["component"]: r["split"] for r in got.collect()} == want
+
+
+def test_exact_shuffle(spark):
+    people = [f"id{i:02d}" for i in range(30)]
+    bona_fide, morphs = frames(spark, people, [("id00", "id07")])
+    assigned, placed = split.split_dataset(bona_fide, morphs, split.SplitRatios(0.6, 0.2, 0.2), 5, exact=True)
+    first = [p for p in people if p != "id07"]
+    order = list(range(len(first)))
+    random.Random(5).shuffle(order)
+    want = greedy([(first[k], 3 if first[k] == "id00" else 1) for k in order], split.SplitRatios(0.6, 0.2, 0.2))
+    assert {r["component"]: r["split"] for r in placed.collect()} == want
+    assert split.check_disjoint(assigned, placed).count() == 31
+    image = assigned.first()
+    assert split.split_of(assigned, image["image_id"]) == image["split"]
+    assert sorted(r[0] for r in split.component_of(placed, "id07").collect()) == ["id00", "id07"]
+    for call in (lambda: split.split_of(assigned, "none"), lambda: split.component_of(placed, "none")):
+        with pytest.raises(KeyError):
+            call()
+    moved = assigned.withColumn("split", F.when(F.col("image_id") == image["image_id"], "elsewhere").otherwise(F.col("split")))
+    moved = moved.unionByName(assigned.where(F.col("image_id") == image["image_id"]))
+    with pytest.raises(ValueError, match="several splits"):
+        split.check_disjoint(moved, placed)
+    counts = {r["split"]: r["component_count"] for r in statistics.component_counts(placed).collect()}
+    assert counts["overall"] == 29 == counts["train"] + counts["val"] + counts["test"]
+
+
+def test_duplicates_are_counted_by_split(spark):
+    rows = [("a", "val", "morph", ["A"])] * 500 + [("a", "train", "morph", ["B"])] + [("b", "val", "morph", ["C"])]
+    issues = quality.duplicate_images(spark.createDataFrame(rows, SCHEMA))
+    row = issues.first()
+    assert issues.count() == 1 and row["message"] == "Image 'a' appears 501 times across splits ['train', 'val']." and row["context"]["splits"] == "train:1,val:500"
+    assert quality.issues_for(issues, "duplicate_image").count() == 1 and quality.issues_for(issues, "other").count() == 0
+
+
+def test_scratch_is_released(spark, tmp_path):
+    from loomwork import session
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(Elsewhere)
+    kept = session.materialise(spark.range(3), "x")
+    assert kept.count() == 3 and session.run_dir(spark) in kept.inputFiles()[0]
