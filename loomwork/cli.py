@@ -1,4 +1,4 @@
-"""Commands over folders and tables: split, inspect, augment, align, morph, evaluate, predict. Exit codes say what went wrong."""
+"""Commands over folders and tables: split, inspect, augment, align, morph, train, evaluate, predict. Exit codes say what went wrong."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import sys
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomwork import reports
-from loomwork.functions import curves, kernels, metrics
+from loomwork import reports, results
+from loomwork.functions import kernels, metrics
 from loomwork.operators import faces, model, morphs, quality, split, statistics
 from loomwork.session import build_session
 from loomwork.sources import scans, sinks
@@ -26,12 +26,13 @@ def run_split(spark: SparkSession, args: argparse.Namespace) -> int:
         print(error, file=sys.stderr)
         return BAD_CONFIG
     bona_fide, morphs = scans.split_metadata(spark, args.metadata)
-    assigned, placed = split.split_dataset(bona_fide, morphs, ratios, args.seed)
-    sinks.split_manifests(assigned, args.output)
+    assigned, placed = split.split_dataset(bona_fide, morphs, ratios, args.seed, args.exact_shuffle)
+    sinks.split_manifests(split.check_disjoint(assigned, placed), args.output)
     if args.statistics:
         stats = statistics.split_statistics(assigned)
         print(reports.console(stats))
-        sinks.summary(stats, f"{args.output}/statistics")
+        sinks.document(stats, f"{args.output}/statistics.json")
+        sinks.statistics_table(stats, f"{args.output}/statistics")
     if args.verify:
         expected = bona_fide.select("image_id").unionByName(morphs.select("image_id"))
         files = scans.image_files(spark, args.input, content=False).select(F.col("relative").alias("image_id")) if args.input else None
@@ -43,10 +44,10 @@ def run_split(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def run_inspect(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Inventory of every root's identity folders."""
+    """Inventory of every root's identity folders; with --discover, of the datasets right below each root."""
     images: DataFrame | None = None
     folders: DataFrame | None = None
-    for root in args.roots:
+    for root in [r for given in args.roots for r in (scans.dataset_roots(spark, given) if args.discover else [given])]:
         found, named = scans.image_inventory(spark, root), scans.identity_folders(spark, root)
         images, folders = (found, named) if images is None else (images.unionByName(found), folders.unionByName(named))
     inventory = statistics.identity_inventory(images, folders)
@@ -106,22 +107,24 @@ def run_predict(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def run_evaluate(spark: SparkSession, args: argparse.Namespace) -> int:
     """Metrics, curves, errors and a report from a Parquet table of predictions (index, true_label, score)."""
-    rows = metrics.decide(metrics.check_labels(spark.read.parquet(args.input)), threshold=args.threshold).withColumn("probability", F.col("score"))
-    steps = curves.score_steps(rows)
-    one = metrics.rates(metrics.confusion(rows)).withColumn("_k", F.lit(1))
-    for part in (curves.areas(steps), curves.eer_interpolated(curves.roc_points(steps)), metrics.at_threshold(rows, [args.threshold]).drop("threshold")):
-        one = one.join(F.broadcast(part.withColumn("_k", F.lit(1))), "_k")  # one row each
-    row = one.drop("_k").first()
-    sinks.summary(one.drop("_k"), f"{args.output}/metrics")
-    sinks.report(curves.roc_points(steps), f"{args.output}/roc")
-    sinks.report(metrics.confidence(rows).drop("score"), f"{args.output}/predictions")
-    for kind in ("fp", "fn"):
-        sinks.report(metrics.top_errors(rows.drop("score"), kind, args.top), f"{args.output}/top_{kind}")
-    sinks.report(metrics.misclassified(rows.drop("score")), f"{args.output}/misclassified")
-    sinks.summary(metrics.error_summary(rows, args.margin), f"{args.output}/errors")
-    classes = metrics.class_report(rows)
-    sinks.report(classes, f"{args.output}/classes")
-    print(reports.markdown(row, classes, args.name))
+    row = results.export(spark.read.parquet(args.input), args.output, args.name, args.threshold, args.margin, args.top, args.notes)
+    print(reports.metric_table(row))
+    return DONE
+
+
+def run_train(spark: SparkSession, args: argparse.Namespace) -> int:
+    """A classifier on a Parquet table of labelled embeddings, saved with its history and, with --validation, its metrics."""
+    rows = spark.read.parquet(args.input)
+    made = model.train(rows, args.vector, args.label, not args.unweighted, args.epochs, args.decay)
+    known = {}
+    if args.validation:
+        held = model.predict(made, spark.read.parquet(args.validation), args.vector)
+        checked = metrics.check_filled(held.select(F.col(args.label).cast("int").alias("true_label"), F.col("probability").alias("score"), "predicted_label"))
+        row = results.evaluate(metrics.check_labels(checked))[0].first()
+        known = {k: v for k, v in row.asDict().items() if isinstance(v, float)}
+        print(reports.metric_table(row))
+    model.save_epoch(made, args.output, args.epochs, known)
+    sinks.report(model.history(spark, made), f"{args.output}/history")
     return DONE
 
 
@@ -133,6 +136,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--metadata", required=True)
     s.add_argument("--output", required=True)
     s.add_argument("--seed", type=int, default=42)
+    s.add_argument("--exact-shuffle", action="store_true", help="order components as Python's seeded shuffle does")
     for name, share in (("train", 0.8), ("val", 0.1), ("test", 0.1)):
         s.add_argument(f"--{name}-ratio", type=float, default=share)
     s.add_argument("--verify", action="store_true")
@@ -141,6 +145,7 @@ def parser() -> argparse.ArgumentParser:
     i = commands.add_parser("inspect")
     i.add_argument("roots", nargs="+")
     i.add_argument("--output", required=True)
+    i.add_argument("--discover", action="store_true")
     i.set_defaults(run=run_inspect)
     a = commands.add_parser("augment")
     a.add_argument("--input", required=True)
@@ -158,6 +163,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--top", type=int, default=10)
     e.add_argument("--margin", type=float, default=0.1)
     e.add_argument("--name", default="evaluation")
+    e.add_argument("--notes", default="")
     e.set_defaults(run=run_evaluate)
     c = commands.add_parser("align")
     c.add_argument("--input", required=True)
@@ -179,6 +185,16 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--vector", default="embedding")
     p.add_argument("--threshold", type=float, default=0.5)
     p.set_defaults(run=run_predict)
+    t = commands.add_parser("train")
+    t.add_argument("--input", required=True)
+    t.add_argument("--output", required=True)
+    t.add_argument("--validation")
+    t.add_argument("--vector", default="embedding")
+    t.add_argument("--label", default="label")
+    t.add_argument("--epochs", type=int, default=30)
+    t.add_argument("--decay", type=float, default=1e-4)
+    t.add_argument("--unweighted", action="store_true")
+    t.set_defaults(run=run_train)
     return out
 
 
@@ -192,7 +208,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return args.run(spark or build_session(), args)
     except KeyboardInterrupt:
         return INTERRUPTED
-    except NotADirectoryError as error:
+    except (NotADirectoryError, FileNotFoundError) as error:
         print(f"no such folder: {error}", file=sys.stderr)
         return NO_PATH
     except AnalysisException as error:

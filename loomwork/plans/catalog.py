@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.plans import curation, evaluation, imaging, series
+from loomwork.plans import curation, evaluation, files, imaging, series
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (evaluation, curation, series, imaging)
+MODULES = (evaluation, curation, series, imaging, files)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -23,10 +25,12 @@ def _relative(root: str) -> Column:
     return F.substring_index("path", bare + "/", -1)
 
 
-def image_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS, recursive: bool = True, content: bool = True) -> DataFrame:
-    """(path, relative, size, content) of the files below root with one of the extensions, whatever their case."""
+def image_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS, recursive: bool = True, content: bool = True, required: bool = False) -> DataFrame:
+    """(path, relative, size, content) of the files below root with one of the extensions, whatever their case; with `required`, fails where there are none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     kept = files.where(has_extension(F.col("path"), extensions))
+    if required and kept.select("path").isEmpty():
+        raise FileNotFoundError(f"no image files below {root}")
     found = kept.select("path", _relative(root).alias("relative"), F.col("length").alias("size"), *(["content"] if content else []))
     return found if recursive else found.where(~F.col("relative").contains("/"))
 
@@ -79,6 +83,106 @@ def header(data: bytes) -> tuple[str, int, int]:
     raise ValueError("no image header")
 
 
+def whole(data: bytes, kind: str) -> None:
+    """ValueError where the file ends before its image does; TIFF has no such mark and counts as whole."""
+    if kind == "PNG":
+        at, last = 8, b""
+        while last != b"IEND":
+            size = int.from_bytes(data[at : at + 4], "big")
+            last, body, check = data[at + 4 : at + 8], data[at + 4 : at + 8 + size], data[at + 8 + size : at + 12 + size]
+            if len(check) < 4 or zlib.crc32(body) != int.from_bytes(check, "big"):
+                raise ValueError("damaged or missing chunk")
+            at += 12 + size
+    elif kind == "JPEG":
+        if not data.rstrip(b"\0").endswith(b"\xff\xd9"):
+            raise ValueError("no end of image")
+    elif kind == "GIF":
+        if not data.rstrip(b"\0").endswith(b";"):
+            raise ValueError("no trailer")
+    elif kind == "BMP":
+        if len(data) < int.from_bytes(data[2:6], "little"):
+            raise ValueError("shorter than its header says")
+    elif kind == "WEBP" and len(data) < int.from_bytes(data[4:8], "little") + 8:
+        raise ValueError("shorter than its header says")
+
+
+def _png(data: bytes) -> np.ndarray:
+    at, packed, palette = 8, b"", None
+    while at < len(data):
+        size, name = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + size]
+        if name == b"IHDR":
+            width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", body)
+        elif name == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif name == b"IDAT":
+            packed += body
+        at += 12 + size
+    if depth != 8 or interlaced or colour not in (0, 2, 3, 4, 6):
+        raise ValueError("only plain PNG files of 8 bits are decoded")
+    step = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    lines = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * step)
+    out = np.zeros((height + 1, width + 1, step), np.int64)  # a line above and a pixel to the left of zeros
+    for y in range(height):
+        kind, line = lines[y, 0], lines[y, 1:].reshape(width, step).astype(np.int64)
+        up, row = out[y], out[y + 1]
+        if kind in (0, 2):
+            row[1:] = (line + (up[1:] if kind == 2 else 0)) & 255
+        elif kind == 1:
+            row[1:] = np.cumsum(line, axis=0) & 255
+        else:
+            for x in range(width):
+                left, above, corner = row[x], up[x + 1], up[x]
+                guess = (left + above) // 2
+                if kind == 4:
+                    away = np.abs(np.stack([above - corner, left - corner, left + above - 2 * corner]))
+                    guess = np.where((away[0] <= away[1]) & (away[0] <= away[2]), left, np.where(away[1] <= away[2], above, corner))
+                row[x + 1] = (line[x] + guess) & 255
+    pixels = out[1:, 1:].astype(np.uint8)
+    if colour == 3:
+        return palette[pixels[..., 0]]
+    return np.repeat(pixels[..., :1], 3, axis=2) if step < 3 else np.ascontiguousarray(pixels[..., :3])
+
+
+def _bmp(data: bytes) -> np.ndarray:
+    start, _, width, height, _, bits, packing = struct.unpack("<IIiiHHI", data[10:34])
+    if bits not in (24, 32) or packing not in (0, 3):
+        raise ValueError("only plain BMP files of 24 or 32 bits are decoded")
+    step, stride = bits // 8, -(-width * bits // 32) * 4
+    lines = np.frombuffer(data, np.uint8, stride * abs(height), start).reshape(abs(height), stride)
+    pixels = lines[:, : width * step].reshape(abs(height), width, step)[..., 2::-1]
+    return np.ascontiguousarray(pixels[::-1] if height > 0 else pixels)
+
+
+def decoded(data: bytes) -> np.ndarray:
+    """Height x width x 3 bytes of a PNG or BMP file; ValueError for other kinds, for which no codec is here."""
+    kind = header(data)[0]
+    if kind not in ("PNG", "BMP"):
+        raise ValueError(f"no decoder for {kind}")
+    whole(data, kind)
+    return _png(data) if kind == "PNG" else _bmp(data)
+
+
+def pixels(files: DataFrame) -> DataFrame:
+    """files(path, content, ...) with height, width, data and error_message; data is null where nothing was decoded. No shuffle."""
+    kinds = {f.name: f.dataType.simpleString() for f in files.schema.fields if f.name != "content"}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for data in batch["content"]:
+                try:
+                    image = decoded(data)
+                    out.append((*image.shape[:2], image.tobytes(), None))
+                except (ValueError, IndexError, KeyError, struct.error, TypeError, zlib.error) as error:
+                    out.append((None, None, None, str(error)))
+            more = pd.DataFrame(out, columns=["height", "width", "data", "error_message"], index=batch.index)
+            yield pd.concat([batch.drop(columns="content"), more.astype({"height": "Int32", "width": "Int32"})], axis=1)
+
+    schema = ", ".join(f"`{n}` {k}" for n, k in kinds.items())
+    return files.mapInPandas(run, f"{schema}, height int, width int, data binary, error_message string")
+
+
 def inspect(files: DataFrame) -> DataFrame:
     """files(path, content, ...) with format, width, height, corrupted and error_message; no shuffle."""
     kinds = {f.name: f.dataType.simpleString() for f in files.schema.fields if f.name != "content"}
@@ -88,7 +192,9 @@ def inspect(files: DataFrame) -> DataFrame:
             out = []
             for data in batch["content"]:
                 try:
-                    out.append((*header(data), False, None))
+                    found = header(data)
+                    whole(data, found[0])
+                    out.append((*found, False, None))
                 except (ValueError, IndexError, KeyError, struct.error, TypeError) as error:
                     out.append((None, None, None, True, str(error)))
             more = pd.DataFrame(out, columns=["format", "width", "height", "corrupted", "error_message"], index=batch.index)
@@ -131,3 +237,29 @@ def manifest(spark: SparkSession, path: str, image_col: str = "image_path", labe
     bad = F.raise_error(F.concat(F.lit("bad label: "), F.coalesce(F.col(label_col), F.lit("null")))).cast("int")
     good = rows.withColumn(label_col, F.when(label >= 0, label).otherwise(bad))
     return good.withColumn(image_col, F.when(F.col(image_col).isNotNull(), F.col(image_col)).otherwise(F.raise_error(F.lit("null path"))))
+
+
+def dataset_roots(spark: SparkSession, root: str) -> list[str]:
+    """The folders right below root that hold identity folders, in order; fails where there are none."""
+    roots = [f"{root.rstrip('/')}/{r['identity']}" for r in identity_folders(spark, root).orderBy("identity").collect()]
+    found = [r for r in roots if not identity_folders(spark, r).isEmpty()]
+    if not found:
+        raise NotADirectoryError(f"no datasets below {root}")
+    return found
+
+
+def check_files(rows: DataFrame, files: DataFrame, image_col: str = "image_path", shown: int = 5) -> DataFrame:
+    """rows of a manifest; FileNotFoundError with the number of paths that files(relative) lacks and the first few of them."""
+    missing = rows.select(image_col).distinct().join(files.select(F.col("relative").alias(image_col)), image_col, "left_anti")
+    number = missing.count()
+    if number:
+        first = [r[0] for r in missing.orderBy(image_col).limit(shown).collect()]
+        raise FileNotFoundError(f"{number} files of the manifest are missing, such as {first}")
+    return rows
+
+
+def items(rows: DataFrame, files: DataFrame, image_col: str = "image_path") -> DataFrame:
+    """rows of a manifest with height, width, data and error_message of their files(relative, content); each file is decoded once."""
+    wanted = files.join(rows.select(F.col(image_col).alias("relative")).distinct(), "relative", "left_semi").select("relative", "content")
+    known = pixels(wanted).withColumnRenamed("relative", image_col)
+    return rows.join(known, image_col, "left").withColumn("error_message", F.coalesce("error_message", F.when(F.col("data").isNull(), F.lit("no such file"))))

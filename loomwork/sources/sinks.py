@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import struct
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomwork.operators.statistics import statistics_rows
+
 MANIFEST = ("image_id", "split", "label", "identities")
 FILES = {"train": "train", "val": "validation", "test": "test"}
 
@@ -35,6 +41,33 @@ def report(rows: DataFrame, path: str, places: int = 6, mode: str = "overwrite")
     rows.select(*cells).write.mode(mode).option("header", "true").csv(path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small text file, made on the driver; it appears under its name when whole."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target, part = hadoop.Path(path), hadoop.Path(f"{path}.part")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(target, False)
+    fs.rename(part, target)
+
+
+def document(rows: DataFrame, path: str, most: int = 10_000) -> None:
+    """A small result as one indented JSON list; ValueError beyond `most` rows, for which summary writes JSON lines."""
+    found = [json.loads(r[0]) for r in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows")
+    write_text(rows.sparkSession, path, json.dumps(found, indent=2, ensure_ascii=False) + "\n")
+
+
+def statistics_table(stats: DataFrame, path: str) -> None:
+    """Split statistics, one row a split and the overall row last, as one CSV file."""
+    rows = statistics_rows(stats)
+    order = F.when(F.col("split") == "overall", 1).otherwise(0)
+    report(rows.coalesce(1).sortWithinPartitions(order, "split"), path)
+
+
 def summary(rows: DataFrame, path: str) -> None:
     """rows as JSON lines with nulls kept."""
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
@@ -55,24 +88,46 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def portable_pixmaps(images: DataFrame, out_dir: str) -> DataFrame:
-    """Write images(path, height, width, data) as PPM files below out_dir; returns (path, target, bytes). Lazy.
+def _ppm(height: int, width: int, data: bytes) -> bytes:
+    return b"P6 %d %d 255\n" % (width, height) + data
+
+
+def _png(height: int, width: int, data: bytes) -> bytes:
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    lines = b"".join(b"\0" + data[at : at + 3 * width] for at in range(0, 3 * width * height, 3 * width))
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def _bmp(height: int, width: int, data: bytes) -> bytes:
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, 3)[::-1, :, ::-1]
+    body = np.pad(pixels.reshape(height, 3 * width), ((0, 0), (0, -3 * width % 4))).tobytes()
+    return b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, len(body), 0, 0, 0, 0) + body
+
+
+ENCODERS = {"ppm": _ppm, "png": _png, "bmp": _bmp}
+
+
+def image_files(images: DataFrame, out_dir: str, kind: str = "png") -> DataFrame:
+    """Write images(path, height, width, data) as files below out_dir; returns (path, target, bytes). Lazy.
 
-    A task writes each file under another name first, so that a repeated task leaves whole files.
+    Kinds are png, bmp and ppm, for which no codec is needed; a path without that suffix gets it. Rows without data are left
+    out. A task writes each file under another name first, so that a repeated task leaves whole files.
     """
+    encode = ENCODERS[kind]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.fs as pafs
         from pyspark import TaskContext
 
-        fs, base = pafs.FileSystem.from_uri(out_dir)
+        fs, base = pafs.FileSystem.from_uri(out_dir if "://" in out_dir or out_dir.startswith("file:") else f"file://{out_dir}")
         attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
             rows = []
             for path, h, w, data in zip(batch["path"], batch["height"], batch["width"], batch["data"], strict=True):
-                target = f"{base}/{path.lstrip('/')}.ppm"
+                target = f"{base}/{path.lstrip('/').removesuffix('.' + kind)}.{kind}"
                 fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                whole = b"P6 %d %d 255\n" % (w, h) + bytes(data)
+                whole = encode(h, w, bytes(data))
                 with fs.open_output_stream(f"{target}.{attempt}") as out:
                     out.write(whole)
                 fs.move(f"{target}.{attempt}", target)

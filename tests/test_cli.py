@@ -30,11 +30,13 @@ def test_split(spark, tmp_path, capsys):
 def test_inspect(spark, tmp_path):
     (tmp_path / "d/alice").mkdir(parents=True)
     (tmp_path / "d/bob").mkdir()
-    (tmp_path / "d/alice/a.gif").write_bytes(b"GIF89a\5\0\7\0")
+    (tmp_path / "d/alice/a.gif").write_bytes(b"GIF89a\5\0\7\0;")
     assert cli.main(["inspect", str(tmp_path / "d"), "--output", str(tmp_path / "o")], spark) == cli.DONE
     rows = {r["identity"]: r for r in spark.read.option("header", "true").csv(str(tmp_path / "o/identities")).collect()}
     assert rows["alice"]["resolutions"] == "5x7" and rows["bob"]["image_count"] == "0"
     assert cli.main(["inspect", str(tmp_path / "none"), "--output", "x"], spark) == cli.NO_PATH
+    assert cli.main(["inspect", "--discover", str(tmp_path), "--output", str(tmp_path / "o2")], spark) == cli.DONE
+    assert spark.read.option("header", "true").csv(str(tmp_path / "o2/identities")).where("identity = 'alice'").count() == 1
 
 
 def test_augment_and_evaluate(spark, tmp_path):
@@ -46,7 +48,7 @@ def test_augment_and_evaluate(spark, tmp_path):
     rows = [(i, y, s) for i, (y, s) in enumerate(zip([0, 0, 1, 1], [0.1, 0.6, 0.8, 0.3], strict=True))]
     spark.createDataFrame(rows, "index long, true_label int, score double").write.parquet(str(tmp_path / "p"))
     assert cli.main(["evaluate", "--input", str(tmp_path / "p"), "--output", str(tmp_path / "e")], spark) == cli.DONE
-    assert spark.read.json(str(tmp_path / "e/metrics")).first()["roc_auc"] == 0.75
+    assert json.loads((tmp_path / "e/metrics.json").read_text())["metrics"]["roc_auc"] == 0.75
     assert spark.read.json(str(tmp_path / "e/errors")).first()["errors"] == 2
     assert spark.read.option("header", True).csv(str(tmp_path / "e/misclassified")).count() == 2
 
@@ -72,6 +74,9 @@ def test_align_morph_and_predict(spark, tmp_path):
     assert cli.main(["morph", "--input", str(tmp_path / "p"), "--output", "x", "--alpha", "2"], spark) == cli.BAD_ARGUMENTS
     known = spark.createDataFrame([(k, [float(k % 2), 1.0], k % 2) for k in range(20)], "vec_id long, embedding array<double>, label int")
     known.write.parquet(str(tmp_path / "v"))
+    command = ["train", "--input", str(tmp_path / "v"), "--validation", str(tmp_path / "v"), "--output", str(tmp_path / "runs"), "--epochs", "4"]
+    assert cli.main(command, spark) == cli.DONE
+    assert model.checkpoints(spark, str(tmp_path / "runs")).first()["metrics"]["roc_auc"] == 1.0
     model.save(model.train(known), str(tmp_path / "model"))
     assert cli.main(["predict", "--input", str(tmp_path / "v"), "--model", str(tmp_path / "model"), "--output", str(tmp_path / "s")], spark) == cli.DONE
     scored = spark.read.option("header", True).csv(str(tmp_path / "s"))

@@ -22,7 +22,7 @@ def png(width, height):
 
 def test_scan_and_inspect(spark, tmp_path):
     root = tmp_path / "dataset"
-    for name, data in {"alice/a.png": png(64, 48), "alice/deep/b.JPG": b"x", "bob/c.gif": b"GIF89a" + struct.pack("<HH", 5, 7), "bob/notes.txt": b"no"}.items():
+    for name, data in {"alice/a.png": png(64, 48), "alice/deep/b.JPG": b"x", "bob/c.gif": b"GIF89a" + struct.pack("<HH", 5, 7) + b";", "bob/notes.txt": b"no"}.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(data)
     (root / "carol").mkdir()
@@ -180,6 +180,18 @@ def test_paths(spark):
         paths.resolved(F.lit("/x"), "r").alias("abs"), paths.part(F.lit("a"), 2).alias("none"), paths.is_timestamp(F.lit("2024-01-01T00:00:00")).alias("t"),
     ).first()
     assert tuple(row) == (".jpg", "", "y.tar", "morph_p_q_a028.jpg", "out/a/b.jpg", "/x", "", True)
+    some = F.array(F.lit("gamma"), F.lit("flip"))
+    row = spark.range(1).select(
+        paths.mirrored(F.lit("in.x/a.png"), "in.x", "out").alias("a"), paths.mirrored(F.lit("in_x/a.png"), "in.x", "out").alias("b"), paths.mirrored(F.lit("i[n/a.png"), "i[n/", "out/").alias("c"),
+        paths.augmented_name(F.lit("x/y.png"), some, F.lit(".jpg")).alias("d"), paths.augmented_name(F.lit("x/y.png"), some, F.lit(".jpg"), "operator_prefix").alias("e"),
+        paths.augmented_name(F.lit("x/y.png"), some, F.lit(".jpg"), "flat").alias("f"), paths.output_suffix(F.lit("a.JPEG")).alias("g"), paths.output_suffix(F.lit("a.JPEG"), " JPEG").alias("h"),
+        paths.epoch_name(F.lit(7)).alias("i"), paths.elapsed_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 00:01:30.5").cast("timestamp")).alias("j"),
+    ).first()
+    assert tuple(row) == ("out/a.png", "out/in_x/a.png", "out/a.png", "y_aug_gamma_flip.jpg", "aug_gamma_flip_y.jpg", "y.jpg", ".jpeg", ".jpg", "epoch_0007.pt", 90.5)
+    assert paths.metric_name("val_eer") == "eer"
+    for call in (lambda: paths.output_suffix(F.lit("a"), "webm"), lambda: paths.augmented_name(F.lit("a"), some, F.lit("b"), "other")):
+        with pytest.raises(ValueError, match="none of"):
+            call()
 
 
 def test_early_stopping_and_rates(spark):
