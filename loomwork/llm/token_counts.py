@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomwork.session import materialise
 
+#: One in so many pre-tokens, by CRC, is counted to tell how many distinct ones there are.
+SAMPLED = 1024
 #: A newline, spaces and what follows them, or spaces at the end.
 PRE_TOKEN = re.compile(r"\n| *[^ \n]+| +")
 
@@ -57,44 +59,33 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _blocks(docs: DataFrame, parts: int, block_bytes: int) -> DataFrame:
-    """Blocks of documents: per block one row of frequencies, and for each part of its pre-tokens one row.
+def _crcs(tokens: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(t.encode()) for t in tokens), np.int64, len(tokens))
 
-    block, part (null for frequencies), data. Frequencies: documents' ids and bytes, and for each document
-    the places of its pre-tokens in the block's list and how often each occurs.
+
+def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Blocks of documents, one row each.
+
+    tokens: the block's distinct pre-tokens by their CRC, so that any number of parts are slices of the list. places and
+    often: for each document the places of its pre-tokens in that list and how often each occurs; ends: where each
+    document's run ends. low: the CRCs below 2**32 / SAMPLED, a sample of pre-tokens that is the same in all blocks.
     """
+    columns = {"block": pa.int64(), **dict.fromkeys(("tokens", "places", "often"), pa.binary()), **dict.fromkeys(("ids", "sizes", "lines", "ends", "low"), pa.list_(pa.int64()))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, task = 0, TaskContext.get().partitionId()
 
         def close():
-            lists: list[list[str]] = [[] for _ in range(parts)]
-            for token in vocabulary:
-                lists[zlib.crc32(token.encode()) % parts].append(token)
-            place = np.empty(len(vocabulary), dtype=np.uint32)
-            at, rows = 0, []
-            for part, tokens in enumerate(lists):
-                for token in tokens:
-                    place[vocabulary[token]] = at
-                    at += 1
-                if tokens:
-                    rows.append((part, [zstandard.ZstdCompressor(level=3).compress("\n".join(tokens).encode())]))
+            words = list(vocabulary)
+            crcs = _crcs(words)
+            order = np.argsort(crcs, kind="stable")
+            place = np.empty(len(words), dtype=np.uint32)
+            place[order] = np.arange(len(words))
+            listed = zstandard.ZstdCompressor(level=3).compress("\n".join([words[k] for k in order]).encode())
             flat = place[np.concatenate(places)] if places else np.zeros(0, dtype=np.uint32)
             often = np.concatenate(counts) if counts else np.zeros(0, dtype=np.uint32)
-            rows.append((None, [_packed(flat), _packed(often)]))
-            heads = [None] * (len(rows) - 1)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([(task << 32) + block] * len(rows), pa.int64()),
-                    pa.array([r[0] for r in rows], pa.int32()),
-                    pa.array([r[1] for r in rows], pa.list_(pa.binary())),
-                    pa.array([*heads, ids], pa.list_(pa.int64())),
-                    pa.array([*heads, sizes], pa.list_(pa.int64())),
-                    pa.array([*heads, lines], pa.list_(pa.int64())),
-                    pa.array([*heads, ends], pa.list_(pa.int64())),
-                ],
-                ["block", "part", "data", "ids", "sizes", "lines", "ends"],
-            )
+            values = [(task << 32) + block, listed if words else None, _packed(flat), _packed(often), ids, sizes, lines, ends, crcs[crcs < (1 << 32) // SAMPLED].tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, columns.values(), strict=True)], list(columns))
 
         def fresh():
             return {}, [], [], [], [], [], [], 0
@@ -118,7 +109,7 @@ def _blocks(docs: DataFrame, parts: int, block_bytes: int) -> DataFrame:
         if ids:
             yield close()
 
-    schema = "block long, part int, data array<binary>, ids array<long>, sizes array<long>, lines array<long>, ends array<long>"
+    schema = "block long, tokens binary, places binary, often binary, ids array<long>, sizes array<long>, lines array<long>, ends array<long>, low array<long>"
     return docs.mapInArrow(run, schema)
 
 
@@ -129,44 +120,60 @@ def count_tokens(
     text_col: str = "text",
     limit: int = 4096,
     block_bytes: int = 24 << 20,
-    parts: int | None = None,
+    part_tokens: int = 500_000,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) as the sentencepiece model at path `model` counts.
 
     The first pass writes, for blocks of about block_bytes of text, each document's pre-token frequencies
-    and the block's distinct pre-tokens, dealt to `parts` by hash. Pre-tokens are shuffled by part: a part
+    and the block's distinct pre-tokens. These are dealt to parts by hash and shuffled: a part
     holds all blocks' uses of its pre-tokens, and cuts each distinct one into pieces once. The numbers go
     back to their blocks by an equi-join and are summed against the frequencies. Ids are never kept. Every
     pre-token is in a block's list once, so the commonest word weighs no more in its part than a rare one
-    that all blocks have. parts defaults to the session's shuffle partitions.
+    that all blocks have. There are so many parts that each has about part_tokens distinct pre-tokens by the count of
+    the blocks' common sample, at least the session's shuffle partitions; a task holds one part's at a time.
 
     Cases: a null or empty text has 0 bytes and 0 tokens; special strings in texts are ordinary text; a
     null id is kept; repeated rows come back each; a text longer than a block is a block by itself; an empty
     table gives no rows; other columns are left out.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = materialise(_blocks(narrow, parts, block_bytes), "token-blocks")
+    blocks = materialise(_blocks(narrow, block_bytes), "token-blocks")
+    sampled = blocks.select(F.explode("low").alias("crc")).agg(F.approx_count_distinct("crc").alias("n")).first()["n"]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sampled * SAMPLED // part_tokens))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = unpack.decompress(data).decode().split("\n")
+                mine = _crcs(tokens) * parts >> 32
+                held = np.unique(mine)
+                cuts = [*np.searchsorted(mine, held).tolist(), len(tokens)]
+                lists = [pack.compress("\n".join(tokens[a:b]).encode()) for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(held), pa.int64()), pa.array(held, pa.int64()), pa.array(lists, pa.binary())], ["block", "part", "tokens"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, known = PieceCounter(model), {}
-        unpack = zstandard.ZstdDecompressor()
+        counter, unpack = PieceCounter(model), zstandard.ZstdDecompressor()
+        known, current = {}, None
         for batch in batches:
             made = []
-            for data in batch.column(2):
-                tokens = unpack.decompress(data[0].as_py()).decode().split("\n")
+            for part, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if part != current:
+                    known, current = {}, part
+                tokens = unpack.decompress(data.as_py()).decode().split("\n")
                 fresh = [t for t in tokens if t not in known]
                 known.update(zip(fresh, counter(fresh), strict=True))
                 made.append(_packed(np.fromiter((known[t] for t in tokens), np.uint32, len(tokens))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["block", "part", "pieces"])
 
     pieces = (
-        blocks.where("part IS NOT NULL")
-        .select("block", "part", "data")
+        blocks.where("tokens IS NOT NULL")
+        .select("block", "tokens")
+        .mapInArrow(deal, "block long, part long, tokens binary")
         .repartition(parts, "part")
         .sortWithinPartitions("part")
-        .mapInArrow(count, "block long, part int, pieces binary")
+        .mapInArrow(count, "block long, part long, pieces binary")
         .groupBy("block")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "pieces"))), lambda x: x["pieces"]).alias("pieces"))
     )
@@ -174,8 +181,9 @@ def count_tokens(
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         newline = PieceCounter(model)(["\n"])[0]
         for batch in batches:
-            for row in batch.to_pylist():
-                place, often = (_unpacked(x) for x in row["data"])
+            for k in range(batch.num_rows):  # a row is a block; one at a time is unpacked
+                row = dict(zip(batch.schema.names, (column[k].as_py() for column in batch.columns), strict=True))
+                place, often = _unpacked(row["places"]), _unpacked(row["often"])
                 numbers = np.concatenate([_unpacked(x) for x in row["pieces"] or []] or [np.zeros(0, np.uint32)]).astype(np.int64)
                 running = np.concatenate([[0], np.cumsum(numbers[place] * often)])
                 ends = np.array(row["ends"], dtype=np.int64)
@@ -185,10 +193,10 @@ def count_tokens(
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    frequencies = blocks.where("part IS NULL").select("block", "data", "ids", "sizes", "lines", "ends")
+    frequencies = blocks.select("block", "places", "often", "ids", "sizes", "lines", "ends")
     return (
         frequencies.join(pieces, "block", "left")
-        .select("data", "ids", "sizes", "lines", "ends", "pieces")
+        .select("places", "often", "ids", "sizes", "lines", "ends", "pieces")
         .mapInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
     )
 
