@@ -61,7 +61,7 @@ def score_steps(rows: DataFrame, true: str = "true_label", score: str = "score",
         F.lit(ends["n"] or 0).cast("long").alias("n_neg"),
         (after.isNull() | (after != step) | (F.col("threshold") == F.lit(hi))).alias("corner"),
     )
-    return materialise(steps, "score-steps")
+    return steps if buckets == 1 else materialise(steps, "score-steps")  # one bucket is quickly made again
 
 
 def roc_points(steps: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomwork.session import cut_lineage
+from loomwork.session import materialise
 
 
 def build_edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -51,10 +51,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     Alternates the published large-star and small-star steps, each a grouped minimum and an equi-join,
     until the edges stop changing: O(log n) rounds in practice even on long chains. Each round is
-    checkpointed in the shared folder, so that plans stay short and a lost executor costs one round.
+    written to the shared folder, so that plans stay short and a lost executor costs one round.
     A hub's neighbours meet in one shuffle key; adaptive execution splits that side of the join.
     """
-    current = cut_lineage(build_edges(edges, "a", "b"))
+    current = materialise(build_edges(edges, "a", "b"), "edges")
     state = _state(current)
     for _ in range(max_rounds):
         if not state[0]:
@@ -72,7 +72,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        current = cut_lineage(small)
+        current = materialise(small, "stars")
         before, state = state, _state(current)
         if state == before:
             break

@@ -209,3 +209,15 @@ def test_training_inputs_are_mirrored(spark):
     changed = [k for k in plain if plain[k] != mixed[k]]
     assert 15 < len(changed) < 45 and all(np.allclose(np.array(mixed[k]).reshape(3, 2, 2)[:, :, ::-1].ravel(), plain[k]) for k in changed)
     assert mixed == {r[0]: r[1] for r in faces.model_inputs(images.repartition(5), size=2, flip_share=0.5, seed=3).collect()}
+
+
+def test_sql_functions(spark):
+    from loomwork.functions import sql
+
+    names = sql.register(spark)
+    assert "kernel_brightness" in names and "detection_rows" in names
+    spark.createDataFrame([("a", H, W, IMAGE.tobytes()), ("b", H, W, None)], "path string, height int, width int, data binary").createOrReplaceTempView("sql_images")
+    rows = {r[0]: r[1:] for r in spark.sql("SELECT path, kernel_brightness(path, height, width, data, map('factor', 0.5D)), kernel_rotation(path, height, width, data, map()) FROM sql_images").collect()}
+    assert (np.frombuffer(rows["a"][0], np.uint8).reshape(IMAGE.shape) == np.rint(IMAGE * 0.5)).all() and len(rows["a"][1]) == IMAGE.size and rows["b"] == (None, None)
+    found = spark.sql("SELECT d.* FROM detection_rows(map('f', named_struct('score', 0.9D, 'facial_area', array(1, 2, 3, 4)), 'g', named_struct('score', 0.1D, 'facial_area', array(0, 0, 1, 1))), 0.5D) d").collect()
+    assert [tuple(r) for r in found] == [("f", 0.9, 1, 2, 3, 4)]
