@@ -28,9 +28,8 @@ def hashed_shingles(text: str | None, shingle: int, seed: int) -> np.ndarray:
     return np.array([digest(joined[a:b], seed) for a, b in spans], dtype=np.uint64)
 
 
-def simhash(text: str | None, shingle: int, seed: int) -> int:
-    """64-bit fingerprint of the text's word shingles, repeats included; 0 without words."""
-    hashes = hashed_shingles(text, shingle, seed)
+def majority_bits(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the 64-bit hashes; 0 without hashes."""
     n, ones = len(hashes), np.zeros(64, dtype=np.int64)
     for at in range(0, n, 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16), None].view(np.uint8), axis=1, bitorder="little")
@@ -38,6 +37,11 @@ def simhash(text: str | None, shingle: int, seed: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def simhash(text: str | None, shingle: int, seed: int) -> int:
+    """64-bit fingerprint of the text's word shingles, repeats included; 0 without words."""
+    return majority_bits(hashed_shingles(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp) with the fingerprint's 64 bits as a long; one Arrow pass without a shuffle.
 
@@ -128,7 +132,8 @@ def near_links(values: DataFrame, radius: int = 3, group_rows: int = 2048) -> Da
 
     masks = covering_masks(list(range(64)), radius)
     first = F.explode(F.array(*[F.lit(_signed(m)).cast("long") for m in masks]))
-    keyed = values.select("fp").distinct().select("fp", first.alias("mask"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a small table is not put together into a few tasks before it grows by its masks
+    keyed = values.select("fp").distinct().repartition(tasks, "fp").select("fp", first.alias("mask"))
     found = None
     while True:
         dealt = keyed.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))

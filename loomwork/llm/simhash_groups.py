@@ -1,4 +1,4 @@
-"""Near-duplicate groups at a Jaccard similarity of word shingles: candidates by shared prefix shingles, each verified exactly."""
+"""Near-duplicate groups at a Jaccard similarity of word shingles: candidates from covering SimHash tables and MinHash bands, each verified exactly."""
 
 from __future__ import annotations
 
@@ -9,22 +9,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from loomwork.llm.simhash import covering_masks, hashed_shingles
+from loomwork.llm.simhash import covering_masks, hashed_shingles, majority_bits
 from loomwork.operators.graph import connected_components
 from loomwork.session import materialise
 
-#: Bits of a set's parity sketch, of a second one for sets of over LARGE shingles, and the partners of each member
-#: that are tried first in groups larger than that.
-SKETCH_BITS, WIDE_BITS, LARGE, NEAREST = 1024, 16_384, 1_000, 4
-#: Documents whose shingles tell the frequent ones, the texts that make one frequent, and keys that are broadcast at most.
-SAMPLE_DOCS, FREQUENT, BROADCAST_ROWS = 5_000, 10, 200_000
-
-
-def part_masks(radius: int, parts: int) -> list[int]:
-    """Masks such that two 64-bit values within the radius agree under one of them: of `parts` runs of bits one
-    holds at most radius // parts of the differences, and that run's covering masks do the rest."""
-    edges = [64 * k // parts for k in range(parts + 1)]
-    return [m for a, b in zip(edges, edges[1:], strict=False) for m in covering_masks(list(range(a, b)), radius // parts)]
+#: Bits of a set's parity sketch, and of a second one for sets of over LARGE shingles.
+SKETCH_BITS, WIDE_BITS, LARGE = 1024, 16_384, 1_000
+#: Keys that are broadcast at most; beyond, the same join goes by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def shingle_set(text: str | None, shingle: int, seed: int) -> np.ndarray:
@@ -38,15 +30,38 @@ def set_key(hashes: np.ndarray) -> int:
     return key - (1 << 64) if key >> 63 else key
 
 
-def prefix(hashes: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles in one order of all: sets of that similarity share at least one of them.
+class Tables:
+    """Keys of a set in all tables: two sets that share a key are candidates.
 
-    Such sets have at least similarity * n of either's n shingles in common, so these can't all be behind the first
-    n - ceil(similarity * n) + 1. The order, frequent shingles last, only keeps groups small.
+    One table per covering mask over the 64-bit fingerprint of the set, so that sets whose fingerprints differ
+    in at most `radius` bits always meet; and one per MinHash band of `rows` minima, where sets of similarity s
+    meet in some band but for (1 - s ** rows) ** bands of all cases: 4 in 10,000 at 0.8.
     """
-    late = np.isin(hashes, frequent)
-    ordered = np.concatenate([hashes[~late], hashes[late]])
-    return ordered[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1] if len(hashes) else ordered
+
+    def __init__(self, radius: int = 3, bands: int = 20, rows: int = 5, seed: int = 42):
+        rng = np.random.default_rng(seed)
+        odd = lambda *shape: rng.integers(0, 1 << 63, shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.bands, self.rows = bands, rows
+        self.masks = np.array(covering_masks(list(range(64)), radius), dtype=np.uint64)
+        self.factors, self.flips = odd(bands * rows), odd(bands * rows)
+        self.mix, self.band_marks = odd(bands, rows), odd(bands)
+        self.mask_mix, self.mask_marks = odd(len(self.masks)), odd(len(self.masks))
+
+    def minima(self, hashes: np.ndarray) -> np.ndarray:
+        """The least of each of bands x rows orders of all hashes."""
+        least = np.full(self.bands * self.rows, np.iinfo(np.uint64).max, dtype=np.uint64)
+        for at in range(0, len(hashes), 4096):
+            least = np.minimum(least, ((hashes[at : at + 4096, None] ^ self.flips) * self.factors).min(axis=0))
+        return least
+
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        """One key per table, as signed longs; none for the empty set, which is one class anyway."""
+        if not len(hashes):
+            return np.zeros(0, dtype=np.int64)
+        mark = majority_bits(hashes)
+        covered = (np.uint64(mark) & self.masks) * self.mask_mix + self.mask_marks
+        banded = (self.minima(hashes).reshape(self.bands, self.rows) * self.mix).sum(axis=1, dtype=np.uint64) * self.band_marks + self.band_marks
+        return np.concatenate([covered, banded]).view(np.int64)
 
 
 def parity_sketch(hashes: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -61,28 +76,21 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (len(a) + len(b) - common) - 1e-9
 
 
-def candidates(nodes: np.ndarray, sizes: np.ndarray, marks: np.ndarray, labels: np.ndarray, similarity: float, nearest: int | None) -> np.ndarray:
-    """Pairs (a < b) of nodes that sizes and sketches allow to be similar, of several groups of one size.
+def possible(one: np.ndarray, two: np.ndarray, apart: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes, whose sketches differ in so many bits, can be similar; no similar pair is ruled out."""
+    one, two = one.astype(np.float64), two.astype(np.float64)
+    enough = np.minimum(one, two) >= similarity * np.maximum(one, two) - 1e-9
+    return enough & (apart <= (1 - similarity) / (1 + similarity) * (one + two) + 1e-9)
 
-    All arrays are groups x members, marks with the sketch's words behind. Both bounds are exact: no similar pair is
-    left out, except that with `nearest` a larger group gives each member's nearest ones only. Pairs of one label are left out.
-    """
-    count = nodes.shape[1]
-    apart = np.zeros((len(nodes), count, count), dtype=np.int32)
-    for w in range(marks.shape[2]):
-        apart += np.bitwise_count(marks[:, :, None, w] ^ marks[:, None, :, w])
-    one, two = sizes[:, :, None].astype(np.float64), sizes[:, None, :].astype(np.float64)
-    may = (np.minimum(one, two) >= similarity * np.maximum(one, two) - 1e-9) & (apart <= (1 - similarity) / (1 + similarity) * (one + two) + 1e-9)
-    may &= (labels[:, :, None] != labels[:, None, :]) & (nodes[:, :, None] != nodes[:, None, :])
-    if nearest is not None and count > nearest + 1:
-        apart[~may] = SKETCH_BITS + 1
-        first = np.argpartition(apart, nearest - 1, axis=2)[:, :, :nearest]
-        chosen = np.zeros_like(may)
-        np.put_along_axis(chosen, first, True, axis=2)
-        may &= chosen
-    g, i, j = np.nonzero(may)
-    pairs = np.stack([nodes[g, i], nodes[g, j]], axis=1)
-    return np.unique(np.sort(pairs, axis=1), axis=0)
+
+def _words(column: pa.Array, width: int) -> np.ndarray:
+    """Binary values of `width` 64-bit words each, one row per value."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, width)
+
+
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, group_rows: int, seed: int) -> DataFrame:
@@ -91,83 +99,96 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     text = F.col(text_col)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
-    share = min(1.0, SAMPLE_DOCS / max(1, narrow.count()))
-    chosen = narrow.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text").distinct()
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(value.as_py(), shingle, seed).view(np.int64))], ["token"])
-
-    often = chosen.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    frequent = np.array([r["token"] for r in often.select("token").collect()], dtype=np.int64).view(np.uint64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Tables(seed=seed)
         for batch in batches:
-            keys, sizes, tokens, sketches, wide = [], [], [], [], []
+            nodes, sizes, keys, sketches, wide = [], [], [], [], []
             for value in batch.column(2):
                 hashes = shingle_set(value.as_py(), shingle, seed)
-                keys.append(set_key(hashes))
+                nodes.append(set_key(hashes))
                 sizes.append(len(hashes))
-                tokens.append(prefix(hashes, frequent, similarity).view(np.int64))
+                keys.append(tables.keys(hashes))
                 sketches.append(parity_sketch(hashes).tobytes())
                 wide.append(parity_sketch(hashes, WIDE_BITS).tobytes() if len(hashes) > LARGE else None)
-            columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(wide, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "node", "size", "tokens", "sketch", "wide"])
+            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "node", "size", "keys", "sketch", "wide"])
 
-    rows = materialise(narrow.mapInArrow(run, "doc_id long, text_key long, node long, size int, tokens array<long>, sketch binary, wide binary"), "shingle-prefixes")
+    rows = materialise(narrow.mapInArrow(run, "doc_id long, text_key long, node long, size int, keys array<long>, sketch binary, wide binary"), "shingle-marks")
     classes = materialise(
-        rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("text_key", "size", "tokens", "sketch", "wide")]), "classes"
+        rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("text_key", "size", "keys", "sketch", "wide")]), "classes"
     )
-    shared = classes.select("node", F.explode("tokens").alias("token")).groupBy("token").agg(F.collect_list("node").alias("nodes"))
-    groups = materialise(shared.where(F.size("nodes") > 1).select("token", F.size("nodes").alias("n"), "nodes"), "token-groups")
-
-    def compared(members: DataFrame, nearest: int | None) -> DataFrame:
-        """Candidate pairs of members(token, n, node, size, sketch, label). A group of more than group_rows is cut
-        into chunks, and each pair of chunks is a group of its own: bounded memory, spread over tasks."""
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                flat, lengths = batch.column(0).flatten(), batch.column(0).value_lengths().to_numpy()
-                nodes, sizes, labels = (flat.field(c).to_numpy() for c in ("node", "size", "label"))
-                marks = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), dtype=np.uint64).reshape(-1, words)
-                ends, out = lengths.cumsum(), []
-                for count in np.unique(lengths):
-                    starts = ends[lengths == count] - count
-                    step = max(1, (1 << 18) // int(count * count))
-                    for at in range(0, len(starts), step):
-                        where = starts[at : at + step, None] + np.arange(count)
-                        out.append(candidates(nodes[where], sizes[where], marks[where], labels[where], similarity, nearest))
-                pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-        chunks = F.when(F.col("n") > group_rows, F.ceil(F.col("n") / (group_rows // 2))).otherwise(1).cast("int")
-        cells = (
-            members.withColumn("_chunks", chunks)
-            .withColumn("_mine", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int"))
-            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-        )
-        lists = cells.groupBy("token", F.least("_mine", "_other").alias("one"), F.greatest("_mine", "_other").alias("two")).agg(
-            F.collect_list(F.struct("node", "size", "sketch", "label")).alias("members")
-        )
-        return lists.where(F.size("members") > 1).select("members").mapInArrow(compare, "a long, b long").distinct()
+    keyed = classes.select("node", F.explode("keys").alias("key"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialise(keyed.join(counts, "key").select("key", "n", "node"), "table-members")
+    marks = classes.select("node", "size", "sketch")
+
+    def ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (batch.column(k).to_numpy() for k in (2, 3))
+            apart = np.bitwise_count(_words(batch.column(4), words) ^ _words(batch.column(5), words)).sum(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(possible(one, two, apart, similarity)))
+
+    def stars() -> DataFrame:
+        """Each set with the hubs of its tables' groups: the hub of a group is the member that shares most keys with others."""
+        known = members.groupBy("node").agg(F.sum("n").alias("shared"))
+        hubs = members.join(known, "node").groupBy("key").agg(F.max(F.struct("shared", "node"))["node"].alias("hub"))
+        pairs = members.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        one, two = (marks.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch")) for c in ("a", "b"))
+        both = pairs.join(two, "b").join(one, "a").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch")
+        return both.mapInArrow(ruled, "a long, b long")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for cell in batch.column(0):
+                flat = cell.values
+                nodes, sizes, labels, right = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "size", "label", "right"))
+                sketch = _words(flat.field("sketch"), words)
+                left, right = np.flatnonzero(~right), np.flatnonzero(right)
+                for at in range(0, len(left), 256):
+                    i = left[at : at + 256]
+                    apart = np.zeros((len(i), len(right)), dtype=np.int32)
+                    for w in range(words):
+                        apart += np.bitwise_count(sketch[i, w][:, None] ^ sketch[right, w][None, :])
+                    may = possible(sizes[i][:, None], sizes[right][None, :], apart, similarity) & (labels[i][:, None] != labels[right][None, :])
+                    x, y = np.nonzero(may)
+                    found.append(np.sort(np.stack([nodes[i[x]], nodes[right[y]]], axis=1), axis=1))
+            yield _pairs(found)
+
+    def apart_yet(labels: DataFrame) -> DataFrame:
+        """Candidate pairs with different labels in groups that hold several. Members of a group's commonest label meet
+        the others only, in cells of at most about group_rows sets: bounded memory, spread over tasks."""
+        labelled = members.join(labels, "node").select("key", "node", "label")
+        several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        open_ = materialise(labelled.join(several, "key").select("key", "node", "label"), "open-members")
+        each = open_.groupBy("key", "label").agg(F.count("*").alias("n"))
+        shape = each.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
+        half = group_rows // 2
+        cut = lambda n: F.ceil(n / half).cast("int")
+        shaped = open_.join(shape.select("key", F.col("most.label").alias("main"), cut(F.col("n") - F.col("most.n")).alias("lefts"), cut(F.col("n")).alias("rights")), "key")
+        mine = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+        every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+        left = shaped.where("label <> main").withColumn("l", mine("lefts")).withColumn("r", every("rights")).withColumn("right", F.lit(False))
+        right = shaped.withColumn("r", mine("rights")).withColumn("l", every("lefts")).withColumn("right", F.lit(True))
+        names = ["key", "l", "r", "right", "node", "label"]
+        cells = left.select(*names).unionByName(right.select(*names)).join(marks, "node")
+        lists = cells.groupBy("key", "l", "r").agg(F.collect_list(F.struct("node", "size", "sketch", "label", "right")).alias("members"))
+        return lists.select("members").mapInArrow(compare, "a long, b long").distinct()
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for n, m, one, two in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
-                limit = (1 - similarity) / (1 + similarity) * (n.as_py() + m.as_py()) + 1e-9
-                one, two = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (one, two))
-                good.append(int(np.bitwise_count(one ^ two).sum()) <= limit)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    def pruned(pairs: DataFrame) -> DataFrame:
+            one, two = (batch.column(k).to_numpy() for k in (2, 3))
+            apart = np.bitwise_count(_words(batch.column(4), WIDE_BITS // 64) ^ _words(batch.column(5), WIDE_BITS // 64)).sum(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(possible(one, two, apart, similarity)))
+
+    def pruned(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that the second sketches allow too, where both sets have one."""
-        marks = classes.where("wide IS NOT NULL").select("node", "size", "wide")
-        one, two = (marks.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("wide").alias(f"{c}_wide")) for c in ("a", "b"))
-        large = materialise(pairs.join(two, "b").join(one.select("a", "a_size", "a_wide"), "a").select("a", "b", "a_size", "b_size", "a_wide", "b_wide"), "large-pairs")
-        small = pairs.join(large.select("a", "b"), ["a", "b"], "left_anti")
-        return materialise(small.unionByName(large.mapInArrow(prune, "a long, b long")), "pruned-pairs")
+        pairs = materialise(pairs, f"{name}-pairs")
+        ends = classes.where("wide IS NOT NULL").select("node", "size", "wide")
+        one, two = (ends.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("wide").alias(f"{c}_wide")) for c in ("a", "b"))
+        large = pairs.join(two, "b").join(one, "a").select("a", "b", "a_size", "b_size", "a_wide", "b_wide")
+        ruled_out = large.select("a", "b").join(large.mapInArrow(prune, "a long, b long"), ["a", "b"], "left_anti")
+        return materialise(pairs.join(ruled_out, ["a", "b"], "left_anti"), f"{name}-pruned")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,32 +203,29 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that are similar by their whole sets, which are made anew for the texts of pairs alone."""
-        pairs = pruned(pairs)
+        pairs = pruned(pairs, name)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         needed = materialise(ends.join(classes.select("node", "text_key"), "node").select("text_key").distinct(), f"{name}-texts")
         keys = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-        texts = narrow.join(keys, "text_key", "left_semi").select("text")
-        whole = materialise(texts.mapInArrow(sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")), f"{name}-sets")
+        texts = narrow.join(keys, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text")
+        whole = materialise(texts.mapInArrow(sets, "node long, hashes binary"), f"{name}-sets")
         left, right = (whole.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in ("a", "b"))
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_hashes", "b_hashes")
         return materialise(both.mapInArrow(check, "a long, b long"), f"{name}-links")
 
-    def members(kept: DataFrame) -> DataFrame:
-        return kept.select("token", "n", F.explode("nodes").alias("node")).join(classes.select("node", "size", "sketch"), "node")
+    def labels_by(links: DataFrame, name: str) -> DataFrame:
+        found = connected_components(links).select(F.col("vertex").alias("node"), "component")
+        named = classes.select("node").join(found, "node", "left")
+        return materialise(named.select("node", F.coalesce("component", "node").alias("label")), name)
 
-    tried = materialise(compared(members(groups).withColumn("label", F.col("node")), NEAREST), "near-pairs")
-    links = verified(tried, "near")
-    joined = materialise(connected_components(links).select(F.col("vertex").alias("node"), "component"), "near-components")
-    wide = groups.where(F.col("n") > NEAREST + 1)
-    if not wide.isEmpty():
-        labelled = members(wide).join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        rest = materialise(compared(labelled, None).join(tried, ["a", "b"], "left_anti"), "other-pairs")
-        if not rest.isEmpty():
-            joined = connected_components(links.unionByName(verified(rest, "other"))).select(F.col("vertex").alias("node"), "component")
-    rooted = classes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("group_id"))
-    known = rooted.join(least, "root").select("node", "group_id")
-    return rows.join(known, "node").select("doc_id", "text_key", F.when(F.col("doc_id").isNotNull(), F.col("group_id")).alias("group_id"))
+    links = verified(stars(), "star")
+    labels = labels_by(links, "star-labels")
+    rest = verified(apart_yet(labels), "rest")
+    if not rest.isEmpty():
+        labels = labels_by(links.unionByName(rest), "labels")
+    least = classes.select("node", "least").join(labels, "node").groupBy("label").agg(F.min("least").alias("group_id"))
+    known = labels.join(least, "label").select("node", "group_id")
+    return rows.select("doc_id", "text_key", "node").join(known, "node").select("doc_id", "text_key", F.when(F.col("doc_id").isNotNull(), F.col("group_id")).alias("group_id"))
 
 
 def similar_groups(
@@ -221,10 +239,11 @@ def similar_groups(
 ) -> DataFrame:
     """(doc_id, group_id): documents whose sets of word shingles are similar, closed transitively; group_id is the least id.
 
-    Exact up to equal 64-bit hashes: texts of equal shingle sets are one class; classes that share a prefix shingle
-    meet in that shingle's group; pairs that sizes and parity sketches can't rule out are verified by their whole
-    sets. Groups beyond NEAREST + 1 members first try each member's nearest ones, then all pairs that the links
-    found so far leave apart, so that a large group of near copies costs few pairs.
+    Texts of equal shingle sets are one class. Classes that share a key of Tables are candidates, and every link
+    is verified by the whole sets, so that no pair under the similarity is linked (up to equal 64-bit hashes).
+    First each class meets the hubs of its groups, at most one per table, which joins nearly all copies in linear work.
+    Then groups that still hold several components compare members of different components; sizes and parity
+    sketches rule out pairs that can't be similar, the others are verified too. No group is cut or skipped.
 
     Cases: texts without words have the empty set and form one group; rows with a null id are groups of their
     own with a null group_id; rows of one id are one document; an empty table gives no rows; other columns are
@@ -234,7 +253,13 @@ def similar_groups(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that are not the least id of their group; rows with a null id stay."""
-    groups = similar_groups(docs, id_col, text_col, **options)
-    gone = groups.where("doc_id <> group_id").select(F.col("doc_id").alias("gone")).distinct().alias("_groups")
-    return docs.alias("_docs").join(gone, F.col(f"_docs.`{id_col}`") == F.col("_groups.gone"), "left_anti")
+    """docs without the rows whose id is not the least of their text's group; rows with a null id stay.
+
+    An id that occurs with several texts goes only with the texts whose groups have a lesser id.
+    """
+    options = {"shingle": 5, "similarity": 0.8, "group_rows": 2048, "seed": 42} | options
+    groups = _classed(docs, id_col, text_col, **options)
+    gone = materialise(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("gone"), "text_key").distinct(), "gone")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    same = (F.col(f"_docs.`{id_col}`") == F.col("_groups.gone")) & (F.xxhash64(F.col(f"_docs.`{text_col}`")) == F.col("_groups.text_key"))
+    return docs.alias("_docs").join(few.alias("_groups"), same, "left_anti")
