@@ -92,11 +92,11 @@ def within_bands(data: bytes, bands: Bands, pack: zstandard.ZstdCompressor) -> t
     return ratio, share, low <= ratio <= high and share <= bands.bad_share
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands(), returned: list[str] | None = None) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, zstd_ratio,
     bad_chunk_share and kept.
 
-    One Arrow pass without a shuffle; all of a document's columns travel along. base_failed: fewer than 20
+    One Arrow pass without a shuffle; all of a document's columns travel along, or those of `returned`. base_failed: fewer than 20
     words, or over 30 % of the words in repeated windows of eight; such documents are not kept. The others
     are kept if their compression ratios are within the bands.
 
@@ -132,18 +132,20 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands
                 symbols = sum(data.count(c) for c in SYMBOLS)
                 rows.append((n, chars, symbols, duplicate_lines(text), repeats, failed, ratio, share, inside and not failed))
             made = [pa.array([r[k] for r in rows], type=f[1]) for k, f in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*passed, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(passed.index(c)) for c in back), *made], [*back, *names])
 
-    passed = [c for c in docs.columns if c not in names]
+    back = [c for c in (docs.columns if returned is None else returned) if c not in names]
+    passed = [*back, *([text_col] if text_col not in back else [])]
     at = passed.index(text_col)
     held = docs.select(*[F.col(f"`{c}`") for c in passed])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields), *(f"{n} {kind}" for n, _, kind in fields)])
+    kinds = {f.name: f.dataType.simpleString() for f in held.schema.fields}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in back), *(f"{n} {kind}" for n, _, kind in fields)])
     return held.mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Verdicts over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return judge(docs).select(
+    return judge(docs, returned=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "zstd_ratio", "bad_chunk_share"
     )

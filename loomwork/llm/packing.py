@@ -72,7 +72,7 @@ def pack(
 
     A bucket may hold a third of all rows, so its order is never in one task: pieces are dealt into blocks
     of about block_rows by hash, numbered inside their block, and the blocks of a bucket are offset by a
-    running sum over block counts.
+    running sum over block counts. A block that pieces of one repeated or missing id fill is dealt again by row.
 
     Cases: a null or negative length is 0; a document of length 0 is one piece of 0 tokens in the first
     bucket; repeated rows are packed each for itself; a null id is kept; an empty table gives no rows.
@@ -90,7 +90,7 @@ def pack(
         (F.col("piece") * max_len).alias("start"),
         F.least(F.lit(max_len).cast("long"), F.col("_len") - F.col("piece") * max_len).alias("n_tokens"),
     )
-    pieces = materialise(pieces, "pieces")
+    pieces = materialise(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     histogram = pieces.groupBy("n_tokens").count().collect()
     lengths = np.array([r["n_tokens"] for r in histogram], dtype=np.int64)
     counts = np.array([r["count"] for r in histogram], dtype=np.int64)
@@ -99,17 +99,24 @@ def pack(
     bucket = F.lit(0)
     for k, end in enumerate(ends[:-1]):
         bucket = F.when(F.col("n_tokens") > end, F.lit(k + 1)).otherwise(bucket)
-    hashed = F.xxhash64(F.lit(seed), "doc_id", "piece")
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("piece").cast("string")))
+    hashed = F.conv(F.substring(mixed, 1, 15), 16, 10).cast("long")
     dealt = pieces.withColumn("bucket", bucket).withColumn("_hash", hashed).withColumn("_block", F.pmod("_hash", F.lit(blocks)))
     lens = F.array(*[F.lit(e).cast("long") for e in ends])
-    before = Window.partitionBy("bucket").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    full = materialise(dealt.groupBy("bucket", "_block").agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * block_rows), "full-blocks")
+    again = F.lit(0).cast("long")
+    if not full.isEmpty():  # at most one in 4 * block_rows pieces
+        dealt = dealt.join(full, ["bucket", "_block"], "left")
+        again = F.coalesce(F.pmod(F.xxhash64("_row"), F.ceil(F.col("_n") / block_rows)), again)
+    dealt = dealt.withColumn("_again", again)
+    before = Window.partitionBy("bucket").orderBy("_block", "_again").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        dealt.groupBy("bucket", "_block")
+        dealt.groupBy("bucket", "_block", "_again")
         .agg(F.count("*").alias("_n"))
-        .select("bucket", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        .select("bucket", "_block", "_again", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    inside = Window.partitionBy("bucket", "_block").orderBy("_hash", "doc_id", "piece", "n_tokens")
-    ranked = dealt.withColumn("_row", F.row_number().over(inside) - 1).join(offsets, ["bucket", "_block"])
+    inside = Window.partitionBy("bucket", "_block", "_again").orderBy("_hash", "doc_id", "piece", "n_tokens")
+    ranked = dealt.withColumn("_row", F.row_number().over(inside) - 1).join(offsets, ["bucket", "_block", "_again"])
     size = F.greatest(F.floor(F.lit(batch_tokens) / F.greatest(F.col("bucket_len"), F.lit(1))), F.lit(1)).cast("long")
     rank = F.col("_offset") + F.col("_row")
     return (
@@ -133,3 +140,38 @@ def query(spark, sf_dir: str) -> DataFrame:
     """Batches over documents, with a document's words as its tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", word_count(F.col("text")).alias("n_tokens"))
     return pack(docs)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents
+), pieces AS (
+  SELECT doc_id, u.piece::BIGINT AS piece, u.piece * 8192 AS start, least(8192, n - u.piece * 8192) AS n_tokens
+  FROM d, LATERAL (SELECT unnest(range(greatest((n + 8191) // 8192, 1))) AS piece) u
+), lengths AS (
+  SELECT n_tokens AS l, sum(count(*)) OVER (ORDER BY n_tokens)::BIGINT AS total FROM pieces GROUP BY n_tokens
+), h AS (
+  SELECT list(l ORDER BY l) AS l, list(total ORDER BY l) AS total, count(*)::BIGINT AS n FROM lengths
+), layers AS (
+  SELECT 1::BIGINT AS k, list_prepend(0::BIGINT, [total[j] * l[j] for j in range(1, n + 1)]) AS best, [0::BIGINT for j in range(n + 1)] AS cut FROM h
+  UNION ALL
+  SELECT k + 1, [c.cost for c in chosen], [c.cut for c in chosen] FROM (
+    SELECT k, [CASE WHEN j = 0 THEN {'cost': 0::BIGINT, 'cut': 0::BIGINT}
+               ELSE list_min([{'cost': best[i + 1] + (total[j] - CASE WHEN i = 0 THEN 0 ELSE total[i] END) * l[j], 'cut': i} for i in range(j)]) END
+               for j in range(n + 1)] AS chosen
+    FROM layers, h WHERE k < least(16, n))
+), back AS (
+  SELECT least(16, n) AS k, n AS j FROM h
+  UNION ALL
+  SELECT b.k - 1, x.cut[b.j + 1] FROM back b JOIN layers x ON x.k = b.k WHERE x.cut[b.j + 1] > 0
+), ends AS (
+  SELECT h.l[j] AS e, row_number() OVER (ORDER BY j) - 1 AS bucket, coalesce(lag(h.l[j]) OVER (ORDER BY j), -1) AS before FROM back, h
+), placed AS (
+  SELECT p.*, e.bucket::INT AS bucket, e.e AS bucket_len, greatest(65536 // greatest(e.e, 1), 1) AS batch_size,
+         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || piece), 1, 15))::BIGINT AS h, (count(*) OVER () + 19999) // 20000 AS blocks
+  FROM pieces p JOIN ends e ON p.n_tokens <= e.e AND p.n_tokens > e.before
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY h % blocks, h, doc_id, piece, n_tokens) - 1 AS r FROM placed
+)
+SELECT doc_id, piece, start, n_tokens, bucket, bucket_len, r // batch_size AS batch_id, r % batch_size AS slot, batch_size FROM ranked
+"""

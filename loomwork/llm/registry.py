@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_length_buckets": packing.ORACLE_SQL,
     "op5_ball_tree_top_k": ball_tree.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op10_source_mixing": mixing.ORACLE_SQL,
