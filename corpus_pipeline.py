@@ -36,8 +36,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: sources near their target weights, whole documents only."""
-    sized = mixing.weighted(docs.select(*COLUMNS).withColumn("size", word_count(F.col("text"))), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    taken = mixing.mix_sources(sized, quality_col="quality_weight")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    marked = docs.select(*COLUMNS, word_count(F.col("text")).alias("size"), F.xxhash64(*COLUMNS).alias("mark"))
+    taken = mixing.mix_sources(marked, quality=mixing.quality_weights(labels), mark_col="mark")
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     return taken.where("copies > 0").withColumn("_copy", copies).select(*COLUMNS)
 

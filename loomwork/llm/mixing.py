@@ -43,52 +43,22 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, ceiling
     )
 
 
-def uniform(ident: Column, seed: int) -> Column:
-    """A number in (0, 1) that depends on the id and the seed alone; 52 bits of MD5."""
-    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("null"))))
-    return (F.conv(F.substring(mixed, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
-
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns; maps and variants, which can't be hashed, count by their JSON."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    plain = lambda c: F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) if "map<" in kinds[c] or "variant" in kinds[c] else F.col(f"`{c}`")
+    return F.xxhash64(*[plain(c) for c in docs.columns])
 
-def mix_sources(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    source_col: str = "source",
-    size_col: str = "size",
-    quality_col: str | None = None,
-    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
-    share: float = 1.5,
-    ceiling: float = 2.0,
-    seed: int = 17,
-    bucket_rows: int = 20_000,
-) -> DataFrame:
-    """docs with source_size, target, epochs (complete ones) and copies (how often each document is taken).
 
-    Every document is taken once for each complete epoch that its source's target holds. The rest of the
-    target is a budget for Efraimidis-Spirakis sampling without replacement: the key -ln(u)/quality, least
-    first, sizes summed along that order. A document is taken as long as more than half of it lies within
-    the budget, so a source ends within half a document of its target and never takes part of a text.
+def uniform(ident: Column, seed: int, otherwise: Column | None = None) -> Column:
+    """A number in (0, 1) that depends on the id and the seed, and on `otherwise` where there is no id; 52 bits of MD5."""
+    named = F.coalesce(ident.cast("string"), F.lit("null") if otherwise is None else F.concat(F.lit("null:"), otherwise.cast("string")))
+    mixed = F.md5(F.concat(F.lit(f"{seed}:"), named))
+    return (F.conv(F.substring(mixed, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
-    A source may hold a third of all rows, so its order is never in one task: keys fall into buckets by
-    their logarithm, which keeps their order; sizes are summed per bucket, a window over the few buckets
-    gives each its start, and only the rows of one bucket are sorted together. The logarithm of an
-    exponential key has a density of at most 1/e whatever its rate, so a bucket expects bucket_rows rows at
-    most however the quality weights are spread.
 
-    Cases: a null source is a source, last in order; null or negative sizes are 0 and such documents are
-    never taken beyond the epochs; a null quality is 1; repeated rows have equal keys and are ordered by
-    size, so they come back as they were, each with its own copies; an empty table gives an empty result.
-    Columns of docs named like the new ones are replaced.
-    """
-    new = ("source_size", "target", "epochs", "copies")
-    size = F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).cast("long")
-    quality = F.lit(1.0) if quality_col is None else F.coalesce(F.col(quality_col).cast("double"), F.lit(1.0))
-    key = -F.log(uniform(F.col(id_col), seed)) / F.greatest(quality, F.lit(1e-9))
-    keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("_row"),
-        F.coalesce(F.concat(F.lit("="), source_col), F.lit("")).alias("_source"),
-        size.alias("_size"),
-        key.alias("_key"),
-    )
+def _copies(keyed: DataFrame, weights: tuple[float, ...], share: float, ceiling: float, bucket_rows: int) -> DataFrame:
+    """keyed(_source, _size, _key, _tie, ...) with source_size, target, epochs and copies of each row; told in mix_sources."""
     sums = cut_lineage(keyed.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("_rows")))
     named = sums.select(F.expr("if(_source = '', null, substring(_source, 2))").alias("source"), "source_size")
     targets = source_targets(named, list(weights), share, ceiling)
@@ -113,20 +83,72 @@ def mix_sources(
         .agg(F.sum("_size").alias("_sum"))
         .select("_source", "_bucket", F.coalesce(F.sum("_sum").over(steps), F.lit(0)).alias("_start"))
     )
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        known.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-        .join(starts, ["_source", "_bucket"])
-        .withColumn("_taken", (F.col("_start") + F.col("_before") + F.col("_size") / 2.0 < F.col("_budget")) & (F.col("_size") > 0))
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "_size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = known.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(starts, ["_source", "_bucket"])
+    taken = (F.col("_start") + F.col("_before") + F.col("_size") / 2.0 < F.col("_budget")) & (F.col("_size") > 0)
+    return placed.select("_id", "_tie", "source_size", "target", "epochs", (F.col("epochs") + taken.cast("long")).alias("copies"))
+
+
+def mix_sources(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    size_col: str = "size",
+    quality_col: str | None = None,
+    quality: DataFrame | None = None,
+    mark_col: str | None = None,
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    share: float = 1.5,
+    ceiling: float = 2.0,
+    seed: int = 17,
+    bucket_rows: int = 1_000,
+) -> DataFrame:
+    """docs with source_size, target, epochs (complete ones) and copies (how often each document is taken).
+
+    Every document is taken once for each complete epoch that its source's target holds. The rest of the
+    target is a budget for Efraimidis-Spirakis sampling without replacement: the key -ln(u)/quality, least
+    first, sizes summed along that order. A document is taken as long as more than half of it lies within
+    the budget, so a source ends within half a document of its target and never takes part of a text.
+    Quality comes from quality_col or from a table quality(label_id, quality_weight).
+
+    Only ids, sizes and keys are sorted and summed; documents meet their numbers once, by id and mark, a hash of the row
+    or the column mark_col that stands for it. A source may hold a third of all rows, so its order is never in one task:
+    keys fall into buckets by their logarithm, which keeps their order; sizes are summed per bucket, a window over
+    the few buckets gives each its start, and only the rows of one bucket are sorted together. The logarithm of an
+    exponential key has a density of at most 1/e whatever its rate, so a bucket expects bucket_rows rows at
+    most however the quality weights are spread.
+
+    Cases: a null source is a source, last in order; null or negative sizes are 0 and such documents are
+    never taken beyond the epochs; a null quality is 1; rows without an id have keys by their mark, so that any
+    number of them spreads over the buckets; rows of one id have equal keys and are ordered by size, then by mark, so
+    that reruns agree; of equal rows as many are taken as the budget holds, no matter which; an empty table gives an
+    empty result. Columns of docs named like the new ones are replaced.
+    """
+    new = ("source_size", "target", "epochs", "copies")
+    size = F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).cast("long")
+    own = F.lit(1.0) if quality_col is None else F.coalesce(F.col(quality_col).cast("double"), F.lit(1.0))
+    mark = row_hash(docs) if mark_col is None else F.col(mark_col)
+    rows = docs.select(F.col(id_col).alias("_id"), mark.alias("_tie"), F.coalesce(F.concat(F.lit("="), source_col), F.lit("")).alias("_source"), size.alias("_size"), own.alias("_own"))
+    if quality is not None:
+        known = quality.select(F.col("label_id").alias("_id"), F.col("quality_weight").cast("double").alias("_weight"))
+        rows = rows.join(known, "_id", "left").withColumn("_own", F.coalesce("_weight", "_own"))
+    key = -F.log(uniform(F.col("_id"), seed, F.col("_tie"))) / F.greatest(F.col("_own"), F.lit(1e-9))
+    keyed = materialise(rows.select("_id", "_tie", "_source", "_size", key.alias("_key")), "mix-keys")
+    each = _copies(keyed, weights, share, ceiling, bucket_rows).groupBy("_id", "_tie").agg(
+        *[F.first(c).alias(c) for c in new[:3]], F.min("copies").alias("copies"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("_more")
     )
-    made = {
-        "source_size": F.col("source_size"),
-        "target": F.col("target"),
-        "epochs": F.col("epochs"),
-        "copies": F.col("epochs") + F.col("_taken").cast("long"),
-    }
+    each = materialise(each, "mix-copies")
+    held = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("_row")
+    marked = docs.select(held, F.col(id_col).alias("_own_id"), mark.alias("_own_tie"))
+    met = marked.join(each.hint("merge"), F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_tie") == F.col("_tie")))
     names = [*docs.columns, *[c for c in new if c not in docs.columns]]
-    return placed.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in names])
+    shown = lambda df: df.select(*[F.col(c) if c in new else F.col(f"_row.`{c}`") for c in names])
+    if each.where("_more > 0").isEmpty():
+        return shown(met)
+    # Equal rows at the end of a source's budget: one stands for all, and some of them get a copy more.
+    group = met.where("_more > 0").groupBy("_id", "_tie").agg(F.first("_row").alias("_row"), F.count("*").alias("_n"), *[F.first(c).alias(c) for c in (*new, "_more")])
+    split = group.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).withColumn("copies", F.col("copies") + (F.col("_k") <= F.col("_more")).cast("long"))
+    return shown(met.where("_more = 0")).unionByName(shown(split))
 
 
 def quality_weights(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> DataFrame:
@@ -138,18 +160,10 @@ def quality_weights(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> D
     )
 
 
-def weighted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with quality_weight, replaced if there is one; null for documents without a label."""
-    known = quality_weights(labels).alias("_labels")
-    named = [F.col(f"_docs.`{c}`") for c in docs.columns if c != "quality_weight"]
-    return docs.alias("_docs").join(known, F.col("_docs.doc_id") == F.col("_labels.label_id"), "left").select(*named, "_labels.quality_weight")
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    known = materialise(weighted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "mix-sizes")
-    mixed = mix_sources(known, quality_col="quality_weight")
+    mixed = mix_sources(materialise(docs, "mix-sizes"), quality=quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
