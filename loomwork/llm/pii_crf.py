@@ -343,16 +343,16 @@ def train(docs: DataFrame, text_col: str = "text", train_docs: int = 8_000, doc_
     built on the executors, only features, labels and edges come to the driver.
     """
     n = docs.count()
-    mark = F.xxhash64(F.lit(seed), text_col)
-    chosen = docs.select(F.col(text_col).alias("text"), mark.alias("mark")).where(F.col("text").rlike("[0-9@]"))
+    marked = docs.select(F.xxhash64(F.lit(seed), text_col).alias("mark"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
     if n > train_docs:
-        chosen = chosen.where(F.pmod("mark", F.lit(1 << 30)) < int(train_docs / n * (1 << 30)))
-    chosen = chosen.dropDuplicates(["mark"]).orderBy("mark").limit(train_docs).select("text")
+        marked = marked.where(F.pmod("mark", F.lit(1 << 30)) < int(train_docs / n * (1 << 30)))
+    least = marked.select("mark").distinct().orderBy("mark").limit(train_docs)
+    chosen = marked.join(F.broadcast(least), "mark", "left_semi")  # texts stay where they are, copies too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for value in batch.column(0):
+            for mark, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = value.as_py()
                 graph = build_graph(text)
                 if len(graph):
@@ -360,11 +360,12 @@ def train(docs: DataFrame, text_col: str = "text", train_docs: int = 8_000, doc_
                     for i in np.flatnonzero(labels == 0):
                         labels[i] = -1 if len(w := text[slice(*graph.spans[i])]) >= 12 and secret_value(w) else 0
                     inside = lambda e: e[(e < doc_nodes).all(axis=1)].astype(np.int32).tobytes()
-                    out.append((np.packbits(graph.features[:doc_nodes]).tobytes(), labels.astype(np.int8).tobytes(), inside(graph.chain), inside(graph.skip)))
-            columns = zip(*out, strict=True) if out else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["x", "y", "chain", "skip"])
+                    out.append((mark, np.packbits(graph.features[:doc_nodes]).tobytes(), labels.astype(np.int8).tobytes(), inside(graph.chain), inside(graph.skip)))
+            columns = zip(*out, strict=True) if out else ([], [], [], [], [])
+            kinds = (pa.int64(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["mark", "x", "y", "chain", "skip"])
 
-    rows = chosen.mapInArrow(run, "x binary, y binary, chain binary, skip binary").collect()
+    rows = chosen.mapInArrow(run, "mark long, x binary, y binary, chain binary, skip binary").dropDuplicates(["mark"]).collect()
     graphs, labels = [], []
     for row in sorted(rows):
         y = np.frombuffer(row["y"], dtype=np.int8).astype(np.int64)
