@@ -43,13 +43,14 @@ def test_operators(spark, clashing, tmp_path):
     assert judged.count() == n and set(extra) <= set(judged.columns)
     lines = line_dedup.dedup_lines(clashing)
     assert lines.count() == n and lines.columns == clashing.columns
-    mixed = mixing.mix_sources(mixing.weighted(clashing.drop("size").withColumn("size", F.length("text")), spark.createDataFrame([(1, 1)], "doc_id long, quality int")))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    mixed = mixing.mix_sources(clashing.drop("size").withColumn("size", F.length("text")), quality=mixing.quality_weights(labels))
     assert mixed.count() == n and set(mixed.columns) == {*clashing.columns, "epochs"}
     assert simhash.near_duplicates(clashing).count() == n
     left = simhash_groups.keep_one(clashing)
     assert left.columns == clashing.columns and {r[0] for r in left.select("doc_id").collect()} == {1, 3, None}
     assert packing.pack(clashing.drop("n_tokens").withColumn("n_tokens", F.length("text"))).count() == n
-    assert token_counts.count_tokens(clashing, public_tokenizers.path("piece_bpe_32k.model"), parts=2).count() == n
+    assert token_counts.count_tokens(clashing, public_tokenizers.path("piece_bpe_32k.model"), part_tokens=2).count() == n
     written = sequence_files.write_sequences(clashing, public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/out", shards=2)
     assert sequence_files.read_documents(written).count() == n
     assert pii_crf.find_spans(clashing, pii_crf.train(clashing, made=40)).count() == n

@@ -30,6 +30,27 @@ def test_top_k_is_exact(spark):
     assert ball_tree.top_k(frame, F.lit(False)).count() == 0
 
 
+def test_one_tree_per_shard(spark, tmp_path):
+    """Shards hold near vectors, even where a third are equal; each is built once and bounds all its inner products."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 6)) * 3000
+    data = np.concatenate([(centres[k % 12] + rng.normal(size=6) * 50).astype(np.int64)[None] for k in range(800)] + [np.full((400, 6), 7)])
+    frame = spark.createDataFrame([(k, v.tolist(), 6, 1) for k, v in enumerate(data)], "vec_id long, v array<long>, dim int, copies long")
+    sharded = ball_tree._sharded(frame, 100, 600)
+    assert sharded.groupBy("shard").count().agg(F.max("count")).first()[0] < 200
+    roots = ball_tree.write_trees(sharded, f"file://{tmp_path}/trees").collect()
+    assert len(roots) == len({r["shard"] for r in roots}) == sharded.select("shard").distinct().count() == len(list((tmp_path / "trees").iterdir()))
+    seen, radii = [], []
+    for r in roots:
+        tree, vectors, ids, copies = ball_tree.read_tree(r["path"])
+        assert (vectors == data[ids]).all() and (copies == 1).all()
+        bound = ball_tree.upper_bounds(data[:50], np.array([r["centre"]]), np.array([r["radius"]]))[:, 0]
+        assert (bound >= (data[:50] @ vectors.T).max(axis=1)).all()
+        seen += ids.tolist()
+        radii.append(r["radius"])
+    assert sorted(seen) == list(range(len(data))) and np.median(radii) < 0.8 * np.sqrt(((data - data.mean(axis=0)) ** 2).sum(axis=1).max())
+
+
 def test_tree_opens_few_nodes():
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16)) * 4000
@@ -92,3 +113,25 @@ def test_trees_learn_from_labelled_urls(spark):
 def test_seed_labels(spark):
     frame = spark.createDataFrame([("http://free-bets.example.com/",), ("http://alphabets.example.com/",), (None,), ("x",)], "url string")
     assert sorted(map(tuple, url_filters.seed_labels(frame).collect())) == [("http://alphabets.example.com/", 0), ("http://free-bets.example.com/", 1)]
+
+
+def test_held_out_hosts(spark):
+    """Hosts that no tree has seen are judged by what their URLs look like; a label does not show in its own features."""
+    rng = random.Random(21)
+    name = lambda: "".join(rng.choice("aehinorst") for _ in range(rng.randint(4, 8)))
+    bad = [f"{rng.choice(('www', 'm', 'blog'))}.{a}-{b}.example.{t}" for a, b in (("casino", "win"), ("free", "bets"), ("cheap", "pills"), ("spam", "farm"), ("adult", "x"), ("big", "poker"), ("lottery", "now"), ("payday", "fast")) for t in ("com", "net")]
+    good = [f"{rng.choice(('', 'www.', 'm.', 'blog.'))}{name()}.example.{rng.choice(('com', 'net', 'org'))}" for _ in range(120)]
+    urls = [(f"http{rng.choice(('', 's'))}://{rng.choice(good if rng.random() < 0.9 else bad)}/{rng.choice(('en', 'de'))}/{rng.randint(1, 9999)}{rng.choice(('', '/', '.html', '?page=2&ref=x', '#top'))}",) for _ in range(3000)]
+    labelled = url_filters.seed_labels(spark.createDataFrame(urls, "url string"))
+    found = url_filters.held_out(labelled, rounds=5, depth=3).agg(*[F.sum(c).alias(c) for c in ("caught", "missed", "wrong", "right")]).first()
+    assert sum(found) == 3000
+    assert found["caught"] / (found["caught"] + found["missed"]) >= 0.9 and found["caught"] / (found["caught"] + found["wrong"]) >= 0.9
+
+
+def test_training_sample_is_bounded(spark):
+    rows = [(f"http://a.example/{k}", 0) for k in range(900)] + [("http://copied.example/", 0)] * 5000 + [(f"http://b.example/{k}", 1) for k in range(30)]
+    known = spark.createDataFrame(rows, "url string, label int")
+    got = url_filters.training_sample(known, "url", "label", 200).collect()
+    assert len(got) <= 130 and sum(r["label"] for r in got) == 30
+    weights = {label: sum(r["weight"] for r in got if r["label"] == label) for label in (0, 1)}
+    assert abs(weights[0] - 5900) < 1 and abs(weights[1] - 30) < 1e-6

@@ -2,14 +2,18 @@
 
 import base64
 import collections
+import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -119,6 +123,25 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_lines_without_an_id_are_one_document(spark):
+    frame = spark.createDataFrame([(None, f"same\nown {k}") for k in range(30)] + [(7, "same\nmine")], "doc_id long, text string")
+    assert line_dedup.dedup_lines(frame, min_docs=2).agg(F.sum("n_dropped")).first()[0] == 31
+    assert line_dedup.dedup_lines(frame, min_docs=3).agg(F.sum("n_dropped")).first()[0] == 0
+
+
+def test_lines_of_hot_and_rare_keys(spark):
+    """Keys that are broadcast and keys that are joined by shuffle are found alike."""
+    rng = random.Random(6)
+    rows = [(d, 0, p, rng.choice([1, 1, 1, 2, 3, *range(4, 60)]), 9) for d in range(60) for p in range(20)]
+    keys = spark.createDataFrame(rows, "_id long, _mark long, _pos int, h1 long, h2 long")
+    frequent = line_dedup.frequent_keys(keys, 10)
+    counted = collections.Counter(h for _, h in {(d, h) for d, _, _, h, _ in rows})
+    want = sorted((d, m, p) for d, m, p, h, _ in rows if counted[h] >= 10)
+    assert {r["h1"]: r["rows"] for r in frequent.collect()} == {h: n for h, n in collections.Counter(r[3] for r in rows).items() if counted[h] >= 10}
+    for most in (1, 5, 10_000):
+        assert sorted(map(tuple, line_dedup.lines_with(keys, frequent, most).collect())) == want
+
+
 def test_simhash_and_components(docs, rows, none):
     import xxhash
 
@@ -141,8 +164,9 @@ def test_simhash_and_components(docs, rows, none):
 
 def test_masks_cover_every_difference():
     rng = random.Random(2)
-    for masks, radius in [(simhash.covering_masks(list(range(64)), 3), 3), *((simhash_groups.part_masks(15, p), 15) for p in (2, 3, 4, 5))]:
-        for _ in range(2000):
+    for radius in (1, 2, 3, 4):
+        masks = simhash.covering_masks(list(range(64)), radius)
+        for _ in range(1000):
             change = sum(1 << b for b in rng.sample(range(64), radius))
             assert any(not change & m for m in masks)
 
@@ -181,6 +205,20 @@ def test_similar_groups(spark, docs, none):
     assert kept.columns == docs.columns
     assert kept.where("doc_id IS NULL").count() == 2
     assert simhash_groups.keep_one(none).count() == 0
+    one, other = texts[0][1], texts[4][1]
+    clash = spark.createDataFrame([(5, one), (7, one), (3, other), (5, other)], "doc_id long, text string")
+    assert sorted(simhash_groups.keep_one(clash).collect()) == [(3, other), (5, one)]
+
+
+def test_minhash_bands_meet_similar_sets():
+    """Sets of similarity 0.8 share a key but for about 4 in 10,000; unrelated ones share none."""
+    rng, tables, missed = np.random.default_rng(3), simhash_groups.Tables(), 0
+    for _ in range(1500):
+        hashes = rng.integers(0, 2**63, 220, dtype=np.uint64)
+        a, b = (set(tables.keys(np.sort(h)).tolist()) for h in (hashes[:198], hashes[22:]))  # 176 of 220 in common
+        missed += not a & b
+        assert not a & set(tables.keys(rng.integers(0, 2**63, 200, dtype=np.uint64)).tolist())
+    assert missed <= 5
 
 
 def test_similar_groups_are_exact(spark):
@@ -226,8 +264,8 @@ def test_token_counts(docs, rows, none):
         text = row[1] or ""
         n = len(sp.encode(text))
         want.append((row[0], len(text.encode()), n, n > 100))
-    for size in (24 << 20, 500):
-        got = token_counts.count_tokens(docs, model, limit=100, block_bytes=size).collect()
+    for size, held in ((24 << 20, 500_000), (500, 500_000), (2_000, 1)):
+        got = token_counts.count_tokens(docs, model, limit=100, block_bytes=size, part_tokens=held).collect()
         assert sorted(map(key, got)) == sorted(map(key, want))
     assert token_counts.count_tokens(none, model).count() == 0
 
@@ -256,18 +294,52 @@ def test_sequence_files(spark, docs, rows, none, tmp_path):
     reader = sequence_files.ShardReader(written.orderBy("shard").first()["path"])
     flat = np.concatenate([ids for _, ids in reader.documents()])
     ids, mask = reader.sequence(1)
-    assert (ids == flat[64:128]).all() and mask.all()
+    assert (ids == flat[64:128]).all() and reader.real(mask).all()
     assert sequence_files.read_documents(sequence_files.write_sequences(none, path, f"file://{tmp_path}/none")).count() == 0
     assert sequence_files.write_sequences(docs, path, f"file://{tmp_path}/null", shards=2).agg(F.sum("n_docs")).first()[0] == len(rows)
 
 
+def test_sequences_by_number(tmp_path):
+    rng = np.random.default_rng(4)
+    counts = rng.integers(1, 40, 500)
+    flat = rng.integers(0, 60_000, counts.sum()).astype("<u2")
+    writer = sequence_files.ShardWriter(f"file://{tmp_path}/one.arrow", 8, "uint16", batch_rows=16)
+    for a, b in ((0, 3), (3, 3), (3, 450), (450, 500)):
+        before = counts[:a].sum()
+        writer.add(pa.array(range(a, b), pa.int64()), flat[before : counts[:b].sum()], counts[a:b])
+    writer.close()
+    reader = sequence_files.ShardReader(f"file://{tmp_path}/one.arrow")
+    rows = -(-len(flat) // 8)
+    sizes = [batch.num_rows for batch in reader.batches()]
+    assert sum(sizes) == rows and set(sizes[:-1]) == {16}
+    for k in range(rows):
+        ids, mask = reader.sequence(k)
+        n = int(reader.real(mask).sum())
+        assert (ids[:n] == flat[8 * k : 8 * k + n]).all() and n == min(8, len(flat) - 8 * k) and not ids[n:].any() and not reader.real(mask)[n:].any()
+        assert not ids.flags.owndata and not mask.flags.owndata and not mask.flags.writeable  # views of the mapped file
+    assert [d for d, _ in reader.documents()] == list(range(500))
+    for k in (-1, rows):
+        with pytest.raises(IndexError):
+            reader.sequence(k)
+
+
+def test_text_slices_hold_all_rows():
+    texts = ["a" * n for n in (0, 3, 50, 1, 1, 0, 9)] + [None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    for most in (1, 4, 1000):
+        assert [r for s in sequence_files.text_slices(batch, 1, most) for r in s.column(0).to_pylist()] == list(range(len(texts)))
+
+
 def test_word_encoder_is_exact():
     path = public_tokenizers.path("word_bpe_49k.json")
-    tokenizer, encode, rng = Tokenizer.from_file(path), sequence_files.WordEncoder(path, "uint16", 40, 60), random.Random(3)
-    pieces = ["a", "B", "É", "ß", "İ", "Σ", "ς", " ", "\n", ".", ",", "'s", "'", "<|endoftext|>", "<|", "é", "1", "½", "漢", "ᄀ", "ᅡ", "_", "#", "क़", "µ", "į"]
-    for _ in range(3000):
-        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 10)))
-        assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    tokenizer, encode, rng = Tokenizer.from_file(path), sequence_files.WordEncoder(path, "uint16", 300), random.Random(3)
+    pieces = ["a", "B", "É", "ß", "İ", "Σ", "ς", " ", "\n", ".", ",", "'s", "'", "<|endoftext|>", "<|", "é", "1", "½", "漢", "ᄀ", "ᅡ", "_", "#", "क़", "µ", "į", "ª", "\u0301"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 10))) for _ in range(60)] + [None]
+        ids, counts = encode(pa.array(texts, pa.string()))
+        made = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(m) for m in made] and ids.tolist() == [i for m in made for i in m]
+    assert [len(x) for x in encode(pa.array([], pa.string()))] == [0, 0]
 
 
 def _water(sizes, weights, total, ceiling):
@@ -352,6 +424,33 @@ def test_packing(spark, none):
     assert packing.pack(none.withColumn("n_tokens", F.lit(1))).count() == 0
 
 
+def test_packing_spreads_one_id(spark):
+    frame = spark.createDataFrame([(None if k % 2 else 7, 5 + k % 3) for k in range(400)], "doc_id long, n_tokens long")
+    got = packing.pack(frame, buckets=2, batch_tokens=70, block_rows=20).collect()
+    assert len(got) == 400 and sum(r["n_tokens"] for r in got) == sum(5 + k % 3 for k in range(400))
+    for bucket in {r["bucket"] for r in got}:
+        mine = sorted((r["batch_id"], r["slot"]) for r in got if r["bucket"] == bucket)
+        size = next(r["batch_size"] for r in got if r["bucket"] == bucket)
+        assert mine == [divmod(k, size) for k in range(len(mine))]
+
+
+def test_mixing_without_ids_agrees(spark):
+    rows = [(None, "a" if k % 3 else "b", 10 + k % 7, f"text {k}") for k in range(300)] + [(5, "a", 9, f"twice {k}") for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, size long, text string")
+    runs = [sorted(mixing.mix_sources(frame.repartition(n), bucket_rows=30).select("text", "copies").collect()) for n in (1, 7)]
+    assert runs[0] == runs[1] and len(runs[0]) == 340
+
+
+def test_mixing_equal_rows(spark):
+    """Of equal rows as many get a copy more as the budget holds."""
+    frame = spark.createDataFrame([(1, "a", 10)] * 50 + [(None, "b", 3)] * 40, "doc_id long, source string, size long")
+    got = mixing.mix_sources(frame)
+    assert got.columns == ["doc_id", "source", "size", "source_size", "target", "epochs", "copies"] and got.count() == 90
+    for source, n in (("a", 50), ("b", 40)):
+        mine = [r for r in got.collect() if r["source"] == source]
+        assert len(mine) == n and abs(sum(r["copies"] * r["size"] for r in mine) - mine[0]["target"]) <= mine[0]["size"] / 2
+
+
 def test_base_spans():
     rng = random.Random(10)
     patterns = [
@@ -398,7 +497,7 @@ def test_skip_edges_carry_labels():
     text = "reach +1 (826) 555-4081 today, " + "so " * 50 + "again 555-4081"
     graph = pii_crf.build_graph(text)
     assert graph.skip.tolist() == [[2, 3]]
-    weights = pii_crf.Field(np.zeros((pii_crf.WIDTH, 5)), np.zeros((5, 5)), 3 * np.eye(5))
+    weights = pii_crf.Field(np.zeros((pii_crf.WIDTH, 6)), np.zeros((6, 6)), 3 * np.eye(6))
     weights.node[0, 4] = 0.1
     first = weights.infer(graph)[0]
     assert first[2, 4] > first[0, 4]
@@ -416,5 +515,105 @@ def test_neighbouring_numbers_and_repeats(spark, docs):
     for row, (text, want) in zip(sorted(pii_crf.find_spans(frame, field).collect()), cases.items(), strict=True):
         assert [text[a:b] for a, b, k in zip(row["starts"], row["ends"], row["kinds"], strict=True) if k == 3] == want
     graph = pii_crf.build_graph("4111111111111111 5500005555555559 now")
-    marginals = np.tile(np.eye(5)[3], (len(graph), 1))
+    marginals = np.tile(np.eye(6)[3], (len(graph), 1))
     assert pii_crf.added_spans("4111111111111111 5500005555555559 now", graph, marginals, [], 0.9) == [(0, 16, 2), (17, 33, 2)]
+
+
+@pytest.fixture(scope="module")
+def field(docs):
+    return pii_crf.train(docs, made=1_500)
+
+
+def test_secrets(spark, field):
+    """Values behind words that announce them, and their repeats; digests, serials and versions are left alone."""
+    value, other = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8", "a1c3e5f7b9d1a3c5e7f9b1d3a5c7e9f1b3d5a7c9"
+    cases = {
+        f'the token = "{value}" here and': [value],
+        f"password=hunter2hunter22xq and so on": ["hunter2hunter22xq"],
+        f"token: {value} first, " + "then more words " * 40 + f"and {value} at the end": [value, value],
+        f"commit {other} fixes it": [],
+        "version 1.2.3 of 2024-01-05 at 10:31, page 12": [],
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for row, (text, want) in zip(sorted(pii_crf.find_spans(frame, field).collect()), cases.items(), strict=True):
+        assert [text[a:b] for a, b, k in zip(row["starts"], row["ends"], row["kinds"], strict=True) if k == pii_crf.SECRET] == want, text
+
+
+def test_marginals_do_not_depend_on_neighbours(field):
+    texts = [pii_crf.build_graph(t) for t in ('token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" and again 9b0b3c6a43eb78aa99cbd7049c572391524f37a8', "call 212-555-1234 212-555-9876 or 555-9876 now", "id 12345678 and 12345678 " * 9)]
+    joint = field.infer(pii_crf.joined(texts), owner=np.repeat(np.arange(3), [len(g) for g in texts]))[0]
+    alone = np.concatenate([field.infer(g)[0] for g in texts])
+    assert np.abs(joint - alone).max() < 1e-12
+
+
+def test_long_texts_take_linear_time(field):
+    text = " ".join(f"user{k}@mail{k % 7}.example.com" for k in range(100_000)) + ' token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"'
+    began = time.process_time()
+    (base, added), (short, _) = pii_crf.marked_spans([text, "a 10.0.0.1 b"], field, 0.9, 16_384)
+    assert len(base) == 100_000 and len(added) == 1 and short == [(2, 10, 1)]
+    assert time.process_time() - began < 60
+
+
+def test_pii_query(spark, rows, tmp_path):
+    """The query's counts and digests, formed again from patterns alone."""
+    texts = [(k, r[1]) for k, r in enumerate(rows)] + [(900, "a.b@c.de 10.1.2.3, +1 (826) 555-4081 or 4111 1111 1111 1111"), (900, 'é token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"'), (None, "+49 30 1234567 x@y.z")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for doc, text in texts:
+        found = pii_spans.base_spans(text or "")[0]
+        names = [f"{pii_spans.KINDS[k]}:{a}:{b}" for a, b, k in found]
+        counts = collections.Counter(k for _, _, k in found)
+        want.append((doc, *(counts[k] for k in range(4)), hashlib.sha256(",".join(names).encode()).hexdigest(), names))
+    got = pii_crf.query(spark, str(tmp_path)).collect()
+    base = lambda r: [s for s in r["spans"].split(",") if s]
+    assert sorted((key(r[:6]) for r in got)) == sorted(key(w[:6]) for w in want)
+    for r in got:
+        spans = [(int(s.split(":")[1]), pii_crf.SPAN_KINDS.index(s.split(":")[0])) for s in base(r)]
+        assert spans == sorted(spans) and len(spans) == r["n_spans"] == r["n_added"] + sum(r[1:5]) and r["flagged"] == bool(spans)
+        assert r["n_secret"] == sum(s.startswith("secret:") for s in base(r))
+        assert any((w[0], w[5]) == (r["doc_id"], r["base_sha256"]) and set(w[6]) <= set(base(r)) for w in want)
+    assert sum(r["n_secret"] for r in got) >= 1
+
+
+def test_quality_query(spark, tmp_path):
+    """Counts and verdicts of the query, each formed again in plain loops."""
+    rng = random.Random(15)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    noise = base64.b64encode(bytes(rng.randrange(256) for _ in range(6000))).decode()
+    texts = [prose(n) for n in (10, 25, 200, 900, 4000)] + [prose(700) + "\n" + noise, " ".join([noise[k : k + 40] for k in range(0, 4000, 40)]), ("same words again " * 8 + "\n") * 40, prose(60) + "\na\na\n \n \nb#*$", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pack = zstandard.ZstdCompressor(level=3)
+    whole = [(10_000, 1.5, 5.0), (1_000, 1.4, 4.0), (300, 1.2, 3.5), (100, 0.85, 3.0), (0, 0.0, float("inf"))]
+    got = {r["doc_id"]: r for r in compression_bands.query(spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        text, r = text or "", got[k]
+        tokens = WORD.findall(text)
+        windows = collections.Counter(tuple(tokens[i : i + 8]) for i in range(len(tokens) - 7))
+        repeated = {j for i in range(len(tokens) - 7) if windows[tuple(tokens[i : i + 8])] > 1 for j in range(i, i + 8)}
+        seen, again = set(), 0
+        for line in text.split("\n"):
+            again += bool(WORD.search(line)) and line in seen
+            seen.add(line)
+        failed = len(tokens) < 20 or 100 * len(repeated) > 30 * len(tokens)
+        data, bad = text.encode(), 0
+        fits = lambda b, low, high: low <= len(b) / len(pack.compress(b)) <= high
+        band = lambda n: next(x[1:] for x in whole if n >= x[0])
+        for at in range(0, len(data), 4096):
+            chunk = data[at : at + 4096]
+            bad += 0 if fits(chunk, *((1.4, 6.0) if len(chunk) == 4096 else band(len(chunk)))) else len(chunk)
+        kept = not failed and fits(data, *band(len(data))) and bad <= 0.3 * len(data)
+        want = (len(tokens), sum(map(len, tokens)), sum(c in "#*$%&|<>" for c in text), again, len(repeated), failed, kept)
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")) == want, k
+    assert {r["kept"] for r in got.values()} == {True, False} and {k for k, r in got.items() if not r["base_failed"] and not r["kept"]}
+
+
+def test_simhash_query(spark, tmp_path):
+    texts = ["one two three four five", "One TWO three four five", "one two", "", None, "quite another text altogether here"]
+    spark.createDataFrame([(10 + k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.query(spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        words = [w.lower() for w in WORD.findall(text or "")]
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        assert got[10 + k][0] == f"{sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)):016x}"
+    assert got[10] == got[11] and got[13] == ("0" * 16, 13) and got[14] == ("0" * 16, 13)
