@@ -163,7 +163,10 @@ def _requantised(plane: Column, height: Column, width: Column, table: Column) ->
     basis, inside = F.array(*[F.lit(x) for x in _cosines()]), F.sequence(F.lit(0), F.lit(63))
     at = lambda a, i: F.element_at(a, (i + 1).cast("int"))
 
-    def through(values: Column, forward: bool) -> Column:
+    def through(values: Column, table: Column | None) -> Column:
+        """Into cosines and quantised with a table, back from them without one."""
+        forward = table is not None
+
         def value(y: Column, x: Column, _) -> Column:
             top, left, u, v = y - y % 8, x - x % 8, y % 8, x % 8
 
@@ -177,12 +180,14 @@ def _requantised(plane: Column, height: Column, width: Column, table: Column) ->
 
         return each(height, width, 1, value)
 
-    return bound(through(plane, True), lambda kept: through(kept, False))
+    quantised = bound(table, lambda t: bound(plane, lambda p: through(p, t)))
+    return bound(quantised, lambda kept: through(kept, None))
 
 
 def recompressed(pixels: Column, height: Number, width: Number, quality: Number, luminance: list[int], chrominance: list[int], channels: int = 1) -> Column:
     """What quantisation of 8 x 8 cosine blocks at a quality leaves of an image; colour has half the resolution."""
-    tall, wide = (F.ceil(_c(n) / 16) * 16 for n in (height, width))
+    block = 8 if channels == 1 else 16  # colour is halved before it is cut
+    tall, wide = (F.ceil(_c(n) / block) * block for n in (height, width))
     part = lambda y, x, c: pixel(pixels, mirrored(y, height), mirrored(x, width), F.lit(c), width, channels)
     luma = (lambda y, x: part(y, x, 0) * 1.0) if channels == 1 else (lambda y, x: 0.299 * part(y, x, 0) + 0.587 * part(y, x, 1) + 0.114 * part(y, x, 2))
     light = _requantised(each(tall, wide, 1, lambda y, x, _: luma(y, x) - 128.0), tall, wide, quantiser(luminance, _c(quality)))
