@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwork.llm import ball_tree, compression_bands, line_dedup, mixing, packing, pii_crf, sequence_files, simhash, token_counts, url_filters
+from loomwork.llm import ball_tree, compression_bands, line_dedup, merkle, mixing, packing, pii_crf, sequence_files, simhash, token_counts, url_filters
 
 QUERIES = {
     "op1_compression_bands": compression_bands.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_trees": url_filters.query,
     "op9_sequence_files": sequence_files.query,
     "op10_source_mixing": mixing.query,
+    "op11_merkle_manifest": merkle.query,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_ball_tree_top_k": ball_tree.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op10_source_mixing": mixing.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
 }
