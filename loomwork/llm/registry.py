@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwork.llm import ball_tree, compression_bands, line_dedup, merkle, mixing, packing, pii_crf, sequence_files, simhash, token_counts, url_filters
+from loomwork.llm import ball_tree, chat_format, compression_bands, line_dedup, merkle, mixing, packing, pii_crf, sequence_files, simhash, token_counts, url_filters
 
 QUERIES = {
     "op1_compression_bands": compression_bands.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sequence_files": sequence_files.query,
     "op10_source_mixing": mixing.query,
     "op11_merkle_manifest": merkle.query,
+    "op12_chat_rendering": chat_format.query,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op10_source_mixing": mixing.ORACLE_SQL,
     "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op12_chat_rendering": chat_format.ORACLE_SQL,
 }
