@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomwork.llm.ordering import group_key, numbered
-from loomwork.llm.texts import lower_ascii
+from loomwork.llm.texts import CRC32_SQL, lower_ascii
 from loomwork.session import materialise
 
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -134,13 +134,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-#: CRC-32 of a text in SQL: bit by bit over its bytes with the reflected polynomial.
-CRC32_SQL = (
-    "xor(list_reduce([4294967295::BIGINT] || list_transform(range(octet_length(encode({0}))), lambda i: ('0x' || hex(encode({0}))[2*i+1:2*i+2])::BIGINT), "
-    "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
-)
-
-
 def _tree_sql(name: str, levels: int) -> str:
     """CTEs of a tree over {name}0 (g, i, h): {name}p<k> has the children of each node of level k + 1, if its group has several."""
     steps = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwork.llm import ball_tree, chat_format, compression_bands, line_dedup, merkle, mixing, packing, pii_crf, sequence_files, simhash, token_counts, url_filters
+from loomwork.llm import ball_tree, chat_format, compression_bands, line_dedup, merkle, mixing, packing, pii_crf, sequence_files, simhash, spelling, token_counts, url_filters
 
 QUERIES = {
     "op1_compression_bands": compression_bands.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_source_mixing": mixing.query,
     "op11_merkle_manifest": merkle.query,
     "op12_chat_rendering": chat_format.query,
+    "op13_spelling_variants": spelling.query,
 }
 
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op10_source_mixing": mixing.ORACLE_SQL,
     "op11_merkle_manifest": merkle.ORACLE_SQL,
     "op12_chat_rendering": chat_format.ORACLE_SQL,
+    "op13_spelling_variants": spelling.ORACLE_SQL,
 }
