@@ -92,8 +92,9 @@ def render(template: Template, turns: list[Turn], context: int = 0, lossy: Itera
     """Renders successive prefixes of turns and compares each output with the one before.
 
     Where an output starts with the one before, what it adds is the turn's span. Where it doesn't, the template
-    rewrites history: from there on nothing is located and `rewritten` tells the turn. The first `context` turns
-    only stand in front: the result is what the others add to them.
+    rewrites history: nothing is located then and `rewritten` tells the turn, as where its marks depend on a text. A
+    loss is the text as the template writes it. The first `context` turns only stand in front: the result is what the
+    others add to them.
     """
     lossy, marks, losses, last, rewritten = set(lossy), [], [], template(turns[:context]) if context else "", None
     base = len(last)
