@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomwork import reports, results
-from loomwork.functions import kernels, metrics
+from loomwork.functions import chain, metrics, paths
 from loomwork.operators import faces, model, morphs, quality, split, statistics
 from loomwork.session import build_session
 from loomwork.sources import scans, sinks
@@ -58,10 +58,10 @@ def run_inspect(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def run_augment(spark: SparkSession, args: argparse.Namespace) -> int:
     """Chains of kernels over a Parquet table of decoded images."""
-    names = [n for n in (args.operators or "").split(",") if n] or kernels.Registry().names()
+    names = [n for n in (args.operators or "").split(",") if n] or None
     try:
-        done = kernels.augment(spark.read.parquet(args.input), names, seed=args.seed, probability=args.probability, copies=args.copies)
-    except (KeyError, ValueError) as error:
+        done = chain.augment(spark.read.parquet(args.input), names, seed=args.seed, probability=args.probability, copies=args.copies)
+    except ValueError as error:
         print(f"bad arguments: {error}", file=sys.stderr)
         return BAD_ARGUMENTS
     if not args.dry_run:

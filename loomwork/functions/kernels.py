@@ -1,15 +1,13 @@
-"""Image kernels: seeded, per-image transformations of H x W x 3 bytes, run over rows by Arrow batches."""
+"""Image kernels over arrays of H x W x 3 bytes: what SQL functions apply, and what the column forms are held against."""
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
 
 Image = np.ndarray
 Params = dict[str, float]
@@ -288,34 +286,3 @@ def augment_one(image: Image, path: str, names: list[str], registry: Registry, s
         applied.append(name)
         params |= {f"{name}.{k}": v for k, v in drawn.items()}
     return image, applied, params, "; ".join(errors) or None
-
-
-AUGMENTED = "path string, copy int, height int, width int, data binary, applied array<string>, parameters map<string,double>, error string"
-
-
-def augment(images: DataFrame, names: list[str], registry: Registry | None = None, seed: int = 0, probability: float = 0.5, copies: int = 1) -> DataFrame:
-    """images(path, height, width, data) through a chain of kernels, `copies` times each; no shuffle.
-
-    Rows whose data is null or of the wrong size come back with an error and without data.
-    """
-    registry = registry or Registry()
-    if not 0 <= probability <= 1:
-        raise ValueError("probability must be between 0 and 1")
-    for name in names:
-        registry.get(name)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, h, w, data in zip(batch["path"], batch["height"], batch["width"], batch["data"], strict=True):
-                good = data is not None and h > 0 and w > 0 and len(data) == h * w * 3
-                for copy in range(copies):
-                    if not good:
-                        rows.append((path, copy, h, w, None, [], {}, "unreadable image"))
-                        continue
-                    image = np.frombuffer(data, dtype=np.uint8).reshape(h, w, 3)
-                    out, applied, params, error = augment_one(image, path, names, registry, seed, probability, copy)
-                    rows.append((path, copy, h, w, out.tobytes(), applied, params, error))
-            yield pd.DataFrame(rows, columns=["path", "copy", "height", "width", "data", "applied", "parameters", "error"])
-
-    return images.select("path", "height", "width", "data").mapInPandas(run, AUGMENTED)

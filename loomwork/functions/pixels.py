@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def _n(x: Column | float) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
 def _byte(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0)), F.lit(255)).cast("int")
 
 
-def flipped(pixels: Column, width: int, channels: int = 1) -> Column:
+def flipped(pixels: Column, width: Column | int, channels: int = 1) -> Column:
     """Columns in reverse order, channels in their own."""
     at = F.sequence(F.lit(0), F.size(pixels) - 1)
     row = width * channels
@@ -21,9 +25,9 @@ def flipped(pixels: Column, width: int, channels: int = 1) -> Column:
     return F.transform(at, lambda i: F.element_at(pixels, source(i)))
 
 
-def brightened(pixels: Column, factor: float) -> Column:
+def brightened(pixels: Column, factor: Column | float) -> Column:
     """Rounded to even and kept within a byte."""
-    return F.transform(pixels, lambda p: _byte(F.rint(F.abs(p * F.lit(float(factor))))))
+    return F.transform(pixels, lambda p: _byte(F.rint(F.abs(p * _n(factor)))))
 
 
 def mean(pixels: Column) -> Column:
@@ -37,19 +41,19 @@ def gray(pixels: Column) -> Column:
     return F.transform(at, lambda i: F.rint(0.299 * part(i, 0) + 0.587 * part(i, 1) + 0.114 * part(i, 2)).cast("int"))
 
 
-def contrasted(pixels: Column, factor: float, average: Column) -> Column:
+def contrasted(pixels: Column, factor: Column | float, average: Column) -> Column:
     """average + factor * (p - average), kept within a byte and cut off; average, a column of its own, is mean(p) of one channel or mean(gray(p)) of three."""
-    return F.transform(pixels, lambda p: _byte(F.floor(F.least(F.greatest(average + F.lit(float(factor)) * (p - average), F.lit(0.0)), F.lit(255.0)))))
+    return F.transform(pixels, lambda p: _byte(F.floor(F.least(F.greatest(average + _n(factor) * (p - average), F.lit(0.0)), F.lit(255.0)))))
 
 
-def contrasted_rounded(pixels: Column, factor: float, average: Column) -> Column:
+def contrasted_rounded(pixels: Column, factor: Column | float, average: Column) -> Column:
     """|factor * p + average * (1 - factor)| rounded; average is a whole number."""
-    return F.transform(pixels, lambda p: _byte(F.rint(F.abs(F.lit(float(factor)) * p + average * F.lit(1.0 - factor)))))
+    return F.transform(pixels, lambda p: _byte(F.rint(F.abs(_n(factor) * p + average * (1.0 - _n(factor))))))
 
 
-def gamma_corrected(pixels: Column, gamma: float) -> Column:
+def gamma_corrected(pixels: Column, gamma: Column | float) -> Column:
     """(p / 255) ** gamma * 255, cut off."""
-    return F.transform(pixels, lambda p: _byte(F.floor(F.pow(p / 255.0, F.lit(float(gamma))) * 255.0)))
+    return F.transform(pixels, lambda p: _byte(F.floor(F.pow(p / 255.0, _n(gamma)) * 255.0)))
 
 
 def normalised(pixels: Column, average: float, deviation: float) -> Column:
@@ -62,6 +66,12 @@ def packed(pixels: Column) -> Column:
     return F.unhex(F.array_join(F.transform(pixels, lambda p: F.lpad(F.hex(p), 2, "0")), ""))
 
 
+def unpacked(data: Column) -> Column:
+    """Binary as pixels; none for no bytes."""
+    digits = F.hex(data)
+    return F.transform(F.filter(F.split(F.regexp_replace(digits, "(..)", "$1 "), " "), lambda d: d != ""), lambda d: F.conv(d, 16, 10).cast("int"))
+
+
 def resized_nearest(pixels: Column, height: int, width: int, new_height: int, new_width: int) -> Column:
     at = F.sequence(F.lit(0), F.lit(new_height * new_width - 1))
     y, x = (lambda i: F.floor(F.floor(i / new_width) * height / new_height)), (lambda i: F.floor(i % new_width * width / new_width))

@@ -1,7 +1,7 @@
 """Kernels that look at neighbouring pixels, as column expressions over array<int> pixels; they stay in the JVM.
 
 Pixels lie row by row, channels interleaved. Sizes, angles and shares are columns or numbers, so that each row can
-have its own; blurs take their taps as numbers. Borders are mirrored at the outermost pixels, which are not repeated.
+have its own; so can the taps of blurs, as columns or as a table of numbers. Borders are mirrored at the outermost pixels, which are not repeated.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, functions as F
 
+from loomwork.functions.kernels import SMALL_KERNELS
 from loomwork.functions.pixels import _byte
 
 Number = Column | float | int
@@ -96,32 +97,125 @@ def reduced(pixels: Column, height: Number, width: Number, scale: Number, channe
     return each(height, width, channels, value)
 
 
-def convolved(pixels: Column, height: Number, width: Number, taps: np.ndarray, channels: int = 1) -> Column:
-    """Correlation with an odd table of numbers, as doubles."""
+def listed(taps: np.ndarray) -> Column:
+    """A table of numbers as taps: array<struct<y, x, k>>, places from the middle."""
     ry, rx = taps.shape[0] // 2, taps.shape[1] // 2
-    listed = F.array(*[F.struct(F.lit(int(i - ry)).alias("y"), F.lit(int(j - rx)).alias("x"), F.lit(float(taps[i, j])).alias("k")) for i, j in zip(*np.nonzero(taps), strict=True)])
+    return F.array(*[F.struct(F.lit(int(i - ry)).alias("y"), F.lit(int(j - rx)).alias("x"), F.lit(float(taps[i, j])).alias("k")) for i, j in zip(*np.nonzero(taps), strict=True)])
 
+
+def gaussian_taps(size: Number, sigma: Number) -> Column:
+    """A row of taps as array<double>, by an odd size and a deviation; with 0 a small size has its fixed row, a larger one a deviation by its size."""
+    size, sigma = _c(size).cast("int"), _c(sigma).cast("double")
+    spread = F.when(sigma > 0, sigma).otherwise(0.3 * ((size - 1) * 0.5 - 1.0) + 0.8)
+    bell = bound(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.exp(-F.pow(i - F.floor(size / 2), F.lit(2)) / (2.0 * spread * spread))), lambda e: bound(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda s: F.transform(e, lambda x: x / s)))
+    taps = F.when(F.lit(False), bell)
+    for n, line in SMALL_KERNELS.items():
+        taps = taps.when((sigma == 0) & (size == n), F.array(*[F.lit(x) for x in line]))
+    return taps.otherwise(bell)
+
+
+def motion_taps(size: Number, angle: Number) -> Column:
+    """Taps of a line through the middle of a size x size square, turned by angle degrees: array<struct<y, x, k>>."""
+    size, a, b = _c(size).cast("int"), F.cos(F.radians(_c(angle))), F.sin(F.radians(_c(angle)))
+    middle = F.floor(size / 2)
+    row = F.struct(size.alias("n"), middle.alias("c"), a.alias("a"), b.alias("b"))
+
+    def weighed(r: Column) -> Column:
+        def cell(k: Column) -> Column:
+            y, x = F.floor(k / r["n"]) - r["c"], k % r["n"] - r["c"]
+            along = r["a"] * x - r["b"] * y + r["c"]
+            low = F.floor(along)
+            inside = lambda i, share: F.when((i >= 0) & (i < r["n"]), share).otherwise(F.lit(0.0))
+            across = F.greatest(1.0 - F.abs(r["b"] * x + r["a"] * y), F.lit(0.0))
+            return F.struct(y.cast("int").alias("y"), x.cast("int").alias("x"), (across * (inside(low, 1.0 - (along - low)) + inside(low + 1, along - low))).alias("k"))
+
+        return F.filter(F.transform(F.sequence(F.lit(0), r["n"] * r["n"] - 1), cell), lambda t: t["k"] > 0)
+
+    point = F.array(F.struct(F.lit(0).alias("y"), F.lit(0).alias("x"), F.lit(1.0).alias("k")))
+    share = lambda taps, total: F.transform(taps, lambda t: F.struct(t["y"].alias("y"), t["x"].alias("x"), (t["k"] / total).alias("k")))
+    return bound(bound(row, weighed), lambda taps: bound(F.aggregate(taps, F.lit(0.0), lambda s, t: s + t["k"]), lambda total: F.when(total > 0, share(taps, total)).otherwise(point)))
+
+
+def convolved(pixels: Column, height: Number, width: Number, taps: Column | np.ndarray, channels: int = 1) -> Column:
+    """Correlation with taps, an odd table of numbers or array<struct<y, x, k>>, as doubles."""
+    if isinstance(taps, np.ndarray):
+        return _convolved(pixels, height, width, listed(taps), channels)
+    return bound(taps, lambda known: _convolved(pixels, height, width, known, channels))
+
+
+def _convolved(pixels: Column, height: Number, width: Number, taps: Column, channels: int) -> Column:
     def value(y: Column, x: Column, c: Column) -> Column:
-        return F.aggregate(listed, F.lit(0.0), lambda s, t: s + t["k"] * pixel(pixels, mirrored(y + t["y"], height), mirrored(x + t["x"], width), c, width, channels))
+        return F.aggregate(taps, F.lit(0.0), lambda s, t: s + t["k"] * pixel(pixels, mirrored(y + t["y"], height), mirrored(x + t["x"], width), c, width, channels))
 
     return each(height, width, channels, value)
 
 
-def blurred(pixels: Column, height: Number, width: Number, line: np.ndarray, channels: int = 1) -> Column:
-    """By a symmetric row of taps, first down, then across."""
-    down = convolved(pixels, height, width, np.asarray(line)[:, None], channels)
-    return bound(down, lambda p: F.transform(convolved(p, height, width, np.asarray(line)[None, :], channels), lambda v: _byte(F.rint(v))))
+def _crossed(pixels: Column, height: Number, width: Number, line: Column | np.ndarray, channels: int) -> Column:
+    """Correlation with a row of taps, first down, then across, as doubles."""
+    if isinstance(line, np.ndarray):
+        down, across = line[:, None], line[None, :]
+    else:
+        place = lambda i: (i - F.floor(F.size(line) / 2)).cast("int")
+        tap = lambda y, x, k: F.struct(y.alias("y"), x.alias("x"), k.alias("k"))
+        down, across = F.transform(line, lambda k, i: tap(place(i), F.lit(0), k)), F.transform(line, lambda k, i: tap(F.lit(0), place(i), k))
+    return bound(convolved(pixels, height, width, down, channels), lambda p: convolved(p, height, width, across, channels))
 
 
-def smeared(pixels: Column, height: Number, width: Number, taps: np.ndarray, channels: int = 1) -> Column:
+def blurred(pixels: Column, height: Number, width: Number, line: Column | np.ndarray, channels: int = 1) -> Column:
+    """By a symmetric row of taps."""
+    return F.transform(_crossed(pixels, height, width, line, channels), lambda v: _byte(F.rint(v)))
+
+
+def smeared(pixels: Column, height: Number, width: Number, taps: Column | np.ndarray, channels: int = 1) -> Column:
     """By any table of taps, such as a motion's line."""
     return F.transform(convolved(pixels, height, width, taps, channels), lambda v: _byte(F.rint(v)))
 
 
-def sharpened(pixels: Column, height: Number, width: Number, strength: Number, line: np.ndarray, channels: int = 1) -> Column:
+def sharpened(pixels: Column, height: Number, width: Number, strength: Number, line: Column | np.ndarray, channels: int = 1) -> Column:
     """(1 + strength) times the image less strength times its blur."""
-    soft = bound(convolved(pixels, height, width, np.asarray(line)[:, None], channels), lambda p: convolved(p, height, width, np.asarray(line)[None, :], channels))
-    return F.zip_with(pixels, soft, lambda p, q: _byte(F.rint((1.0 + _c(strength)) * p - _c(strength) * q)))
+    return F.zip_with(pixels, _crossed(pixels, height, width, line, channels), lambda p, q: _byte(F.rint((1.0 + _c(strength)) * p - _c(strength) * q)))
+
+
+def area_weights(old: Number, new: Number) -> Column:
+    """For each of `new` cells the old ones that it covers: array<array<struct<i, k>>>."""
+    old, new = _c(old).cast("int"), _c(new).cast("int")
+    scale = old / new
+
+    def cell(n: Column) -> Column:
+        low, high = n * scale, (n + 1) * scale
+        covered = F.sequence(F.floor(low).cast("int"), F.greatest(F.least(F.ceil(high), old).cast("int") - 1, F.floor(low).cast("int")))
+        return F.transform(covered, lambda i: F.struct(i.alias("i"), ((F.least(i + 1.0, high) - F.greatest(i * 1.0, low)) / scale).alias("k")))
+
+    return F.transform(F.sequence(F.lit(0), new - 1), cell)
+
+
+def bilinear_weights(old: Number, new: Number) -> Column:
+    """For each of `new` centres the two old ones beside it: array<array<struct<i, k>>>."""
+    old, new = _c(old).cast("int"), _c(new).cast("int")
+
+    def cell(n: Column) -> Column:
+        at = F.least(F.greatest((n + 0.5) * (old / new) - 0.5, F.lit(0.0)), old - 1.0)
+        low = F.floor(at).cast("int")
+        return F.array(F.struct(low.alias("i"), (1.0 - (at - low)).alias("k")), F.struct(F.least(low + 1, old - 1).alias("i"), (at - low).alias("k")))
+
+    return F.transform(F.sequence(F.lit(0), new - 1), cell)
+
+
+def resized(pixels: Column, height: Number, width: Number, new_height: Number, new_width: Number, area: Column | bool, channels: int = 1) -> Column:
+    """To any size, as doubles: by the areas that new pixels cover, or bilinear between centres; first down, then across.
+
+    Both steps take a few old values for each new one, from lists of weights that are computed once a row.
+    """
+    by = lambda old, new: F.when(_c(area), area_weights(old, new)).otherwise(bilinear_weights(old, new))
+    pick = lambda weights, n: F.element_at(weights, (n + 1).cast("int"))
+    known = F.struct(by(height, new_height).alias("down"), by(width, new_width).alias("across"))
+
+    def run(w: Column) -> Column:
+        down = each(new_height, width, channels, lambda y, x, c: F.aggregate(pick(w["down"], y), F.lit(0.0), lambda s, t: s + t["k"] * pixel(pixels, t["i"], x, c, width, channels)))
+        across = lambda p: each(new_height, new_width, channels, lambda y, x, c: F.aggregate(pick(w["across"], x), F.lit(0.0), lambda s, t: s + t["k"] * pixel(p, y, t["i"], c, width, channels)))
+        return bound(down, across)
+
+    return bound(known, run)
 
 
 def uniform(key: Column, at: Column, seed: int) -> Column:

@@ -1,79 +1,72 @@
-"""Pixels for models: upright face crops, and normalised channel-first inputs."""
+"""Pixels for models: upright face crops, and normalised channel-first inputs; columns, no Python worker."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame, functions as F
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-
-from loomwork.functions import geometry
-from loomwork.functions.kernels import resized, saturated, turned
+from loomwork.functions import geometry, pixels, warps
 
 # Mean and deviation of the red, green and blue channel that pretrained backbones expect.
 CHANNEL_MEAN = (0.485, 0.456, 0.406)
 CHANNEL_DEVIATION = (0.229, 0.224, 0.225)
 
 
-def _pixels(data: bytes | None, height: int, width: int) -> np.ndarray | None:
-    if data is None or len(data) != height * width * 3:
-        return None
-    return np.frombuffer(data, np.uint8).reshape(height, width, 3)
+def readable(data: Column, height: Column, width: Column) -> Column:
+    """Whether the bytes are those of three channels; false for null."""
+    return F.coalesce((F.octet_length(data) == height * width * 3) & (height > 0) & (width > 0), F.lit(False))
+
+
+def _bytes(values: Column) -> Column:
+    return F.transform(values, lambda v: pixels._byte(F.rint(v)))
 
 
 def crop_faces(images: DataFrame, key: str = "path", size: int = 224, threshold: float = 0.9, margin: float = 0.3, swap_channels: bool = False) -> DataFrame:
     """images(key, height, width, data, detections) as (key, data, angle, success, failure_reason); no shuffle.
 
-    The largest good face is chosen and its box computed by column expressions; only the pixels of images with
-    a face reach Python. There the image is turned by the angle of the eyes, mirrored at its edges, cut to the box and
-    resized by area to size x size. Rows without a face or with unreadable pixels have a reason and no data.
+    The largest good face is chosen; the image is turned by the angle of its eyes, mirrored at its edges, cut to the
+    face's box and resized by area to size x size. Rows without a face or with unreadable pixels have a reason and no data.
     """
     found = geometry.align(images, threshold=threshold, margin=margin)
-    box = [F.col("crop")[c].cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")]
-    sent = F.when(F.col("success"), F.col("data")).alias("data")
-    ready = found.select(F.col(key).alias("key"), "height", "width", sent, F.col("angle").cast("double"), *box, "failure_reason")
-    kind = dict(images.dtypes)[key]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                if r.failure_reason is not None:
-                    rows.append((r.key, None, None, False, r.failure_reason))
-                    continue
-                image = _pixels(r.data, r.height, r.width)
-                if image is None:
-                    rows.append((r.key, None, r.angle, False, "unreadable image"))
-                    continue
-                upright = saturated(turned(image, r.angle, (r.width / 2, r.height / 2)))
-                face = saturated(resized(upright[int(r.y1) : int(r.y2), int(r.x1) : int(r.x2)], size, size, area=True))
-                rows.append((r.key, (face[..., ::-1] if swap_channels else face).tobytes(), r.angle, True, None))
-            yield pd.DataFrame(rows, columns=[key, "data", "angle", "success", "failure_reason"])
-
-    return ready.mapInPandas(run, f"`{key}` {kind}, data binary, angle double, success boolean, failure_reason string")
+    good = readable(F.col("data"), F.col("height"), F.col("width"))
+    ready = found.select(
+        F.col(f"`{key}`").alias("_key"), "height", "width", F.col("angle").cast("double").alias("angle"), "crop", "failure_reason", good.alias("_good"),
+        F.when(F.col("success") & good, pixels.unpacked(F.col("data"))).alias("_pixels"),
+    )
+    height, width, crop = F.col("height"), F.col("width"), F.col("crop")
+    upright = warps.rotated(F.col("_pixels"), height, width, F.col("angle"), 3)
+    tall, wide = (crop["y2"] - crop["y1"]), (crop["x2"] - crop["x1"])
+    inside = lambda p: warps.each(tall, wide, 3, lambda y, x, c: warps.pixel(p, y + crop["y1"], x + crop["x1"], c, width, 3))
+    cut = warps.bound(upright, inside)
+    face = warps.bound(cut, lambda p: _bytes(warps.resized(p, tall, wide, size, size, True, 3)))
+    if swap_channels:
+        face = warps.bound(face, lambda p: warps.each(size, size, 3, lambda y, x, c: warps.pixel(p, y, x, 2 - c, size, 3)))
+    made = ready.withColumn("data", F.when(F.col("_pixels").isNotNull(), pixels.packed(face)))
+    reason = F.coalesce("failure_reason", F.when(~F.col("_good"), "unreadable image"))
+    angle = F.when(F.col("failure_reason").isNull(), F.col("angle"))
+    return made.select(F.col("_key").alias(key), "data", angle.alias("angle"), reason.isNull().alias("success"), reason.alias("failure_reason"))
 
 
 def model_inputs(images: DataFrame, key: str = "path", size: int = 224, flip_share: float = 0.0, seed: int = 0) -> DataFrame:
     """images(key, height, width, data) as (key, values): size x size, channels first, normalised; null if unreadable.
 
-    For training, a share of the images is mirrored left to right; which ones depends on the key and the seed.
+    Larger images are resized by area, others bilinearly. For training, a share of the images is mirrored left to right;
+    which ones depends on the key and the seed.
     """
-    chance = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
     if size <= 0:
         raise ValueError(f"size must be positive, got {size}")
-    kind = dict(images.dtypes)[key]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = []
-            for data, h, w, flip in zip(batch["data"], batch["height"], batch["width"], batch["flip"], strict=True):
-                image = _pixels(data, h, w)
-                if image is not None:
-                    image = saturated(resized(image, size, size, area=size < min(h, w))) / 255.0
-                    image = image[:, ::-1] if flip else image
-                    image = ((image - CHANNEL_MEAN) / CHANNEL_DEVIATION).transpose(2, 0, 1).ravel().astype(np.float32)
-                values.append(image)
-            yield pd.DataFrame({key: batch["key"], "values": values})
-
-    return images.select(F.col(key).alias("key"), "height", "width", "data", (chance < flip_share).alias("flip")).mapInPandas(run, f"`{key}` {kind}, values array<float>")
+    named, height, width = F.col(f"`{key}`"), F.col("height"), F.col("width")
+    chance = F.pmod(F.xxhash64(F.lit(seed), named), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    good = readable(F.col("data"), height, width)
+    ready = images.select(named.alias("_key"), "height", "width", (chance < flip_share).alias("_flip"), F.when(good, pixels.unpacked(F.col("data"))).alias("_pixels"))
+    small = warps.resized(F.col("_pixels"), height, width, size, size, F.least(height, width) > size, 3)
+    share = lambda p, y, x, c: warps.pixel(p, y, x, c, size, 3) / 255.0
+    means, deviations = (F.array(*[F.lit(v) for v in row]) for row in (CHANNEL_MEAN, CHANNEL_DEVIATION))
+
+    def value(p: Column, i: Column) -> Column:
+        c, y, x = F.floor(i / (size * size)), F.floor(i % (size * size) / size), i % size
+        x = F.when(F.col("_flip"), size - 1 - x).otherwise(x)
+        of = lambda a: F.element_at(a, (c + 1).cast("int"))
+        return ((share(p, y, x, c) - of(means)) / of(deviations)).cast("float")
+
+    values = warps.bound(_bytes(small), lambda p: F.transform(F.sequence(F.lit(0), F.lit(3 * size * size - 1)), lambda i: value(p, i)))
+    return ready.select(F.col("_key").alias(key), F.when(F.col("_pixels").isNotNull(), values).alias("values"))

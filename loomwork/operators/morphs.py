@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwork.functions.geometry import interpolated, with_border
-from loomwork.functions.kernels import resized, sample_at, saturated
 from loomwork.functions.paths import iso_seconds, morph_name
-from loomwork.functions.warps import bilinear
+from loomwork.functions.pixels import _byte, packed, unpacked
+from loomwork.functions.warps import bilinear, resized
 
 
 def records(pairs: DataFrame, dataset: str, alpha: float) -> DataFrame:
@@ -66,64 +66,24 @@ def triangles(points: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted(tuple(sorted(t)) for t in mesh if max(t) < n)
 
 
-def warp(image: np.ndarray, source: np.ndarray, target: np.ndarray, mesh: list[tuple[int, int, int]]) -> np.ndarray:
-    """The image with each triangle of source points mapped to its target; degenerate ones are skipped."""
-    h, w = image.shape[:2]
-    out = np.zeros(image.shape, dtype=float)
-    for t in mesh:
-        a, b = source[list(t)].astype(float), target[list(t)].astype(float)
-        square = np.column_stack([b, np.ones(3)])
-        if abs(np.linalg.det(square)) < 1e-6:
-            continue
-        x0, y0 = np.maximum(np.floor(b.min(axis=0)).astype(int), 0)
-        x1, y1 = np.minimum(np.ceil(b.max(axis=0)).astype(int), (w - 1, h - 1))
-        y, x = np.mgrid[y0 : y1 + 1, x0 : x1 + 1]
-        shares = np.stack([x, y, np.ones_like(x)], axis=-1) @ np.linalg.inv(square)
-        inside = (shares >= -1e-9).all(axis=-1)
-        at = shares[inside] @ a
-        out[y[inside], x[inside]] = sample_at(image, at[:, 0], at[:, 1])[:, :] if image.ndim == 3 else sample_at(image, at[:, 0], at[:, 1])
-    return out
-
-
-def blend(image_a: np.ndarray, image_b: np.ndarray, points_a: np.ndarray, points_b: np.ndarray, alpha: float) -> np.ndarray:
-    """Both images warped to the points between theirs and mixed: alpha is the share of b."""
-    if image_a.shape != image_b.shape:
-        raise ValueError("images must have the same shape")
-    h, w = image_a.shape[:2]
-    xs, ys = ((0, (w - 1) / 2, w - 1), (0, (h - 1) / 2, h - 1))
-    border = np.array([(x, y) for y in ys for x in xs if (x, y) != (xs[1], ys[1])], dtype=float)
-    a, b = np.vstack([points_a, border]), np.vstack([points_b, border])
-    middle = (1 - alpha) * a + alpha * b
-    mesh = triangles(middle)
-    return saturated((1 - alpha) * warp(image_a, a, middle, mesh) + alpha * warp(image_b, b, middle, mesh))
-
-
 def morph(pairs: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """pairs(name, height, width, data_a, data_b, points_a, points_b) as (name, data, error); no shuffle.
+    """pairs(name, height, width, data_a, data_b, points_a, points_b) as (name, data, error): morph_pixels over bytes.
 
-    points: array<struct<x, y>> in pixels of image a, whose size the morph has. With columns height_b and width_b an
-    image b of another size is resized to a's first. A pair that can't be morphed comes back with an error and without data.
+    Images b of another size have columns height_b and width_b. A pair without points, with unequal numbers of them, or
+    whose bytes aren't those of its sizes comes back with an error and without data. Names must be unique.
     """
     own = {c for c in ("height_b", "width_b") if c in pairs.columns}
     sized = pairs.select("*", *[F.col(c.removesuffix("_b")).alias(c) for c in ("height_b", "width_b") if c not in own])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                try:
-                    a = np.frombuffer(r.data_a, np.uint8).reshape(r.height, r.width, 3)
-                    b = np.frombuffer(r.data_b, np.uint8).reshape(r.height_b, r.width_b, 3)
-                    if a.shape != b.shape:
-                        b = saturated(resized(b, r.height, r.width, area=False))
-                    p, q = (np.array([(v["x"], v["y"]) for v in points], dtype=float) for points in (r.points_a, r.points_b))
-                    rows.append((r.name, blend(a, b, p, q, alpha).tobytes(), None))
-                except (ValueError, TypeError, IndexError) as error:
-                    rows.append((r.name, None, str(error)))
-            yield pd.DataFrame(rows, columns=["name", "data", "error"])
-
-    names = ["name", "height", "width", "height_b", "width_b", "data_a", "data_b", "points_a", "points_b"]
-    return sized.select(*names).mapInPandas(run, "name string, data binary, error string")
+    fits = lambda data, h, w: F.coalesce((F.octet_length(data) == F.col(h) * F.col(w) * 3) & (F.col(h) > 0) & (F.col(w) > 0), F.lit(False))
+    error = (
+        F.when(~fits("data_a", "height", "width"), "unreadable image a")
+        .when(~fits("data_b", "height_b", "width_b"), "unreadable image b")
+        .when(F.coalesce(F.size("points_a") != F.size("points_b"), F.lit(True)) | F.col("points_a").isNull() | F.col("points_b").isNull(), "points don't match")
+    )
+    told = sized.withColumn("error", error)
+    good = told.where("error IS NULL").select("name", "height", "width", "height_b", "width_b", "points_a", "points_b", unpacked(F.col("data_a")).alias("pixels_a"), unpacked(F.col("data_b")).alias("pixels_b"))
+    done = morph_pixels(good, alpha).select("name", packed(F.col("pixels")).alias("data"))
+    return told.select("name", "error").join(done, "name", "left").select("name", "data", "error")
 
 
 def meshes(pairs: DataFrame, alpha: float = 0.5) -> DataFrame:
@@ -170,9 +130,14 @@ def warp_places(mesh: DataFrame, sizes: DataFrame) -> DataFrame:
 def morph_pixels(pairs: DataFrame, alpha: float = 0.5) -> DataFrame:
     """(name, pixels) of pairs(name, height, width, pixels_a, pixels_b, points_a, points_b) with pixels as array<int> in three channels.
 
+    With columns height_b and width_b an image b of another size is resized bilinearly to a's first; points are in pixels of a.
     The places of all pixels are found by joins and grouping, put together per image, and only then meet the images:
     both are sampled there and mixed, alpha being the share of b. Names must be unique.
     """
+    if {"height_b", "width_b"} <= set(pairs.columns):
+        fitted = F.transform(resized(F.col("pixels_b"), F.col("height_b"), F.col("width_b"), F.col("height"), F.col("width"), False, 3), lambda v: _byte(F.rint(v)))
+        other = (F.col("height_b") != F.col("height")) | (F.col("width_b") != F.col("width"))
+        pairs = pairs.withColumn("pixels_b", F.when(other, fitted).otherwise(F.col("pixels_b"))).drop("height_b", "width_b")
     places = warp_places(meshes(pairs, alpha), pairs)
     listed = places.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("y", "x", "ax", "ay", "bx", "by"))).alias("places"))
     value = lambda pixels, s, n, c: bilinear(F.col(pixels), s[f"{n}y"], s[f"{n}x"], c, F.col("height"), F.col("width"), 3)

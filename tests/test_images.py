@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.functions import geometry, kernels, paths, pixels, training
+from loomwork.functions import chain, geometry, kernels, paths, pixels, training
 from loomwork.operators import morphs
 from loomwork.sources import scans, sinks
 from loomwork.streaming import logs
@@ -118,12 +118,51 @@ def test_registry_and_failures():
 def test_augment_rows(spark):
     data = bytes(RNG.integers(0, 256, 8 * 8 * 3).astype(np.uint8))
     rows = spark.createDataFrame([("a.jpg", 8, 8, data), ("b.jpg", 8, 8, b"short"), ("c.jpg", 8, 8, None)], "path string, height int, width int, data binary")
-    got = kernels.augment(rows, ["horizontal_flip", "gamma"], probability=1.0, copies=2).collect()
+    got = chain.augment(rows, ["horizontal_flip", "gamma"], probability=1.0, copies=2).collect()
     assert len(got) == 6 and sum(r["error"] is None for r in got) == 2
-    named = kernels.augment(rows, ["horizontal_flip"], probability=1.0).select(paths.augmented_name(F.col("path"), F.col("applied"), F.lit(".png"))).collect()
+    named = chain.augment(rows, ["horizontal_flip"], probability=1.0).select(paths.augmented_name(F.col("path"), F.col("applied"), F.lit(".png"))).collect()
     assert {r[0] for r in named} == {"a_aug_horizontal_flip.png", "b_aug_noop.png", "c_aug_noop.png"}
 
 
+def test_chain_draws_applies_and_survives(spark):
+    image = RNG.integers(0, 256, (7, 5, 3)).astype(np.uint8)
+    rows = spark.createDataFrame([(f"{k}.png", 7, 5, image.tobytes()) for k in range(40)], "path string, height int, width int, data binary")
+    known = {n: chain.default_kernels()[n] for n in ("brightness", "horizontal_flip", "gaussian_blur_random")}
+    known |= {"null": chain.Kernel(lambda i, p: F.lit(None).cast("array<int>")), "short": chain.Kernel(lambda i, p: F.slice(i.pixels, 1, 3)), "holes": chain.Kernel(lambda i, p: F.transform(i.pixels, lambda x: F.when(x < 0, x)))}
+    got = {r.path: r for r in chain.augment(rows, ["null", "brightness", "short", "horizontal_flip", "holes"], known, seed=4).collect()}
+    again = {r.path: r for r in chain.augment(rows.repartition(3), ["null", "brightness", "short", "horizontal_flip", "holes"], known, seed=4).collect()}
+    assert got == again and {tuple(r.applied) for r in got.values()} == {(), ("brightness",), ("horizontal_flip",), ("brightness", "horizontal_flip")}
+    failed = {(e or "").count("no image") for e in (r.error for r in got.values())}
+    assert failed == {0, 1, 2, 3} and all("brightness" not in (r.error or "") for r in got.values())
+    for r in got.values():
+        want = image.astype(float)
+        if "brightness" in r.applied:
+            assert 0.7 <= r.parameters["brightness.factor"] <= 1.3
+            want = np.clip(np.rint(want * r.parameters["brightness.factor"]), 0, 255)
+        want = want[:, ::-1] if "horizontal_flip" in r.applied else want
+        assert (np.frombuffer(r.data, np.uint8).reshape(image.shape) == want).all()
+        assert set(r.parameters) == ({"brightness.factor"} if "brightness" in r.applied else set())
+    with pytest.raises(ValueError, match="unknown kernels: no"):
+        chain.augment(rows, ["no"])
+    with pytest.raises(ValueError, match="probability"):
+        chain.augment(rows, [], probability=1.5)
+    with pytest.raises(ValueError, match="odd"):
+        chain.odd(2, 5)
+
+
+def test_every_kernel_of_the_chain_equals_its_array_form(spark):
+    image = RNG.integers(0, 256, (12, 9, 3)).astype(np.uint8)
+    rows, known = spark.createDataFrame([("p", 12, 9, image.tobytes())], "path string, height int, width int, data binary"), chain.default_kernels()
+    assert sorted(known) == kernels.Registry().names()
+    for name in sorted(known):
+        r = chain.augment(rows, [name], probability=1.0).first()
+        got, drawn = np.frombuffer(r.data, np.uint8).reshape(image.shape), {k.split(".")[1]: v for k, v in r.parameters.items()}
+        assert r.applied == [name] and r.error is None and set(drawn) == set(known[name].draws)
+        if name not in ("gaussian_noise", "salt_pepper"):
+            want = kernels.Registry().get(name).apply(image, drawn, None).astype(int)
+            assert (np.abs(got - want) <= 1).mean() > 0.99 and (got == want).mean() > 0.9, name
+
+
 def test_pixel_columns_match_kernels(spark):
     image = RNG.integers(0, 256, (4, 6, 3)).astype(np.uint8)
     frame = spark.createDataFrame([(image.ravel().astype(int).tolist(),)], "p array<int>").withColumn("m", pixels.mean(F.col("p")))

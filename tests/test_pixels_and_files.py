@@ -4,6 +4,7 @@ import json
 import struct
 import zlib
 
+import array_forms
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,21 @@ def test_warps_equal_the_array_kernels(colour):
     assert (column(colour, warps.sharpened(p, *size, 1.5, kernels.gaussian_line(19, 3.0), 3)) == known["sharpen"].apply(IMAGE, {"strength": 1.5}, None)).all()
 
 
+def test_taps_of_each_row_equal_tables(spark):
+    drawn = [(3, 0.0, 10.0), (5, 0.0, 90.0), (7, 1.3, 137.0), (9, 0.0, 0.0), (11, 0.4, 45.0), (1, 0.0, 5.0)]
+    frame = spark.createDataFrame([(n, s, a, IMAGE.ravel().tolist()) for n, s, a in drawn], "n int, s double, a double, p array<int>")
+    soft, line = warps.gaussian_taps(F.col("n"), F.col("s")), warps.motion_taps(F.col("n"), F.col("a"))
+    for r in frame.select("n", "s", "a", warps.blurred(F.col("p"), H, W, soft, 3).alias("soft"), warps.smeared(F.col("p"), H, W, line, 3).alias("line")).collect():
+        assert (np.array(r["soft"]).reshape(IMAGE.shape) == kernels.saturated(kernels.convolved(IMAGE, kernels.gaussian(r.n, r.s)))).all()
+        assert (np.array(r["line"]).reshape(IMAGE.shape) == kernels.saturated(kernels.convolved(IMAGE, kernels.motion(r.n, r.a)))).all()
+
+
+def test_resizing_equals_the_array_form(colour):
+    for tall, wide, area in ((4, 5, True), (20, 17, False), (1, 1, True), (1, 1, False), (H, W, True), (5, 30, True)):
+        got = np.array(colour.select(warps.resized(F.col("p"), H, W, tall, wide, area, 3).alias("v")).first()["v"]).reshape(tall, wide, 3)
+        assert np.allclose(got, kernels.resized(IMAGE, tall, wide, area))
+
+
 def test_recompression_equals_the_array_kernel(colour):
     for quality in (30, 75):
         got = column(colour, warps.recompressed(F.col("p"), H, W, quality, kernels.LUMINANCE, kernels.CHROMINANCE, 3))
@@ -189,7 +205,7 @@ def test_morph_by_places_equals_the_array_form(spark):
     frame = spark.createDataFrame([(n, 9, 11, images[i].ravel().tolist(), images[j].ravel().tolist(), p, q) for n, i, j, p, q in pairs], schema)
     got = {r["name"]: np.array(r["pixels"]).reshape(9, 11, 3) for r in morphs.morph_pixels(frame, 0.3).collect()}
     for name, i, j, p, q in pairs:
-        want = morphs.blend(images[i], images[j], np.array(p), np.array(q), 0.3)
+        want = array_forms.blend(images[i], images[j], np.array(p), np.array(q), 0.3)
         assert np.abs(got[name] - want.astype(int)).max() <= 1 and (got[name] == want).mean() > 0.9  # shared edges round either way
 
 
