@@ -58,6 +58,11 @@ def epoch_name(epoch: Column) -> Column:
     return F.format_string("epoch_%04d.pt", epoch)
 
 
+def epoch_folder(epoch: int) -> str:
+    """epoch_{number, four digits}"""
+    return f"epoch_{epoch:04d}"
+
+
 def output_suffix(path: Column, image_format: str | None = None) -> Column:
     """The extension of a written copy: the source's, or that of a named format; ValueError for an unknown format."""
     if image_format is None:

@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomwork.functions.metrics import class_weights
+from loomwork.functions.paths import epoch_folder
 from loomwork.sources.sinks import write_text
 
 
@@ -47,7 +48,7 @@ def history(spark: SparkSession, model: PipelineModel) -> DataFrame:
 
 def save_epoch(model: PipelineModel, folder: str, epoch: int, metrics: dict[str, float]) -> str:
     """A checkpoint below folder with its metrics; returns its path. The metrics come last, so that they tell whole checkpoints."""
-    path = f"{folder.rstrip('/')}/epoch_{epoch:03d}"
+    path = f"{folder.rstrip('/')}/{epoch_folder(epoch)}"
     save(model, f"{path}/model")
     write_text(SparkSession.active(), f"{path}/metrics.json", json.dumps({"epoch": epoch, "metrics": metrics}))
     return path

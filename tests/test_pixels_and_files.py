@@ -176,7 +176,7 @@ def test_checkpoints(spark, tmp_path):
     assert len(losses) > 1 and losses == sorted(losses, reverse=True)
     for epoch, eer in ((1, 0.3), (2, 0.1), (3, 0.2), (4, 0.4)):
         model.save_epoch(made, folder, epoch, {"eer": eer})
-    assert model.latest(spark, folder).endswith("epoch_004") and model.best(spark, folder, "eer").endswith("epoch_002") and model.best(spark, folder, "eer", "max").endswith("epoch_004")
+    assert model.latest(spark, folder).endswith("epoch_0004") and model.best(spark, folder, "eer").endswith("epoch_0002") and model.best(spark, folder, "eer", "max").endswith("epoch_0004")
     assert [p[-3:] for p in model.prune(spark, folder, 2, "eer")] == ["001"]
     assert sorted(r["epoch"] for r in model.checkpoints(spark, folder).collect()) == [2, 3, 4]
     assert model.predict(model.load(model.latest(spark, folder) + "/model"), rows).count() == 20
