@@ -73,8 +73,8 @@ class Graph:
 def build_graph(text: str) -> Graph:
     """Nodes, features and edges of one text.
 
-    Skip edges join each token to the next one of the same key, so that m equal tokens cost m - 1 edges.
-    The key is the last seven digits where there are so many, else the bare lower-case token.
+    Skip edges join each token to the next one of the same key, so that m equal tokens cost m - 1 edges of each key. The
+    keys are told by similar_keys: tokens are joined in other forms too.
     """
     spans, words, context = [], [], []
     before = ("", "")
@@ -117,17 +117,53 @@ def build_graph(text: str) -> Graph:
         row[at + 6] = bool(_ANNOUNCES.search(w))
         row[at + 7] = any(_DIGEST.search(x) for x in context[i])
     chain = np.flatnonzero(near)
-    last: dict[str, int] = {}
-    skip = []
-    for i, ((_, w), d) in enumerate(zip(words, numbers, strict=True)):
-        key = d[-7:] if len(d) >= 7 else w.lower()
-        if len(key) >= 4:
-            if key in last:
-                skip.append((last[key], i))
+    last: dict[tuple, int] = {}
+    skip: dict[tuple[int, int], None] = {}
+    for i, keys in enumerate(similar_keys([w for _, w in words], numbers, near)):
+        for key in keys:
+            if key in last and last[key] != i:
+                skip[last[key], i] = None
             last[key] = i
+    skip = list(skip)
     return Graph(spans, features, np.stack([chain, chain + 1], axis=1), np.array(skip, dtype=np.int64).reshape(-1, 2))
 
 
+def similar_keys(words: list[str], numbers: list[str], near: np.ndarray) -> list[list[tuple]]:
+    """For each token the keys by which others are similar to it.
+
+    The last seven digits, where there are so many, else the bare lower-case token; the value behind an assignment; the
+    first and the last ten characters of long mixed tokens, so that cut and wrapped ones meet; and in a row of number tokens
+    the row's last seven digits with the token's distance from its end, so that `+1 (212) 555-1234` meets `212 555 1234`
+    part by part.
+    """
+    n = len(words)
+    keys: list[list[tuple]] = [[] for _ in range(n)]
+    for i, (w, d) in enumerate(zip(words, numbers, strict=True)):
+        plain = d[-7:] if len(d) >= 7 else w.lower()
+        if len(plain) >= 4:
+            keys[i].append(("same", plain))
+        front = m.end() if (m := _ASSIGNED.match(w)) else 0
+        value = w[front:].strip(_TRIM).lower()
+        if len(value) >= 8:
+            keys[i].append(("value", value))
+        if len(value) >= 16 and d and any(c.isalpha() for c in value):
+            keys[i] += [("front", value[:10]), ("back", value[-10:])]
+    number = [bool(d) and not any(c.isalpha() or c == "@" for c in w) for w, d in zip(words, numbers, strict=True)]
+    i = 0
+    while i < n:
+        j = i
+        while number[i] and j + 1 < n and near[j] and number[j + 1] and j - i < 8:
+            j += 1
+        row = "".join(numbers[i : j + 1])
+        if number[i] and 9 <= len(row) <= 19:
+            after = 0
+            for k in range(j, i - 1, -1):
+                keys[k].append(("row", row[-7:], after))
+                after += len(numbers[k])
+        i = j + 1
+    return keys
+
+
 def joined(graphs: list[Graph]) -> Graph:
     """Many graphs as one without edges between them, so that all pass messages in the same array steps."""
     starts = np.concatenate([[0], np.cumsum([len(g) for g in graphs])])
@@ -248,7 +284,8 @@ def node_labels(graph: Graph, base: list[tuple[int, int, int]], failed: list[tup
         for i, (a, b) in enumerate(graph.spans if spans else []):
             k = bisect_right(ends, a)
             while not labels[i] and k < len(spans) and spans[k][0] < b:
-                if label < 0 or min(b, spans[k][1]) - max(a, spans[k][0]) >= 0.6 * (b - a):
+                share = 0.25 if label == SECRET + 1 else 0.6  # of an assignment the value alone is the secret
+                if label < 0 or min(b, spans[k][1]) - max(a, spans[k][0]) >= share * (b - a):
                     labels[i] = label
                 k += 1
     return labels
@@ -304,18 +341,26 @@ def made_up(count: int, seed: int) -> list[tuple[Graph, np.ndarray]]:
         lambda: rng.choice(("commit ", "sha256 ", "sha1: ", "md5 = ", "checksum ", "digest: ", "etag ", "rev ", "", "")) + mixed("abcdef0123456789", rng.choice((16, 20, 32, 40, 64))),
         lambda: "-".join(mixed("abcdef0123456789", n) for n in (8, 4, 4, 4, 12)), lambda: rng.choice(("serial ", "order ", "part ", "")) + mixed("ABCDEFGHKLMNPQRST0123456789", rng.randint(8, 20)),
         lambda: word() + number(2), lambda: f"{number(1)},{number(3)}", lambda: "@" + word(),
+        lambda: f"{number(3)} {number(3)} {number(4)}", lambda: number(10), lambda: mixed("ABCDEFGHKLMNPQRST0123456789", 20),
         lambda: f"({number(1)})", lambda: f"{number(3)}-{number(2)}", lambda: f"{number(3)}-{number(4)}", lambda: ".".join(str(rng.randint(256, 999)) for _ in range(4)),
     ]
+    def again(piece: str, label: int) -> str:
+        """A repeat, perhaps in a form that tells nothing by itself."""
+        d = digits(piece)
+        if label == 4 and len(d) >= 10:
+            a, b, c = d[-10:-7], d[-7:-4], d[-4:]
+            return rng.choice((piece, f"{a} {b} {c}", f"{a} {b} {c}", f"{b}-{c}", a + b + c, f"{a}.{b}.{c}"))
+        return rng.choice((piece, d, " ".join(d[i : i + 4] for i in range(0, len(d), 4)))) if label == 3 else piece
+
     out = []
     for _ in range(count):
         text, truth = word(), []
         kept: list[tuple[str, int]] = []
         for _ in range(rng.randint(1, 6)):
             front = 0
-            if kept and rng.random() < 0.25:
+            if kept and rng.random() < 0.35:
                 piece, label = rng.choice(kept)
-                if label == 4 and rng.random() < 0.5:
-                    piece = piece[-8:] if re.fullmatch(r"[0-9]{3}-[0-9]{4}", piece[-8:]) else piece
+                piece = again(piece, label)
             elif rng.random() < 0.55:
                 make, label = rng.choice(makers)
                 piece = make()
@@ -429,9 +474,12 @@ def repeats(piece: str, kind: int) -> bool:
     return "@" in piece if kind == 0 else not any(c.isalpha() for c in piece) and 7 <= len(digits(piece)) <= 19
 
 
-def added_spans(text: str, graph: Graph, marginals: np.ndarray, base: list[tuple[int, int, int]], sure: float) -> list[tuple[int, int, int]]:
+def added_spans(text: str, graph: Graph, marginals: np.ndarray, base: list[tuple[int, int, int]], sure: float, joined_sure: float = 0.5) -> list[tuple[int, int, int]]:
     """Tokens that the field labels surely, that touch no base span and could be of their kind.
 
+    A token that skip edges join to a span of its label, in whatever form, is sure from joined_sure on: its label comes
+    from that span, and its own features need not tell it.
+
     Neighbouring card and phone tokens are cut into pieces that pass a card's check sum or have a phone's 9 to 15
     digits: first inside each line, then, of what is left, across lines. Addresses have their form, secrets mix
     letters and digits; of an assignment the value alone is the span. A token
@@ -456,9 +504,16 @@ def added_spans(text: str, graph: Graph, marginals: np.ndarray, base: list[tuple
         out.append((start, end, kind))
         covered[a : b + 1] = kind + 1
 
+    def enough() -> np.ndarray:
+        """The marginal that each token needs."""
+        need = np.full(n, sure)
+        for a, b in ((graph.skip[:, 0], graph.skip[:, 1]), (graph.skip[:, 1], graph.skip[:, 0])):
+            need[b[(covered[a] > 0) & (covered[a] == best[b])]] = joined_sure
+        return need
+
     def runs(lines: bool) -> list[tuple[int, int]]:
         """Runs of free neighbours of one sure label, inside a line or across lines."""
-        free, found, i = (best > 0) & (p >= sure) & (covered == 0), [], 0
+        free, found, i = (best > 0) & (p >= enough()) & (covered == 0), [], 0
         while i < n:
             j = i
             while free[i] and j + 1 < n and j in linked and free[j + 1] and best[j + 1] == best[i]:
@@ -470,7 +525,7 @@ def added_spans(text: str, graph: Graph, marginals: np.ndarray, base: list[tuple
             i = j + 1
         return found
 
-    for lines in (True, False):
+    for lines in (True, True, False):  # the second time with what the first has made known
         for i, j in runs(lines):
             kind = int(best[i]) - 1
             if kind in (2, 3):
@@ -482,7 +537,7 @@ def added_spans(text: str, graph: Graph, marginals: np.ndarray, base: list[tuple
                         take(a, a, kind)
     edges = graph.skip.tolist()
     for a, b in [*edges, *((b, a) for a, b in reversed(edges))]:
-        if covered[a] and not covered[b] and best[b] == covered[a] and p[b] >= sure and repeats(text[slice(*graph.spans[b])], int(best[b]) - 1):
+        if covered[a] and not covered[b] and best[b] == covered[a] and p[b] >= joined_sure and repeats(text[slice(*graph.spans[b])], int(best[b]) - 1):
             take(b, b, int(best[b]) - 1)
     return sorted(out)
 

@@ -128,6 +128,42 @@ def test_held_out_hosts(spark):
     assert found["caught"] / (found["caught"] + found["missed"]) >= 0.9 and found["caught"] / (found["caught"] + found["wrong"]) >= 0.9
 
 
+def test_trees_know_words_and_not_hyphens(spark):
+    """Good hosts with hyphens and bad ones without: parts of all hosts are judged by trees that saw none of them."""
+    rng = random.Random(2)
+    good = [f"{a}{rng.choice(('-', '', '.'))}{b}.example.{t}" for a in ("coca", "garden", "night", "red", "world", "nord") for b in ("cola", "school", "market", "river", "press") for t in ("com", "org")]
+    bad = [f"{a}{rng.choice(('', '-'))}{b}.example.{t}" for a in ("casino", "poker", "lottery", "viagra") for b in ("night", "red", "world", "club", "press") for t in ("com", "org")]
+    named = spark.createDataFrame([(f"https://{h}/en/{k}", int(h in bad)) for k, h in enumerate(good + bad)], "url string, label int")
+    known = url_filters.one_per_host(named.unionByName(url_filters.seed_hosts(spark)))
+    options = {"rounds": 10, "feature_share": 0.3}
+    found = url_filters.held_out(known, **options).agg(*[F.sum(c).alias(c) for c in ("caught", "missed", "wrong", "right")]).first()
+    assert found["caught"] / (found["caught"] + found["missed"]) >= 0.9 and found["caught"] / (found["caught"] + found["wrong"]) >= 0.9
+    model = url_filters.train(known, per_host=True, most_share=0.6, **options)
+    assert model.trees is not None and max(model.importance().values()) <= 0.6 and abs(sum(model.importance().values()) - 1) < 1e-6
+    unseen = {"www.coca-cola.com": 0.0, "my-school.edu": 0.0, "de-academic.com": 0.0, "casino.example.com": 1.0, "xxxvideo.example.com": 1.0, "www.bets.example.org": 1.0, "big-poker.fr": 1.0, "alphabets.example.com": 0.0}
+    frame = spark.createDataFrame([(h, f"https://{h}/en/12") for h in unseen], "h string, url string")
+    assert {r.h: r.blocked for r in model.predict(url_filters.lexical(frame, "url")).select("h", "blocked").collect()} == unseen
+
+
+def test_trees_of_one_question_are_refused(spark):
+    rows = [(f"http://{chr(97 + k % 26)}{k}.example.org/{'?a=1&b=2' if k % 2 else ''}", k % 2) for k in range(200)]
+    frame = spark.createDataFrame(rows, "url string, label int")
+    assert url_filters.train(frame, rounds=3).trees is not None
+    refused = url_filters.train(frame, rounds=3, most_share=0.6)
+    assert refused.trees is None and refused.predict(url_filters.lexical(frame, "url")).where("blocked > 0").count() == 0
+
+
+def test_each_host_counts_once(spark):
+    rows = [("http://a.example/1", 0)] * 50 + [("http://A.example/2", 1), ("https://b.example/x", 1), (None, 1), ("http://c.example/", None)]
+    got = url_filters.one_per_host(spark.createDataFrame(rows, "url string, label int")).collect()
+    assert sorted((r.url.split("/")[2].lower(), r.label) for r in got) == [("a.example", 0), ("b.example", 1)]
+
+
+def test_grams_mark_the_ends_of_words(spark):
+    row = spark.range(1).select(url_filters.host_words(F.lit("www.free-bets.example.com")).alias("w"), url_filters.gram_buckets(F.array(F.lit("ab"))).alias("g"), url_filters.host_words(F.lit("")).alias("none")).first()
+    assert row.w == ["www", "free", "bets", "example"] and row.none == [] and len(row.g) == 3 and all(1 <= x <= url_filters.GRAM_BUCKETS for x in row.g)
+
+
 def test_training_sample_is_bounded(spark):
     rows = [(f"http://a.example/{k}", 0) for k in range(900)] + [("http://copied.example/", 0)] * 5000 + [(f"http://b.example/{k}", 1) for k in range(30)]
     known = spark.createDataFrame(rows, "url string, label int")

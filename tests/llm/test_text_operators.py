@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -503,6 +504,57 @@ def test_skip_edges_carry_labels():
     assert first[2, 4] > first[0, 4]
 
 
+def exact_marginals(field, graph):
+    """By all labellings of a small graph."""
+    n, total = len(graph), 0.0
+    out = np.zeros((n, pii_crf.LABELS))
+    unary = graph.features @ field.node
+    for labels in itertools.product(range(pii_crf.LABELS), repeat=n):
+        weight = sum(unary[i, y] for i, y in enumerate(labels))
+        weight += sum(field.chain[labels[a], labels[b]] for a, b in graph.chain) + sum(field.skip[labels[a], labels[b]] for a, b in graph.skip)
+        total += np.exp(weight)
+        for i, y in enumerate(labels):
+            out[i, y] += np.exp(weight)
+    return out / total
+
+
+def test_messages_equal_enumeration():
+    """On trees sum-product is exact; with a loop it stays near."""
+    rng = np.random.default_rng(4)
+    skip = rng.normal(size=(6, 6))
+    field = pii_crf.Field(rng.normal(size=(pii_crf.WIDTH, 6)) * 0.7, rng.normal(size=(6, 6)), (skip + skip.T) / 2)
+    features = rng.integers(0, 2, (5, pii_crf.WIDTH)).astype(np.uint8)
+    for chain, skips, gap in (([(0, 1), (1, 2)], [(0, 3), (3, 4)], 0.003), ([(0, 1)], [(1, 4), (2, 4), (3, 4)], 0.003), ([(0, 1), (1, 2), (2, 3)], [(0, 3)], 0.15)):
+        graph = pii_crf.Graph([(0, 0)] * 5, features, np.array(chain), np.array(skips))
+        assert np.abs(field.infer(graph, rounds=60)[0] - exact_marginals(field, graph)).max() < gap
+
+
+def test_repeats_in_other_forms_hang_on_skip_edges(field):
+    """Repeats that tell nothing alone are found beside a sure copy, and are lost without skip potentials; lone look-alikes stay."""
+    rng = random.Random(31)
+    number, filler = lambda n: "".join(rng.choice("0123456789") for _ in range(n)), "so we walked on and "
+    texts, want = [], []
+    for k in range(60):
+        a, b, c = rng.choice("23456789") + number(2), rng.choice("23456789") + number(2), number(4)
+        value = "".join(rng.choice("ABCDEFGHKLMNPQRST0123456789") for _ in range(18)) + "A7"
+        first, again = ((f"reach +1 ({a}) {b}-{c} today", f"{a} {b} {c}"), (f"ring +1 {a} {b} {c} or", f"{a}{b}{c}"), (f"secret: {value} is set", value))[k % 3]
+        texts.append(f"{first} {filler * rng.randint(2, 40)}{again} at last")
+        want.append((len(texts[-1]) - len(" at last") - len(again), len(texts[-1]) - len(" at last"), 4 if k % 3 == 2 else 3))
+    lone = [f"lot {number(3)} {number(3)} {number(4)} of {filler}" for _ in range(40)] + [f"{filler}part {number(10)} fits" for _ in range(20)]
+    lone += ["seats " + "".join(rng.choice("ABCDEFGHKLMNPQRST0123456789") for _ in range(20)) + " there" for _ in range(20)]
+    caught = lambda f: sum(span in added for (_, added), span in zip(pii_crf.marked_spans(texts, f, 0.9, 16_384), want, strict=True))
+    assert caught(field) >= 0.9 * len(texts)
+    assert caught(pii_crf.Field(field.node, field.chain, np.zeros((6, 6)))) <= 0.3 * len(texts)
+    assert sum(bool(added) for _, added in pii_crf.marked_spans(lone, field, 0.9, 16_384)) <= 2
+
+
+def test_similar_tokens_are_joined():
+    graph = pii_crf.build_graph("call +1 (212) 555-1234 or later 212 555 1234 and key=AbCd1234efgh5678ij then abcd1234efgh5678ij or abcd1234efgh5678zz")
+    token = {text: i for i, text in enumerate(["+1", "(212)", "555-1234", "212", "555", "1234", "key=", "value", "cut"])}
+    edges = {tuple(e) for e in graph.skip.tolist()}
+    assert edges == {(token["(212)"], token["212"]), (token["555-1234"], token["1234"]), (token["key="], token["value"]), (token["value"], token["cut"])}
+
+
 def test_neighbouring_numbers_and_repeats(spark, docs):
     """Adjacent numbers are spans of their own, also one per line, and the seven digits of a known phone are one."""
     field = pii_crf.train(docs, made=800)
