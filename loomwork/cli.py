@@ -28,6 +28,8 @@ def run_split(spark: SparkSession, args: argparse.Namespace) -> int:
     bona_fide, morphs = scans.split_metadata(spark, args.metadata)
     assigned, placed = split.split_dataset(bona_fide, morphs, ratios, args.seed, args.exact_shuffle)
     sinks.split_manifests(split.check_disjoint(assigned, placed), args.output)
+    if args.files:
+        sinks.manifest_files(assigned, args.output)
     if args.statistics:
         stats = statistics.split_statistics(assigned)
         print(reports.console(stats))
@@ -52,7 +54,7 @@ def run_inspect(spark: SparkSession, args: argparse.Namespace) -> int:
         images, folders = (found, named) if images is None else (images.unionByName(found), folders.unionByName(named))
     inventory = statistics.identity_inventory(images, folders)
     sinks.report(inventory.orderBy("dataset_root", "identity"), f"{args.output}/identities")
-    sinks.summary(statistics.inventory_summary(inventory), f"{args.output}/summary")
+    sinks.document(statistics.inventory_summary(inventory), f"{args.output}/summary.json")
     return DONE
 
 
@@ -67,6 +69,10 @@ def run_augment(spark: SparkSession, args: argparse.Namespace) -> int:
     if not args.dry_run:
         done.write.mode("overwrite").parquet(args.output)
         done = spark.read.parquet(args.output)
+        if args.images:
+            named = paths.augmented_name(F.col("path"), F.col("applied"), F.lit(".png"))
+            copied = F.when(F.col("copy") > 0, F.concat(F.lit("copy_"), F.col("copy"), F.lit("/"), named)).otherwise(named)
+            sinks.report(sinks.image_files(done.withColumn("path", copied), args.images), f"{args.images.rstrip('/')}/written")
     statistics.run_summary(done.select(F.when(F.col("error").isNull(), "processed").otherwise("failed").alias("status"))).show()
     return DONE
 
@@ -82,6 +88,9 @@ def run_align(spark: SparkSession, args: argparse.Namespace) -> int:
             raise
     before = images.count()
     faces.crop_faces(images, size=args.size, threshold=args.threshold, margin=args.margin).write.mode("append").parquet(args.output)
+    if args.images:
+        crops = spark.read.parquet(args.output).where("success").withColumns({"height": F.lit(args.size), "width": F.lit(args.size), "path": F.regexp_replace("path", "[.][^./]+$", "")})
+        sinks.report(sinks.image_files(crops, args.images), f"{args.images.rstrip('/')}/written")
     print(f"{before} images aligned")
     return DONE
 
@@ -91,8 +100,12 @@ def run_morph(spark: SparkSession, args: argparse.Namespace) -> int:
     if not 0 <= args.alpha <= 1:
         print("alpha must be between 0 and 1", file=sys.stderr)
         return BAD_ARGUMENTS
-    morphs.morph(spark.read.parquet(args.input), args.alpha).write.mode("overwrite").parquet(args.output)
+    pairs = spark.read.parquet(args.input)
+    morphs.morph(pairs, args.alpha).write.mode("overwrite").parquet(args.output)
     done = spark.read.parquet(args.output)
+    if args.images:
+        sized = done.join(pairs.select("name", "height", "width"), "name").withColumnRenamed("name", "path")
+        sinks.report(sinks.image_files(sized, args.images), f"{args.images.rstrip('/')}/written")
     statistics.run_summary(done.select(F.when(F.col("error").isNull(), "processed").otherwise("failed").alias("status"))).show()
     return DONE
 
@@ -136,6 +149,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--metadata", required=True)
     s.add_argument("--output", required=True)
     s.add_argument("--seed", type=int, default=42)
+    s.add_argument("--files", action="store_true", help="also write train.csv, validation.csv and test.csv")
     s.add_argument("--exact-shuffle", action="store_true", help="order components as Python's seeded shuffle does")
     for name, share in (("train", 0.8), ("val", 0.1), ("test", 0.1)):
         s.add_argument(f"--{name}-ratio", type=float, default=share)
@@ -150,6 +164,7 @@ def parser() -> argparse.ArgumentParser:
     a = commands.add_parser("augment")
     a.add_argument("--input", required=True)
     a.add_argument("--output", required=True)
+    a.add_argument("--images", help="a folder for PNG files under mirrored paths")
     a.add_argument("--operators")
     a.add_argument("--seed", type=int, default=0)
     a.add_argument("--probability", type=float, default=0.5)
@@ -168,6 +183,7 @@ def parser() -> argparse.ArgumentParser:
     c = commands.add_parser("align")
     c.add_argument("--input", required=True)
     c.add_argument("--output", required=True)
+    c.add_argument("--images", help="a folder for PNG files under mirrored paths")
     c.add_argument("--size", type=int, default=224)
     c.add_argument("--threshold", type=float, default=0.9)
     c.add_argument("--margin", type=float, default=0.3)
@@ -175,6 +191,7 @@ def parser() -> argparse.ArgumentParser:
     m = commands.add_parser("morph")
     m.add_argument("--input", required=True)
     m.add_argument("--output", required=True)
+    m.add_argument("--images", help="a folder for PNG files under mirrored paths")
     m.add_argument("--alpha", type=float, default=0.5)
     m.set_defaults(run=run_morph)
     p = commands.add_parser("predict")

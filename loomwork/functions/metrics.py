@@ -32,6 +32,14 @@ def check_labels(rows: DataFrame, label: str = "true_label", classes: tuple[int,
     return rows.withColumn(label, F.when(F.coalesce(good, F.lit(False)), F.col(label)).otherwise(F.raise_error(F.lit(f"{label} must be one of {classes}")).cast("int")))
 
 
+def check_both_classes(rows: DataFrame, label: str = "true_label") -> DataFrame:
+    """rows; ValueError unless their labels are 0 and 1 and both occur, as areas under curves need. One aggregate over the labels."""
+    found = sorted((r[0] for r in rows.groupBy(label).count().limit(3).collect()), key=str)
+    if found != [0, 1]:
+        raise ValueError(f"{label} must hold 0 and 1, not {found}")
+    return rows
+
+
 def decide(rows: DataFrame, score: str = "score", threshold: float = 0.5) -> DataFrame:
     """predicted_label: 1 where the score reaches the threshold."""
     return rows.withColumn("predicted_label", (F.col(score) >= F.lit(threshold)).cast("int"))

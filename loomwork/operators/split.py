@@ -160,6 +160,13 @@ def split_of(assigned: DataFrame, image_id: str) -> str:
     return row["split"]
 
 
+def rows_of(assigned: DataFrame, name: str) -> DataFrame:
+    """The rows of a split by its name; ValueError for a name that is none."""
+    if name not in SPLITS:
+        raise ValueError(f"unknown split {name!r}; known are {', '.join(SPLITS)}")
+    return assigned.where(F.col("split") == name)
+
+
 def component_of(members: DataFrame, identity) -> DataFrame:
     """The identities of one identity's component; KeyError if it is unknown."""
     row = members.where(F.col("identity") == F.lit(identity)).select("component").first()

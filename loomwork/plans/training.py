@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomwork.functions import attention
 from loomwork.operators import fit
 from loomwork.plans.evaluation import rounded
 
@@ -18,6 +19,27 @@ def history(spark: SparkSession, sf_dir: str, gamma: float | None = None) -> Dat
     return rounded(fit.history(spark, fit.fit(rows.where(~fifth), rows.where(fifth), optimizer=RULE, epochs=EPOCHS, gamma=gamma)))
 
 
+#: Seventeen vectors in a row are an image: a class token and 4 x 4 patches.
+TOKENS, HEADS, LAYERS = 17, 4, 2
+
+
+def attention_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the class token of each image pays to its patches, averaged over four heads and two layers."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.expr(f"vec_id div {TOKENS}").alias("image"), (F.col("vec_id") % TOKENS).cast("int").alias("token"), F.col("embedding").alias("vector"))
+    whole = rows.join(rows.groupBy("image").count().where(F.col("count") == TOKENS).select("image"), "image", "left_semi")
+    layers = [attention.head_weights(whole, HEADS, scale).withColumn("layer", F.lit(k)) for k, scale in enumerate((1.0, 20.0))]
+    return rounded(attention.class_grids(attention.mean_maps(layers[0].unionByName(layers[1]))))
+
+
+ATTENTION = f"""WITH t AS (SELECT vec_id // {TOKENS} AS image, vec_id % {TOKENS} AS token, [c::DOUBLE for c in embedding] AS v FROM embeddings),
+  w AS (SELECT * FROM t WHERE image IN (SELECT image FROM t GROUP BY 1 HAVING count(*) = {TOKENS})),
+  p AS (SELECT image, token, head, v[head * (len(v) // {HEADS}) + 1:(head + 1) * (len(v) // {HEADS})] AS part FROM w, (SELECT unnest(range({HEADS})) AS head)),
+  z AS (SELECT q.image, q.head, k.token AS col, layer, list_dot_product(q.part, k.part) * CASE WHEN layer = 0 THEN 1 ELSE 20 END / sqrt(len(q.part)) AS z
+    FROM p q JOIN p k USING (image, head), (SELECT unnest([0, 1]) AS layer) WHERE q.token = 0),
+  s AS (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY image, head, layer) AS weight FROM z)
+  SELECT image, ((col - 1) // 4)::INT AS y, ((col - 1) % 4)::INT AS x, round(avg(weight), 6) AS weight FROM s WHERE col > 0 GROUP BY image, col"""
+
+
 def _history_sql(gamma: float | None = None) -> str:
     """The epochs unrolled: one gradient, one step of the rule and one validation each."""
     one, two = RULE.betas
@@ -45,5 +67,5 @@ def _history_sql(gamma: float | None = None) -> str:
     coalesce(val_loss < min(val_loss) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM h"""
 
 
-QUERIES = {"training_history": history, "focal_training_history": lambda spark, sf_dir: history(spark, sf_dir, 2.0)}
-ORACLES = {"training_history": _history_sql(), "focal_training_history": _history_sql(2.0)}
+QUERIES = {"attention_grids": attention_grids, "training_history": history, "focal_training_history": lambda spark, sf_dir: history(spark, sf_dir, 2.0)}
+ORACLES = {"attention_grids": ATTENTION, "training_history": _history_sql(), "focal_training_history": _history_sql(2.0)}

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomwork.operators.statistics import statistics_rows
+from loomwork.session import scratch_path
 
 MANIFEST = ("image_id", "split", "label", "identities")
 FILES = {"train": "train", "val": "validation", "test": "test"}
@@ -28,6 +30,50 @@ def split_manifests(assigned: DataFrame, out_dir: str, mode: str = "overwrite")
         mine.write.mode(mode).option("header", "true").option("emptyValue", "").csv(target)
 
 
+def _csv_cell(column: Column) -> Column:
+    """A cell as plain CSV writers make it: quoted only where it holds a comma, a quote or a line end; null is empty."""
+    quoted = F.concat(F.lit('"'), F.replace(column, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.coalesce(F.when(column.rlike('[",\\r\\n]'), quoted).otherwise(column), F.lit(""))
+
+
+def csv_file(rows: DataFrame, path: str, order: list[str], append: bool = False) -> None:
+    """rows as one CSV file of that name, in order, with one header and \\r\\n as line ends.
+
+    Sorted parts are written by tasks and then streamed one behind the other into a file that takes its name when whole, so no
+    reader sees half of it. With append the rows of an existing file come first and its header counts; a missing or empty
+    one is begun anew.
+    """
+    spark = rows.sparkSession
+    cells = [_csv_cell(F.col(f"`{c}`").cast("string")) for c in rows.columns]
+    folder = scratch_path(spark, "csv-file")
+    lines = rows.orderBy(*order).select(F.concat(F.concat_ws(",", *cells), F.lit("\r")).alias("value"))
+    lines.write.option("lineSep", "\n").text(folder)
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    target, part = hadoop.fs.Path(path), hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    fs, source = target.getFileSystem(conf), hadoop.fs.Path(folder)
+    begun = append and fs.exists(target) and fs.getFileStatus(target).getLen() > 0
+    parts = sorted((f.getPath() for f in source.getFileSystem(conf).listStatus(source) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    out = fs.create(part, True)
+    try:
+        if not begun:
+            out.write(bytearray((",".join(rows.columns) + "\r\n").encode()))
+        for place in [*([target] if begun else []), *parts]:
+            piece = place.getFileSystem(conf).open(place)
+            hadoop.io.IOUtils.copyBytes(piece, out, conf, False)
+            piece.close()
+    finally:
+        out.close()
+    fs.delete(target, False)
+    fs.rename(part, target)
+
+
+def manifest_files(assigned: DataFrame, out_dir: str, append: bool = False) -> None:
+    """train.csv, validation.csv and test.csv below out_dir, sorted by image id, identities joined by |."""
+    rows = assigned.select("image_id", "split", "label", F.array_join(F.col("identities").cast("array<string>"), "|").alias("identities"))
+    for split, name in FILES.items():
+        csv_file(rows.where(F.col("split") == split), f"{out_dir.rstrip('/')}/{name}.csv", ["image_id"], append)
+
+
 def report(rows: DataFrame, path: str, places: int = 6, mode: str = "overwrite") -> None:
     """rows as CSV with doubles of fixed places and arrays joined by |."""
     cells = []
@@ -138,5 +184,12 @@ def image_files(images: DataFrame, out_dir: str, kind: str = "png") -> DataFrame
     return kept.mapInPandas(run, "path string, target string, bytes long")
 
 
+def log_rows(spark: SparkSession, path: str) -> int:
+    """Number of rows of a Parquet log; 0 if there is none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return read_log(spark, path).count() if fs.exists(place) and fs.listStatus(place) else 0
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

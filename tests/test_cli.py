@@ -69,7 +69,8 @@ def test_align_morph_and_predict(spark, tmp_path):
     points = [(2.0, 2.0), (5.0, 2.0), (3.0, 5.0)]
     pair = "name string, height int, width int, data_a binary, data_b binary, points_a array<struct<x:double,y:double>>, points_b array<struct<x:double,y:double>>"
     spark.createDataFrame([("m", 8, 8, data, data, points, points)], pair).write.parquet(str(tmp_path / "p"))
-    assert cli.main(["morph", "--input", str(tmp_path / "p"), "--output", str(tmp_path / "m")], spark) == cli.DONE
+    assert cli.main(["morph", "--input", str(tmp_path / "p"), "--output", str(tmp_path / "m"), "--images", str(tmp_path / "png")], spark) == cli.DONE
+    assert (tmp_path / "png/m.png").read_bytes()[:8] == b"\x89PNG\r\n\x1a\n"
     assert set(spark.read.parquet(str(tmp_path / "m")).first()["data"]) == {90}
     assert cli.main(["morph", "--input", str(tmp_path / "p"), "--output", "x", "--alpha", "2"], spark) == cli.BAD_ARGUMENTS
     known = spark.createDataFrame([(k, [float(k % 2), 1.0], k % 2) for k in range(20)], "vec_id long, embedding array<double>, label int")
