@@ -263,7 +263,7 @@ def _sharded(stored: DataFrame, shard_rows: int, sample_rows: int) -> DataFrame:
             cell[here] = cells.of(_matrix(batch.column(1).take(pa.array(here))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["vec_id", "v", "dim", "copies", "cell"])
 
-    routed = stored.select("vec_id", "v", "dim", "copies").mapInArrow(route, "vec_id long, v array<long>, dim int, copies long, cell long")
+    routed = materialise(stored.select("vec_id", "v", "dim", "copies").mapInArrow(route, "vec_id long, v array<long>, dim int, copies long, cell long"), "routed")
     counts = materialise(routed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).alias("parts")), "cells")
     few = F.broadcast(counts) if counts.count() <= BROADCAST_CELLS else counts
     part = F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))
@@ -299,7 +299,7 @@ def top_k(
     """
     spark = vectors.sparkSession
     marked = materialise(quantised(vectors, is_query, id_col, vector_col), "vectors")
-    stored = marked.groupBy("vec_id", "v", "dim").agg(F.count("*").alias("copies"))
+    stored = materialise(marked.groupBy("vec_id", "v", "dim").agg(F.count("*").alias("copies")), "stored")
     asked = marked.where("query").groupBy(F.col("vec_id").alias("query_id"), F.col("v").alias("asked"), "dim").agg(F.lit(0).alias("_")).drop("_")
     sizes = marked.agg(F.count("*").alias("n"), F.count("query").alias("q")).first()
     blocks = max(1, -(-sizes["q"] // query_rows))
