@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from loomwork.llm.ordering import numbered
 from loomwork.llm.texts import word_count
 from loomwork.session import materialise
 
@@ -52,6 +53,10 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     return ends[::-1]
 
 
+#: Names of full blocks are broadcast up to so many.
+BROADCAST_BLOCKS = 50_000
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -72,7 +77,8 @@ def pack(
 
     A bucket may hold a third of all rows, so its order is never in one task: pieces are dealt into blocks
     of about block_rows by hash, numbered inside their block, and the blocks of a bucket are offset by a
-    running sum over block counts. A block that pieces of one repeated or missing id fill is dealt again by row.
+    running sum over block counts. A block that pieces of one repeated or missing id fill is numbered over many tasks
+    by ranges of the same order, so batches are the same at every size.
 
     Cases: a null or negative length is 0; a document of length 0 is one piece of 0 tokens in the first
     bucket; repeated rows are packed each for itself; a null id is kept; an empty table gives no rows.
@@ -90,7 +96,7 @@ def pack(
         (F.col("piece") * max_len).alias("start"),
         F.least(F.lit(max_len).cast("long"), F.col("_len") - F.col("piece") * max_len).alias("n_tokens"),
     )
-    pieces = materialise(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    pieces = materialise(pieces, "pieces")
     histogram = pieces.groupBy("n_tokens").count().collect()
     lengths = np.array([r["n_tokens"] for r in histogram], dtype=np.int64)
     counts = np.array([r["count"] for r in histogram], dtype=np.int64)
@@ -104,19 +110,20 @@ def pack(
     dealt = pieces.withColumn("bucket", bucket).withColumn("_hash", hashed).withColumn("_block", F.pmod("_hash", F.lit(blocks)))
     lens = F.array(*[F.lit(e).cast("long") for e in ends])
     full = materialise(dealt.groupBy("bucket", "_block").agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * block_rows), "full-blocks")
-    again = F.lit(0).cast("long")
-    if not full.isEmpty():  # at most one in 4 * block_rows pieces
-        dealt = dealt.join(full, ["bucket", "_block"], "left")
-        again = F.coalesce(F.pmod(F.xxhash64("_row"), F.ceil(F.col("_n") / block_rows)), again)
-    dealt = dealt.withColumn("_again", again)
-    before = Window.partitionBy("bucket").orderBy("_block", "_again").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        dealt.groupBy("bucket", "_block", "_again")
-        .agg(F.count("*").alias("_n"))
-        .select("bucket", "_block", "_again", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = Window.partitionBy("bucket", "_block", "_again").orderBy("_hash", "doc_id", "piece", "n_tokens")
-    ranked = dealt.withColumn("_row", F.row_number().over(inside) - 1).join(offsets, ["bucket", "_block", "_again"])
+    order = ["_hash", "doc_id", "piece", "n_tokens"]
+    before = Window.partitionBy("bucket").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("bucket", "_block").agg(F.count("*").alias("_n")).select("bucket", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    placed = lambda rows: rows.withColumn("_row", F.row_number().over(Window.partitionBy("bucket", "_block").orderBy(*order)) - 1)
+    few = full.count()  # at most one in 4 * block_rows pieces
+    if few:
+        named = full.select("bucket", "_block")
+        named = F.broadcast(named) if few <= BROADCAST_BLOCKS else named
+        large = dealt.join(named, ["bucket", "_block"], "left_semi").withColumn("_g", F.concat_ws("-", "bucket", "_block"))
+        sorted_apart = numbered(large, order, "full-pieces").withColumn("_row", F.col("_i")).drop("_g", "_i")
+        numbered_pieces = placed(dealt.join(named, ["bucket", "_block"], "left_anti")).unionByName(sorted_apart)
+    else:
+        numbered_pieces = placed(dealt)
+    ranked = numbered_pieces.join(offsets, ["bucket", "_block"])
     size = F.greatest(F.floor(F.lit(batch_tokens) / F.greatest(F.col("bucket_len"), F.lit(1))), F.lit(1)).cast("long")
     rank = F.col("_offset") + F.col("_row")
     return (

@@ -669,3 +669,16 @@ def test_simhash_query(spark, tmp_path):
         hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
         assert got[10 + k][0] == f"{sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)):016x}"
     assert got[10] == got[11] and got[13] == ("0" * 16, 13) and got[14] == ("0" * 16, 13)
+
+
+def test_packing_of_one_hot_id_keeps_the_order(spark):
+    """A block that one missing id fills is numbered over many tasks, in the same order as a small one, in each run."""
+    rows = [(None, k % 7) for k in range(400)] + [(k, 3 + k % 9) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    got = [sorted(map(tuple, packing.pack(d, buckets=1, batch_tokens=64, block_rows=10).collect()), key=str) for d in (docs, docs.repartition(7), docs.orderBy(F.desc("n_tokens")))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 460
+    blocks = 46
+    mark = lambda i: int(hashlib.md5(f"17:{'null' if i is None else i}:0".encode()).hexdigest()[:15], 16)
+    want = sorted(rows, key=lambda r: (mark(r[0]) % blocks, mark(r[0]), r[0] is not None, r[0] or 0, r[1]))
+    size = got[0][0][8]
+    assert [(r[0], r[3]) for r in sorted(got[0], key=lambda r: (r[6], r[7]))] == want and {r[6] * size + r[7] for r in got[0]} == set(range(460))
