@@ -266,13 +266,13 @@ def write_sequences(
 ) -> DataFrame:
     """Write docs as Arrow files of equal-length sequences and return (shard, path, n_docs, n_tokens).
 
-    Documents are range-partitioned by id and sorted, so shard after shard holds them in ascending id
-    order; each shard's ids follow one another without padding but at its end. A task writes one file
+    Documents are range-partitioned by id and the beginning of the text and sorted, so shard after shard holds
+    them in ascending id order and many rows of one id spread over shards; each shard's ids follow one another without padding but at its end. A task writes one file
     under its shard's number. A repeated or lost task writes the same file again, under another name until
     it is whole. The result has one row per shard and is written to the shared folder.
 
-    Cases: a null or empty text is the end id alone; null ids come first; equal ids are ordered by text;
-    very long texts span sequences; an empty table writes no file; other columns are left out.
+    Cases: a null or empty text is the end id alone; null ids come first; equal ids are ordered by
+    text, and those with equal first 64 characters stand in one shard; very long texts span sequences; an empty table writes no file; other columns are left out.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -293,9 +293,8 @@ def write_sequences(
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [count], "n_tokens": [writer.tokens]})
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = narrow.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "text"
-    )
+    ident = F.col("doc_id").asc_nulls_first()
+    ordered = narrow.repartitionByRange(shards, ident, F.substring("text", 1, 64)).sortWithinPartitions(ident, "text")
     return materialise(ordered.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long"), "sequence-shards")
 
 
