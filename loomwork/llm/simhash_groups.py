@@ -17,6 +17,8 @@ from loomwork.session import materialise
 SKETCH_BITS, WIDE_BITS, LARGE = 1024, 16_384, 1_000
 #: Keys that are broadcast at most; beyond, the same join goes by shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes of sets that a hub meets in one part, about.
+PART_BYTES = 16 << 20
 
 
 def shingle_set(text: str | None, shingle: int, seed: int) -> np.ndarray:
@@ -195,23 +197,42 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
             found = [shingle_set(x.as_py(), shingle, seed) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["node", "hashes"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted, a part's hub before the others: only its set is held while they stream by."""
+        hub, own = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            each = zip(batch.column(2), batch.column(3), strict=True)
-            good = pa.array([similar(*(np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in pair), similarity) for pair in each], pa.bool_())
-            yield batch.select(["a", "b"]).filter(good)
+            stars, nodes = (batch.column(k).to_numpy() for k in (0, 2))
+            found = []
+            for k, (star, node) in enumerate(zip(stars.tolist(), nodes.tolist(), strict=True)):
+                whole = np.frombuffer(batch.column(3)[k].as_buffer(), dtype=np.uint64)
+                if star == node:
+                    hub, own = star, whole.copy()
+                elif star == hub and similar(own, whole, similarity):
+                    found.append((min(star, node), max(star, node)))
+            yield pa.RecordBatch.from_arrays([pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that are similar by their whole sets, which are made anew for the texts of pairs alone."""
+        """The pairs that are similar by their whole sets, which are made anew for the texts of pairs alone.
+
+        The end with more pairs is a pair's hub. A hub's others are dealt by hash over parts of about PART_BYTES
+        of sets, and its own set goes once to each part, however many pairs it has.
+        """
         pairs = pruned(pairs, name)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        needed = materialise(ends.join(classes.select("node", "text_key"), "node").select("text_key").distinct(), f"{name}-texts")
-        keys = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+        degrees = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+        ends = materialise(degrees.join(classes.select("node", "size", "text_key"), "node"), f"{name}-ends")
+        one, two = (ends.select(F.col("node").alias(c), F.struct("n", "node", "size").alias(f"{c}_end")) for c in ("a", "b"))
+        high, low = F.greatest("a_end", "b_end"), F.least("a_end", "b_end")
+        stars = materialise(pairs.join(two, "b").join(one, "a").select(high["node"].alias("hub"), low["node"].alias("node"), low["size"].alias("size")), f"{name}-stars")
+        shape = stars.groupBy("hub").agg(F.ceil(F.sum("size") * 8 / PART_BYTES).cast("int").alias("parts"))
+        others = stars.join(shape, "hub").select("hub", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node")
+        leads = shape.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"))
+        needed = ends.select("text_key").distinct()
+        keys = F.broadcast(needed) if ends.count() <= BROADCAST_ROWS else needed
         texts = narrow.join(keys, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text")
         whole = materialise(texts.mapInArrow(sets, "node long, hashes binary"), f"{name}-sets")
-        left, right = (whole.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in ("a", "b"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_hashes", "b_hashes")
-        return materialise(both.mapInArrow(check, "a long, b long"), f"{name}-links")
+        dealt = others.unionByName(leads).join(whole, "node").select("hub", "part", "node", "hashes").repartition("hub", "part")
+        ordered = dealt.sortWithinPartitions("hub", "part", F.col("hub") != F.col("node"))
+        return materialise(ordered.mapInArrow(compare_stars, "a long, b long"), f"{name}-links")
 
     def labels_by(links: DataFrame, name: str) -> DataFrame:
         found = connected_components(links).select(F.col("vertex").alias("node"), "component")
