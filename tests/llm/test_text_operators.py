@@ -257,6 +257,24 @@ def test_similar_groups_are_exact(spark):
         assert [g for _, g in sorted(simhash_groups.similar_groups(frame, group_rows=limit).collect())] == want
 
 
+def test_a_hub_meets_its_copies_in_parts(spark, monkeypatch):
+    """600 near copies of one long text, and texts that only share half of it: one group and single ones, whatever the parts."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(500)]
+    texts = [" ".join(base)]
+    for _ in range(600):
+        copy = list(base)
+        copy[rng.randrange(500)] = word()
+        texts.append(" ".join(copy))
+    texts += [" ".join([*base[:250], *[word() for _ in range(250)]]) for _ in range(20)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [0] * 601 + list(range(601, 621))
+    for size in (20_000, simhash_groups.PART_BYTES):  # five texts a part, and one part
+        monkeypatch.setattr(simhash_groups, "PART_BYTES", size)
+        assert [g for _, g in sorted(simhash_groups.similar_groups(frame).collect())] == want
+
+
 def test_token_counts(docs, rows, none):
     model = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -300,6 +318,17 @@ def test_sequence_files(spark, docs, rows, none, tmp_path):
     assert sequence_files.write_sequences(docs, path, f"file://{tmp_path}/null", shards=2).agg(F.sum("n_docs")).first()[0] == len(rows)
 
 
+def test_rows_without_ids_spread_over_shards(spark, tmp_path):
+    texts = sorted(f"{k % 97:02d} word {k}" for k in range(2000))
+    frame = spark.createDataFrame([(None, t) for t in texts[::-1]], "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    written = sequence_files.write_sequences(frame, path, f"file://{tmp_path}/out", shards=8)
+    counts = [r["n_docs"] for r in written.collect()]
+    assert sum(counts) == 2000 and len(counts) > 4 and max(counts) < 700
+    want = [len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+    assert [r["n_tokens"] for r in sequence_files.read_documents(written).orderBy("start").collect()] == want
+
+
 def test_sequences_by_number(tmp_path):
     rng = np.random.default_rng(4)
     counts = rng.integers(1, 40, 500)
