@@ -3,53 +3,97 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from loomwork.functions.metrics import ratio
 
 
-def early_stopping(history: DataFrame, run: list[str], epoch: str, metric: str, patience: int, min_delta: float = 0.0, mode: str = "min") -> DataFrame:
-    """(run keys, epoch, value, best_value, counter, should_stop) for each epoch.
+class Patience:
+    """Best value so far and the number of epochs since, told one epoch after another.
+
+    An epoch improves if it beats the best so far by more than min_delta; null and NaN never do.
+    """
 
-    An epoch improves if it beats the best so far by more than min_delta; the counter grows otherwise, and
-    training should stop once it exceeds the patience. Each run's epochs are folded in order; runs are
-    independent.
+    def __init__(self, patience: int, min_delta: float = 0.0, mode: str = "min", best: float | None = None, counter: int = 0):
+        if mode not in ("min", "max"):
+            raise ValueError("mode must be min or max")
+        if patience < 0 or min_delta < 0:
+            raise ValueError("patience and min_delta must not be negative")
+        self.patience, self.min_delta, self.least = patience, min_delta, mode == "min"
+        self.best = (math.inf if self.least else -math.inf) if best is None else best
+        self.counter = counter
+
+    def __call__(self, value: float | None) -> tuple[float, int, bool]:
+        """(best, counter, should_stop) after an epoch of this value."""
+        if value is not None and (value < self.best - self.min_delta if self.least else value > self.best + self.min_delta):
+            self.best, self.counter = value, 0
+        else:
+            self.counter += 1
+        return self.best, self.counter, self.counter > self.patience
+
+
+def _folded(history: DataFrame, run: list[str], epoch: str, metric: str, added: str, start: Callable[[], Callable]) -> DataFrame:
+    """(run keys, epoch, value, added columns): each run's epochs in order through the function that start() makes for it.
+
+    Runs are dealt by hash and sorted, and rows stream by with the state of one run: work grows in proportion
+    to the epochs, and no run is held as a whole.
     """
-    if mode not in ("min", "max"):
-        raise ValueError("mode must be min or max")
-    if patience < 0 or min_delta < 0:
-        raise ValueError("patience and min_delta must not be negative")
-    worst = F.lit(math.inf if mode == "min" else -math.inf)
-    start = F.struct(worst.alias("best"), F.lit(0).alias("counter"), F.array().cast("array<struct<epoch:bigint,value:double,best:double,counter:int>>").alias("out"))
+    rows = history.select(*run, F.col(epoch).cast("long").alias("epoch"), F.col(metric).cast("double").alias("value"))
+    extra = StructType.fromDDL(added)
+    types, names = [to_arrow_type(f.dataType) for f in extra], [*rows.columns, *extra.names]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[: len(run)]), strict=True)) or [()] * batch.num_rows
+            told = []
+            for key, value in zip(keys, batch.column(len(run) + 1).to_pylist(), strict=True):
+                if step is None or key != last:
+                    last, step = key, start()
+                told.append(step(value))
+            fresh = [pa.array(c, t) for c, t in zip(zip(*told, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *fresh], names)
+
+    dealt = rows.repartition(*run) if run else rows.repartition(1)
+    return dealt.sortWithinPartitions(*run, "epoch", "value").mapInArrow(fold, StructType([*rows.schema.fields, *extra.fields]))
+
 
-    def step(state: Column, row: Column) -> Column:
-        better = row["value"] < state["best"] - min_delta if mode == "min" else row["value"] > state["best"] + min_delta
-        best, counter = F.when(better, row["value"]).otherwise(state["best"]), F.when(better, F.lit(0)).otherwise(state["counter"] + 1)
-        fresh = F.struct(row["epoch"].alias("epoch"), row["value"].alias("value"), best.alias("best"), counter.alias("counter"))
-        return F.struct(best.alias("best"), counter.alias("counter"), F.concat(state["out"], F.array(fresh)).alias("out"))
+def early_stopping(history: DataFrame, run: list[str], epoch: str, metric: str, patience: int, min_delta: float = 0.0, mode: str = "min") -> DataFrame:
+    """(run keys, epoch, value, best_value, counter, should_stop) for each epoch.
 
-    rows = F.array_sort(F.collect_list(F.struct(F.col(epoch).cast("long").alias("epoch"), F.col(metric).cast("double").alias("value"))))
-    folded = history.groupBy(*run).agg(rows.alias("_rows")).select(*run, F.inline(F.aggregate("_rows", start, step, lambda s: s["out"])))
-    return folded.withColumnsRenamed({"best": "best_value"}).withColumn("should_stop", F.col("counter") > patience)
+    The counter grows with every epoch that does not improve (see Patience), and training should stop once it
+    exceeds the patience. Each run's epochs are folded in order; runs are independent.
+    """
+    Patience(patience, min_delta, mode)
+    return _folded(history, run, epoch, metric, "best_value double, counter int, should_stop boolean", lambda: Patience(patience, min_delta, mode))
 
 
 def plateau_rates(history: DataFrame, run: list[str], epoch: str, metric: str, rate: float, factor: float = 0.1, patience: int = 2, min_rate: float = 0.0, threshold: float = 1e-4) -> DataFrame:
     """(run keys, epoch, learning_rate): cut by factor after more than `patience` epochs without a relative gain over threshold."""
-    start = F.struct(F.lit(math.inf).alias("best"), F.lit(0).alias("bad"), F.lit(float(rate)).alias("rate"), F.array().cast("array<struct<epoch:bigint,learning_rate:double>>").alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        better = row["value"] < state["best"] * (1.0 - threshold)
-        bad = F.when(better, F.lit(0)).otherwise(state["bad"] + 1)
-        cut = bad > patience
-        lower = F.when(cut, F.greatest(state["rate"] * factor, F.lit(float(min_rate)))).otherwise(state["rate"])
-        fresh = F.struct(row["epoch"].alias("epoch"), lower.alias("learning_rate"))
-        return F.struct(
-            F.when(better, row["value"]).otherwise(state["best"]).alias("best"), F.when(cut, F.lit(0)).otherwise(bad).alias("bad"), lower.alias("rate"), F.concat(state["out"], F.array(fresh)).alias("out")
-        )
-
-    rows = F.array_sort(F.collect_list(F.struct(F.col(epoch).cast("long").alias("epoch"), F.col(metric).cast("double").alias("value"))))
-    return history.groupBy(*run).agg(rows.alias("_rows")).select(*run, F.inline(F.aggregate("_rows", start, step, lambda s: s["out"])))
+
+    def start() -> Callable[[float | None], tuple[float]]:
+        best, bad, now = math.inf, 0, float(rate)
+
+        def step(value: float | None) -> tuple[float]:
+            nonlocal best, bad, now
+            if value is not None and value < best * (1.0 - threshold):
+                best, bad = value, 0
+            else:
+                bad += 1
+            if bad > patience:
+                now, bad = max(now * factor, float(min_rate)), 0
+            return (now,)
+
+        return step
+
+    return _folded(history, run, epoch, metric, "learning_rate double", start).drop("value")
 
 
 def cosine_factor(step: Column, warmup: int, total: int, min_ratio: float = 0.0) -> Column:
