@@ -73,6 +73,7 @@ def align(images: DataFrame, detections: str = "detections", threshold: float =
     cropped = turned.withColumn("crop", with_margin(F.col("_box"), margin, F.col("width"), F.col("height")))
     crop = F.col("crop")
     empty = (crop["x2"] <= crop["x1"]) | (crop["y2"] <= crop["y1"])
+    # The texts of failures, which other tools read.
     reason = (
         F.when(F.col(detections).isNull() | (F.size(detections) == 0), "No faces detected")
         .when(face.isNull(), F.format_string(f"All detections below score threshold (best=%.3f, threshold={threshold:.3f})", best))

@@ -16,6 +16,8 @@ from loomwork.session import materialise
 
 SPLITS = ("train", "val", "test")
 BONA_FIDE, MORPH = "bona_fide", "morph"
+#: Components that the exact shuffle takes at most, as it numbers them on the driver.
+EXACT_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -73,10 +75,16 @@ def shuffled(count: int, seed: int) -> list[int]:
 
 
 def shuffled_sizes(sizes: DataFrame, seed: int) -> DataFrame:
-    """sizes with turn: the place of each component in Python's own seeded shuffle of all in ascending order."""
+    """sizes with turn: the place of each component in Python's own seeded shuffle of all in ascending order.
+
+    ValueError for more than EXACT_ROWS of them, before any id reaches the driver.
+    """
     spark = sizes.sparkSession
     kind = dict(sizes.dtypes)["component"]
-    turns = shuffled(sizes.count(), seed)
+    count = sizes.count()
+    if count > EXACT_ROWS:
+        raise ValueError(f"the exact shuffle takes at most {EXACT_ROWS:,} components, not {count:,}; leave it out for the order by hash")
+    turns = shuffled(count, seed)
     place = [0] * len(turns)
     for turn, k in enumerate(turns):
         place[k] = turn
@@ -130,7 +138,7 @@ def split_dataset(bona_fide: DataFrame, morphs: DataFrame, ratios: SplitRatios =
 
     Members, sizes and places are written once, so that any use of either table starts from there. `exact` gives the order
     that Python's own shuffle of all components in their first order has, instead of one by hash; it numbers the
-    components on the driver and suits sets whose ids fit there.
+    components on the driver and refuses more than EXACT_ROWS.
     """
     bona_fide, morphs = (materialise(x, name) for x, name in ((bona_fide, "bona-fide"), (morphs, "morphs")))
     members = materialise(components(bona_fide, morphs), "members")

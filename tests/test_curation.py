@@ -184,6 +184,14 @@ def test_many_components_are_one_sequence(spark):
         assert {r["component"]: r["split"] for r in got.collect()} == want
 
 
+def test_exact_shuffle_refuses_large_sets(spark, monkeypatch):
+    monkeypatch.setattr(split, "EXACT_ROWS", 3)
+    sizes = spark.createDataFrame([(f"c{k}", 1) for k in range(4)], "component string, images long")
+    assert split.shuffled_sizes(sizes.where("component < 'c3'"), 5).count() == 3
+    with pytest.raises(ValueError, match="at most 3 components, not 4"):
+        split.shuffled_sizes(sizes, 5)
+
+
 def test_exact_shuffle(spark):
     people = [f"id{i:02d}" for i in range(30)]
     bona_fide, morphs = frames(spark, people, [("id00", "id07")])

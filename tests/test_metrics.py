@@ -16,6 +16,9 @@ def make(spark):
     return rows
 
 
+# The label and score vectors below have known results.
+
+
 def test_rates(make):
     rows = make([0, 0, 0, 1, 1, 1], [0.1, 0.4, 0.6, 0.8, 0.3, 0.9])
     row = metrics.rates(metrics.confusion(rows)).first()
