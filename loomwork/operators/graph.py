@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwork.session import materialise
@@ -17,6 +20,34 @@ def build_edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """edges(a, b) as fewer edges that join the same vertices: each Arrow batch becomes a star per component of its own.
+
+    What partial aggregation is to a sum, this is to components: no shuffle, memory of one batch, and where the edges of
+    a component lie near each other hardly any rounds are left for connected_components. Rows with a null end or
+    equal ends are dropped; a vertex on no other edge is on none of the result.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            above: dict = {}
+
+            def top(v):
+                while (up := above.setdefault(v, v)) != v:
+                    above[v] = above[up]
+                    v = up
+                return v
+
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+                low, high = sorted((top(a), top(b)))
+                above[high] = low
+            stars = [(top(v), v) for v in above]
+            yield pd.DataFrame([s for s in stars if s[0] != s[1]], columns=["a", "b"]).astype(dict(batch.dtypes))
+
+    kinds = dict(edges.dtypes)
+    return edges.where("a <> b").select("a", "b").mapInPandas(run, f"a {kinds['a']}, b {kinds['b']}")
+
+
 def build_vertices(singles: DataFrame, single: str, pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct vertices: every single and both ends of every pair, self-pairs included."""
     ends = singles.select(F.col(single).alias("vertex"))

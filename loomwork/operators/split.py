@@ -11,7 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomwork.operators.graph import build_edges, connected_components
+from loomwork.operators.graph import connected_components, contracted
 from loomwork.session import materialise
 
 SPLITS = ("train", "val", "test")
@@ -38,28 +38,32 @@ class SplitRatios:
         return getattr(self, split)
 
 
-def components(bona_fide: DataFrame, morphs: DataFrame) -> DataFrame:
-    """(identity, component) from bona_fide(identity, ...) and morphs(identity_a, identity_b, ...).
+def weighted_components(bona_fide: DataFrame, morphs: DataFrame) -> DataFrame:
+    """(identity, component, images) from bona_fide(identity, ...) and morphs(identity_a, identity_b, ...).
 
-    Identities without a morph partner, and those only morphed with themselves, are components of their own.
-    component is the least identity.
+    Identities without a morph partner, and those only morphed with themselves, are components of their own. component is the
+    least identity; images are the bona fide ones of the identity and the morphs that name it first. Rows are summed
+    by identity before they meet the components.
     """
-    linked = connected_components(build_edges(morphs, "identity_a", "identity_b")).select(F.col("vertex").alias("identity"), "component")
-    everyone = (
-        bona_fide.select("identity")
-        .unionByName(morphs.select(F.col("identity_a").alias("identity")))
-        .unionByName(morphs.select(F.col("identity_b").alias("identity")))
-        .where("identity IS NOT NULL")
-        .distinct()
+    ends = morphs.select(F.col("identity_a").alias("a"), F.col("identity_b").alias("b"))
+    linked = connected_components(contracted(ends)).select(F.col("vertex").alias("identity"), "component")
+    ones = (
+        bona_fide.select("identity", F.lit(1).alias("n"))
+        .unionByName(morphs.select(F.col("identity_a").alias("identity"), F.lit(1).alias("n")))
+        .unionByName(morphs.select(F.col("identity_b").alias("identity"), F.lit(0).alias("n")))
     )
-    return everyone.join(linked, "identity", "left").select("identity", F.coalesce("component", "identity").alias("component"))
+    everyone = ones.where("identity IS NOT NULL").groupBy("identity").agg(F.sum("n").alias("images"))
+    return everyone.join(linked, "identity", "left").select("identity", F.coalesce("component", "identity").alias("component"), "images")
+
+
+def components(bona_fide: DataFrame, morphs: DataFrame) -> DataFrame:
+    """(identity, component) for every identity of either table."""
+    return weighted_components(bona_fide, morphs).select("identity", "component")
 
 
-def component_sizes(members: DataFrame, bona_fide: DataFrame, morphs: DataFrame) -> DataFrame:
-    """(component, images): bona fide images by identity and morphs by their first identity."""
-    images = bona_fide.select("identity").unionByName(morphs.select(F.col("identity_a").alias("identity")))
-    counts = images.groupBy("identity").agg(F.count("*").alias("n"))
-    return members.join(counts, "identity", "left").groupBy("component").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("images"))
+def component_sizes(weighted: DataFrame) -> DataFrame:
+    """(component, images) of weighted(identity, component, images)."""
+    return weighted.groupBy("component").agg(F.sum("images").alias("images"))
 
 
 def seeded_order(component: Column, seed: int | None) -> Column:
@@ -133,20 +137,25 @@ def assign(sizes: DataFrame, ratios: SplitRatios, order: Column, block_rows: int
     return reduce(DataFrame.unionByName, done)
 
 
-def split_dataset(bona_fide: DataFrame, morphs: DataFrame, ratios: SplitRatios = SplitRatios(), seed: int | None = None, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+def split_dataset(
+    bona_fide: DataFrame, morphs: DataFrame, ratios: SplitRatios = SplitRatios(), seed: int | None = None, exact: bool = False, stored: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(assignments, component_splits): each image with its split, label and identities; each identity with its component and split.
 
-    Members, sizes and places are written once, so that any use of either table starts from there. `exact` gives the order
-    that Python's own shuffle of all components in their first order has, instead of one by hash; it numbers the
-    components on the driver and refuses more than EXACT_ROWS.
+    Members, sizes and places are written once, so that any use of either table starts from there; so are the given tables,
+    unless they are `stored`: read from files by narrow steps alone. `exact` gives the order that Python's own shuffle of all
+    components in their first order has, instead of one by hash; it numbers the components on the driver and refuses
+    more than EXACT_ROWS.
     """
-    bona_fide, morphs = (materialise(x, name) for x, name in ((bona_fide, "bona-fide"), (morphs, "morphs")))
-    members = materialise(components(bona_fide, morphs), "members")
-    sizes = materialise(component_sizes(members, bona_fide, morphs), "component-sizes")
+    if not stored:
+        bona_fide, morphs = (materialise(x, name) for x, name in ((bona_fide, "bona-fide"), (morphs, "morphs")))
+    members = materialise(weighted_components(bona_fide, morphs), "members")
+    sizes = materialise(component_sizes(members), "component-sizes")
     order = seeded_order(F.col("component"), seed)
     if exact and seed is not None:
         sizes, order = shuffled_sizes(sizes, seed), F.col("turn")
-    placed = materialise(members.join(assign(sizes, ratios, order).select("component", "split"), "component"), "placed")
+    chosen = assign(sizes, ratios, order).select("component", "split")
+    placed = materialise(members.select("identity", "component").join(chosen, "component"), "placed")
     return assignments(bona_fide, morphs, placed), placed
 
 

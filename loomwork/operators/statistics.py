@@ -11,8 +11,8 @@ from loomwork.operators.split import BONA_FIDE, MORPH, SPLITS
 def split_statistics(assigned: DataFrame, splits: tuple[str, ...] = SPLITS) -> DataFrame:
     """One row per split, empty ones too, and one for all: images, labels, identities, share and class balance.
 
-    class_balance maps each label to its share, in label order. Identities are counted over distinct
-    (split, identity) pairs, so one identity's many images are folded before they are shuffled.
+    class_balance maps each label to its share, in label order. Identities are counted by their
+    sets of splits, so one identity's many images are folded before they are shuffled, once for all counts.
     """
     names = assigned.sparkSession.createDataFrame([(s,) for s in (*splits, "overall")], "split string")
     both = F.explode(F.array(F.col("split"), F.lit("overall"))).alias("split")
@@ -26,9 +26,9 @@ def split_statistics(assigned: DataFrame, splits: tuple[str, ...] = SPLITS) -> D
     )
     identities = (
         assigned.select(F.explode("identities").alias("identity"), "split")
-        .distinct()
-        .select("identity", both)
-        .distinct()
+        .groupBy("identity")
+        .agg(F.collect_set("split").alias("splits"))
+        .select(F.explode(F.array_union("splits", F.array(F.lit("overall")))).alias("split"))
         .groupBy("split")
         .agg(F.count("*").alias("identity_count"))
     )

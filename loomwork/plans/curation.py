@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loomwork.operators import graph, pairs, quality, split, statistics
 from loomwork.plans.evaluation import rounded
+from loomwork.session import materialise
 
 RATIOS = split.SplitRatios(0.7, 0.2, 0.1)
 
@@ -43,7 +44,8 @@ assigned AS (SELECT image_id, split, 'bona_fide' AS label, [identity] AS identit
 
 
 def split_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return split.split_dataset(*samples(spark, sf_dir), RATIOS)
+    bona_fide, morphs = samples(spark, sf_dir)
+    return split.split_dataset(bona_fide, materialise(morphs, "morphs"), RATIOS, stored=True)
 
 
 def faulty(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -161,7 +163,7 @@ def hashed_id() -> Column:
 
 QUERIES = {
     "identity_components": lambda s, d: split.components(*samples(s, d)),
-    "component_sizes": lambda s, d: split.component_sizes(split.components(*samples(s, d)), *samples(s, d)),
+    "component_sizes": lambda s, d: split.component_sizes(split.weighted_components(*samples(s, d))),
     "split_components": lambda s, d: split_of(s, d)[1],
     "split_assignments": lambda s, d: split_of(s, d)[0].withColumn("identities", F.array_join(F.col("identities").cast("array<string>"), "|")),
     "split_statistics": split_stats,

@@ -47,6 +47,20 @@ def test_long_chain_and_random_graph(spark):
     assert {r["vertex"]: r["component"] for r in got} == {v: c for v, c in brute(range(200), edges).items() if v in linked}
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_contracted_edges_join_the_same_vertices(spark, kind):
+    rng = random.Random(7)
+    edges = [(rng.randrange(500), rng.randrange(500)) for _ in range(400)] + [(1, 1), (None, 2), (3, None), (2, 1), (1, 2)]
+    rows = spark.createDataFrame(edges, "a long, b long").selectExpr(f"cast(a AS {kind}) AS a", f"cast(b AS {kind}) AS b")
+    whole = [(a, b) for a, b in edges if a is not None and b is not None and a != b]
+    cast = int if kind == "long" else str
+    few = [(r["a"], r["b"]) for r in graph.contracted(rows.repartition(3)).collect()]
+    assert len(few) <= len(whole) and all(a != b for a, b in few)
+    names = {cast(v) for e in whole for v in e}
+    assert brute(names, few) == brute(names, [(cast(a), cast(b)) for a, b in whole])
+    assert graph.contracted(rows.limit(0)).count() == 0
+
+
 def greedy(sizes, ratios):
     used, out = {"train": 0, "val": 0, "test": 0}, {}
     for name, n in sizes:
