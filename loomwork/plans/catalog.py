@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.plans import curation, evaluation, files, imaging, series, training
+from loomwork.plans import curation, evaluation, files, imaging, morphing, series, training
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (evaluation, curation, series, imaging, files, training)
+MODULES = (evaluation, curation, series, imaging, morphing, files, training)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

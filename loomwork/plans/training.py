@@ -19,6 +19,14 @@ def history(spark: SparkSession, sf_dir: str, gamma: float | None = None) -> Dat
     return rounded(fit.history(spark, fit.fit(rows.where(~fifth), rows.where(fifth), optimizer=RULE, epochs=EPOCHS, gamma=gamma)))
 
 
+def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, label, probability, predicted_label) of all embeddings by the weights that three epochs leave."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", (F.col("label") == 0).cast("int").alias("label"))
+    fifth = F.col("vec_id") % 5 == 0
+    state = fit.fit(rows.where(~fifth), rows.where(fifth), optimizer=RULE, epochs=EPOCHS)
+    return rounded(fit.score(state, rows).select("vec_id", "label", "probability", "predicted_label"))
+
+
 #: Seventeen vectors in a row are an image: a class token and 4 x 4 patches.
 TOKENS, HEADS, LAYERS = 17, 4, 2
 
@@ -40,7 +48,7 @@ ATTENTION = f"""WITH t AS (SELECT vec_id // {TOKENS} AS image, vec_id % {TOKENS}
   SELECT image, ((col - 1) // 4)::INT AS y, ((col - 1) % 4)::INT AS x, round(avg(weight), 6) AS weight FROM s WHERE col > 0 GROUP BY image, col"""
 
 
-def _history_sql(gamma: float | None = None) -> str:
+def _epochs_sql(gamma: float | None = None) -> str:
     """The epochs unrolled: one gradient, one step of the rule and one validation each."""
     one, two = RULE.betas
     p, of = "1 / (1 + exp(-list_dot_product(w, x)))", "greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, 1e-15)"
@@ -59,13 +67,20 @@ def _history_sql(gamma: float | None = None) -> str:
             f"e{n} AS (SELECT {n} AS epoch, [w[i] * {1.0 - RULE.rate * RULE.decay!r}::DOUBLE - {RULE.rate}::DOUBLE * (m[i] / {1.0 - one**n!r}::DOUBLE) / (sqrt(v[i] / {1.0 - two**n!r}::DOUBLE) + {RULE.epsilon}::DOUBLE) for i in range(1, len(w) + 1)] AS w, m, v FROM m{n})",
             f"h{n} AS (SELECT {n - 1} AS epoch, (SELECT train_loss FROM t{n}) AS train_loss, sum({loss}) / sum({weight}) AS val_loss, avg(((p >= 0.5)::INT = y)::INT) AS val_accuracy FROM (SELECT x, y, k, {p} AS p FROM r, e{n} WHERE held))",
         ]
-    whole = " UNION ALL ".join(f"SELECT * FROM h{n}" for n in range(1, EPOCHS + 1))
-    return f"""WITH a AS (SELECT vec_id % 5 = 0 AS held, (label = 0)::INT AS y, [c::DOUBLE for c in embedding] || [1::DOUBLE] AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+    return f"""WITH a AS (SELECT vec_id, vec_id % 5 = 0 AS held, (label = 0)::INT AS y, [c::DOUBLE for c in embedding] || [1::DOUBLE] AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
   c AS (SELECT y, (SELECT count(*) FROM a WHERE NOT held) / ((SELECT count(DISTINCT y) FROM a WHERE NOT held) * count(*)::DOUBLE) AS k FROM a WHERE NOT held GROUP BY y),
-  r AS (SELECT a.*, c.k FROM a JOIN c USING (y)), {", ".join(steps)}, h AS ({whole})
+  r AS (SELECT a.*, c.k FROM a JOIN c USING (y)), {", ".join(steps)}"""
+
+
+def _history_sql(gamma: float | None = None) -> str:
+    whole = " UNION ALL ".join(f"SELECT * FROM h{n}" for n in range(1, EPOCHS + 1))
+    return f"""{_epochs_sql(gamma)}, h AS ({whole})
   SELECT epoch::BIGINT AS epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss, round(val_accuracy, 6) AS val_accuracy, {RULE.rate}::DOUBLE AS learning_rate,
     coalesce(val_loss < min(val_loss) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM h"""
 
 
-QUERIES = {"attention_grids": attention_grids, "training_history": history, "focal_training_history": lambda spark, sf_dir: history(spark, sf_dir, 2.0)}
-ORACLES = {"attention_grids": ATTENTION, "training_history": _history_sql(), "focal_training_history": _history_sql(2.0)}
+PREDICTED = f"""{_epochs_sql()} SELECT vec_id, y AS label, round(p, 6) AS probability, (p >= 0.5)::INT AS predicted_label
+  FROM (SELECT vec_id, y, 1 / (1 + exp(-list_dot_product(w, x))) AS p FROM r, e{EPOCHS})"""
+
+QUERIES = {"predicted_embeddings": predicted, "attention_grids": attention_grids, "training_history": history, "focal_training_history": lambda spark, sf_dir: history(spark, sf_dir, 2.0)}
+ORACLES = {"predicted_embeddings": PREDICTED, "attention_grids": ATTENTION, "training_history": _history_sql(), "focal_training_history": _history_sql(2.0)}
