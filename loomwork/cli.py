@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomwork import reports, results
 from loomwork.functions import chain, metrics, paths
-from loomwork.operators import faces, model, morphs, quality, split, statistics
-from loomwork.session import build_session
+from loomwork.operators import faces, model, morphs, quality, split, statistics, visual
+from loomwork.session import build_session, materialise
 from loomwork.sources import scans, sinks
 
 DONE, FAILED, BAD_ARGUMENTS, NO_PATH, NOT_VERIFIED, BAD_CONFIG = range(6)
@@ -111,9 +111,21 @@ def run_morph(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def run_predict(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Probabilities and labels of a Parquet table of embeddings by a saved model."""
-    rows = spark.read.parquet(args.input)
-    scored = model.predict(model.load(args.model), rows, args.vector, args.threshold)
+    """Probabilities and labels by a saved model: of a Parquet table of embeddings, or of the images in a folder.
+
+    A folder gives one CSV file, and a second one named .failed.csv if there are images that can't be read.
+    """
+    if (args.input is None) == (args.images is None):
+        print("name either --input or --images", file=sys.stderr)
+        return BAD_ARGUMENTS
+    scorer = model.load(args.model)
+    if args.images:
+        done, failed = visual.predictions(scorer, materialise(visual.folder_vectors(spark, args.images, args.size, args.recursive), "image-vectors"), args.threshold)
+        sinks.csv_file(done, args.output, ["image_path"])
+        if not failed.isEmpty():
+            sinks.csv_file(failed, f"{args.output.removesuffix('.csv')}.failed.csv", ["image_path"])
+        return DONE
+    scored = model.predict(scorer, spark.read.parquet(args.input), args.vector, args.threshold)
     sinks.report(scored.select(args.key, "predicted_label", F.col("probability").alias("probability_attack"), (1.0 - F.col("probability")).alias("probability_bona_fide")).orderBy(args.key), args.output)
     return DONE
 
@@ -126,12 +138,22 @@ def run_evaluate(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def run_train(spark: SparkSession, args: argparse.Namespace) -> int:
-    """A classifier on a Parquet table of labelled embeddings, saved with its history and, with --validation, its metrics."""
-    rows = spark.read.parquet(args.input)
+    """A classifier saved with its history and, with --validation, its metrics.
+
+    Its rows are Parquet tables of labelled embeddings, or with --images manifests of images below that folder.
+    """
+
+    def labelled(path: str, flip_share: float = 0.0) -> DataFrame:
+        if args.images is None:
+            return spark.read.parquet(path)
+        rows = visual.manifest_vectors(spark, path, args.images, args.size, label_col=args.label, flip_share=flip_share)
+        return materialise(rows.where("embedding IS NOT NULL"), "image-vectors")
+
+    rows = labelled(args.input, args.flip_share)
     made = model.train(rows, args.vector, args.label, not args.unweighted, args.epochs, args.decay)
     known = {}
     if args.validation:
-        held = model.predict(made, spark.read.parquet(args.validation), args.vector)
+        held = model.predict(made, labelled(args.validation), args.vector)
         checked = metrics.check_filled(held.select(F.col(args.label).cast("int").alias("true_label"), F.col("probability").alias("score"), "predicted_label"))
         row = results.evaluate(metrics.check_labels(checked))[0].first()
         known = {k: v for k, v in row.asDict().items() if isinstance(v, float)}
@@ -195,7 +217,10 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--alpha", type=float, default=0.5)
     m.set_defaults(run=run_morph)
     p = commands.add_parser("predict")
-    p.add_argument("--input", required=True)
+    p.add_argument("--input")
+    p.add_argument("--images", help="a folder of images instead of a table of embeddings")
+    p.add_argument("--size", type=int, default=32, help="the images' size that the model was trained at")
+    p.add_argument("--recursive", action="store_true")
     p.add_argument("--model", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--key", default="vec_id")
@@ -206,6 +231,9 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--input", required=True)
     t.add_argument("--output", required=True)
     t.add_argument("--validation")
+    t.add_argument("--images", help="a folder; --input and --validation are manifests of images below it then")
+    t.add_argument("--size", type=int, default=32)
+    t.add_argument("--flip-share", type=float, default=0.0, help="share of the training images that are mirrored")
     t.add_argument("--vector", default="embedding")
     t.add_argument("--label", default="label")
     t.add_argument("--epochs", type=int, default=30)

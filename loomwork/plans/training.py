@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomwork.functions import attention
-from loomwork.operators import fit
+from loomwork.operators import faces, fit, visual
+from loomwork.plans import imaging
 from loomwork.plans.evaluation import rounded
+from loomwork.session import materialise, scratch_path
+from loomwork.sources import sinks
 
 EPOCHS = 3
 RULE = fit.Optimizer("adamw", rate=0.1, decay=0.01)
@@ -27,6 +30,18 @@ def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fit.score(state, rows).select("vec_id", "label", "probability", "predicted_label"))
 
 
+def classified_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_path, label, probability, predicted_label): images and a manifest are written as files, and the files are trained on and scored."""
+    root = scratch_path(spark, "classified")
+    kinds = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("img/"), "vec_id").alias("path"), F.concat(F.lit("img/"), "vec_id", F.lit(".png")).alias("image_path"), (F.col("label") == 0).cast("int").alias("label"))
+    materialise(sinks.image_files(imaging.images(spark, sf_dir), root), "written-classified").count()
+    sinks.csv_file(kinds.select("image_path", "label"), f"{root}/manifest.csv", ["image_path"])
+    rows = materialise(visual.manifest_vectors(spark, f"{root}/manifest.csv", root, size=8), "classified-vectors")
+    fifth = F.regexp_extract("image_path", "([0-9]+)", 1).cast("long") % 5 == 0
+    state = fit.fit(rows.where(~fifth), rows.where(fifth), optimizer=RULE, epochs=EPOCHS)
+    return rounded(fit.score(state, rows).select("image_path", "label", "probability", "predicted_label"))
+
+
 #: Seventeen vectors in a row are an image: a class token and 4 x 4 patches.
 TOKENS, HEADS, LAYERS = 17, 4, 2
 
@@ -48,7 +63,14 @@ ATTENTION = f"""WITH t AS (SELECT vec_id // {TOKENS} AS image, vec_id % {TOKENS}
   SELECT image, ((col - 1) // 4)::INT AS y, ((col - 1) % 4)::INT AS x, round(avg(weight), 6) AS weight FROM s WHERE col > 0 GROUP BY image, col"""
 
 
-def _epochs_sql(gamma: float | None = None) -> str:
+#: The vectors that are trained on, as they are or as pixels of images.
+VECTORS = "[c::DOUBLE for c in embedding]"
+PIXELS = " || ".join(
+    f"[((least(greatest(floor((c::DOUBLE + 0.5::DOUBLE) * 255), 0), 255)::INT / 255.0::DOUBLE - {m}::DOUBLE) / {d}::DOUBLE)::FLOAT::DOUBLE for c in embedding]" for m, d in zip(faces.CHANNEL_MEAN, faces.CHANNEL_DEVIATION, strict=True)
+)
+
+
+def _epochs_sql(gamma: float | None = None, values: str = VECTORS) -> str:
     """The epochs unrolled: one gradient, one step of the rule and one validation each."""
     one, two = RULE.betas
     p, of = "1 / (1 + exp(-list_dot_product(w, x)))", "greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, 1e-15)"
@@ -67,7 +89,7 @@ def _epochs_sql(gamma: float | None = None) -> str:
             f"e{n} AS (SELECT {n} AS epoch, [w[i] * {1.0 - RULE.rate * RULE.decay!r}::DOUBLE - {RULE.rate}::DOUBLE * (m[i] / {1.0 - one**n!r}::DOUBLE) / (sqrt(v[i] / {1.0 - two**n!r}::DOUBLE) + {RULE.epsilon}::DOUBLE) for i in range(1, len(w) + 1)] AS w, m, v FROM m{n})",
             f"h{n} AS (SELECT {n - 1} AS epoch, (SELECT train_loss FROM t{n}) AS train_loss, sum({loss}) / sum({weight}) AS val_loss, avg(((p >= 0.5)::INT = y)::INT) AS val_accuracy FROM (SELECT x, y, k, {p} AS p FROM r, e{n} WHERE held))",
         ]
-    return f"""WITH a AS (SELECT vec_id, vec_id % 5 = 0 AS held, (label = 0)::INT AS y, [c::DOUBLE for c in embedding] || [1::DOUBLE] AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+    return f"""WITH a AS (SELECT vec_id, vec_id % 5 = 0 AS held, (label = 0)::INT AS y, {values} || [1::DOUBLE] AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
   c AS (SELECT y, (SELECT count(*) FROM a WHERE NOT held) / ((SELECT count(DISTINCT y) FROM a WHERE NOT held) * count(*)::DOUBLE) AS k FROM a WHERE NOT held GROUP BY y),
   r AS (SELECT a.*, c.k FROM a JOIN c USING (y)), {", ".join(steps)}"""
 
@@ -82,5 +104,8 @@ def _history_sql(gamma: float | None = None) -> str:
 PREDICTED = f"""{_epochs_sql()} SELECT vec_id, y AS label, round(p, 6) AS probability, (p >= 0.5)::INT AS predicted_label
   FROM (SELECT vec_id, y, 1 / (1 + exp(-list_dot_product(w, x))) AS p FROM r, e{EPOCHS})"""
 
-QUERIES = {"predicted_embeddings": predicted, "attention_grids": attention_grids, "training_history": history, "focal_training_history": lambda spark, sf_dir: history(spark, sf_dir, 2.0)}
-ORACLES = {"predicted_embeddings": PREDICTED, "attention_grids": ATTENTION, "training_history": _history_sql(), "focal_training_history": _history_sql(2.0)}
+CLASSIFIED = f"""{_epochs_sql(values=PIXELS)} SELECT 'img/' || vec_id || '.png' AS image_path, y AS label, round(p, 6) AS probability, (p >= 0.5)::INT AS predicted_label
+  FROM (SELECT vec_id, y, 1 / (1 + exp(-list_dot_product(w, x))) AS p FROM r, e{EPOCHS})"""
+
+QUERIES = {"classified_images": classified_images, "predicted_embeddings": predicted, "attention_grids": attention_grids, "training_history": history, "focal_training_history": lambda spark, sf_dir: history(spark, sf_dir, 2.0)}
+ORACLES = {"classified_images": CLASSIFIED, "predicted_embeddings": PREDICTED, "attention_grids": ATTENTION, "training_history": _history_sql(), "focal_training_history": _history_sql(2.0)}

@@ -4,6 +4,7 @@ import numpy as np
 
 from loomwork import cli
 from loomwork.operators import faces, model
+from loomwork.sources import sinks
 
 
 def test_split(spark, tmp_path, capsys):
@@ -90,3 +91,32 @@ def test_model_inputs(spark):
     got = {r[0]: r[1] for r in faces.model_inputs(spark.createDataFrame([("a", 2, 2, data), ("b", 2, 2, None), ("c", 3, 3, data)], "path string, height int, width int, data binary"), size=2).collect()}
     assert got["b"] is None and got["c"] is None
     assert np.allclose(np.array(got["a"]).reshape(3, 4)[:, 0], [(1 - 0.485) / 0.229, -0.456 / 0.224, -0.406 / 0.225])
+
+
+def test_train_and_predict_over_image_folders(spark, tmp_path):
+    root = tmp_path / "images"
+    rows = [(f"{'dark' if k % 2 else 'light'}/{k}", 4, 4, np.full(48, 20 + k if k % 2 else 200 + k, np.uint8).tobytes()) for k in range(12)]
+    sinks.image_files(spark.createDataFrame(rows, "path string, height int, width int, data binary"), str(root)).count()
+    lines = [f"{path}.png,{'morph' if 'dark' in path else 'bona_fide'}" for path, *_ in rows]
+    (tmp_path / "train.csv").write_text("image_path,label\n" + "\n".join(lines) + "\n")
+    command = ["train", "--images", str(root), "--size", "3", "--epochs", "10", "--output", str(tmp_path / "runs"), "--flip-share", "0.5"]
+    manifest = str(tmp_path / "train.csv")
+    assert cli.main([*command, "--input", manifest, "--validation", manifest], spark) == cli.DONE
+    assert model.checkpoints(spark, str(tmp_path / "runs")).first()["metrics"]["roc_auc"] == 1.0
+    (root / "dark/broken.png").write_bytes(b"no image")
+    (root / "dark/.hidden").mkdir()
+    (root / "dark/.hidden/x.png").write_bytes(b"no image")
+    saved = f"{model.latest(spark, str(tmp_path / 'runs'))}/model"
+    out = tmp_path / "scores.csv"
+    base = ["predict", "--model", saved, "--size", "3", "--output", str(out)]
+    assert cli.main([*base, "--images", str(root), "--recursive"], spark) == cli.DONE
+    head, *found = [line.split(",") for line in out.read_bytes().decode().split("\r\n")[:-1]]
+    assert head == ["image_path", "predicted_label", "probability_morph", "probability_bonafide"]
+    assert [f[0] for f in found] == sorted(f"{path}.png" for path, *_ in rows)
+    assert all((f[1] == "1") == f[0].startswith("dark/") and abs(float(f[2]) + float(f[3]) - 1) < 1e-9 for f in found)
+    failed = (tmp_path / "scores.failed.csv").read_bytes().decode().split("\r\n")
+    assert failed[0] == "image_path,error_message" and failed[1].startswith("dark/broken.png,") and failed[2:] == [""]
+    assert cli.main([*base, "--images", str(root)], spark) == cli.NO_PATH  # no images right in the folder
+    assert cli.main(base, spark) == cli.BAD_ARGUMENTS
+    (tmp_path / "bad.csv").write_text("image_path,label\nlight/99.png,morph\n")
+    assert cli.main([*command, "--input", str(tmp_path / "bad.csv")], spark) == cli.NO_PATH
