@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomwork.functions import geometry, paths, training
+from loomwork.functions import geometry, metrics, paths, training
 from loomwork.plans.evaluation import rounded
 
 
@@ -105,10 +105,35 @@ def props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.coalesce(parsed["k"], F.lit("none")).alias("k"), F.coalesce(parsed["label"], F.lit("bona_fide")).alias("label"), paths.is_timestamp(paths.iso_seconds(F.col("ts"))).alias("is_timestamp"), paths.iso_seconds(F.col("ts")).alias("at"))
 
 
+def landmark_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, k, x, y): the first four of six normalised landmarks in pixels of images of different sizes, drawn towards their mirror images, and the border's eight points."""
+    point = lambda k: F.struct(F.abs(F.element_at("embedding", 2 * k + 1).cast("double")).alias("x"), F.abs(F.element_at("embedding", 2 * k + 2).cast("double")).alias("y"))
+    sized = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.array(*[point(k) for k in range(6)]).alias("points"), (100 + F.col("vec_id") % 50).alias("w"), (80 + F.col("vec_id") % 40).alias("h"))
+    placed = sized.withColumn("points", geometry.pixel_landmarks(F.col("points"), F.col("w"), F.col("h"), 4))
+    mirrored = F.transform("points", lambda p: F.struct((F.col("w") - p["x"]).alias("x"), p["y"].alias("y")))
+    drawn = geometry.with_border(geometry.interpolated(F.col("points"), mirrored, 0.3), F.col("w"), F.col("h"))
+    return rounded(placed.select("vec_id", F.posexplode(drawn).alias("k", "p")).select("vec_id", "k", "p.x", "p.y"))
+
+
+def attack_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, probability): two components of each vector as the logits of both classes."""
+    logit = lambda k: F.element_at("embedding", k).cast("double") * 5.0
+    return rounded(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", metrics.attack_probability(logit(1), logit(2)).alias("probability")))
+
+
+def run_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, started, seconds): when each user's events begin and how long they last."""
+    spans = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.min("ts").cast("timestamp").alias("start"), F.max("ts").cast("timestamp").alias("end"))
+    return rounded(spans.select("user_id", paths.iso_seconds(F.col("start")).alias("started"), paths.elapsed_seconds(F.col("start"), F.col("end")).alias("seconds")))
+
+
 QUERIES = {
     "face_crops": crops,
     "face_alignment": aligned,
     "path_functions": urls,
+    "landmark_places": landmark_places,
+    "attack_scores": attack_scores,
+    "run_seconds": run_seconds,
     "early_stopping": lambda s, d: rounded(training.early_stopping(history(s, d), ["run"], "epoch", "loss", 3, 0.01)),
     "best_epochs": lambda s, d: rounded(training.best_epoch(history(s, d), ["run"], "epoch", "loss")),
     "running_mean_loss": lambda s, d: rounded(training.running_mean(history(s, d), ["run"], "epoch", "loss", "n")),
@@ -143,6 +168,12 @@ ORACLES = {
     'aug_gamma_' || stem || '.tiff' AS prefixed, stem || e AS flat, 'epoch_' || lpad((page_id % 500)::VARCHAR, 4, '0') || '.pt' AS epoch_name,
     '/data/' || p AS resolved, 'morph_' || s[1] || '_' || coalesce(s[2], '') || '_a' || lpad(trunc(alpha * 100)::INT::VARCHAR, 3, '0') || '.jpg' AS morph,
     stem || '_aug_' || CASE WHEN page_id % 2 = 0 THEN 'blur_flip' ELSE 'noop' END || '.jpg' AS augmented FROM r""",
+    "landmark_places": f"""WITH e AS (SELECT vec_id, [abs(c::DOUBLE) for c in embedding] AS v, 100 + vec_id % 50 AS w, 80 + vec_id % 40 AS h FROM embeddings),
+  p AS (SELECT *, [{{'x': {1.0 - 0.3!r}::DOUBLE * (v[2 * k + 1] * w) + 0.3::DOUBLE * (w - v[2 * k + 1] * w), 'y': {1.0 - 0.3!r}::DOUBLE * (v[2 * k + 2] * h) + 0.3::DOUBLE * (v[2 * k + 2] * h)}} for k in range(4)]
+    || [{{'x': (w - 1)::DOUBLE * (n % 3) / 2, 'y': (h - 1)::DOUBLE * (n // 3) / 2}} for n in [0, 1, 2, 3, 5, 6, 7, 8]] AS s FROM e)
+  SELECT vec_id, k::INT AS k, round(s[k + 1].x, 6) AS x, round(s[k + 1].y, 6) AS y FROM p, (SELECT unnest(range(12)) AS k)""",
+    "attack_scores": "SELECT vec_id, round(exp(embedding[2]::DOUBLE * 5) / (exp(embedding[1]::DOUBLE * 5) + exp(embedding[2]::DOUBLE * 5)), 6) AS probability FROM embeddings",
+    "run_seconds": "SELECT user_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS started, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::DOUBLE, 6) AS seconds FROM events GROUP BY user_id",
     "early_stopping": f"""WITH RECURSIVE {HISTORY}, o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS k FROM h),
   f AS (SELECT run, 0::BIGINT AS k, -1::BIGINT AS epoch, 0::DOUBLE AS value, 'inf'::DOUBLE AS best_value, 0 AS counter FROM (SELECT DISTINCT run FROM h)
     UNION ALL SELECT o.run, o.k, o.epoch, o.loss, CASE WHEN o.loss < f.best_value - 0.01::DOUBLE THEN o.loss ELSE f.best_value END, CASE WHEN o.loss < f.best_value - 0.01::DOUBLE THEN 0 ELSE f.counter + 1 END

@@ -26,7 +26,10 @@ def _relative(root: str) -> Column:
 
 
 def image_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS, recursive: bool = True, content: bool = True, required: bool = False) -> DataFrame:
-    """(path, relative, size, content) of the files below root with one of the extensions, whatever their case; with `required`, fails where there are none."""
+    """(path, relative, size, content) of the files below root with one of the extensions, whatever their case; with `required`, fails where there are none.
+
+    As with every file source of Spark, folders and files whose names begin with . or _ are not seen.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     kept = files.where(has_extension(F.col("path"), extensions))
     if required and kept.select("path").isEmpty():
