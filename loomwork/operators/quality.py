@@ -19,6 +19,15 @@ def _issues(rows: DataFrame, check: str, message: Column, **context: Column) ->
     return rows.select(F.lit(check).alias("check"), F.lit("error").alias("severity"), message.alias("message"), F.create_map(*pairs).alias("context"))
 
 
+#: Rows of all tables together that one task of a check holds, about.
+TASK_ROWS = 500_000
+
+
+def _dealt(tables: list[DataFrame], least: int) -> int:
+    """Into how many parts tables are dealt for the checks: by their rows, as adaptive execution sizes tasks by compressed bytes, which are few for ids."""
+    return max(least, -(-sum(t.count() for t in tables) // TASK_ROWS))
+
+
 def _blank(value: str) -> Column:
     return F.col(value).isNull() | (F.col(value) == "")
 
@@ -69,14 +78,21 @@ def _spread(rows: DataFrame, key: str) -> DataFrame:
 
 def identity_leakage(assigned: DataFrame) -> DataFrame:
     """Identities whose images lie in several splits."""
-    found = _spread(assigned.select(F.explode("identities").alias("identity"), "split"), "identity")
+    return _identity_leakage(assigned.select(F.explode("identities").alias("identity"), "split"))
+
+
+def _identity_leakage(seen: DataFrame) -> DataFrame:
+    found = _spread(seen, "identity")
     listed = F.concat(F.lit("['"), F.array_join("splits", "', '"), F.lit("']"))
     return _issues(found, "identity_leakage", F.format_string("Identity %s leaks across splits %s.", quoted(F.col("identity")), listed), identity=F.col("identity"), splits=F.array_join("splits", ","))
 
 
 def component_leakage(assigned: DataFrame, members: DataFrame) -> DataFrame:
     """Components (identity, component) whose identities' images lie in several splits."""
-    seen = assigned.select(F.explode("identities").alias("identity"), "split").distinct()
+    return _component_leakage(assigned.select(F.explode("identities").alias("identity"), "split").distinct(), members)
+
+
+def _component_leakage(seen: DataFrame, members: DataFrame) -> DataFrame:
     found = _spread(seen.join(members, "identity").select("component", "split"), "component")
     listed = F.concat(F.lit("['"), F.array_join("splits", "', '"), F.lit("']"))
     text = F.format_string("Connected component %s spans multiple splits: %s.", quoted(F.col("component")), listed)
@@ -102,16 +118,24 @@ def missing_files(assigned: DataFrame, files: DataFrame, root: str) -> DataFrame
 
 
 def verify(assigned: DataFrame, members: DataFrame | None = None, expected: DataFrame | None = None, files: DataFrame | None = None, root: str = "") -> DataFrame:
-    """All checks that the given tables allow, as one table of issues; bucket defaults to the declared split."""
+    """All checks that the given tables allow, as one table of issues; bucket defaults to the declared split.
+
+    Tables are dealt by image id, and identities by theirs, once for all checks, into parts of a bounded number of rows.
+    """
     rows = assigned if "bucket" in assigned.columns else assigned.withColumn("bucket", F.col("split"))
     rows = materialise(rows.select("image_id", "split", "label", "identities", "bucket"), "assigned")
-    found = [bucket_mismatch(rows), missing_metadata(rows), invalid_labels(rows), duplicate_images(rows), identity_leakage(rows)]
+    ids = [t.select("image_id") for t in (expected, files) if t is not None]
+    parts = _dealt([rows, *ids], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = lambda t, key: t.repartition(parts, key)
+    images = dealt(rows.select("image_id", "split"), "image_id")
+    seen = dealt(rows.select(F.explode("identities").alias("identity"), "split"), "identity")
+    found = [bucket_mismatch(rows), missing_metadata(rows), invalid_labels(rows), duplicate_images(images), _identity_leakage(seen)]
     if members is not None:
-        found.append(component_leakage(rows, members))
+        found.append(_component_leakage(seen.distinct(), dealt(members, "identity")))
     if expected is not None:
-        found.append(completeness(rows, expected))
+        found.append(completeness(images, dealt(expected.select("image_id"), "image_id")))
     if files is not None:
-        found.append(missing_files(rows, files, root))
+        found.append(missing_files(images, dealt(files.select("image_id"), "image_id"), root))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
