@@ -1,4 +1,4 @@
-"""Pixels for models: upright face crops, and normalised channel-first inputs; columns, no Python worker."""
+"""Pixels for models: upright face crops, and normalised channel-first inputs; columns, only eye angles reach Python."""
 
 from __future__ import annotations
 
@@ -28,12 +28,13 @@ def crop_faces(images: DataFrame, key: str = "path", size: int = 224, threshold:
     """
     found = geometry.align(images, threshold=threshold, margin=margin)
     good = readable(F.col("data"), F.col("height"), F.col("width"))
+    cosine, sine = geometry.turn(F.col("angle"))
     ready = found.select(
-        F.col(f"`{key}`").alias("_key"), "height", "width", F.col("angle").cast("double").alias("angle"), "crop", "failure_reason", good.alias("_good"),
+        F.col(f"`{key}`").alias("_key"), "height", "width", "angle", cosine.alias("_a"), sine.alias("_b"), "crop", "failure_reason", good.alias("_good"),
         F.when(F.col("success") & good, pixels.unpacked(F.col("data"))).alias("_pixels"),
     )
     height, width, crop = F.col("height"), F.col("width"), F.col("crop")
-    upright = warps.rotated(F.col("_pixels"), height, width, F.col("angle"), 3)
+    upright = warps.rotated(F.col("_pixels"), height, width, F.col("angle"), 3, (F.col("_a"), F.col("_b")))
     tall, wide = (crop["y2"] - crop["y1"]), (crop["x2"] - crop["x1"])
     inside = lambda p: warps.each(tall, wide, 3, lambda y, x, c: warps.pixel(p, y + crop["y1"], x + crop["x1"], c, width, 3))
     cut = warps.bound(upright, inside)
