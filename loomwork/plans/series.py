@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomwork.functions import geometry, metrics, paths, training
 from loomwork.plans.evaluation import rounded
@@ -39,16 +39,17 @@ def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order's boxes as one image's detections: the largest good face, or why there is none."""
-    face = F.struct(
-        (1.0 - F.col("d") * 3).alias("score"),
-        F.array("x1", "y1", "x2", "y2").alias("facial_area"),
-        F.create_map(F.lit("left_eye"), F.array("rx", "ry"), F.lit("right_eye"), F.array("lx", "ly")).alias("landmarks"),
-    )
-    key = F.concat_ws("_", F.lit("face"), "l_linenumber", F.lpad("x1", 3, "0"), F.lpad("y1", 3, "0"), "x2", "y2", "d", "ry")
-    faces = boxes(spark, sf_dir).select("l_orderkey", key.alias("key"), face.alias("value")).dropDuplicates(["l_orderkey", "key"])
+    """Each order's boxes as one image's detections: the largest good face, or why there is none; only numbers are shuffled, once."""
+    given = boxes(spark, sf_dir).groupBy("l_orderkey").agg(F.array_distinct(F.collect_list(F.struct("l_linenumber", "x1", "y1", "x2", "y2", "lx", "ly", "rx", "ry", "d"))).alias("given"))
+
+    def entry(f: Column) -> Column:
+        key = F.concat_ws("_", F.lit("face"), f["l_linenumber"], F.lpad(f["x1"], 3, "0"), F.lpad(f["y1"], 3, "0"), f["x2"], f["y2"], f["d"], f["ry"])
+        eyes = F.create_map(F.lit("left_eye"), F.array(f["rx"], f["ry"]), F.lit("right_eye"), F.array(f["lx"], f["ly"]))
+        face = F.struct((1.0 - f["d"] * 3).alias("score"), F.array(*[f[c] for c in ("x1", "y1", "x2", "y2")]).alias("facial_area"), eyes.alias("landmarks"))
+        return F.struct(key.alias("key"), face.alias("value"))
+
     by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
-    images = faces.groupBy("l_orderkey").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")), by_key)).alias("detections"))
+    images = given.select("l_orderkey", F.map_from_entries(F.array_sort(F.transform("given", entry), by_key)).alias("detections"))
     done = geometry.align(images.withColumn("width", F.lit(640)).withColumn("height", F.lit(480)), threshold=0.8)
     return rounded(done.select("l_orderkey", "success", "failure_reason", F.when(F.col("success"), F.col("angle")).alias("angle"), *[F.when(F.col("success"), F.col("crop")[k]).alias(k) for k in ("x1", "y1", "x2", "y2")]))
 

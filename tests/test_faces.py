@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import geometry
-from loomwork.plans import imaging
+from loomwork.plans import imaging, series
 
 #: A corner of each box lies at the image's centre, about which it is turned: its place is whole but for the last bits.
 ROWS = [(k, 320, 240, 320 + 3 * q, 240 + 2 * q, q * 1.0, t / 100 * 103.7 - d / 100 * 101.3) for k, (q, d, t) in enumerate((q, d, t) for q in range(1, 51) for d in range(11) for t in range(9))]
@@ -49,3 +49,12 @@ def test_images_of_one_id_give_one_row_each(spark, tmp_path):
     rows = [(1, [0.1 * (k % 5) - 0.2 for k in range(64)], 1), (1, [0.1 * (k % 3) - 0.1 for k in range(64)], 1)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert imaging.face_pixels(spark, str(tmp_path)).count() == 2
+
+
+def test_detections_are_shuffled_once_and_copies_count_once(spark, tmp_path):
+    item = (1, 7, 9, 1, 20.0, 0.01, 0.02)
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double"
+    spark.createDataFrame([item, item, (1, 7, 9, 2, 30.0, 0.1, 0.02)], schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    done = series.aligned(spark, str(tmp_path))
+    assert done._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [r["success"] for r in done.collect()] == [True]
