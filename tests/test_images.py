@@ -186,6 +186,15 @@ def test_triangles_cover_the_image():
     assert area == pytest.approx(127 * 127, rel=1e-6)
 
 
+def test_morph_deals_pairs_and_joins_nothing(spark):
+    data, points = bytes(range(192)), [(2.0, 2.0), (5.0, 2.5), (3.0, 5.0)]
+    rows = spark.createDataFrame([(f"m{k}", 8, 8, data, data, points, points) for k in range(40)], "name string, height int, width int, data_a binary, data_b binary, points_a array<struct<x:double,y:double>>, points_b array<struct<x:double,y:double>>")
+    done = morphs.morph(rows)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan and "partial_collect_list" in plan
+    assert {bytes(r["data"]) for r in done.collect()} == {data}
+
+
 def test_morph(spark):
     grey = np.full((16, 16, 3), 50, np.uint8).tobytes()
     light = np.full((16, 16, 3), 150, np.uint8).tobytes()
