@@ -112,3 +112,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return current.select(F.col("b").alias("vertex"), F.col("a").alias("component")).unionByName(
         current.select(F.col("a").alias("vertex"), F.col("a").alias("component")).distinct()
     )
+
+
+def components_of_pairs(pairs: DataFrame) -> DataFrame:
+    """connected_components of pairs(a, b): contracted into stars first, of which only those that share vertices go through rounds.
+
+    A vertex in one star alone is done after one grouping; stars that share a vertex are joined by their centres, so the
+    rounds run over centres, and nothing is lost where edges lie far from each other. Rows with a null end are dropped.
+    """
+    stars = materialise(contracted(pairs), "contracted")
+    sides = stars.select(F.col("b").alias("vertex"), F.col("a").alias("centre")).unionByName(stars.select(F.col("a").alias("vertex"), F.col("a").alias("centre")))
+    seen = materialise(sides.groupBy("vertex").agg(F.min("centre").alias("low"), F.max("centre").alias("high")), "star-members")
+    shared = sides.join(seen.where("low < high").select("vertex", "low"), "vertex").where("centre <> low")
+    found = connected_components(shared.select(F.col("low").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("vertex", "low")
+    return seen.join(found, "low", "left").select("vertex", F.coalesce("component", "low").alias("component"))

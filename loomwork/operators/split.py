@@ -11,7 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomwork.operators.graph import connected_components, contracted
+from loomwork.operators.graph import components_of_pairs
 from loomwork.session import materialise
 
 SPLITS = ("train", "val", "test")
@@ -38,22 +38,23 @@ class SplitRatios:
         return getattr(self, split)
 
 
-def weighted_components(bona_fide: DataFrame, morphs: DataFrame) -> DataFrame:
-    """(identity, component, images) from bona_fide(identity, ...) and morphs(identity_a, identity_b, ...).
+def counted_components(bona_fide: DataFrame, morphs: DataFrame) -> DataFrame:
+    """(identity, component, bona_fide, morphs) from bona_fide(identity, ...) and morphs(identity_a, identity_b, ...).
 
     Identities without a morph partner, and those only morphed with themselves, are components of their own. component is the
-    least identity; images are the bona fide ones of the identity and the morphs that name it first. Rows are summed
+    least identity; bona_fide counts the identity's own images and morphs those that name it first. Rows are summed
     by identity before they meet the components.
     """
-    ends = morphs.select(F.col("identity_a").alias("a"), F.col("identity_b").alias("b"))
-    linked = connected_components(contracted(ends)).select(F.col("vertex").alias("identity"), "component")
-    ones = (
-        bona_fide.select("identity", F.lit(1).alias("n"))
-        .unionByName(morphs.select(F.col("identity_a").alias("identity"), F.lit(1).alias("n")))
-        .unionByName(morphs.select(F.col("identity_b").alias("identity"), F.lit(0).alias("n")))
-    )
-    everyone = ones.where("identity IS NOT NULL").groupBy("identity").agg(F.sum("n").alias("images"))
-    return everyone.join(linked, "identity", "left").select("identity", F.coalesce("component", "identity").alias("component"), "images")
+    linked = components_of_pairs(morphs.select(F.col("identity_a").alias("a"), F.col("identity_b").alias("b"))).withColumnRenamed("vertex", "identity")
+    row = lambda c, own, first: (F.col(c).alias("identity"), F.lit(own).alias("o"), F.lit(first).alias("f"))
+    ones = bona_fide.select(*row("identity", 1, 0)).unionByName(morphs.select(*row("identity_a", 0, 1))).unionByName(morphs.select(*row("identity_b", 0, 0)))
+    everyone = ones.where("identity IS NOT NULL").groupBy("identity").agg(F.sum("o").alias("bona_fide"), F.sum("f").alias("morphs"))
+    return everyone.join(linked, "identity", "left").select("identity", F.coalesce("component", "identity").alias("component"), "bona_fide", "morphs")
+
+
+def weighted_components(bona_fide: DataFrame, morphs: DataFrame) -> DataFrame:
+    """(identity, component, images): counted_components with both kinds of images together."""
+    return counted_components(bona_fide, morphs).select("identity", "component", (F.col("bona_fide") + F.col("morphs")).alias("images"))
 
 
 def components(bona_fide: DataFrame, morphs: DataFrame) -> DataFrame:
@@ -137,6 +138,14 @@ def assign(sizes: DataFrame, ratios: SplitRatios, order: Column, block_rows: int
     return reduce(DataFrame.unionByName, done)
 
 
+def split_members(bona_fide: DataFrame, morphs: DataFrame, ratios: SplitRatios = SplitRatios(), seed: int | None = None) -> DataFrame:
+    """(component, identity, bona_fide, morphs, split): each identity's split and numbers of images, without the images' rows."""
+    members = materialise(counted_components(bona_fide, morphs), "members")
+    sizes = materialise(component_sizes(members.withColumn("images", F.col("bona_fide") + F.col("morphs"))), "component-sizes")
+    chosen = assign(sizes, ratios, seeded_order(F.col("component"), seed)).select("component", "split")
+    return members.join(chosen, "component").select("component", "identity", "bona_fide", "morphs", "split")
+
+
 def split_dataset(
     bona_fide: DataFrame, morphs: DataFrame, ratios: SplitRatios = SplitRatios(), seed: int | None = None, exact: bool = False, stored: bool = False
 ) -> tuple[DataFrame, DataFrame]:

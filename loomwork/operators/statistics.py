@@ -32,12 +32,29 @@ def split_statistics(assigned: DataFrame, splits: tuple[str, ...] = SPLITS) -> D
         .groupBy("split")
         .agg(F.count("*").alias("identity_count"))
     )
+    return _shared(names, shares, identities)
+
+
+def member_statistics(members: DataFrame, splits: tuple[str, ...] = SPLITS) -> DataFrame:
+    """split_statistics of what split_members found, for morphs with both identities: one aggregate over identities, their images are counted already."""
+    names = members.sparkSession.createDataFrame([(s,) for s in (*splits, "overall")], "split string")
+    found = members.groupBy("split").agg(F.sum("bona_fide").alias("b"), F.sum("morphs").alias("m"), F.count("*").alias("i"))
+    both = found.select(F.explode(F.array("split", F.lit("overall"))).alias("split"), "b", "m", "i").groupBy("split")
+    sums = both.agg(F.sum("b").alias("bona_fide_count"), F.sum("m").alias("morph_count"), F.sum("i").alias("identity_count"))
+    label = lambda name, n: F.struct(F.lit(name).alias("label"), F.col(n).alias("n"))
+    labels = F.filter(F.array(label(BONA_FIDE, "bona_fide_count"), label(MORPH, "morph_count")), lambda x: x["n"] > 0)
+    counted = sums.select("*", (F.col("bona_fide_count") + F.col("morph_count")).alias("total_count"), labels.alias("_labels"))
+    return _shared(names, counted, None)
+
+
+def _shared(names: DataFrame, shares: DataFrame, identities: DataFrame | None) -> DataFrame:
+    """The rows of split_statistics from shares(split, total_count, bona_fide_count, morph_count, _labels) and identities(split, identity_count), or shares that have identity_count too."""
     total = F.max("total_count").over(_everything())
     balance = F.map_from_entries(F.transform("_labels", lambda x: F.struct(x["label"], x["n"] / F.col("total_count"))))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    known = names.join(shares, "split", "left")
     return (
-        names.join(shares, "split", "left")
-        .join(identities, "split", "left")
+        (known if identities is None else known.join(identities, "split", "left"))
         .select(
             "split",
             *[zero(c) for c in ("total_count", "bona_fide_count", "morph_count", "identity_count")],

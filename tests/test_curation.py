@@ -253,3 +253,16 @@ def test_scratch_is_released(spark, tmp_path):
         session.shared_dir(Elsewhere)
     kept = session.materialise(spark.range(3), "x")
     assert kept.count() == 3 and session.run_dir(spark) in kept.inputFiles()[0]
+
+
+def test_shared_stars_and_statistics_of_members(spark):
+    edges = [(k, k + 1) for k in range(0, 300) if k % 10] + [(5, 299), (1000, 1000), (7, 7)] + [(k, 400 + k % 3) for k in range(500, 900)]
+    rng = random.Random(4)
+    rng.shuffle(edges)
+    rows = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    want = {(r["vertex"], r["component"]) for r in graph.connected_components(rows).collect()}
+    assert {(r["vertex"], r["component"]) for r in graph.components_of_pairs(rows).collect()} == want
+    bona_fide, morphs = frames(spark, [f"p{k}" for k in range(40)], [(f"p{k}", f"p{k + 1}") for k in range(0, 30, 3)] + [("p0", "p9"), ("x", "x")])
+    ratios = split.SplitRatios(0.7, 0.3, 0.0)
+    slow = statistics.split_statistics(split.split_dataset(bona_fide, morphs, ratios)[0]).collect()
+    assert sorted(statistics.member_statistics(split.split_members(bona_fide, morphs, ratios)).collect(), key=str) == sorted(slow, key=str)
