@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomwork.functions.metrics import class_weights
@@ -93,18 +94,51 @@ def _parts(p: Column, gamma: float | None) -> tuple[Column, Column, Column]:
     return -weight * far * F.log(of), sign * weight * far * (gamma * of * F.log(of) - (1.0 - of)), F.lit(1.0)
 
 
+#: Products that a task holds at once, and the largest of them.
+PRODUCTS, LARGEST = 1 << 20, 1e10
+
+
+def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(j, high, middle, low) of batches(_x, _g, _l, _n): sums of _x times _g by place, then of _g, _l and _n, in units of 2**-10, 2**-35 and 2**-60.
+
+    Null, NaN and infinite values count for nothing; a place without others is left out.
+    """
+    for batch in batches:
+        size = len(batch.column("_x")[0]) + 3 if batch.num_rows else 3
+        step = max(PRODUCTS // size, 1)
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            slope, loss, weight = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_g", "_l", "_n"))
+            x = part.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, size - 3)
+            values = np.column_stack([x * slope[:, None], slope, loss, weight])
+            known = np.isfinite(values)
+            values = np.where(known, values, 0.0) * 2.0**10
+            if (np.abs(values) >= LARGEST * 2.0**10).any():
+                raise OverflowError(f"a product of {LARGEST:g} or more in a gradient")
+            whole, sums = np.floor(values), []
+            for _ in range(2):
+                sums.append(whole.astype(np.int64).sum(axis=0))
+                values = (values - whole) * 2.0**25
+                whole = np.floor(values)
+            sums.append(np.rint(values).astype(np.int64).sum(axis=0))
+            there = known.any(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(there), pa.int32()), *[pa.array(s[there]) for s in sums]], names=["j", "high", "middle", "low"])
+
+
 def _sums(rows: DataFrame, state: State, gamma: float | None) -> tuple[np.ndarray, float]:
     """Mean gradient and mean loss: one aggregate of as many sums as there are weights, partial sums first.
 
-    Sums are of decimals, so that they are the same in whatever order the rows come.
+    Sums are of whole numbers, so that they are the same in whatever order the rows come.
     """
     loss, slope, weight = _parts(F.col("_p"), gamma)
-    scored = rows.select("_x", "_y", "_w", _score(state.weights).alias("_p")).select("_x", loss.alias("_l"), slope.alias("_g"), weight.alias("_n"))
-    values = F.concat(F.transform("_x", lambda x: x * F.col("_g")), F.array("_g", "_l", "_n"))
-    found = scored.select(F.posexplode(values).alias("j", "v")).groupBy("j").agg(F.sum(F.col("v").cast("decimal(28,18)")).alias("v")).collect()
+    scored = rows.select("_x", "_y", "_w", _score(state.weights).alias("_p")).select("_x", slope.alias("_g"), loss.alias("_l"), weight.cast("double").alias("_n"))
+    parts = scored.mapInArrow(_partial_sums, "j int, high long, middle long, low long")
+    found = parts.groupBy("j").agg(*[F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in ("high", "middle", "low")]).collect()
     sums = np.zeros(len(state.weights) + 2)
+    if found and len(found) < len(sums):
+        raise ValueError("a place of the vectors holds no finite value")
     for r in found:
-        sums[r.j] = float(r.v)
+        sums[r.j] = ((int(r.high) << 50) + (int(r.middle) << 25) + int(r.low)) / (1 << 60)
     total = sums[-1] or 1.0
     return sums[:-2] / total, float(sums[-2] / total)
 

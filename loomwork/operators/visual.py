@@ -29,11 +29,16 @@ def folder_vectors(spark: SparkSession, root: str, size: int = 32, recursive: bo
 
 
 def manifest_vectors(spark: SparkSession, path: str, root: str, size: int = 32, image_col: str = "image_path", label_col: str = "label", flip_share: float = 0.0, seed: int = 0) -> DataFrame:
-    """Rows of a CSV manifest with embedding and error_message of their files below root; FileNotFoundError naming the first few that are missing."""
+    """Rows of a CSV manifest with embedding and error_message of their files below root; FileNotFoundError naming the first few that are missing.
+
+    Tasks open files of a mounted folder by their names; other stores are listed once by the driver.
+    """
     rows = scans.manifest(spark, path, image_col, label_col)
-    listed = scans.image_files(spark, root, content=False)
-    scans.check_files(rows, listed, image_col)
-    return vectors(scans.items(rows, scans.image_files(spark, root), image_col), size, flip_share, seed)
+    base = scans.mounted(spark, root)
+    if base is not None:
+        return vectors(scans.named_items(scans.check_named(rows, base, image_col), base, image_col), size, flip_share, seed)
+    files = scans.image_files(spark, root)
+    return vectors(scans.items(scans.check_files(rows, files, image_col), files, image_col), size, flip_share, seed)
 
 
 def predictions(scorer: PipelineModel, images: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:

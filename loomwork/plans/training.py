@@ -8,7 +8,7 @@ from loomwork.functions import attention
 from loomwork.operators import faces, fit, visual
 from loomwork.plans import imaging
 from loomwork.plans.evaluation import rounded
-from loomwork.session import materialise, scratch_path
+from loomwork.session import materialise, scratch_path, spread
 from loomwork.sources import sinks
 
 EPOCHS = 3
@@ -34,7 +34,7 @@ def classified_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_path, label, probability, predicted_label): images and a manifest are written as files, and the files are trained on and scored."""
     root = scratch_path(spark, "classified")
     kinds = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("img/"), "vec_id").alias("path"), F.concat(F.lit("img/"), "vec_id", F.lit(".png")).alias("image_path"), (F.col("label") == 0).cast("int").alias("label"))
-    materialise(sinks.image_files(imaging.images(spark, sf_dir), root), "written-classified").count()
+    materialise(sinks.image_files(imaging.coloured(spread(imaging.gray(spark, sf_dir), "vec_id")), root), "written-classified")
     sinks.csv_file(kinds.select("image_path", "label"), f"{root}/manifest.csv", ["image_path"])
     rows = materialise(visual.manifest_vectors(spark, f"{root}/manifest.csv", root, size=8), "classified-vectors")
     fifth = F.regexp_extract("image_path", "([0-9]+)", 1).cast("long") % 5 == 0

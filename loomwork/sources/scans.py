@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructType
 
 from loomwork.functions.paths import has_extension
+from loomwork.session import spread
 
 IMAGE_EXTENSIONS = (".bmp", ".gif", ".jpeg", ".jpg", ".png", ".tif", ".tiff", ".webp")
 METADATA = (
@@ -166,19 +170,22 @@ def decoded(data: bytes) -> np.ndarray:
     return _png(data) if kind == "PNG" else _bmp(data)
 
 
+def _decoded_row(data: bytes | None) -> tuple[int | None, int | None, bytes | None, str | None]:
+    """(height, width, data, error_message) of a file's bytes."""
+    try:
+        image = decoded(data)
+        return *image.shape[:2], image.tobytes(), None
+    except (ValueError, IndexError, KeyError, struct.error, TypeError, zlib.error) as error:
+        return None, None, None, str(error)
+
+
 def pixels(files: DataFrame) -> DataFrame:
     """files(path, content, ...) with height, width, data and error_message; data is null where nothing was decoded. No shuffle."""
     kinds = {f.name: f.dataType.simpleString() for f in files.schema.fields if f.name != "content"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for data in batch["content"]:
-                try:
-                    image = decoded(data)
-                    out.append((*image.shape[:2], image.tobytes(), None))
-                except (ValueError, IndexError, KeyError, struct.error, TypeError, zlib.error) as error:
-                    out.append((None, None, None, str(error)))
+            out = [_decoded_row(data) for data in batch["content"]]
             more = pd.DataFrame(out, columns=["height", "width", "data", "error_message"], index=batch.index)
             yield pd.concat([batch.drop(columns="content"), more.astype({"height": "Int32", "width": "Int32"})], axis=1)
 
@@ -254,6 +261,10 @@ def dataset_roots(spark: SparkSession, root: str) -> list[str]:
 def check_files(rows: DataFrame, files: DataFrame, image_col: str = "image_path", shown: int = 5) -> DataFrame:
     """rows of a manifest; FileNotFoundError with the number of paths that files(relative) lacks and the first few of them."""
     missing = rows.select(image_col).distinct().join(files.select(F.col("relative").alias(image_col)), image_col, "left_anti")
+    return _none_missing(rows, missing, image_col, shown)
+
+
+def _none_missing(rows: DataFrame, missing: DataFrame, image_col: str, shown: int) -> DataFrame:
     number = missing.count()
     if number:
         first = [r[0] for r in missing.orderBy(image_col).limit(shown).collect()]
@@ -266,3 +277,80 @@ def items(rows: DataFrame, files: DataFrame, image_col: str = "image_path") -> D
     wanted = files.join(rows.select(F.col(image_col).alias("relative")).distinct(), "relative", "left_semi").select("relative", "content")
     known = pixels(wanted).withColumnRenamed("relative", image_col)
     return rows.join(known, image_col, "left").withColumn("error_message", F.coalesce("error_message", F.when(F.col("data").isNull(), F.lit("no such file"))))
+
+
+def mounted(spark: SparkSession, root: str) -> str | None:
+    """The plain path of a folder that tasks can open by themselves, as it lies in a mounted file system; None for other stores, patterns and what is no folder."""
+    if any(c in root for c in "{[*?\\"):
+        return None
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() != "file" or not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
+        return None
+    return fs.makeQualified(path).toUri().getPath()
+
+
+def _place(base: str, path: str | None, extensions: tuple[str, ...]) -> str | None:
+    """Where the file is that image_files would list under this path; None where it would list none."""
+    if path is None or "\0" in path or not path.lower().endswith(extensions):
+        return None
+    for name in path.split("/"):
+        shown = "=" in name or name.startswith(("_metadata", "_common_metadata"))
+        if not name or name[0] == "." or (name[0] == "_" and not shown) or name.endswith("._COPYING_"):
+            return None
+    place = f"{base.rstrip('/')}/{path}"
+    return place if os.path.isfile(place) else None
+
+
+def check_named(rows: DataFrame, base: str, image_col: str = "image_path", shown: int = 5, extensions: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
+    """check_files for files below a mounted folder: each task looks for those that its rows name, and no folder is listed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([_place(base, p, extensions) is None for p in batch.column(0).to_pylist()], pa.bool_()))
+
+    paths = rows.select(image_col)
+    return _none_missing(rows, paths.mapInArrow(run, paths.schema).distinct(), image_col, shown)
+
+
+#: Decoded bytes that a task holds before it passes them on.
+PIECE_BYTES = 1 << 24
+
+
+def named_items(rows: DataFrame, base: str, image_col: str = "image_path", extensions: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
+    """items for files below a mounted folder: each task opens those that its rows name, and no folder is listed.
+
+    Rows are dealt and sorted by path, so that each file is decoded once. Columns of the rows named height, width, data or
+    error_message are replaced.
+    """
+    made = StructType().add("height", IntegerType()).add("width", IntegerType()).add("data", BinaryType()).add("error_message", StringType())
+    kept = [image_col, *[c for c in rows.columns if c != image_col and c not in made.names]]
+    ready = spread(rows.select(*[F.col(f"`{c}`") for c in kept]), f"`{image_col}`").sortWithinPartitions(f"`{image_col}`")
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
+
+    def joined(part: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        more = [pa.array(values, kind) for values, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*part.columns, *more], names=[*kept, *made.names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, (None, None, None, "no such file")
+        for batch in batches:
+            begun, held, found = 0, 0, []
+            for path in batch.column(0).to_pylist():
+                if path != last:
+                    place = _place(base, path, extensions)
+                    if place is None:
+                        known = (None, None, None, "no such file")
+                    else:
+                        with open(place, "rb") as file:
+                            known = _decoded_row(file.read())
+                    last = path
+                found.append(known)
+                held += len(known[2] or b"")
+                if held >= PIECE_BYTES:
+                    yield joined(batch.slice(begun, len(found)), found)
+                    begun, held, found = begun + len(found), 0, []
+            if found:
+                yield joined(batch.slice(begun, len(found)), found)
+
+    return ready.mapInArrow(run, StructType([*ready.schema.fields, *made.fields]))

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,36 @@ def test_bad_arguments(spark, tables):
         with pytest.raises(ValueError):
             call()
     assert fit.restored(spark, "/tmp/no-such-folder") is None and math.isnan(fit.validated(fit.prepared(tables[0].limit(0), "embedding", "label", None), fit.State.start(5), None)["val_loss"])
+
+
+def test_gradient_sums_are_exact_in_every_order(spark, monkeypatch):
+    monkeypatch.setattr(fit, "PRODUCTS", 40)
+    draws = np.random.default_rng(5).normal(size=(97, 4)) * 10.0 ** np.random.default_rng(6).integers(-9, 4, size=(97, 1))
+    draws[3, 1], draws[4, 2], draws[5, 0] = np.nan, np.inf, -0.0
+    rows = [pa.array(draws[:, :3].tolist()), pa.array(draws[:, 3]), pa.array([None, *np.abs(draws[1:, 3])]), pa.array(np.ones(97))]
+    whole = pa.RecordBatch.from_arrays(rows, names=["_x", "_g", "_l", "_n"])
+
+    def sums(batches):
+        total = {}
+        for part in fit._partial_sums(iter(batches)):
+            for j, *limbs in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                total[j] = total.get(j, 0) + (limbs[0] << 50) + (limbs[1] << 25) + limbs[2]
+        return total
+
+    mixed = whole.take(pa.array(np.random.default_rng(7).permutation(97)))
+    got = sums([whole])
+    assert got == sums([mixed.slice(0, 13), mixed.slice(13, 0), mixed.slice(13)])
+    products = np.column_stack([draws[:, :3] * draws[:, 3:], draws[:, 3], [np.nan, *np.abs(draws[1:, 3])], np.ones(97)])
+    for j in range(6):
+        assert got[j] / 2**60 == pytest.approx(math.fsum(v for v in products[:, j] if math.isfinite(v)), rel=1e-12, abs=1e-15)
+    with pytest.raises(OverflowError):
+        sums([pa.RecordBatch.from_arrays([pa.array([[1e9]]), pa.array([11.0]), pa.array([0.0]), pa.array([1.0])], names=["_x", "_g", "_l", "_n"])])
+
+
+def test_sums_without_finite_values_and_without_rows(spark):
+    rows = spark.createDataFrame([([1.0, float("nan")], 1, 1.0), ([2.0, 1.0], 0, 0.5)], "_x array<double>, _y int, _w double")
+    gradient, loss = fit._sums(rows.where("_x[1] = 1"), fit.State.start(3), None)
+    assert gradient.tolist() == [1.0, 0.5, 0.5] and loss == pytest.approx(math.log(2))
+    with pytest.raises(ValueError):
+        fit._sums(rows.where("isnan(_x[1])"), fit.State.start(3), None)
+    assert fit._sums(rows.where("_y > 1"), fit.State.start(3), None)[1] == 0.0
